@@ -4,15 +4,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import simhash_dedup
+from feedloom.llm import bpe, simhash_dedup
 from feedloom.llm.common import table
 
 
+def tokenizer() -> tuple[str, str]:
+    """Rank file and pattern of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = tokenizer()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, ranks, pattern).drop("text")
+    both = bpe.decode(coded, ranks)
+    return both.select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
