@@ -4,10 +4,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, simhash_dedup
+from feedloom.llm import bpe, sharding, simhash_dedup, url_filter
 from feedloom.llm.common import table
 
 
+#: The rules of op2 as (verdict, host, path).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+#: A scan of characters instead of the operator's digests: each rule is tried on each url.
+OP2_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host_raw,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM cut
+), urls AS (
+  SELECT page_id, translate(host_raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts
+), rules(v, h, p) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+         ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), fits AS (
+  SELECT page_id, h || p AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS k
+  FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.v, 'allow') AS verdict
+FROM urls u LEFT JOIN fits f ON f.page_id = u.page_id AND f.k = 1
+"""
+
+
+def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(table(spark, sf_dir, "documents"), 16)
+
+
 def tokenizer() -> tuple[str, str]:
     """Rank file and pattern of the public byte-level vocabulary."""
     import public_tokenizers
@@ -33,8 +75,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": OP2_SQL,
+}
