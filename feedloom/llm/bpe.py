@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import short_batches
 
-#: Parts of texts remembered by a Python worker before its table starts anew.
-TABLE_WORDS = 1_000_000
+#: Parts of texts in a Python worker's table before the table becomes the old one;
+#: parts met again move from the old table to the present one.
+TABLE_WORDS = 200_000
 #: A longer word is merged but not remembered.
 TABLE_WORD_CHARS = 64
 #: Characters of text whose new words are replayed together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 NONE = np.int32(2**31 - 1)
 #: Marks a text's first part, which has no space before it; no UTF-8 text has it.
 FIRST = "\ud800"
@@ -160,14 +161,18 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
         self.table: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, each id as four little-endian bytes."""
-        known = self.table
-        if len(known) > TABLE_WORDS:
-            known.clear()
+        if len(self.table) > TABLE_WORDS:
+            self.old, self.table = self.table, {}
+        known, old = self.table, self.old
         split = [(FIRST + t).split(" ") for t in texts]
-        fresh = list(set().union(*split).difference(known))
+        fresh = set().union(*split).difference(known)
+        met = fresh.intersection(old)
+        known.update((part, old[part]) for part in met)
+        fresh = list(fresh.difference(met))
         matches = [self.find(p[1:] if p[:1] == FIRST else " " + p) for p in fresh]
         ids = self._ids(set().union(*matches))
         for part, words in zip(fresh, matches):
