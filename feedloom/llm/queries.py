@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, decontaminate, sharding, simhash_dedup, substring_dedup, url_filter
+from feedloom.llm import bpe, decontaminate, ngram_lm, sharding, simhash_dedup, substring_dedup, url_filter
 from feedloom.llm.common import table
 
 
@@ -79,6 +79,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op6_deleted_interpolation": op6_deleted_interpolation,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_decontamination": op10_decontamination,
 }
