@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, decontaminate, ngram_lm, sharding, simhash_dedup, substring_dedup, url_filter
+from feedloom.llm import bpe, decontaminate, fingerprints, ngram_lm, sharding, simhash_dedup, substring_dedup, url_filter
 from feedloom.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(docs)
 
 
+def op9_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op6_deleted_interpolation": op6_deleted_interpolation,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_iblt_fingerprints": op9_iblt_fingerprints,
     "op10_decontamination": op10_decontamination,
 }
 
