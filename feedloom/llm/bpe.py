@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import short_batches
+from feedloom.llm.text import distinct
 
 #: Parts of texts in a Python worker's table before the table becomes the old one;
 #: parts met again move from the old table to the present one.
@@ -113,7 +114,7 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
         at = filed[0] if len(filed) == 1 else np.concatenate(filed)
         at = at[rank_at[at] == rank]
         if len(at) > 1:
-            at = np.unique(at)
+            at = distinct(at)
             if vocabulary.falls[rank]:  # a lower rank may come up: one place a word
                 word = np.searchsorted(gaps, at)
                 at = at[np.concatenate(([True], word[1:] != word[:-1]))]

@@ -170,6 +170,40 @@ def _document(bench: Benchmark, words: Words, hashes: np.ndarray, lo: int, hi: i
     return best
 
 
+def _sent(docs: DataFrame, benchmark: DataFrame, shingle: int, item_id: str, item_text: str, slice_bytes: int) -> list:
+    """The benchmark as broadcasts of at most about `slice_bytes` of text each."""
+    spark = docs.sparkSession
+    bench = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = max(1, -(-size // slice_bytes))
+    out = []
+    for k in range(slices):
+        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k) if slices > 1 else bench
+        out.append(spark.sparkContext.broadcast(Benchmark([tuple(r) for r in part.collect()], shingle)))
+    return out
+
+
+def _found(bench: Benchmark, powers: Powers, column: pa.Array, least: float):
+    """(row, item, similarity, start word, words, differing bits) of a column's matches."""
+    for first, _, buf, offs in blocks(column):
+        words = Words(buf, offs)
+        if len(words.starts) == 0:
+            continue
+        hashes = words.hashes(powers)
+        of_row = words.rows()
+        by_doc: dict[int, dict[int, list[int]]] = {}
+        for size in bench.tables:
+            at = np.arange(max(0, len(hashes) - size + 1))
+            at = at[of_row[at] == of_row[at + size - 1]] if size > 1 else at
+            place, item = bench.met(ngram_hashes(hashes, at, size), at, size)
+            for w, i in zip(at[place].tolist(), item.tolist()):
+                by_doc.setdefault(int(of_row[w]), {}).setdefault(i, []).append(w)
+        for k, hits in by_doc.items():
+            lo, hi = int(words.at[k]), int(words.at[k + 1])
+            for i, found in sorted(_document(bench, words, hashes, lo, hi, hits, least).items()):
+                yield (first + k, bench.ids[i], *found)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, shingle: int = 5, doc_id: str = "doc_id", text_col: str = "text",
             item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, differing_bits): for each
@@ -182,55 +216,44 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, shingle:
     own.  The benchmark is sent to executors in slices of a bounded size, one
     pass over the documents for each.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
-    bench = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    slices = max(1, -(-size // slice_bytes))
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["doc_id", "item_id", "similarity", "start_word", "n_words", "differing_bits"]
+    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
+
+    def scan(sent):
+        def run(batches):
+            powers = Powers()
+            for batch in batches:
+                made = list(_found(sent.value, powers, batch.column(1), least))
+                columns = list(zip(*made)) if made else [[]] * 6
+                ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns[1:], kinds))], names=names)
+
+        return rows.mapInArrow(run, "doc_id long, item_id long, similarity double, start_word long, n_words long, differing_bits int")
+
     out = None
-    for k in range(slices):
-        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k) if slices > 1 else bench
-        sent = spark.sparkContext.broadcast(Benchmark([tuple(r) for r in part.collect()], shingle))
-        one = rows.mapInArrow(_scan(sent, least), "doc_id long, item_id long, similarity double, start_word long, n_words long, differing_bits int")
-        out = one if out is None else out.unionByName(one)
+    for sent in _sent(docs, benchmark, shingle, item_id, item_text, slice_bytes):
+        out = scan(sent) if out is None else out.unionByName(scan(sent))
     return out
 
 
-def _scan(sent, least: float):
-    def run(batches):
-        bench, powers = sent.value, Powers()
-        for batch in batches:
-            made: list[tuple] = []
-            rows: list[int] = []
-            for first, _, buf, offs in blocks(batch.column(1)):
-                words = Words(buf, offs)
-                if len(words.starts) == 0:
-                    continue
-                hashes = words.hashes(powers)
-                of_row = words.rows()
-                by_doc: dict[int, dict[int, list[int]]] = {}
-                for size in bench.tables:
-                    at = np.arange(max(0, len(hashes) - size + 1))
-                    at = at[of_row[at] == of_row[at + size - 1]] if size > 1 else at
-                    place, item = bench.met(ngram_hashes(hashes, at, size), at, size)
-                    for w, i in zip(at[place].tolist(), item.tolist()):
-                        by_doc.setdefault(int(of_row[w]), {}).setdefault(i, []).append(w)
-                for k, hits in by_doc.items():
-                    lo, hi = int(words.at[k]), int(words.at[k + 1])
-                    for i, found in sorted(_document(bench, words, hashes, lo, hi, hits, least).items()):
-                        rows.append(first + k)
-                        made.append((bench.ids[i], *found))
-            ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            columns = list(zip(*made)) if made else [[]] * 5
-            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, kinds))],
-                                             names=["doc_id", "item_id", "similarity", "start_word", "n_words", "differing_bits"])
-
-    return run
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """The documents that match no benchmark item, with all their columns."""
-    bad = matches(docs, benchmark, doc_id=doc_id, **how).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(doc_id) == F.col("__bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, shingle: int = 5, text_col: str = "text",
+                      item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The documents that match no benchmark item, with all their columns; nothing is shuffled."""
+    short_batches(docs.sparkSession)
+
+    def kept(sent):
+        def run(batches):
+            powers = Powers()
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for found in _found(sent.value, powers, batch.column(batch.schema.get_field_index(text_col)), least):
+                    clean[found[0]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for sent in _sent(docs, benchmark, shingle, item_id, item_text, slice_bytes):
+        docs = docs.mapInArrow(kept(sent), docs.schema)
+    return docs

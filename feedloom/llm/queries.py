@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, decontaminate, fingerprints, ngram_lm, sharding, simhash_dedup, substring_dedup, url_filter
+from feedloom.llm import bpe, decontaminate, fingerprints, ngram_lm, quality, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
 from feedloom.llm.common import table
 
 
@@ -83,6 +83,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
@@ -96,8 +104,10 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op5_toxicity_cnn": op5_toxicity_cnn,
     "op6_deleted_interpolation": op6_deleted_interpolation,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_quality_nbsvm": op8_quality_nbsvm,
     "op9_iblt_fingerprints": op9_iblt_fingerprints,
     "op10_decontamination": op10_decontamination,
 }

@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents, without those that are near copies of one with a smaller id."""
+    """The documents, without those that are near copies of one with a smaller id.
+    Rows without id stay, and rows that repeat an id stay or go together."""
     found = near_duplicates(docs, id_col, text_col, **how)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    return one
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
+    return docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")

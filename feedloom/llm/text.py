@@ -33,6 +33,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Different values in ascending order."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, dtype=U64)
     out[0] = 1
