@@ -21,29 +21,37 @@ def query_terms(query: str) -> list[str]:
     return query.lower().split()
 
 
-def bm25(items: DataFrame, terms: Sequence[str], text: Column, group: Sequence[str] = (), k1: float = config.K1, b: float = config.B, out: str = "bm25_raw") -> DataFrame:
-    """`items` with the BM25 score of each row against its group's rows.
+def _times(term: str) -> Column:
+    return F.size(F.filter("__tokens", lambda t: t == F.lit(term)))
 
-    Terms that can't be tokens (two characters or less, or with signs) score 0.
+
+def bm25(items: DataFrame, terms: Sequence[str] | dict[str, Sequence[str]], text: Column, group: str | None = None, k1: float = config.K1, b: float = config.B, out: str = "bm25_raw") -> DataFrame:
+    """`items` with the BM25 score of each row against its group's rows (or all rows).
+
+    terms: a query's, or with `group` each group's own.  Terms that can't be
+    tokens (two characters or less, or with signs) score 0.
     """
-    different = list(dict.fromkeys(terms))
-    times = [terms.count(t) for t in different]
+    lists = terms if isinstance(terms, dict) else {None: list(terms)}
+    different = list(dict.fromkeys(t for each in lists.values() for t in each))
     rows = items.withColumn("__tokens", tokens(text)).withColumn("__length", F.size("__tokens"))
-    for k, term in enumerate(different):
-        rows = rows.withColumn(f"__tf{k}", F.size(F.filter("__tokens", lambda t, term=term: t == term)))
-    rows = rows.drop("__tokens")
-    stats = rows.groupBy(*group).agg(
+    rows = rows.withColumns({f"__tf{k}": _times(term) for k, term in enumerate(different)}).drop("__tokens")
+    by = [group] if group else []
+    stats = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.sum("__length").alias("__all"), *[F.count_if(F.col(f"__tf{k}") > 0).alias(f"__df{k}") for k in range(len(different))]
     )
     # One row for each group: a category, or the whole.
-    rows = rows.join(F.broadcast(stats), list(group)) if group else rows.crossJoin(F.broadcast(stats))
+    rows = rows.join(F.broadcast(stats), by) if group else rows.crossJoin(F.broadcast(stats))
     average = F.col("__all") / F.greatest(F.col("__n"), F.lit(1))
     ratio = F.coalesce(F.try_divide(F.col("__length"), average), F.lit(0.0))
     parts = []
-    for k, n in enumerate(times):
+    for k, term in enumerate(different):
         tf, df = F.col(f"__tf{k}"), F.col(f"__df{k}")
+        times = F.lit(0)
+        for name, each in lists.items():
+            n = list(each).count(term)
+            times = F.lit(n) if name is None else F.when(F.col(group) == name, n).otherwise(times) if n else times
         idf = F.ln((F.col("__n") - df + 0.5) / (df + 0.5) + 1)
-        parts.append(F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * ratio)) * n).otherwise(F.lit(0.0)))
+        parts.append(F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * ratio)) * times).otherwise(F.lit(0.0)))
     return rows.withColumn(out, add(parts).cast("double")).drop(*[c for c in rows.columns if c.startswith("__") and c not in items.columns])
 
 
@@ -125,16 +133,7 @@ def rank_categories(items: DataFrame, scores: DataFrame, as_of: int, days: int,
     terms = terms or {c: query_terms(config.CATEGORY[c].query) for c in categories}
     rows = items.where(in_window("published_at", as_of, days) & F.col("category").isin(categories))
     text = text_of("title", "summary", "source_title", "category")
-    every = list(dict.fromkeys(t for c in categories for t in dict.fromkeys(terms[c])))
-    if len({tuple(terms[c]) for c in categories}) == 1:
-        rows = bm25(rows, list(terms[categories[0]]), text, ["category"])
-    else:  # each category has its own terms
-        parts = None
-        for c in categories:
-            one = bm25(rows.where(F.col("category") == c), list(terms[c]), text)
-            parts = one if parts is None else parts.unionByName(one)
-        rows = parts
-    assert every is not None
+    rows = bm25(rows, {c: list(terms[c]) for c in categories}, text, "category")
     rows = normalized(rows, "bm25_raw", ["category"])
     own = lambda f: F.element_at(F.create_map(*[x for c in categories for x in (F.lit(c), F.lit(float(f(config.CATEGORY[c]))))]), F.col("category"))
     first = first_scores(scores.select("item_id", "scored_at", "relevance", "usefulness", "tags")).withColumnsRenamed({"relevance": "s_rel", "usefulness": "s_use", "tags": "s_tags"})

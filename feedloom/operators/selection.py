@@ -45,5 +45,5 @@ def select_diverse(ranked: DataFrame, per_source: int = 2, most: int = 10, least
     rows = rows.withColumn("__s", F.row_number().over(spare))
     rows = rows.where(F.col("__taken") | (F.col("__n") + F.col("__s") <= least))
     position = F.when(F.col("__taken"), F.col("__s")).otherwise(F.col("__n") + F.col("__s"))
-    reason = F.when(F.col("__taken"), F.lit("Selected")).otherwise(F.lit("Added to reach minimum"))
+    reason = F.when(F.col("__taken"), F.concat(F.lit("Selected at rank "), position.cast("string"))).otherwise(F.lit("Selected (minimum threshold enforcement)"))
     return rows.withColumn("position", position).withColumn("reason", reason).drop("__in_source", "__fits", "__k", "__taken", "__n", "__s")

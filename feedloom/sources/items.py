@@ -6,6 +6,8 @@ different times), vectors from embeddings.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,8 +87,7 @@ def normalize(articles: DataFrame, aggregators: tuple[str, ...] = ()) -> DataFra
     """Feed articles to items: the first good url, a snippet of 500 characters, labels without their folders."""
     content = F.coalesce("summary.content", F.lit(""))
     links = F.regexp_extract_all(content, F.lit(r'href="(https?://[^"]+)"'), F.lit(1))
-    for host in aggregators:
-        links = F.filter(links, lambda u, host=host: ~u.contains(host))
+    links = F.filter(links, lambda u: ~reduce(lambda bad, host: bad | u.contains(host), aggregators, F.lit(False)))
     return articles.select(
         "id", F.col("origin.streamId").alias("stream_id"), F.coalesce("origin.title", F.lit("Unknown")).alias("source_title"), F.coalesce("title", F.lit("Untitled")).alias("title"),
         F.coalesce(F.get(F.col("canonical.href"), F.lit(0)), F.get(F.col("alternate.href"), F.lit(0)), F.get(links, F.lit(0)), F.lit("")).alias("url"), "author",
