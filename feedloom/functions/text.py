@@ -63,31 +63,46 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 # -- cleaners ---------------------------------------------------------------------
 
-ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
+# Entities that each cleaner decodes, in order.
+BASIC = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+QUOTED = (("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+PLAIN = (*BASIC, ("&quot;", '"'), ("&#39;", "'"))
+
+
+def _decoded(text: Column, entities) -> Column:
+    for entity, char in entities:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def _squeezed(text: Column) -> Column:
+    """White space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def strip_html(html: Column | str) -> Column:
-    """Tags to spaces, common entities decoded, white space collapsed and trimmed."""
-    out = F.regexp_replace(col(html), "<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """Tags to spaces, four entities decoded."""
+    return _squeezed(_decoded(F.regexp_replace(col(html), "<[^>]*>", " "), BASIC))
 
 
 def html_to_text(html: Column | str) -> Column:
-    """As strip_html(), without scripts and styles."""
-    out = F.regexp_replace(col(html), r"(?is)<script\b[^>]*>.*?</script>", "")
-    return strip_html(F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?</style>", ""))
+    """Without scripts and styles; tags to spaces; named entities decoded, numbered ones dropped."""
+    out = F.regexp_replace(col(html), r"(?is)<script\b.*?</script>", "")
+    out = F.regexp_replace(out, r"(?is)<style\b.*?</style>", "")
+    out = _decoded(F.regexp_replace(out, r"<[^>]+>", " "), QUOTED)
+    return _squeezed(F.regexp_replace(out, r"&#[0-9]+;", ""))
 
 
 def html_to_plaintext(html: Column | str) -> Column:
-    """Block ends to line breaks; a rule's dot does not cross lines."""
-    out = F.regexp_replace(col(html), r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, r"(?i)</(p|div|h[1-6]|li|tr)>", "\n")
-    out = F.regexp_replace(out, r"<.+?>", "")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    """Lines for blocks, "text (url)" for links.  A rule's dot does not cross lines."""
+    out = col(html)
+    for pattern, new in (
+        (r"(?i)<script[^>]*>.*?</script>", ""), (r"(?i)<style[^>]*>.*?</style>", ""), (r"(?i)<br\s*/?>", "\n"), (r"</p>", "\n"), (r"</li>", "\n"), (r"</div>", "\n"),
+        (r"(?i)<h[1-6][^>]*>(.*?)</h[1-6]>", "\n$1\n"), (r"""(?i)<a[^>]*href=["']([^"']*?)["'][^>]*>(.*?)</a>""", "$2 ($1)"), (r"<[^>]+>", ""),
+    ):
+        out = F.regexp_replace(out, pattern, new)
+    out = F.regexp_replace(_decoded(out, PLAIN), r"\n\n\n+", "\n\n")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def strip_formatting(text: Column | str) -> Column:
@@ -99,11 +114,12 @@ def strip_formatting(text: Column | str) -> Column:
 
 
 def truncate_word(text: Column | str, most: int) -> Column:
-    """At most `most` characters, cut at the last space among them, with dots after a cut."""
-    head = F.substring(col(text), 1, most)
-    at = most - F.instr(F.reverse(head), " ")
-    cut = F.when(F.instr(head, " ") > 0, F.substring(head, F.lit(1), at)).otherwise(head)
-    return F.when(F.length(col(text)) <= most, col(text)).otherwise(F.concat(cut, F.lit("...")))
+    """At most `most` characters, cut at the last space among them; null is empty."""
+    whole = F.coalesce(col(text), F.lit(""))
+    head = F.substring(whole, 1, most)
+    at = most - F.instr(F.reverse(head), " ")  # characters before the last space
+    cut = F.when((F.instr(head, " ") > 0) & (at > 0), F.substring(head, F.lit(1), at)).otherwise(head)
+    return F.when(F.length(whole) <= most, whole).otherwise(cut)
 
 
 # What is not spoken of a transcript, in the order of removal.

@@ -69,6 +69,14 @@ def site_name(url: Column | str) -> Column:
     return F.regexp_replace(hostname(url), r"^www\.", "")
 
 
+def metadata(url: Column | str, host: str) -> tuple[Column, Column]:
+    """Author and source: on a host with a subdomain for each author that subdomain
+    and the host, elsewhere no author and the site."""
+    on = contains(site_name(url), host)
+    author = F.regexp_extract(col(url), r"://(?:www\.|m\.)?([^.]+)\.", 1)
+    return F.when(on, author), F.when(on, F.lit(host)).otherwise(site_name(url))
+
+
 def unwrap_cl0(url: Column | str) -> Column:
     """The target of a /CL0/<encoded>/<n>/ tracking link; other urls as they are."""
     found = F.regexp_extract(col(url), r"/CL0/([^/]+)/", 1)

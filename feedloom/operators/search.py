@@ -112,6 +112,7 @@ def pseudo_hash(text: Column) -> Column:
 
 def pseudo_embedding(text: Column, size: int = 768) -> Column:
     """A stand-in vector from the text's hash; a blank text is all zeros."""
-    h = pseudo_hash(text)
-    vector = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: ((F.sin(h + i * 73) * 0.5 + 0.5) * 2 - 1).cast("float"))
+    numbers = F.sequence(F.lit(0), F.lit(size - 1))
+    # The hash is bound once, not worked out again for every element.
+    vector = F.get(F.transform(F.array(pseudo_hash(text)), lambda h: F.transform(numbers, lambda i: ((F.sin(h + i * 73) * 0.5 + 0.5) * 2 - 1).cast("float"))), F.lit(0))
     return F.when(F.trim(text) == "", F.array_repeat(F.lit(0.0).cast("float"), size)).otherwise(vector)

@@ -1 +1,338 @@
-"""Queries."""
+"""Text, url and transcript functions over the driver's tables."""
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from feedloom.functions import chunks, config, text, urls
+from feedloom.operators import decompose as newsletters
+from feedloom.plans.registry import query
+from feedloom.sources.items import items, read, with_urls
+
+HOST_SQL = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
+
+
+@query(f"SELECT page_id, {HOST_SQL} || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END AS key FROM pages")
+def url_key(spark, d):
+    return read(spark, d, "pages").select("page_id", urls.url_key("url").alias("key"))
+
+
+@query(f"SELECT page_id, {HOST_SQL} AS host FROM pages")
+def vendor_hostname(spark, d):
+    return read(spark, d, "pages").select("page_id", urls.hostname("url").alias("host"))
+
+
+@query(f"""WITH h AS (SELECT page_id, url, regexp_replace({HOST_SQL}, 'www\\.', '') AS site FROM pages)
+SELECT page_id, CASE WHEN contains(site, 'example.net') THEN regexp_extract(url, '://(?:www\\.|m\\.)?([^.]+)\\.', 1) END AS author, CASE WHEN contains(site, 'example.net') THEN 'example.net' ELSE site END AS source FROM h""")
+def url_metadata(spark, d):
+    return read(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in zip(("author", "source"), urls.metadata("url", "example.net"))])
+
+
+@query("""SELECT page_id, 'https://x.example/' || page_id AS target FROM pages""")
+def url_unwrap_cl0(spark, d):
+    wrapped = F.concat(F.lit("https://track.example/CL0/https:%2F%2Fx.example%2F"), F.col("page_id").cast("string"), F.lit("/1/abc"))
+    return read(spark, d, "pages").select("page_id", urls.unwrap_cl0(wrapped).alias("target"))
+
+
+@query("SELECT page_id, url AS target FROM pages")
+def url_unwrap_b64(spark, d):
+    coded = F.translate(F.base64(F.concat(F.lit('{"e":"'), "url", F.lit('"}')).cast("binary")), "+/=\r\n", "-_")
+    wrapped = F.concat(F.lit("https://mail.example/redirect/2/"), coded, F.lit("?r=1"))
+    return read(spark, d, "pages").select("page_id", urls.unwrap_base64(wrapped).alias("target"))
+
+
+def _rejects(patterns):
+    return " OR ".join("regexp_matches(u, '" + p.replace("(?i)", "").replace("'", "''") + "', 'i')" for p in patterns)
+
+
+PATHS = "['/subscribe', '/press/', '/archive', '/links/digest', '/p/post', '/issues/12', '/about', '/story']"
+PATH_LIST = ["/subscribe", "/press/", "/archive", "/links/digest", "/p/post", "/issues/12", "/about", "/story"]
+
+
+def _made_urls(spark, d):
+    tail = F.element_at(F.array(*map(F.lit, PATH_LIST)), (F.col("page_id") % 8 + 1).cast("int"))
+    return read(spark, d, "pages").select("page_id", F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0), tail).alias("u"))
+
+
+MADE = f"WITH m AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || ({PATHS})[page_id % 8 + 1] AS u FROM pages) "
+
+
+@query(MADE + f"SELECT page_id, ({_rejects(config.BAD_URL)} OR (contains(u, '/links/') AND contains(u, 'digest'))) AS bad FROM m")
+def url_block_review(spark, d):
+    return _made_urls(spark, d).select("page_id", urls.bad_review_url("u").alias("bad"))
+
+
+@query(MADE + "SELECT page_id, (u LIKE '%/subscribe' OR u LIKE '%/press/' OR u LIKE '%/archive' OR u LIKE '%/issues/12' OR u LIKE '%/about') AS bad FROM m")
+def url_block_decompose(spark, d):
+    return _made_urls(spark, d).select("page_id", text.any_match("u", [f"(?i){p}" for p in newsletters.BAD_URL]).alias("bad"))
+
+
+@query("SELECT doc_id, (['Sponsor', 'a sponsor', 'sign up', 'Story'])[doc_id % 4 + 1] IN ('Sponsor', 'sign up') AS bad FROM documents")
+def title_block(spark, d):
+    title = F.element_at(F.array(*map(F.lit, ["Sponsor", "a sponsor", "sign up", "Story"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", text.any_match(title, [f"(?i){p}" for p in newsletters.BAD_TITLE]).alias("bad"))
+
+
+@query("""SELECT page_id, list_filter(regexp_extract_all(html, 'https?://[^\\s<>"'')]+'), lambda u: NOT contains(u, 'example.net'))[1] AS first_url FROM pages""")
+def url_first_in_text(spark, d):
+    found = F.regexp_extract_all("html", F.lit("""https?://[^\\s<>"')]+"""), F.lit(0))
+    return read(spark, d, "pages").select("page_id", F.get(F.filter(found, lambda u: ~u.contains("example.net")), F.lit(0)).alias("first_url"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9_\\s-]', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS q FROM documents")
+def search_query_clean(spark, d):
+    short = F.regexp_replace(F.substring("text", 1, 80), r"[^A-Za-z0-9_\s-]", "")
+    return read(spark, d, "documents").select("doc_id", F.regexp_replace(short, r"^\s+|\s+$", "").alias("q"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN printf('%04d.%05d', 1000 + doc_id % 9000, doc_id % 100000) END AS arxiv FROM documents""")
+def arxiv_id(spark, d):
+    n = F.col("doc_id")
+    made = F.concat(F.lit("https://arxiv.org/"), F.when(n % 2 == 0, "abs/").otherwise("list/"), F.lpad((1000 + n % 9000).cast("string"), 4, "0"), F.lit("."), F.lpad((n % 100000).cast("string"), 5, "0"), F.lit("v2"))
+    return read(spark, d, "documents").select("doc_id", urls.arxiv_id(made).alias("arxiv"))
+
+
+@query("SELECT p_partkey, 'https://papers.example/abs/' || url_encode(p_name) AS url FROM part")
+def paper_url(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.concat(F.lit("https://papers.example/abs/"), F.regexp_replace(F.url_encode("p_name"), r"\+", "%20")).alias("url"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INTEGER AS year FROM orders")
+def year_from_pubdate(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", F.expr("try_cast(substr(date_format(o_orderdate, 'yyyy-MM'), 1, 4) AS int)").alias("year"))
+
+
+@query("""SELECT conv_id, CASE WHEN count(*) > 3 THEN string_agg(role, ', ' ORDER BY turn) FILTER (WHERE turn <= (SELECT min(turn) + 2 FROM conversations c WHERE c.conv_id = o.conv_id)) || ' et al.'
+  ELSE string_agg(role, ', ' ORDER BY turn) END AS label FROM conversations o GROUP BY conv_id""")
+def authors_label(spark, d):
+    names = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(names).alias("json"))
+    who = F.from_json("json", "array<string>")
+    return rows.select("conv_id", F.concat(F.array_join(F.slice(who, 1, 3), ", "), F.when(F.size(who) > 3, " et al.").otherwise("")).alias("label"))
+
+
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g')) AS txt FROM pages""")
+def strip_html(spark, d):
+    return read(spark, d, "pages").select("page_id", text.strip_html("html").alias("txt"))
+
+
+@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script\\b.*?</script>', '', 'gis'), '<style\\b.*?</style>', '', 'gis') AS t FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') AS t FROM a)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '&#[0-9]+;', '', 'g'), '\\s+', ' ', 'g')) AS txt FROM b""")
+def html_to_text(spark, d):
+    return read(spark, d, "pages").select("page_id", text.html_to_text("html").alias("txt"))
+
+
+@query(None)
+def html_to_plaintext(spark, d):
+    return read(spark, d, "pages").select("page_id", text.html_to_plaintext("html").alias("txt"))
+
+
+@query(None)
+def chunk_2000(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.posexplode(chunks.chunk_sentences()("text")).alias("n", "chunk"))
+    return rows.select("doc_id", "n", F.length("chunk").alias("chars"))
+
+
+@query(None)
+def chunk_tts_3800(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.posexplode(chunks.chunk_speech()("text")).alias("n", "chunk"))
+    return rows.select("doc_id", "n", F.length("chunk").alias("chars"))
+
+
+@query("""WITH h AS (SELECT doc_id, text, substr(text, 1, 200) AS head FROM documents)
+SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN NOT contains(head, ' ') THEN head ELSE array_to_string(string_split(head, ' ')[:-2], ' ') END AS short FROM h""")
+def truncate_word(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.truncate_word("text", 200).alias("short"))
+
+
+@query(None)
+def decompose_newsletter(spark, d):
+    rows = with_urls(items(spark, d), spark, d).join(read(spark, d, "pages").select("page_id", "html"), F.col("id") == F.col("page_id")).drop("page_id")
+    rows = rows.withColumns({"summary": F.col("html"), "bm25": F.lit(0.8), "final": F.lit(0.9)}).drop("html")
+    return newsletters.decompose(rows, ["src1"]).select("id", "title", "url", F.round("bm25", 6).alias("bm25"), F.round("final", 6).alias("final"))
+
+
+@query("""WITH f AS (SELECT i.id, i.title, i.summary, (i.id % 11) / 10.0 AS final FROM items i)
+SELECT id, substr(CASE WHEN summary = '' THEN title ELSE summary END, 1, 100) AS gist, substr(summary, 1, 150) AS bullet, floor(final * 10 + 0.5)::BIGINT AS relevance,
+  CASE WHEN final >= 0.7 THEN 'high' WHEN final >= 0.4 THEN 'medium' ELSE 'low' END AS credibility FROM f""", "items")
+def digest_fallback(spark, d):
+    final = F.col("id") % 11 / 10.0
+    return items(spark, d).select(
+        "id", F.substring(F.coalesce(F.nullif("summary", F.lit("")), F.col("title")), 1, 100).alias("gist"), F.substring("summary", 1, 150).alias("bullet"),
+        text.half_up(final * 10).cast("long").alias("relevance"), F.when(final >= 0.7, "high").when(final >= 0.4, "medium").otherwise("low").alias("credibility"))
+
+
+#: Prose with words that reviews count, made of the id, since the texts have none.
+def _made_text():
+    n = F.col("doc_id")
+    return F.concat(
+        F.when(n % 2 == 0, "This trend highlights a landscape. ").otherwise("We tested it. "), F.when(n % 3 == 0, "They delve, delve and explore. ").otherwise("Delves only. "),
+        F.when(n % 5 == 0, "code search, code search, agents, agents and information retrieval. ").otherwise("search. "), F.when(n % 7 == 0, "Teams should explore it.").otherwise("Done."))
+
+
+MADE_TEXT = """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'This trend highlights a landscape. ' ELSE 'We tested it. ' END || CASE WHEN doc_id % 3 = 0 THEN 'They delve, delve and explore. ' ELSE 'Delves only. ' END
+ || CASE WHEN doc_id % 5 = 0 THEN 'code search, code search, agents, agents and information retrieval. ' ELSE 'search. ' END || CASE WHEN doc_id % 7 = 0 THEN 'Teams should explore it.' ELSE 'Done.' END AS t FROM documents) """
+
+
+@query(MADE_TEXT + """, w AS (SELECT unnest(['highlights', 'underscores', 'shapes', 'fosters', 'emerging', 'landscape', 'approaches', 'methodologies', 'ecosystem', 'leveraging', 'harnessing', 'delve', 'showcase', 'explore', 'unpack']) AS word),
+c AS (SELECT doc_id, t, word, len(regexp_extract_all(lower(t), '\\b' || word || '\\b')) AS n FROM m, w)
+SELECT doc_id, sum(n)::BIGINT AS words, (count(*) FILTER (WHERE n > 0) + CASE WHEN regexp_matches(any_value(t), '(this|that|the|research|finding|trend|approach|method)\\s+(highlights|underscores|shapes|shows|demonstrates|indicates)', 'i') THEN 1 ELSE 0 END
+ + CASE WHEN regexp_matches(any_value(t), '^(This|The|Research|Studies?)\\s+(further|also)?\\s*(highlights|shows|demonstrates)', 'i') THEN 1 ELSE 0 END)::INTEGER AS issues FROM c GROUP BY doc_id""")
+def ai_language_review(spark, d):
+    made = F.lower(_made_text())
+    words = text.add([text.word_occurrences(made, w) for w in config.AI_WORDS])
+    return read(spark, d, "documents").select("doc_id", words.cast("long").alias("words"), F.size(text.ai_language_issues(_made_text())).alias("issues"))
+
+
+@query(MADE_TEXT + """, k AS (SELECT doc_id, t, len(regexp_extract_all(lower(t), 'code search|context management|agents|information retrieval')) AS n FROM m)
+SELECT doc_id, concat_ws('; ', CASE WHEN n > 4 THEN 'Heavy keyword stuffing detected (' || n || ' keyword mentions)' END, CASE WHEN t LIKE '%Teams should explore%' THEN 'Generic corporate advice pattern' END) AS issues FROM k""")
+def bias_review(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.array_join(text.bias_issues(_made_text()), "; ").alias("issues"))
+
+
+@query(MADE_TEXT + f""", x AS (SELECT m.doc_id, m.t, p.url AS u FROM m JOIN pages p ON p.page_id = m.doc_id % (SELECT count(*) FROM pages))
+SELECT doc_id, ({_rejects(config.BAD_URL)}) AS bad_url, (doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 7 = 0) AS ai_words, (doc_id % 5 = 0 OR doc_id % 7 = 0) AS bias,
+ NOT (({_rejects(config.BAD_URL)}) OR doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0) AS passed FROM x""")
+def review_digests(spark, d):
+    rows = with_urls(read(spark, d, "documents").select("doc_id", F.col("doc_id").alias("id")), spark, d)
+    rows = rows.select("doc_id", urls.bad_review_url("url").alias("bad_url"), (F.size(text.ai_language_issues(_made_text())) > 0).alias("ai_words"), (F.size(text.bias_issues(_made_text())) > 0).alias("bias"))
+    return rows.withColumn("passed", ~(F.col("bad_url") | F.col("ai_words") | F.col("bias")))
+
+
+@query(MADE_TEXT + """SELECT doc_id, (contains(lower(t), 'delve') OR contains(lower(t), 'landscape')) AS words, doc_id % 10 < 3 AS weak FROM m""")
+def review_podcast(spark, d):
+    """Words are looked for as substrings here, unlike in the review of digests."""
+    lower = F.lower(_made_text())
+    return read(spark, d, "documents").select("doc_id", (text.hits(lower, ["delve", "landscape"]) > 0).alias("words"), (F.col("doc_id") % 10 < 3).alias("weak"))
+
+
+def _script(spark, d):
+    """A transcript of each conversation: labelled turns with cues, in order."""
+    said = F.concat(F.when(F.col("role") == "user", "HOST: ").otherwise("COHOST: "), F.lit("[PAUSE] "), F.regexp_replace("text", "(?i)host", "guest"), F.lit(" (10s)"))
+    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))).alias("turns"))
+    return rows.select("conv_id", F.array_join(F.transform("turns", lambda t: t["said"]), "\n").alias("script"))
+
+
+SCRIPT = """WITH s AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'HOST: ' ELSE 'COHOST: ' END || '[PAUSE] ' || regexp_replace(text, 'host', 'guest', 'gi') || ' (10s)', chr(10) ORDER BY turn) AS script FROM conversations GROUP BY conv_id),
+c1 AS (SELECT conv_id, regexp_replace(regexp_replace(script, '\\[(INTRO MUSIC|OUTRO MUSIC|BACKGROUND MUSIC|MUSIC|PAUSE|SOUND EFFECT|APPLAUSE|LAUGHTER|NEEDS SUPPORT)\\]', '', 'gi'), '(cold open|lightning round|quick hits|intro segment|outro|main segment):?\\s*', '', 'gi') AS t FROM s),
+c2 AS (SELECT conv_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\[[0-9:]+\\]\\s*', '', 'g'), '\\(≈?[0-9]+s\\)', '', 'g'), '(?m)^[A-Z]+:\\s*', '', 'g') AS t FROM c1),
+clean AS (SELECT conv_id, trim(regexp_replace(t, '\\s{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM c2) """
+
+
+@query(SCRIPT + "SELECT conv_id, t FROM clean")
+def sanitize_transcript(spark, d):
+    return _script(spark, d).select("conv_id", text.sanitize_transcript("script").alias("t"))
+
+
+@query(SCRIPT + "SELECT conv_id, 'sha256:' || sha256(t || '|voicebox|alto|mp3') AS hash FROM clean")
+def transcript_hash(spark, d):
+    return _script(spark, d).select("conv_id", text.transcript_hash("script", "voicebox", "alto", "mp3").alias("hash"))
+
+
+@query(None)
+def speaker_turns(spark, d):
+    rows = _script(spark, d).select("conv_id", F.posexplode(chunks.speaker_turns()("script")).alias("n", "t"))
+    return rows.select("conv_id", "n", F.col("t.speaker").alias("speaker"), F.length("t.text").alias("chars"))
+
+
+@query("""WITH t AS (SELECT conv_id, CASE WHEN role = 'user' THEN 'alto' ELSE 'bass' END AS voice, ceil(len(regexp_extract_all(text, '\\S+')) / 150.0::DOUBLE * 60)::BIGINT AS secs FROM conversations)
+SELECT conv_id, voice, count(*) AS turns, sum(secs)::BIGINT AS seconds FROM t GROUP BY ALL""")
+def multi_voice_plan(spark, d):
+    rows = read(spark, d, "conversations").select("conv_id", F.when(F.col("role") == "user", "alto").otherwise("bass").alias("voice"), text.duration_seconds("text").alias("secs"))
+    return rows.groupBy("conv_id", "voice").agg(F.count(F.lit(1)).alias("turns"), F.sum("secs").alias("seconds"))
+
+
+@query("SELECT doc_id, ceil(len(regexp_extract_all(text, '\\S+')) / 150.0::DOUBLE * 60)::BIGINT AS seconds FROM documents")
+def duration_est(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.duration_seconds("text").alias("seconds"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 3600 THEN printf('%d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) ELSE printf('%d:%02d', n_chars // 60, n_chars % 60) END AS t FROM documents")
+def format_duration(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.format_duration("n_chars").alias("t"))
+
+
+@query("SELECT doc_id, printf('%d:%02d', n_chars // 60, n_chars % 60) AS t FROM documents")
+def format_mmss(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.format_mmss("n_chars").alias("t"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace('**' || source || '** and *' || lang || '*', '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g') AS t FROM documents")
+def strip_formatting(spark, d):
+    made = F.concat(F.lit("**"), "source", F.lit("** and *"), "lang", F.lit("*"))
+    return read(spark, d, "documents").select("doc_id", text.strip_formatting(made).alias("t"))
+
+
+TIMES = """WITH t AS (SELECT conv_id, turn, ceil(len(regexp_extract_all(text, '\\S+')) / 150.0::DOUBLE * 60)::BIGINT AS secs FROM conversations)
+SELECT a.conv_id, a.turn, (SELECT coalesce(sum(b.secs), 0) FROM t b WHERE b.conv_id = a.conv_id AND b.turn < a.turn)::BIGINT AS start, (SELECT sum(b.secs) FROM t b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn)::BIGINT AS stop FROM t a"""
+
+
+@query(TIMES)
+def transcript_segments(spark, d):
+    """Start and end of each segment from the running sum of durations."""
+    place = Window.partitionBy("conv_id").orderBy("turn")
+    rows = read(spark, d, "conversations").select("conv_id", "turn", text.duration_seconds("text").alias("secs"))
+    stop = F.sum("secs").over(place)
+    return rows.select("conv_id", "turn", (stop - F.col("secs")).alias("start"), stop.alias("stop"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, length(text) AS w FROM conversations), s AS (SELECT conv_id, sum(w) AS total FROM t GROUP BY conv_id)
+SELECT a.conv_id, a.turn, floor(600.0 * (SELECT coalesce(sum(b.w), 0) FROM t b WHERE b.conv_id = a.conv_id AND b.turn < a.turn) / s.total + 0.5)::BIGINT AS start FROM t a JOIN s ON s.conv_id = a.conv_id""")
+def script_segments(spark, d):
+    """Planned time dealt to segments in proportion to their length."""
+    place, whole = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id")
+    w = F.length("text")
+    before = F.sum(w).over(place) - w
+    rows = read(spark, d, "conversations")
+    return rows.select("conv_id", "turn", F.floor(600.0 * before / F.sum(w).over(whole) + 0.5).alias("start"))
+
+
+@query("""WITH r AS (SELECT source_title, id, row_number() OVER (PARTITION BY source_title ORDER BY published_at DESC, id) AS k FROM items)
+SELECT source_title, id, CASE WHEN k <= 4 THEN 'segment' WHEN k <= 7 THEN 'lightning' ELSE 'cut' END AS band, CASE WHEN k <= 4 THEN 120 ELSE 0 END AS seconds FROM r WHERE k <= 20""", "items")
+def rundown_fallback(spark, d):
+    place = Window.partitionBy("source_title").orderBy(F.desc("published_at"), "id")
+    rows = items(spark, d).withColumn("k", F.row_number().over(place)).where("k <= 20")
+    return rows.select("source_title", "id", F.when(F.col("k") <= 4, "segment").when(F.col("k") <= 7, "lightning").otherwise("cut").alias("band"), F.when(F.col("k") <= 4, 120).otherwise(0).alias("seconds"))
+
+
+@query("""WITH i AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM conversations)
+SELECT conv_id, severity, count(*) AS n, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM i GROUP BY ALL""")
+def verification_report(spark, d):
+    level = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("turn") % 3 + 1).cast("int"))
+    rows = read(spark, d, "conversations").groupBy("conv_id", level.alias("severity"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("turn")), ",").alias("turns"))
+
+
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([doc_id % 5, doc_id % 3, doc_id % 5, 9], lambda n: n >= 1 AND n <= 4))), ',') AS cited FROM documents""")
+def citation_extract(spark, d):
+    n = F.col("doc_id")
+    made = F.concat(F.lit("a ["), (n % 5).cast("string"), F.lit("] b ["), (n % 3).cast("string"), F.lit("] ["), (n % 5).cast("string"), F.lit("] [9] [x]"))
+    found = F.transform(F.regexp_extract_all(made, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: x.cast("long"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: (x >= 1) & (x <= 4)))), ",").alias("cited"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 OR doc_id % 12 = 0 THEN 5 ELSE least(10, doc_id % 12) END::DOUBLE AS relevance FROM documents""")
+def llm_json_parse(spark, d):
+    """The first bracketed list of a reply; a zero and any failure count as 5, others are clamped to 0 to 10."""
+    n = F.col("doc_id")
+    reply = F.when(n % 4 == 3, "no list").otherwise(F.concat(F.lit('Sure: [{"relevance": '), (n % 12).cast("string"), F.lit(', "tags": []}] done')))
+    rows = F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), "array<struct<relevance:double,usefulness:double,tags:array<string>>>")
+    score = F.get(rows, F.lit(0))["relevance"]
+    good = F.when((F.size(rows) == 1) & (score != 0), F.least(F.lit(10.0), F.greatest(F.lit(0.0), score)))
+    return read(spark, d, "documents").select("doc_id", F.coalesce(good, F.lit(5.0)).alias("relevance"))
+
+
+@query("""SELECT doc_id, doc_id % 9 AS failures, least(60 * pow(2, doc_id % 9), 28800)::BIGINT AS wait FROM documents""")
+def backoff(spark, d):
+    n = F.col("doc_id") % 9
+    return read(spark, d, "documents").select("doc_id", n.alias("failures"), F.least(F.lit(60) * F.pow(F.lit(2.0), n), F.lit(28800.0)).cast("long").alias("wait"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'research' WHEN doc_id % 3 = 1 THEN 'ai_news' ELSE 'newsletters' END AS category FROM documents""")
+def folder_to_category(spark, d):
+    from feedloom.sources.items import categorize
+
+    label = F.element_at(F.array(F.lit("Papers"), F.lit("AI"), F.lit("Other")), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = read(spark, d, "documents").select("doc_id", F.array(F.lit("starred"), label).alias("categories"))
+    return categorize(rows, {"Papers": "research", "AI": "ai_news"}).select("doc_id", "category")
