@@ -113,13 +113,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     several = stored(several)
     found = (
         chunks(docs, id_col, text_col).join(several, ["high", "low"])
-        .groupBy("doc").agg(F.collect_set(F.struct("high", "first")).alias("__chunks"))
+        .groupBy(F.col("doc").alias("__of")).agg(F.collect_set(F.struct("high", "first")).alias("__chunks"))
     )
     added = "n_repeats long, repeat_words long, repeats array<struct<start:long,end:long>>, repeats_of array<long>, lent_words long"
     names = [part.split(" ")[0] for part in added.split(", ")]
     kept = [c for c in docs.columns if c not in names]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    joined = rows.withColumn("__doc", F.col(f"`{id_col}`").cast("long")).join(found, F.col("__doc") == F.col("doc"), "left").drop("doc")
+    joined = rows.withColumn("__doc", F.col(f"`{id_col}`").cast("long")).join(found, F.col("__doc") == F.col("__of"), "left").drop("__of")
     schema = rows.schema
     for field in spark.createDataFrame([], added).schema:
         schema = schema.add(field)
