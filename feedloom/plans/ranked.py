@@ -115,7 +115,7 @@ chosen AS (SELECT *, 'Selected at rank ' || position AS reason FROM first UNION
 
 @query(DIVERSE + "SELECT category, position, id, source_title, reason, round(final, 6) AS final FROM chosen", "items scores firsts")
 def select_diverse(spark, d):
-    rows = selection.select_diverse(ranking.with_rank(ranked(spark, d)), per_source=2, most=10)
+    rows = selection.select_diverse(selection.best_of_sources(ranked(spark, d), 2, 10), per_source=2, most=10)
     return rows.select("category", "position", "id", "source_title", "reason", F.round("final", 6).alias("final"))
 
 
@@ -189,9 +189,7 @@ def _digest_pipeline(spark, d, limit, oversize):
         rows = rows.where(F.length("summary") <= oversize)
     rows = rows.withColumn("all", F.lit("all"))
     top = selection.keep_first(rows, url_key("url"), [F.round("final", 9).desc(), "id"])
-    # Only the best of each source can be selected: the last window sees few rows.
-    top = ranking.with_rank(top, group=["source_title"], most=limit + selection.least_items(limit), out="in_source")
-    top = ranking.with_rank(top, group=["all"])
+    top = selection.best_of_sources(top, 3, limit, group=["all"])
     return selection.select_diverse(top, per_source=3, most=limit, group=["all"])
 
 

@@ -53,7 +53,7 @@ def query(body: str | None = None, tables: str = "", name: str | None = None):
     return put
 
 
-from feedloom.plans import aggregates, filters, joins, ranked, searches, texts  # noqa: E402,F401  they register themselves
+from feedloom.plans import aggregates, extras, filters, joins, ranked, searches, texts  # noqa: E402,F401  they register themselves
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
