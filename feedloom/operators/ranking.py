@@ -154,8 +154,28 @@ def rank_categories(items: DataFrame, scores: DataFrame, as_of: int, days: int,
     return rows.drop("s_rel", "s_use", "s_tags", "least", "item_id", "bm25_raw")
 
 
-def with_rank(rows: DataFrame, score: str = "final", group: Sequence[str] = ("category",), ties: Sequence[str] = ("id",), most: int | None = None, out: str = "rank") -> DataFrame:
-    """`rows` with their place by descending score (9 decimals, so that engines agree on ties)."""
-    order = Window.partitionBy(*group).orderBy(F.round(score, 9).desc(), *ties)
-    ranked = rows.withColumn(out, F.row_number().over(order))
-    return ranked.where(F.col(out) <= most) if most else ranked
+def with_rank(rows: DataFrame, score: str = "final", group: Sequence[str] = ("category",), ties: Sequence[str] = ("id",), most: int | None = None, out: str = "rank", spread: int | None = None) -> DataFrame:
+    """`rows` with their place by descending score (9 decimals, so that engines agree on ties).
+
+    With `most`, rows beyond it go before the shuffle.  To number all rows of a
+    group, it is cut into `spread` ranges of scores that are sorted apart; the
+    counts of the ranges give each its first place.  By default small sessions
+    sort a group at once, and larger ones cut it finer the more partitions they have.
+    """
+    place = F.round(score, 9)
+    if most is not None:
+        order = Window.partitionBy(*group).orderBy(place.desc(), *ties)
+        return rows.withColumn(out, F.row_number().over(order).cast("long")).where(F.col(out) <= most)
+    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16) if spread is None else spread
+    if spread == 1:
+        order = Window.partitionBy(*group).orderBy(place.desc(), *ties)
+        return rows.withColumn(out, F.row_number().over(order).cast("long"))
+    marks = F.array(*[F.lit(k / spread) for k in range(1, spread)])
+    ends = rows.groupBy(*group).agg(F.percentile_approx(place, marks, F.lit(10_000)).alias("__ends"))
+    cut = rows.join(F.broadcast(ends), list(group))  # one row for each group
+    cut = cut.withColumn("__range", F.size(F.filter("__ends", lambda end: end > place))).drop("__ends")
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    first = cut.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*group, "__range").orderBy(place.desc(), *ties)
+    numbered = cut.withColumn("__k", F.row_number().over(inside))
+    return numbered.join(F.broadcast(first), [*group, "__range"]).withColumn(out, F.col("__first") + F.col("__k")).drop("__first", "__k", "__range")

@@ -83,6 +83,14 @@ def test_selection_equals_the_loop(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_ranks_in_ranges_equal_ranks_at_once(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(i, rng.choice("abc"), round(rng.random() * 20) / 20) for i in range(500)], "id long, category string, final double")
+    plain = {r.id: r["rank"] for r in ranking.with_rank(rows, spread=1).collect()}
+    assert {r.id: r["rank"] for r in ranking.with_rank(rows, spread=7).collect()} == plain
+    assert {r.id for r in ranking.with_rank(rows, most=3).collect()} == {i for i, k in plain.items() if k <= 3}
+
+
 def test_small_limits_still_give_ten():
     assert selection.least_items(5) == 10 and selection.least_items(30) == 21
     assert selection.source_cap(4, 10) == 4 and selection.source_cap(4, 25) == 10
