@@ -1,8 +1,8 @@
 """URL rules in a sorted digest array that executors map into memory.
 
 The array file has the 64-bit xxhash keys of all rule strings in ascending
-order, then the rule strings and their verdicts.  The driver writes it, Spark
-copies it to every executor, and each Python worker maps its machine's copy,
+order, then the rule strings and their verdicts.  The driver writes it to the shared
+folder, Spark copies it to every executor, and each Python worker maps its machine's copy,
 so the array is shared between workers and paged in as needed.  A batch of
 urls probes the keys of all (host suffix, path prefix) strings that could be
 rules in one binary search; a found key counts only if the stored string is
@@ -11,17 +11,17 @@ equal.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
-import tempfile
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import shared_dir
+
 MAGIC = b"urldigest1"
 LOWER = {k: k + 32 for k in range(65, 91)}
 
@@ -57,18 +57,15 @@ class DigestArray:
         self.n = n
 
     @staticmethod
-    def write(path: str, rules: list[tuple[str, str, str]]) -> None:
-        """rules: (verdict, host, path); equal (host, path) may occur once."""
+    def pack(rules: list[tuple[str, str, str]]) -> bytes:
+        """The file's bytes for rules (verdict, host, path); equal (host, path) may occur once."""
         made = sorted((xxhash.xxh64_intdigest(text), text, verdict == "block") for verdict, text in ((v, (h + p).encode()) for v, h, p in rules))
         if len({text for _, text, _ in made}) != len(made):
             raise ValueError("a rule occurs twice")
         ends = np.cumsum([0, *(len(text) for _, text, _ in made)]).astype("<u8")
-        with open(path, "wb") as f:
-            f.write(struct.pack("<10sQQ", MAGIC, len(made), int(ends[-1])))
-            f.write(np.array([key for key, _, _ in made], "<u8").tobytes())
-            f.write(ends.tobytes())
-            f.write(bytes(block for _, _, block in made))
-            f.write(b"".join(text for _, text, _ in made))
+        keys = np.array([key for key, _, _ in made], "<u8").tobytes()
+        head = struct.pack("<10sQQ", MAGIC, len(made), int(ends[-1]))
+        return head + keys + ends.tobytes() + bytes(block for _, _, block in made) + b"".join(text for _, text, _ in made)
 
     def find(self, probes: list[bytes]) -> np.ndarray:
         """The index of each string, or -1."""
@@ -104,6 +101,18 @@ def probes_of(host: str, path: str, lengths: list[int]) -> list[bytes]:
             return sorted(out, key=lambda x: (-len(x), x))
 
 
+def _shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file to the shared folder, unless it is there, and return its path."""
+    path = f"{shared_dir(spark)}/feedloom-files/{name}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        out = fs.create(place, True)
+        out.write(bytearray(data))
+        out.close()
+    return path
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of `pages`.
 
@@ -117,13 +126,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     rules = [(v, h.translate(LOWER), p) for v, h, p in rules]
     if any(v not in ("allow", "block") or (p and p[0] != "/") for v, _, p in rules):
         raise ValueError("a rule is (allow or block, host, path from its slash)")
-    folder = tempfile.mkdtemp(prefix="feedloom-urls-")
-    path = os.path.join(folder, "rules")
-    DigestArray.write(path, rules)
-    with open(path, "rb") as f:
-        name = f"rules-{hashlib.sha256(f.read()).hexdigest()[:24]}.bin"
-    os.rename(path, os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))  # copied to every executor
+    packed = DigestArray.pack(rules)
+    name = f"rules-{hashlib.sha256(packed).hexdigest()[:24]}.bin"
+    spark.sparkContext.addFile(_shared_file(spark, name, packed))  # copied to every executor
     lengths = sorted({len(p.encode()) for _, _, p in rules})
 
     def run(batches):

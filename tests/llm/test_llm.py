@@ -132,7 +132,7 @@ def test_urls(spark):
 
 def test_digest_array_confirms_strings(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s))  # everything collides
-    url_filter.DigestArray.write(str(tmp_path / "a"), [("block", "aa", "/x"), ("allow", "bb", "/x"), ("block", "c", "/")])
+    (tmp_path / "a").write_bytes(url_filter.DigestArray.pack([("block", "aa", "/x"), ("allow", "bb", "/x"), ("block", "c", "/")]))
     array = url_filter.DigestArray(str(tmp_path / "a"))
     found = array.find([b"bb/x", b"aa/x", b"zz/x", b"c/", b"longer string"])
     assert [array.string(i) if i >= 0 else None for i in found] == ["bb/x", "aa/x", None, "c/", None]
