@@ -82,3 +82,24 @@ SOURCE_MULTIPLIER = {0: 0.0, 1: 1.0, 2: 1.3, 3: 1.6}
 
 # Order of categories in a rendered digest; others come last.
 DIGEST_ORDER = ("research", "tech_articles", "product_news", "ai_news", "community", "newsletters", "podcasts")
+
+# Themes of digests with their weights.
+THEMES = {
+    "code search": 1.6, "semantic search": 1.5, "agents": 1.4, "context management": 1.5, "embeddings": 1.5, "devtools": 1.2, "code review": 1.0,
+    "testing": 1.0, "refactoring": 1.0, "monorepo": 1.3, "llm": 1.2, "ai": 1.2, "infrastructure": 1.0, "information retrieval": 1.5, "rag": 1.5,
+    "vector database": 1.5, "agentic workflows": 1.4, "fine-tuning": 1.2, "function calling": 1.2, "enterprise codebase": 1.3,
+}
+
+# What a prompt's words say; the first that occurs decides, but topics and hints are all taken.
+PROMPT_TOPICS = (
+    "agentic workflows", "information retrieval", "developer productivity", "vector database", "context management", "context window", "code search",
+    "semantic search", "ai tools", "ai coding", "code review", "devtools", "embeddings", "refactoring", "monorepo", "enterprise", "infrastructure",
+    "testing", "productivity", "research", "agents", "agentic", "vector", "rag", "llm",
+)
+PROMPT_AUDIENCE = (("senior", "senior engineers"), ("lead", "senior engineers"), ("engineer", "senior engineers"), ("everyone", "everyone"), ("team", "everyone"))
+PROMPT_INTENT = (("focus", "focus"), ("emphasize", "focus"), ("deep", "deep-dive"), ("detailed", "deep-dive"), ("summary", "summary"), ("overview", "summary"))
+PROMPT_HINTS = ("actionable", "strategic", "practical", "detailed", "summary")
+PROMPT_VOICE = (
+    ("conversational", "conversational"), ("casual", "conversational"), ("technical", "technical"), ("deep", "technical"), ("executive", "executive"), ("brief", "executive"),
+)
+PROMPT_AVOID = (("avoid theory", "theory"), ("avoid research", "research"), ("no research", "research"))

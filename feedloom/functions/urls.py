@@ -95,3 +95,15 @@ def unwrap_base64(url: Column | str) -> Column:
 def arxiv_id(url: Column | str) -> Column:
     """The id in an arXiv url, or null."""
     return F.nullif(F.regexp_extract(col(url), r"arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})", 1), F.lit(""))
+
+
+def arxiv_url(bibcode: Column | str, fixed: bool = False) -> Column:
+    """The abstract's url for a bibliographic code, or null.  The plain rule wants seven
+    digits (and puts the letter after the dot); `fixed` reads the usual nine."""
+    if fixed:
+        found = F.regexp_extract(col(bibcode), r"^[0-9]{4}arXiv([0-9]{4})([0-9]{5})[A-Z]$", 0)
+        made = F.regexp_replace(found, r"^[0-9]{4}arXiv([0-9]{4})([0-9]{5})[A-Z]$", "https://arxiv.org/abs/$1.$2")
+    else:
+        found = F.regexp_extract(col(bibcode), r"^[0-9]{4}arXiv([0-9]{2})([0-9]{5})([A-Z])$", 0)
+        made = F.regexp_replace(found, r"^[0-9]{4}arXiv([0-9]{2})([0-9]{5})([A-Z])$", "https://arxiv.org/abs/$1$2.$3")
+    return F.when(found != "", made)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import short_batches
+from feedloom.llm.common import Sent, short_batches
 from feedloom.llm.text import distinct
 
 #: Parts of texts in a Python worker's table before the table becomes the old one;
@@ -230,7 +230,7 @@ def gathered(batches, chars: int = BLOCK_CHARS):
 def _ranks(spark: SparkSession, path: str):
     """The rank file, read once on the driver and sent to the executors: its size
     is that of the vocabulary, whatever the input."""
-    return spark.sparkContext.broadcast(Vocabulary(read_ranks(path)))
+    return Sent(spark, Vocabulary(read_ranks(path)))
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:

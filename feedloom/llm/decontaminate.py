@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import short_batches
+from feedloom.llm.common import Sent, short_batches
 from feedloom.llm.text import Powers, Words, blocks, mix, ngram_hashes
 
 BLOCKS = 10
@@ -179,7 +179,7 @@ def _sent(docs: DataFrame, benchmark: DataFrame, shingle: int, item_id: str, ite
     out = []
     for k in range(slices):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k) if slices > 1 else bench
-        out.append(spark.sparkContext.broadcast(Benchmark([tuple(r) for r in part.collect()], shingle)))
+        out.append(Sent(spark, Benchmark([tuple(r) for r in part.collect()], shingle)))
     return out
 
 
@@ -223,9 +223,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, shingle:
 
     def scan(sent):
         def run(batches):
-            powers = Powers()
+            bench, powers = sent.value, Powers()
             for batch in batches:
-                made = list(_found(sent.value, powers, batch.column(1), least))
+                made = list(_found(bench, powers, batch.column(1), least))
                 columns = list(zip(*made)) if made else [[]] * 6
                 ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns[1:], kinds))], names=names)
@@ -245,10 +245,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8,
 
     def kept(sent):
         def run(batches):
-            powers = Powers()
+            bench, powers = sent.value, Powers()
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for found in _found(sent.value, powers, batch.column(batch.schema.get_field_index(text_col)), least):
+                for found in _found(bench, powers, batch.column(batch.schema.get_field_index(text_col)), least):
                     clean[found[0]] = False
                 yield batch.filter(pa.array(clean))
 

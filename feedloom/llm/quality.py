@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import held_out, short_batches
+from feedloom.llm.common import Sent, held_out, short_batches
 from feedloom.llm.labelled import sample
 from feedloom.llm.text import U64, Powers, Words, blocks, distinct, mix, ngram_hashes, ngram_starts, slice_hashes
 
@@ -186,7 +186,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", thresh
     """
     spark = docs.sparkSession
     short_batches(spark)
-    sent = spark.sparkContext.broadcast(train(docs, labels, label_col, per_class, max_bytes))
+    sent = Sent(spark, train(docs, labels, label_col, per_class, max_bytes))
 
     def run(batches):
         model = sent.value

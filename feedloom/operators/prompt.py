@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions import config
 from feedloom.functions.text import contains, hits, text_of
 
 
@@ -16,14 +17,26 @@ class PromptProfile:
 
     focus_topics: list[str] = field(default_factory=list)
     exclude_topics: list[str] = field(default_factory=list)
+    audience: str | None = None
+    intent: str | None = None
+    format_hints: list[str] = field(default_factory=list)
+    voice_style: str | None = None
 
 
-def prompt_profile(prompt: str, topics: Sequence[str], avoid: Sequence[str] = ("avoid ", "exclude ", "without ", "not about ")) -> PromptProfile:
-    """Topics that the prompt names, and those named right after a word of avoidance.
+def prompt_profile(prompt: str | None, topics: Sequence[str] = config.PROMPT_TOPICS, avoid: Sequence[tuple[str, str]] = config.PROMPT_AVOID) -> PromptProfile | None:
+    """A prompt's profile from the words that occur in it, or None for a blank one.
     A topic that is avoided is also a focus, as it is named."""
+    if not prompt or not prompt.strip():
+        return None
     lower = prompt.lower()
-    focus = [t for t in topics if t in lower]
-    return PromptProfile(focus, [t for t in focus if any(word + t in lower for word in avoid)])
+
+    def first(choices):
+        return next((value for word, value in choices if word in lower), None)
+
+    return PromptProfile(
+        list(dict.fromkeys(t for t in topics if t in lower)), [value for word, value in avoid if word in lower],
+        first(config.PROMPT_AUDIENCE), first(config.PROMPT_INTENT), [h for h in config.PROMPT_HINTS if h in lower], first(config.PROMPT_VOICE),
+    )
 
 
 def alignment(tags: Column, text: Column, topics: Sequence[str]) -> Column:

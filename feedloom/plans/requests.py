@@ -82,13 +82,13 @@ class Corpus:
         best = best.withColumn("final", F.col("final") * 0.7 + F.col("cosine") * 0.3)
         return search.topk(best, "final", limit, ["id"])
 
-    def newsletter(self, names: list[str], period: str = "week", limit: int | None = None, words: str = "", topics: tuple[str, ...] = (), oversize: int = 50_000, terms: dict | None = None, **how) -> DataFrame:
+    def newsletter(self, names: list[str], period: str = "week", limit: int | None = None, words: str = "", topics: tuple[str, ...] = config.PROMPT_TOPICS, oversize: int = 50_000, terms: dict | None = None, **how) -> DataFrame:
         """Items for a newsletter across categories, re-ranked by what the prompt names."""
         limit = clamp(limit, 1, 50, 20)
         profile = prompt.prompt_profile(words, topics)
         rows = ranking.rank_categories(self.items, self.scores, self.as_of, period_days(period), [category(n) for n in names], self._terms(terms), **how)
         rows = rows.where(F.length("summary") <= oversize)
-        if profile.focus_topics:  # exclusions alone are not looked at
+        if profile and profile.focus_topics:  # exclusions alone are not looked at
             rows = prompt.exclude(prompt.rerank(rows, profile.focus_topics), profile.exclude_topics)
         most = -(-limit * 10 // 13)
         rows = rows.withColumn("all", F.lit("all"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import chunks, config, text, urls
 from feedloom.operators import decompose as newsletters
+from feedloom.operators import digests
 from feedloom.plans.registry import query
 from feedloom.sources.items import items, read, with_urls
 
@@ -153,14 +154,27 @@ def decompose_newsletter(spark, d):
     return newsletters.decompose(rows, ["src1"]).select("id", "title", "url", F.round("bm25", 6).alias("bm25"), F.round("final", 6).alias("final"))
 
 
-@query("""WITH f AS (SELECT i.id, i.title, i.summary, (i.id % 11) / 10.0 AS final FROM items i)
-SELECT id, substr(CASE WHEN summary = '' THEN title ELSE summary END, 1, 100) AS gist, substr(summary, 1, 150) AS bullet, floor(final * 10 + 0.5)::BIGINT AS relevance,
-  CASE WHEN final >= 0.7 THEN 'high' WHEN final >= 0.4 THEN 'medium' ELSE 'low' END AS credibility FROM f""", "items")
+@query("""WITH f AS (SELECT id, source_title, CASE WHEN summary = '' THEN 'No summary available' ELSE summary END AS c, id % 11 / 10.0 AS final FROM items),
+h AS (SELECT *, trim(substr(c, 1, 150), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS head FROM f WHERE NOT contains(c, '<'))
+SELECT id, trim(substr(c, 1, 100), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS gist, CASE WHEN length(head) < 50 THEN 'From ' || source_title || '. Topics: a, b' WHEN ends_with(head, '.') THEN head ELSE head || '...' END AS why_it_matters,
+  floor(final * 10 + 0.5)::BIGINT AS relevance FROM h""", "items")
 def digest_fallback(spark, d):
-    final = F.col("id") % 11 / 10.0
-    return items(spark, d).select(
-        "id", F.substring(F.coalesce(F.nullif("summary", F.lit("")), F.col("title")), 1, 100).alias("gist"), F.substring("summary", 1, 150).alias("bullet"),
-        text.half_up(final * 10).cast("long").alias("relevance"), F.when(final >= 0.7, "high").when(final >= 0.4, "medium").otherwise("low").alias("credibility"))
+    rows = items(spark, d).where(~F.col("summary").contains("<")).withColumns({"final": F.col("id") % 11 / 10.0, "tags": F.array(F.lit("a"), F.lit("b")), "url": F.lit("")})
+    return digests.fallback_digest(rows).select("id", "gist", "why_it_matters", "relevance")
+
+
+@query("""SELECT id, substr(CASE WHEN summary = '' THEN 'No summary available' ELSE summary END, 1, 100) AS one_sentence_gist, 'New content from ' || source_title AS what_changed,
+  substr(title, 1, 60) AS soundbite, (id % 11)::BIGINT AS relevance_to_focus FROM items""", "items")
+def podcast_digest_fallback(spark, d):
+    rows = items(spark, d).withColumns({"final": F.col("id") % 11 / 10.0, "url": F.lit("")})
+    return digests.podcast_digest(rows).select("id", "one_sentence_gist", "what_changed", F.col("soundbite_lines")[0].alias("soundbite"), "relevance_to_focus")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'https://arxiv.org/abs/2512.' || printf('%05d', doc_id % 100000) END AS url FROM documents")
+def arxiv_url(spark, d):
+    n = F.col("doc_id")
+    code = F.concat(F.when(n % 3 == 0, "2025arXiv2512").otherwise("2025ApJ..2512"), F.lpad((n % 100000).cast("string"), 5, "0"), F.lit("Q"))
+    return read(spark, d, "documents").select("doc_id", urls.arxiv_url(code, fixed=True).alias("url"))
 
 
 #: Prose with words that reviews count, made of the id, since the texts have none.
@@ -296,12 +310,12 @@ def rundown_fallback(spark, d):
     return rows.select("source_title", "id", F.when(F.col("k") <= 4, "segment").when(F.col("k") <= 7, "lightning").otherwise("cut").alias("band"), F.when(F.col("k") <= 4, 120).otherwise(0).alias("seconds"))
 
 
-@query("""WITH i AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM conversations)
-SELECT conv_id, severity, count(*) AS n, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM i GROUP BY ALL""")
+@query("""SELECT conv_id, count(*) FILTER (WHERE turn % 3 = 0) AS errors, count(*) FILTER (WHERE turn % 3 = 1) AS warnings, CASE WHEN count(*) FILTER (WHERE turn % 3 = 0) = 0 THEN 'Yes' ELSE 'No' END AS passed FROM conversations GROUP BY conv_id""")
 def verification_report(spark, d):
-    level = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("turn") % 3 + 1).cast("int"))
-    rows = read(spark, d, "conversations").groupBy("conv_id", level.alias("severity"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("turn")), ",").alias("turns"))
+    severity = F.when(F.col("turn") % 3 == 0, "error").when(F.col("turn") % 3 == 1, "warning")
+    rows = read(spark, d, "conversations").select("conv_id", severity.alias("severity"), F.lit("fact").alias("type"), F.col("role").alias("line"), F.lit("wrong").alias("issue"), F.lit("mend").alias("fix"))
+    found = digests.verification_report(rows, ["conv_id"])
+    return found.select("conv_id", "errors", "warnings", F.regexp_extract("report", r"Verification:\*\* (\w+)", 1).alias("passed"))
 
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([doc_id % 5, doc_id % 3, doc_id % 5, 9], lambda n: n >= 1 AND n <= 4))), ',') AS cited FROM documents""")

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from feedloom.functions import chunks, config, text, urls
-from feedloom.operators import analytics, prompt, ranking, search, selection
+from feedloom.operators import analytics, digests, prompt, ranking, search, selection
 from feedloom.operators.decompose import Finder, decompose
 
 
@@ -118,6 +118,26 @@ def test_review(spark):
     assert not one(spark, urls.bad_review_url("v"), "https://a.com/story")
 
 
+def test_paper_urls(spark):
+    url = lambda v, **k: one(spark, urls.arxiv_url("v", **k), v)
+    assert url("2025arXiv251212730D") is None and url("2025arXiv2512345D") == "https://arxiv.org/abs/2512345.D"
+    assert url("2025arXiv251212730D", fixed=True) == "https://arxiv.org/abs/2512.12730" and url("2025ApJ...1D", fixed=True) is None
+
+
+def test_digests(spark):
+    schema = "id long, title string, url string, source_title string, category string, summary string, tags array<string>, final double"
+    rows = spark.createDataFrame([(1, "T", "https://a.dev", "S", "research", "<p>Short</p>", ["x", "y"], 0.64), (2, "U", "u", "S", "research", "word " * 60, ["a"] * 9, 1.25), (3, "V", "u", "S", "research", None, [], 0.0)], schema)
+    got = {r.id: r for r in digests.fallback_digest(rows).collect()}
+    assert got[1].gist == "Short" and got[1].why_it_matters == "From S. Topics: x, y" and got[1].key_bullets == ["Short"] and got[1].relevance == 6
+    assert len(got[2].topic_tags) == 5 and got[2].why_it_matters.endswith("word...") and got[2].key_bullets[0].endswith("word...") and got[2].relevance == 13
+    assert got[3].gist == "No summary available"
+    cast = {r.id: r for r in digests.podcast_digest(rows, "agents").collect()}
+    assert cast[1].one_line_takeaway == "Relevant to agents" and cast[3].key_facts == ["No summary available"]
+    report = digests.verification_report(spark.createDataFrame([(1, "error", "fact", "a", "b", "c"), (1, "warning", "tone", "d", "e", "f"), (2, None, None, None, None, None)], "script long, severity string, type string, line string, issue string, fix string"), ["script"])
+    text_of = {r.script: r.report for r in report.collect()}
+    assert "### Errors (must fix)" in text_of[1] and "### Warnings" in text_of[1] and "No issues found." in text_of[2]
+
+
 def test_transcripts(spark):
     clean = lambda t: one(spark, text.sanitize_transcript("v"), t)
     assert clean("HOST: [INTRO MUSIC] **Hi**  there [00:10] (≈5s)\n---\nCOHOST: yes") == "Hi there yes"
@@ -156,8 +176,10 @@ def test_histogram_and_median(spark):
 
 
 def test_prompts(spark):
-    profile = prompt.prompt_profile("Focus on agents, avoid research", ["agents", "research", "testing"])
-    assert profile.focus_topics == ["agents", "research"] and profile.exclude_topics == ["research"]
+    profile = prompt.prompt_profile("Focus on agents for the team: practical, avoid research")
+    assert profile.focus_topics == ["research", "agents"] and profile.exclude_topics == ["research"]
+    assert (profile.audience, profile.intent, profile.format_hints, profile.voice_style) == ("everyone", "focus", ["practical"], None)
+    assert prompt.prompt_profile("  ") is None and prompt.prompt_profile("hello").focus_topics == []
     rows = spark.createDataFrame([(1, "agents", "", ["agents"], 1.0), (2, "x", "", ["x"], 1.0)], "id long, title string, summary string, tags array<string>, final double")
     assert [round(r.final, 6) for r in prompt.rerank(rows, ["agents"]).orderBy("id").collect()] == [8.0, 0.3]
     assert [r.id for r in prompt.exclude(rows, ["agent"]).collect()] == [2]
