@@ -44,8 +44,9 @@ def any_match(text: Column | str, patterns: Sequence[str]) -> Column:
 
 
 def occurrences(text: Column | str, term: str) -> Column:
-    """Occurrences of a literal term, parts of words included."""
-    return F.coalesce(F.regexp_count(col(text), F.lit(re.escape(term))), F.lit(0))
+    """Occurrences of a literal term that don't overlap, parts of words included."""
+    gone = F.length(col(text)) - F.length(F.replace(col(text), F.lit(term), F.lit("")))
+    return F.coalesce((gone / F.lit(len(term))).cast("int"), F.lit(0))
 
 
 def word_occurrences(text: Column | str, term: str) -> Column:

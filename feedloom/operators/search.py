@@ -36,7 +36,8 @@ def search_keyword(items: DataFrame, query: str, limit: int, ties: Sequence[str]
     if not query.split():
         return items.withColumns({"score": F.lit(0), "similarity": F.lit(0.0)}).limit(0)
     rows = items.withColumn("score", keyword_score(query, F.col("title"), searchable()))
-    rows = rows.where("score > 0").orderBy(F.desc("score"), *ties).limit(limit)
+    # Rows without a hit sort last: the filter after the limit keeps the score from being worked out twice.
+    rows = rows.orderBy(F.desc("score"), *ties).limit(limit).where("score > 0")
     return rows.withColumn("similarity", F.least(F.lit(1.0), half_up(F.col("score") / 100, 3)))
 
 
@@ -47,7 +48,7 @@ def search_term(items: DataFrame, query: str, limit: int, ties: Sequence[str] =
         return items.withColumns({"score": F.lit(0), "similarity": F.lit(0.0)}).limit(0)
     text = searchable()
     score = add([occurrences(F.lower("title"), t) * 3 + F.least(occurrences(text, t), F.lit(10)) for t in terms])
-    rows = items.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), *ties).limit(limit)
+    rows = items.withColumn("score", score).orderBy(F.desc("score"), *ties).limit(limit).where("score > 0")
     return rows.withColumn("similarity", half_up(F.col("score") / 100, 3))
 
 
