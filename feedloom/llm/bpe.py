@@ -29,11 +29,11 @@ from feedloom.llm.text import distinct
 
 #: Parts of texts in a Python worker's table before the table becomes the old one;
 #: parts met again move from the old table to the present one.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 150_000
 #: A longer word is merged but not remembered.
 TABLE_WORD_CHARS = 64
 #: Characters of text whose new words are replayed together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 3_000_000
 NONE = np.int32(2**31 - 1)
 #: Marks a text's first part, which has no space before it; no UTF-8 text has it.
 FIRST = "\ud800"
@@ -83,10 +83,12 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     gaps = np.concatenate(([0], np.cumsum(sizes + 1)))  # one place between words
     token = vocabulary.of_byte[text]
     token[gaps] = -1
-    after = np.arange(1, len(text) + 1)
-    before = np.arange(-1, len(text) - 1)
+    after = np.arange(1, len(text) + 1, dtype=np.int32)
+    before = np.arange(-1, len(text) - 1, dtype=np.int32)
     rank_at = np.full(len(text), NONE, np.int32)  # of the pair that starts here
-    rank_at[:-1] = vocabulary.pairs(token[:-1], token[1:])
+    for lo in range(0, len(text) - 1, 1 << 18):  # in pieces, which bounds the lookup's memory
+        hi = min(len(text) - 1, lo + (1 << 18))
+        rank_at[lo:hi] = vocabulary.pairs(token[lo:hi], token[lo + 1 : hi + 1])
     index: dict[int, list[np.ndarray]] = {}  # the inverted index: rank to places
     heap: list[int] = []
 
@@ -107,7 +109,7 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
                 heapq.heappush(heap, rank)
             lo = hi
 
-    file(np.arange(len(text)))
+    file(np.flatnonzero(rank_at != NONE).astype(np.int32))
     while heap:
         rank = heapq.heappop(heap)
         filed = index.pop(rank)
@@ -178,6 +180,7 @@ class Encoder:
         ids = self._ids(set().union(*matches))
         for part, words in zip(fresh, matches):
             known[part] = None if not part or part[-1].isspace() else b"".join(map(ids.__getitem__, words))
+        del matches, ids
         out: list[bytes | None] = []
         rest = []
         for k, parts in enumerate(split):
