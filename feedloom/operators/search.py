@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,11 +106,23 @@ def retrieval_size(limit: int) -> int:
     return max(2 * limit, 10)
 
 
+def _text_hash(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts.to_pylist():
+        if t is None:
+            out.append(None)
+            continue
+        codes = np.frombuffer(t.encode("utf-16-le"), np.uint16).astype(np.uint32)
+        powers = np.full(len(codes), 31, np.uint32)
+        powers[:1] = 1
+        raw = int((codes[::-1] * np.cumprod(powers, dtype=np.uint32)).sum(dtype=np.uint32))
+        out.append(abs(raw - (1 << 32) if raw >= 1 << 31 else raw))
+    return pa.array(out, pa.int64())
+
+
 def pseudo_hash(text: Column) -> Column:
-    """|h| of h = 31 * h + code in 32-bit arithmetic over a text's characters."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    raw = F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(4294967295)))
-    return F.abs(F.when(raw >= 2147483648, raw - 4294967296).otherwise(raw))
+    """|h| of h = 31 * h + code in 32-bit arithmetic over a text's UTF-16 units."""
+    return F.arrow_udf(_text_hash, "long")(text)
 
 
 def pseudo_embedding(text: Column, size: int = 768) -> Column:

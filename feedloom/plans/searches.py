@@ -96,7 +96,7 @@ def retrieve_context(spark, d):
 
 @query(None)
 def embed_pseudo(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", search.pseudo_hash(F.substring("text", 1, 200)).alias("hash"), search.pseudo_embedding(F.substring("text", 1, 200)).alias("v"))
+    rows = read(spark, d, "documents").select("doc_id", search.pseudo_hash(F.col("text")).alias("hash"), search.pseudo_embedding(F.col("text")).alias("v"))
     return rows.select("doc_id", "hash", F.size("v").alias("size"), F.round(F.get("v", F.lit(1)).cast("double"), 4).alias("second"))
 
 
