@@ -21,20 +21,23 @@ def short_batches(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary folder where that is unset (a single machine, as in tests)."""
+    temporary folder where that is unset and all run on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="feedloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back, which cuts
-    its lineage and survives lost executors."""
+    its lineage and survives lost executors.  Tables whose rows hold megabytes
+    ask for small row groups of about `block_bytes`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/feedloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._feedloom_path = path
     return out

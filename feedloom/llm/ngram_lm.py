@@ -4,18 +4,20 @@ P(w | h) = l2(b) * c(h, w) / c(h) + l1(b) * c(w) / N + l0(b) / (V + 1)
 
 where b is the bucket of c(h), the frequency of the context; the last part is
 spread over the V training tokens and one unknown token.  The mixture weights
-of every bucket are learned by expectation-maximisation on counts from which
-the occurrence at hand is deleted: (c(h, w) - 1) / (c(h) - 1) and so on.
-
-Counting: the texts are taken in portions of about `PORTION` bytes of an input
-split.  A portion sends one packed, sorted and compressed list of its different
-n-gram hashes and counts to each partition of hashes; a partition adds up the
+of every bucket are learned by expectation-maximisation on held-out counts: one
+training text in `FOLD`, chosen by a hash of the text so that equal texts fall
+together, is left out of the counts, and the weights are those that make the
+texts left out most likely.  The model then takes all training texts.
+
+Counting: the texts are read once and their tokens written as a table in which
+a row is a portion, that is whole texts of about `PORTION` bytes.  Portions are
+stored rows, so later steps see the same ones however the work is split or
+repeated.  A portion sends one packed, sorted and compressed list of its
+different n-gram hashes and counts to each range of hashes; a range adds up the
 lists and sends to each portion the totals, in the portion's own order.  So
-frequent n-grams cross the network once for a portion, no task holds more than
-a share of the n-grams, and no table of n-grams is broadcast.  A second pass
-over the texts makes the same portions again (they follow from the split) and
-sends the tokens to their totals; it is done once to gather what
-expectation-maximisation needs and once to score.
+frequent n-grams cross the network once for a portion, the number of ranges
+grows with the tokens (no task holds more than about `RANGE_TOKENS` of them),
+and no table of n-grams is broadcast.
 """
 from __future__ import annotations
 
@@ -23,6 +25,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,113 +34,137 @@ from feedloom.llm.text import BASE, Powers, U64, Words, blocks, mix
 
 #: Bytes of text in a portion.
 PORTION = 12 << 20
+#: Tokens of the input for each range of hashes; a range's lists take about nine bytes a token.
+RANGE_TOKENS = 1 << 20
+#: Of the training texts one in so many is held out to learn the mixture weights.
+FOLD = 10
 #: Hash that stands for the end of a text, as a token and as the first context.
 END = U64(0x5851F42D4C957F2D)
 #: Contexts seen less than 2, 4, 8 and so on times share a bucket.
 BUCKETS = 24
-#: Steps in each factor of ten into which deleted probabilities are sorted for learning.
-STEPS = 8
-DECADES = 12
+#: Weights (unknown, unigram, bigram) before learning, and of buckets that no held-out token has.
+START = (0.2, 0.4, 0.4)
+ROUNDS, CLOSE = 40, 1e-3
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length as bytes: sorted 64-bit numbers by their differences,
-    others as they are, byte planes apart, compressed."""
-    out = [struct.pack("<Q", len(arrays[0]))]
+    """Arrays as bytes: sorted 64-bit numbers by their differences, others as they
+    are, byte planes apart, compressed."""
+    out = []
     for x in arrays:
         if x.dtype == np.uint64:
             x = np.diff(x, prepend=U64(0))
-        planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+        planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
         small = pa.compress(planes, codec="zstd", asbytes=True)
-        out += [struct.pack("<QQc", len(small), len(planes), x.dtype.char.encode()), small]
+        out += [struct.pack("<QQc", len(small), len(x), x.dtype.char.encode()), small]
     return b"".join(out)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    n, at, out = struct.unpack_from("<Q", data)[0], 8, []
+    at, out = 0, []
     while at < len(data):
-        small, size, kind = struct.unpack_from("<QQc", data, at)
+        small, n, kind = struct.unpack_from("<QQc", data, at)
         at += 17
         kind = np.dtype(kind.decode())
-        planes = pa.decompress(data[at : at + small], size, codec="zstd", asbytes=True)
+        planes = pa.decompress(data[at : at + small], n * kind.itemsize, codec="zstd", asbytes=True)
         x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind)
         out.append(np.cumsum(x, dtype=np.uint64) if kind == np.uint64 else x)
         at += small
     return out
 
 
-class Portion:
-    """Tokens of some texts, and their n-grams in ascending order of hash."""
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits if they fit."""
+    return x.astype(np.int32) if len(x) == 0 or x.max() < 1 << 31 else x.astype(np.int64)
+
+
+def _batches(rows: list[tuple], names: list[str], kinds: tuple):
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+
+def _table(spark_schema: str):
+    """Names and Arrow types of a schema of these columns."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(part.split(" ") for part in spark_schema.split(", ")))
+    return list(names), tuple(kinds[t] for t in types)
+
+
+# -- portions ---------------------------------------------------------------------
+
+
+PORTIONS = "portion string, tokens long, train long, kept long, ids binary, texts binary, words binary, places binary"
+
+
+class Gathered:
+    """Texts of a portion that is being filled."""
 
     def __init__(self) -> None:
-        self.ids, self.learn, self.counts, self.hashes, self.size = [], [], [], [], 0
+        self.ids, self.codes, self.counts, self.hashes, self.size = [], [], [], [], 0
 
-    def add(self, ids: list, learn: np.ndarray, counts: np.ndarray, hashes: np.ndarray, size: int) -> None:
-        """hashes: of all words; counts: words of each text."""
+    def row(self, key: str) -> tuple:
+        codes, counts, hashes = (np.concatenate(x) for x in (self.codes, self.counts, self.hashes))
         ends = np.cumsum(counts + 1) - 1
         tokens = np.empty(len(hashes) + len(counts), U64)
         tokens[ends] = END
         inner = np.ones(len(tokens), bool)
         inner[ends] = False
         tokens[inner] = hashes
-        self.ids += ids
-        self.learn.append(learn)
-        self.counts.append(counts + 1)
-        self.hashes.append(tokens)
-        self.size += size
-
-    def close(self) -> None:
-        counts, tokens = np.concatenate(self.counts), np.concatenate(self.hashes)
-        learn = np.repeat(np.concatenate(self.learn), counts)
-        context = np.empty_like(tokens)
-        context[1:] = tokens[:-1]
-        context[np.cumsum(counts) - counts] = END
-        self.counts = counts
-        pair = mix(context * U64(BASE) + tokens + U64(1))
-        self.grams = []
-        for x in (tokens, pair):
-            keys, place = np.unique(x, return_inverse=True)
-            self.grams.append((keys, place.ravel(), np.bincount(place.ravel(), learn, len(keys)).astype(np.int64)))
-        self.first = np.searchsorted(self.grams[0][0], END)
-
-
-def _portions(batches, schema_at: dict[str, int]):
-    """(key, portion): the key is the split's and the portion's number."""
-    powers, part, key, number = Powers(), Portion(), None, 0
-    for batch in batches:
-        split = batch.column(schema_at["split"])
-        learn = np.asarray(batch.column(schema_at["learn"]).to_numpy(zero_copy_only=False), bool)
-        for lo, hi, buf, offs in blocks(batch.column(schema_at["text"])):
-            ids = batch.column(schema_at["id"])[lo:hi].to_pylist()
-            names = split[lo:hi].to_pylist()
-            words = Words(buf, offs)
-            hashes = words.hashes(powers)
-            at = 0
-            while at < hi - lo:  # a task may read several splits
-                end = at + 1
-                while end < hi - lo and names[end] == names[at]:
-                    end += 1
-                if part.ids and (names[at] != key or part.size > PORTION):
-                    part.close()
-                    yield f"{key} {number}", part
-                    number = number + 1 if names[at] == key else 0
-                    part = Portion()
-                key = names[at]
-                a, b = int(words.at[at]), int(words.at[end])
-                part.add(ids[at:end], learn[lo + at : lo + end], words.counts[at:end], hashes[a:b], int(offs[end] - offs[at]))
-                at = end
-    if part.ids:
-        part.close()
-        yield f"{key} {number}", part
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str, learn) -> DataFrame:
-    """Rows with the name of their input split; a text's split doesn't change when the table is read again."""
-    name = F.concat_ws(" ", F.spark_partition_id(), F.input_file_name(), F.input_file_block_start())
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), learn.alias("learn"), name.alias("split"))
-
-
-AT = {"id": 0, "text": 1, "learn": 2, "split": 3}
+        words, places = np.unique(tokens, return_inverse=True)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as writer:
+            writer.write_batch(pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64())], names=["id"]))
+        train, kept = (int((counts + 1)[which].sum()) for which in (codes > 0, codes == 1))
+        return (key, len(tokens), train, kept, sink.getvalue().to_pybytes(), _pack(counts + 1, codes), _pack(words), _pack(places.ravel().astype(np.int32)))
+
+
+def portions(docs: DataFrame, id_col: str, text_col: str, learn) -> DataFrame:
+    """The stored table of portions.  A text's code is 0 outside training, 2 in
+    the training texts held out for the weights, and 1 in the others."""
+    weigh = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit("weights")), F.lit(FOLD)) == 0
+    code = F.when(~learn, 0).when(weigh, 2).otherwise(1).cast("int")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), code.alias("code"))
+    shape, most = _table(PORTIONS), PORTION
+
+    def run(batches):
+        powers, part, number = Powers(), Gathered(), 0
+        for batch in batches:
+            codes = np.asarray(batch.column(2)).astype(np.int8)
+            for lo, hi, buf, offs in blocks(batch.column(1)):
+                if part.size and part.size + len(buf) > most:
+                    yield from _batches([part.row(f"{TaskContext.get().partitionId()} {number}")], *shape)
+                    part, number = Gathered(), number + 1
+                words = Words(buf, offs)
+                part.ids += batch.column(0)[lo:hi].to_pylist()
+                part.codes.append(codes[lo:hi])
+                part.counts.append(words.counts)
+                part.hashes.append(words.hashes(powers))
+                part.size += len(buf) + hi - lo
+        if part.ids:
+            yield from _batches([part.row(f"{TaskContext.get().partitionId()} {number}")], *shape)
+
+    # small row groups, as a row holds megabytes
+    return stored(rows.mapInArrow(run, PORTIONS), block_bytes=16 << 20)
+
+
+def _opened(texts: bytes, words: bytes, places: bytes):
+    """Tokens of each text, codes, and for words and pairs: different hashes, and each token's place among them."""
+    counts, codes = _unpack(texts)
+    words, places = _unpack(words)[0], _unpack(places)[0]
+    tokens = words[places]
+    context = np.empty_like(tokens)
+    context[1:] = tokens[:-1]
+    context[np.cumsum(counts) - counts] = END
+    pairs, at = np.unique(mix(context * U64(BASE) + tokens + U64(1)), return_inverse=True)
+    return counts, codes, ((words, places), (pairs, at.ravel()))
+
+
+# -- counts -----------------------------------------------------------------------
+
+
+LISTS = "part int, grams int, portion string, data binary"
+TOTALS = "portion string, grams int, part int, data binary, v long"
+JOINED = "ids binary, texts binary, tokens binary, ends long, cells binary, v long"
 
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -146,122 +173,129 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, np.array(edges, U64)), [len(keys)])).astype(np.int64)
 
 
-def totals(texts: DataFrame, parts: int) -> tuple[DataFrame, int, int]:
-    """((portion, order, part, data): total counts for the n-grams of each portion), N and V."""
+def _sum(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Two lists of sorted keys and counts as one."""
+    keys, *counts = (np.concatenate(x) for x in zip(a, b))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return [keys[first], *(np.add.reduceat(c[order], first) for c in counts)]
+
 
-    def lists(batches):
-        for key, portion in _portions(batches, AT):
-            rows = []
-            for order, (keys, _, count) in enumerate(portion.grams):
-                cuts = _cuts(keys, parts)
-                rows += [(p, order, key, _pack(keys[a:b], count[a:b].astype(np.int32))) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            yield from _batches(rows, ["part", "order", "portion", "data"], (pa.int32(), pa.int32(), pa.string(), pa.binary()))
+def lists(table: DataFrame, parts: int) -> DataFrame:
+    """Each portion's lists of hashes, training counts and held-out counts, by range of hashes."""
+    shape = _table(LISTS)
 
-    def add(batches):
-        held: list[tuple] = []
-        now = None
+    def run(batches):
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (row[0], row[1]) != now and held:
-                    yield from added(now, held)
+            for key, texts, words, places in zip(*(c.to_pylist() for c in batch.columns)):
+                counts, codes, grams = _opened(texts, words, places)
+                code = np.repeat(codes, counts)
+                for k, (keys, at) in enumerate(grams):
+                    train, fold = (np.bincount(at, which, len(keys)).astype(np.int32) for which in (code > 0, code == 2))
+                    cuts = _cuts(keys, parts).tolist()
+                    rows = [(p, k, key, _pack(keys[a:b], train[a:b], fold[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                    for lo in range(0, len(rows), 256):
+                        yield from _batches(rows[lo : lo + 256], *shape)
+
+    return table.select("portion", "texts", "words", "places").mapInArrow(run, LISTS)
+
+
+def totals(dealt: DataFrame) -> DataFrame:
+    """Total training and held-out counts in the order of each portion's own list;
+    `v` is how many of a range's words are in training."""
+    shape = _table(TOTALS)
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for part, grams, portion, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (part, grams) != now and held:
+                    yield from added(*now, held)
                     held = []
-                now = (row[0], row[1])
-                held.append((row[2], row[3]))
+                now = (part, grams)
+                held.append((portion, data))
         if held:
-            yield from added(now, held)
+            yield from added(*now, held)
 
-    def added(now, held):
-        keys = total = None
+    def added(part, grams, held):
         level: list = []  # sums of lists, merged two and two as they come
         for _, data in held:
-            k, c = _unpack(data)
-            c, depth = c.astype(np.int64), 0
+            one, depth = _unpack(data), 0
+            one = [one[0], *(c.astype(np.int64) for c in one[1:])]
             while level and level[-1][0] == depth:
-                _, k2, c2 = level.pop()
-                k, c = _sum(k, c, k2, c2)
-                depth += 1
-            level.append((depth, k, c))
+                one, depth = _sum(level.pop()[1], one), depth + 1
+            level.append((depth, one))
+        whole = level.pop()[1]
         while level:
-            _, k2, c2 = level.pop()
-            keys, total = (k2, c2) if keys is None else _sum(keys, total, k2, c2)
-        known = int((total > 0).sum()) if now[1] == 0 else 0
-        n = int(total.sum()) if now[1] == 0 else 0
-        rows = [("", now[1], now[0], None, n, known)]
+            whole = _sum(level.pop()[1], whole)
+        keys, train, fold = whole
+        rows = [(f"range {part}", -1, part, None, int((train > 0).sum()))] if grams == 0 else []
         for portion, data in held:
-            k = _unpack(data)[0]
-            rows.append((portion, now[1], now[0], _pack(total[np.searchsorted(keys, k)]), 0, 0))
+            at = np.searchsorted(keys, _unpack(data)[0])
+            rows.append((portion, grams, part, _pack(_small(train[at]), _small(fold[at])), 0))
             if len(rows) > 64:
                 yield from _batches(rows, *shape)
                 rows = []
         yield from _batches(rows, *shape)
 
-    shape = (["portion", "order", "part", "data", "n", "v"], (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))
-    sent = texts.mapInArrow(lists, "part int, order int, portion string, data binary")
-    dealt = sent.repartition(parts, "part", "order").sortWithinPartitions("part", "order", "portion")
-    out = stored(dealt.mapInArrow(add, "portion string, order int, part int, data binary, n long, v long"))
-    n, v = out.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    return out, n, v
-
+    return dealt.mapInArrow(run, TOTALS)
 
-def _sum(k: np.ndarray, c: np.ndarray, k2: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both, counts = np.concatenate((k, k2)), np.concatenate((c, c2))
-    order = np.argsort(both, kind="stable")
-    both, counts = both[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-    return both[first], np.add.reduceat(counts, first)
 
+def joined(table: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """The stored table of tokens with their totals: a row is a portion with its
+    ids, tokens of each text, c(w) and c(h, w) of each token and c(end); `cells`
+    are the counts (c(h), c(h, w), c(w), how many) of its held-out tokens without
+    the held-out texts.  Rows with `v` have the training words of a range."""
+    shape = _table(JOINED)
 
-def _batches(rows: list[tuple], names: list[str], kinds: tuple):
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
+    def own(batches):
+        for batch in batches:
+            for portion, ids, texts, words, places in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [(portion, -5, 0, ids, 0), (portion, -4, 0, texts, 0), (portion, -3, 0, words, 0), (portion, -2, 0, places, 0)]
+                yield from _batches(rows, *_table(TOTALS))
 
-def with_totals(texts: DataFrame, found: DataFrame, parts: int, made, schema: str) -> DataFrame:
-    """Send each portion's tokens to its totals and apply `made` to (ids, learn,
-    tokens of each text, c(w), c(h), c(h, w)) of whole portions."""
-
-    def tokens(batches):
-        for key, portion in _portions(batches, AT):
-            ids = pa.array(portion.ids, pa.int64())
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as writer:
-                writer.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
-            rows = [
-                (key, -4, 0, sink.getvalue().to_pybytes()),
-                (key, -3, 0, _pack(portion.counts.astype(np.int64), np.concatenate(portion.learn).astype(np.int8))),
-                (key, -2, 0, _pack(portion.grams[0][1].astype(np.int32))),
-                (key, -1, 0, _pack(portion.grams[1][1].astype(np.int32))),
-                (key, -5, int(portion.first), None),
-            ]
-            yield from _batches(rows, ["portion", "order", "part", "data"], (pa.string(), pa.int32(), pa.int32(), pa.binary()))
-
-    def score(batches):
+    def run(batches):
         now, held = None, {}
         for batch in batches:
-            for portion, order, part, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for portion, grams, part, data, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if grams == -1:
+                    yield from _batches([(None, None, None, None, None, v)], *shape)
+                    continue
                 if portion != now and held:
                     yield from whole(held)
                     held = {}
                 now = portion
-                held[order, part] = data
+                held[grams, part] = data
         if held:
             yield from whole(held)
 
     def whole(held):
-        first = next(p for o, p in held if o == -5)
-        ids = pa.ipc.open_stream(held[-4, 0]).read_all().column(0).combine_chunks()
-        counts, learn = _unpack(held[-3, 0])
-        of = [np.concatenate([_unpack(held[o, p])[0] for o, p in sorted(held) if o == order]) for order in (0, 1)]
-        word, pair = of[0][_unpack(held[-2, 0])[0]], of[1][_unpack(held[-1, 0])[0]]
-        context = np.empty_like(word)
-        context[1:] = word[:-1]
-        context[np.cumsum(counts) - counts] = of[0][first]
-        yield from made(ids, learn.astype(bool), counts, word, context, pair)
-
-    sent = texts.mapInArrow(tokens, "portion string, order int, part int, data binary")
-    back = found.where("data is not null").select("portion", "order", "part", "data")
-    dealt = sent.unionByName(back).repartition(parts, "portion").sortWithinPartitions("portion", "order", "part")
-    return dealt.mapInArrow(score, schema)
+        counts, codes, grams = _opened(held[-4, 0], held[-3, 0], held[-2, 0])
+        starts = np.cumsum(counts) - counts
+        seen = []
+        for k, (keys, at) in enumerate(grams):
+            lists = [_unpack(held[o, p]) for o, p in sorted(held) if o == k]
+            train, fold = (np.concatenate(x) for x in zip(*lists))
+            if len(train) != len(keys):
+                raise ValueError("totals don't meet their portion")
+            seen.append((train, fold, at))
+        end = int(np.searchsorted(grams[0][0], END))
+        (word, word_fold, at), (pair, pair_fold, at2) = seen
+        out = np.flatnonzero(np.repeat(codes == 2, counts))
+        kept_word, kept_pair = word.astype(np.int64) - word_fold, pair.astype(np.int64) - pair_fold
+        before = np.concatenate(([end], at[:-1]))
+        before[starts] = end
+        cells, many = np.unique(np.stack((kept_word[before[out]], kept_pair[at2[out]], kept_word[at[out]])), axis=1, return_counts=True)
+        row = (held[-5, 0], held[-4, 0], _pack(word[at], pair[at2]), int(word[end]), _pack(*map(_small, (*cells, many))), None)
+        yield from _batches([row], *shape)
+
+    sent = table.select("portion", "ids", "texts", "words", "places").mapInArrow(own, TOTALS)
+    dealt = sent.unionByName(found).repartition(parts, "portion").sortWithinPartitions("portion", "grams", "part")
+    return stored(dealt.mapInArrow(run, JOINED), block_bytes=16 << 20)
+
+
+# -- weights ----------------------------------------------------------------------
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -269,84 +303,90 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
 
 
-def _step(p: np.ndarray) -> np.ndarray:
-    """0 for none, then steps up from 10**-DECADES to 1."""
-    with np.errstate(divide="ignore"):
-        at = np.floor(STEPS * (np.log10(p) + DECADES)) + 1
-    return np.where(p > 0, np.clip(at, 1, STEPS * DECADES), 0).astype(np.int64)
+def held_out_cells(found: DataFrame) -> DataFrame:
+    """(b, h, hw, w, many): how many held-out tokens have a context bucket and counts in the texts that are kept."""
 
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                h, hw, w, many = (x.astype(np.int64) for x in _unpack(data))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket(h).astype(np.int64), h, hw, w, many)], names=["b", "h", "hw", "w", "many"])
 
-CELLS = STEPS * DECADES + 1
-
-
-def deleted_cells(n: int):
-    """made() of with_totals(): counts of training tokens by context bucket and
-    steps of their deleted bigram and unigram probabilities."""
-
-    def made(ids, learn, counts, word, context, pair):
-        on = np.repeat(learn, counts)
-        w, h, b = word[on], context[on], pair[on]
-        two = np.maximum(b - 1, 0) / np.maximum(h - 1, 1)
-        one = np.maximum(w - 1, 0) / max(n - 1, 1)
-        cell = (bucket(h) * CELLS + _step(two)) * CELLS + _step(one)
-        keys, many = np.unique(cell, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(many)], names=["cell", "many"])
-
-    return made
+    cells = found.where("cells is not null").select("cells").mapInArrow(run, "b long, h long, hw long, w long, many long")
+    return cells.groupBy("b", "h", "hw", "w").agg(F.sum("many").alias("many"))
 
 
-def mixture(cells: np.ndarray, many: np.ndarray, v: int, rounds: int = 60) -> np.ndarray:
-    """Weights (unknown, unigram, bigram) of each bucket by expectation-maximisation."""
-    cells, many = np.asarray(cells, np.int64), np.asarray(many, np.float64)
-    b, two, one = cells // (CELLS * CELLS), cells // CELLS % CELLS, cells % CELLS
-    value = np.concatenate(([0.0], 10.0 ** ((np.arange(CELLS - 1) + 0.5) / STEPS - DECADES)))
-    p = np.stack([np.full(len(b), 1.0 / (v + 1)), value[one], np.minimum(value[two], 1.0)])
-    weights = np.tile([0.2, 0.4, 0.4], (BUCKETS, 1))
+def mixture(cells: DataFrame, kept: int, v: int, rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
+    """Weights (unknown, unigram, bigram) of each bucket by expectation-maximisation
+    over the held-out cells; a round is one aggregate of a few numbers a bucket.
+    It ends when no weight moves by more than `close`."""
+    weights = np.tile(np.array(START), (BUCKETS, 1))
     for _ in range(rounds):
-        part = weights[b].T * p
-        part *= many / part.sum(axis=0)
-        got = np.stack([np.bincount(b, x, BUCKETS) for x in part], axis=1) + 1e-3
-        weights = got / got.sum(axis=1, keepdims=True)
-    weights[0] = [weights[0][0] / (weights[0][0] + weights[0][1]), weights[0][1] / (weights[0][0] + weights[0][1]), 0.0]
+        of = [F.element_at(F.array(*map(F.lit, weights[:, k].tolist())), F.col("b").cast("int") + 1) for k in range(3)]
+        p = [of[0] / F.lit(float(v + 1)), of[1] * F.col("w") / F.lit(float(max(kept, 1))), of[2] * F.col("hw") / F.greatest("h", F.lit(1))]
+        parts = cells.select("b", "many", *(x.alias(f"p{k}") for k, x in enumerate(p))).withColumn("all", F.col("p0") + F.col("p1") + F.col("p2"))
+        sums = parts.groupBy("b").agg(*(F.sum(F.col("many") * F.col(f"p{k}") / F.col("all")).alias(f"s{k}") for k in range(3)))
+        got = 1e-3 * np.tile(np.array(START), (BUCKETS, 1))
+        for r in sums.collect():  # a row a bucket
+            got[r.b] += (r.s0, r.s1, r.s2)
+        new = got / got.sum(axis=1, keepdims=True)
+        moved, weights = np.abs(new - weights).max(), new
+        if moved <= close:
+            break
+    weights[0, 2] = 0.0  # an unseen context has no bigrams
+    weights[0] /= weights[0].sum()
     return weights
 
 
-def scored(n: int, v: int, weights: np.ndarray):
-    """made() of with_totals(): base and model log10 probabilities of each text."""
+# -- scores -----------------------------------------------------------------------
 
-    def made(ids, learn, counts, word, context, pair):
-        at = np.cumsum(counts) - counts
-        base = np.log10(word + 1.0) - np.log10(float(n + v + 1))
-        w = weights[bucket(context)]
-        p = w[:, 2] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 0] / (v + 1)
-        sums = [np.add.reduceat(x, at) for x in (base, np.log10(p), (word > 0).astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(~learn), pa.array(counts), pa.array(sums[2]), pa.array(np.full(len(counts), n, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
 
-    return made
+def scored(found: DataFrame, n: int, v: int, weights: np.ndarray) -> DataFrame:
+    """Base and model log10 probabilities of each text."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def run(batches):
+        for batch in batches:
+            for ids, texts, tokens, ends in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = pa.ipc.open_stream(ids).read_all().column(0).combine_chunks()
+                counts, codes = _unpack(texts)
+                word, pair = (x.astype(np.int64) for x in _unpack(tokens))
+                at = np.cumsum(counts) - counts
+                context = np.concatenate(([0], word[:-1]))
+                context[at] = ends
+                base = np.log10(word + 1.0) - np.log10(float(n + v + 1))
+                w = weights[bucket(context)]
+                p = w[:, 2] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n, 1) + w[:, 0] / (v + 1)
+                sums = [np.add.reduceat(x, at) for x in (base, np.log10(p), (word > 0).astype(np.int64))]
+                columns = [ids, pa.array(codes == 0), pa.array(counts.astype(np.int64)), pa.array(sums[2]), pa.array(np.full(len(counts), n, np.int64)), pa.array(sums[0]), pa.array(sums[1])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return found.where("ids is not null").select("ids", "texts", "tokens", "ends").mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, learn=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
-    `docs` must be read from files.  Rows where `learn` holds train the model
-    (by default those whose crc32 of the id, modulo 7, is not 2); all are scored.
-    Null texts are empty and have the end token only; null ids and repeated rows
-    are rows like any other; an empty table gives no rows; with no training text
-    all probability is on the unknown token.  Other columns are not read.
+    Rows where `learn` holds train the model (by default those whose crc32 of the
+    id, modulo 7, is not 2); all are scored.  Null texts are empty and have the
+    end token only; null ids, repeated ids and repeated rows are rows like any
+    other; a very long text is a portion of its own; an empty table gives no
+    rows; with no training text all probability is on the unknown token, and
+    where no training text is held out or kept for the weights they stay near
+    `START`.  Other columns are not read.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    learn = ~held_out(id_col, 7, 2) if learn is None else learn
-    texts = _texts(docs, id_col, text_col, learn)
-    parts = shuffle_partitions(spark)
-    found, n, v = totals(texts, parts)
-    cells = with_totals(texts, found, parts, deleted_cells(n), "cell long, many long")
-    cells = cells.groupBy("cell").agg(F.sum("many").alias("many")).toPandas()  # bounded: BUCKETS * CELLS**2 rows
-    weights = mixture(cells["cell"], cells["many"], v)
-    if n == 0:
-        weights[:] = [1.0, 0.0, 0.0]
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return with_totals(texts, found, parts, scored(n, v, weights), schema)
+    learn = ~held_out(id_col, 7, 2) if learn is None else F.coalesce(learn, F.lit(False))
+    table = portions(docs, id_col, text_col, learn)
+    tokens, n, kept, many = table.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "train", "kept")), F.count(F.lit(1))).first()
+    parts = max(shuffle_partitions(spark), -(-tokens // RANGE_TOKENS))
+    dealt = lists(table, parts).repartitionById(parts, "part").sortWithinPartitions("part", "grams", "portion")
+    found = joined(table, totals(dealt), max(shuffle_partitions(spark), 2 * many))
+    drop_stored(table)
+    v = found.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    cells = stored(held_out_cells(found))
+    weights = mixture(cells, kept, v) if n else np.tile([1.0, 0.0, 0.0], (BUCKETS, 1))
+    drop_stored(cells)
+    return scored(found, n, v, weights)

@@ -1,7 +1,6 @@
 """The training-data operators on small fixtures, against brute force."""
 import collections
 import hashlib
-import math
 import random
 import re
 import struct
@@ -14,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from feedloom.llm import (
-    bpe, components, decontaminate, fingerprints, ngram_lm, quality, queries, sharding, simhash_dedup, substring_dedup, text, toxicity, url_filter,
+    bpe, components, decontaminate, fingerprints, quality, queries, sharding, simhash_dedup, substring_dedup, text, toxicity, url_filter,
 )
 
 VOCAB = [a + b for a in "ka lo mi nu re sa to vy".split() for b in "ba de fi go hu je".split()]
@@ -246,46 +245,6 @@ def test_labels_of_the_held_out_fold_are_not_read(spark, labelled):
     assert all(abs(a[i] - b[i]) < 1e-12 for i in a)
 
 
-# -- 6 language model -------------------------------------------------------------
-
-
-def test_language_model(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "PORTION", 4000)
-    kept = {}
-    mixture = ngram_lm.mixture
-    monkeypatch.setattr(ngram_lm, "mixture", lambda *a: kept.setdefault("w", mixture(*a)))
-    rng = random.Random(8)
-    texts = ODD + [prose(rng, rng.randint(0, 60)) for _ in range(300)]
-    frame(spark, texts).repartition(3).write.parquet(f"file://{tmp_path}/docs")
-    got = ngram_lm.score(spark.read.parquet(f"file://{tmp_path}/docs")).collect()
-    assert len(got) == len(texts)
-    one, two = collections.Counter(), collections.Counter()
-    every = {i: [*words_of(t), None] for i, t in enumerate(texts)}
-    for i, w in every.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            one.update(w)
-            two.update(zip([None, *w], w))
-    n, v, weights = sum(one.values()), len(one), kept["w"]
-    assert np.allclose(weights.sum(axis=1), 1)
-    for r in got:
-        w = every[r.doc_id]
-        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
-        model = 0.0
-        for h, x in zip([None, *w], w):
-            l = weights[min(math.frexp(one[h])[1], ngram_lm.BUCKETS - 1)]
-            model += math.log10(l[2] * (two[h, x] / one[h] if one[h] else 0) + l[1] * one[x] / n + l[0] / (v + 1))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(one[x] > 0 for x in w), n)
-        assert abs(r.base_score - base) < 1e-6 and abs(r.score - model) < 1e-6
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
-
-
-def test_language_model_without_training_text(spark, tmp_path):
-    frame(spark, ["a b", None]).write.parquet(f"file://{tmp_path}/docs")
-    docs = spark.read.parquet(f"file://{tmp_path}/docs")
-    assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in ngram_lm.score(docs, F.lit(False)).collect())
-    assert ngram_lm.score(docs.where("doc_id < 0")).count() == 0
-
-
 # -- 7 simhash --------------------------------------------------------------------
 
 
