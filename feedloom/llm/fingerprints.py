@@ -4,18 +4,22 @@ A text's paragraphs (lines, cut at sentence ends and, inside long sentences,
 after words chosen by their own hash) are hashed to 64-bit digests, which are
 numbered when a paragraph repeats.  A sketch adds every digest to one cell in
 each of three ranges; a cell has a count, the digests' xor and a check's xor.
-The sketches of two texts subtract cell by cell, what both have cancels, and
-cells with one digest are peeled until nothing is left: what was peeled are the
-digests that differ.  If peeling gets stuck, both texts are sketched again with
-more cells.  Likeness is 2 * common / (all digests of both), from the numbers
-of digests and of those that differ.  All work is vectorised over a batch of
-texts.
+A fingerprint is a sketch with about three cells for two digests, or more until
+its own digests can be peeled off it.  The sketches of two texts subtract cell
+by cell, what both have cancels, and cells with one digest are peeled until
+nothing is left: what was peeled are the digests that differ.  If peeling gets
+stuck, or the sketches differ in size, both are made again with more cells from
+the digests that they hold, so two fingerprints are all that a comparison
+needs.  Likeness is 2 * common / (all digests of both), from the numbers of
+digests and of those that differ.  All work is vectorised over a batch of texts.
 """
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +28,10 @@ from feedloom.llm.common import short_batches, shuffle_partitions
 from feedloom.llm.text import U64, Powers, Words, blocks, mix, slice_hashes
 
 RANGES = 3
-#: Cells in each range of the sketch that is returned.
-CELLS = 4
-#: Cells in each range of the first comparison; a stuck one gets GROWTH times as many.
-FIRST_CELLS = 16
-GROWTH = 4
+#: Cells in each range of a sketch: a power of two, this at least; a stuck one gets GROWTH times as many.
+CELLS, GROWTH = 4, 2
+#: A sketch that has so many cells and more than 64 for each digest is not made larger.
+MOST = 1 << 20
 #: One word in so many ends a paragraph by its hash.
 WORDS_A_CUT = 16
 STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -61,59 +64,89 @@ def paragraphs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return every, np.concatenate(([0], *[np.cumsum(c) for c in [np.concatenate(counts) if counts else np.zeros(0, np.int64)]])).astype(np.int64)
 
 
-def _places(digests: np.ndarray, cells: int) -> np.ndarray:
-    """The cell of each digest in each range, one row a range."""
-    return np.stack([(mix(digests ^ U64(0xA5A5 + k)) % U64(cells)).astype(np.int64) + k * cells for k in range(RANGES)])
-
-
 def _check(digests: np.ndarray) -> np.ndarray:
     return (mix(digests + U64(0x1234567)) >> U64(32)).astype(np.uint32)
 
 
+def cells_for(n: np.ndarray) -> np.ndarray:
+    """Cells in each range for so many digests: the power of two from half their number."""
+    least = np.maximum(CELLS, (np.asarray(n, np.int64) + 1) // 2)
+    return np.int64(1) << np.ceil(np.log2(least)).astype(np.int64)
+
+
 class Sketches:
-    """The cells of many texts, or of the differences of many pairs of texts."""
+    """The cells of many texts, or of the differences of many pairs of texts; each has cells of its own number."""
 
-    def __init__(self, n: int, cells: int) -> None:
-        self.n, self.cells, self.size = n, cells, RANGES * cells
-        self.count = np.zeros(n * self.size, np.int64)
-        self.key = np.zeros(n * self.size, np.uint64)
-        self.check = np.zeros(n * self.size, np.uint32)
+    def __init__(self, cells: np.ndarray) -> None:
+        self.cells = np.asarray(cells, np.int64)
+        self.base = np.concatenate(([0], np.cumsum(RANGES * self.cells)))
+        self.count = np.zeros(self.base[-1], np.int64)
+        self.key = np.zeros(self.base[-1], np.uint64)
+        self.check = np.zeros(self.base[-1], np.uint32)
+
+    def places(self, who: np.ndarray, digests: np.ndarray) -> np.ndarray:
+        """The cell of each digest in each range, one row a range."""
+        cells, base = self.cells[who], self.base[who]
+        return np.stack([(mix(digests ^ U64(0xA5A5 + k)) & (cells - 1).astype(U64)).astype(np.int64) + k * cells + base for k in range(RANGES)])
 
     def add(self, who: np.ndarray, digests: np.ndarray, sign) -> None:
         check = _check(digests)
-        for row in _places(digests, self.cells):
-            at = who * self.size + row
+        for at in self.places(who, digests):
             np.add.at(self.count, at, sign)
             np.bitwise_xor.at(self.key, at, digests)
             np.bitwise_xor.at(self.check, at, check)
 
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, at, "right") - 1
+
+    def copy(self) -> Sketches:
+        out = Sketches.__new__(Sketches)
+        out.cells, out.base = self.cells, self.base
+        out.count, out.key, out.check = self.count.copy(), self.key.copy(), self.check.copy()
+        return out
+
     def texts(self) -> list[str]:
-        """Each sketch in hexadecimal: counts, keys and checks, all little-endian."""
-        parts = [x.reshape(self.n, -1).view(np.uint8).reshape(self.n, -1) for x in (self.count.astype("<u4"), self.key.astype("<u8"), self.check.astype("<u4"))]
-        return [row.tobytes().hex() for row in np.concatenate(parts, axis=1)] if self.n else []
+        """Each sketch as its number of cells, a colon, and counts (8 bits), keys and checks, little-endian, in base64."""
+        out = []
+        for cells, a, b in zip(self.cells.tolist(), self.base.tolist(), self.base[1:].tolist()):
+            raw = self.count[a:b].astype("i1").tobytes() + self.key[a:b].astype("<u8").tobytes() + self.check[a:b].astype("<u4").tobytes()
+            out.append(f"{cells}:{base64.b64encode(raw).decode()}")
+        return out
+
+    @staticmethod
+    def read(texts: list[str]) -> Sketches:
+        """The sketches that texts() wrote."""
+        parts = [t.split(":") for t in texts]
+        out = Sketches(np.array([int(c) for c, _ in parts], np.int64))
+        for (_, data), a, b in zip(parts, out.base.tolist(), out.base[1:].tolist()):
+            raw, n = base64.b64decode(data), b - a
+            out.count[a:b] = np.frombuffer(raw, "i1", n)
+            out.key[a:b] = np.frombuffer(raw, "<u8", n, n)
+            out.check[a:b] = np.frombuffer(raw, "<u4", n, 9 * n)
+        return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Peel differences: (pair, digest, sign) of what came off, and which pairs are empty now."""
+        """Peel what is in the sketches: (sketch, digest, sign) of what came off, and which sketches are empty now."""
         who, what, signs = [], [], []
         look = np.flatnonzero(np.abs(self.count) == 1)
         while len(look):
             look = look[_check(self.key[look]) == self.check[look]]
-            value, pair = self.key[look], look // self.size
-            own = (_places(value, self.cells) == look % self.size).any(axis=0)
-            look, value, pair = look[own], value[own], pair[own]
+            value, own = self.key[look], self.owner(look)
+            fits = (self.places(own, value) == look).any(axis=0)
+            look, value, own = look[fits], value[fits], own[fits]
             if len(look) == 0:
                 break
-            order = np.lexsort((value, pair))
-            first = order[np.concatenate(([True], (value[order][1:] != value[order][:-1]) | (pair[order][1:] != pair[order][:-1])))]
-            value, pair, sign = value[first], pair[first], self.count[look[first]]
-            self.add(pair, value, -sign)
-            who.append(pair)
+            order = np.lexsort((value, own))
+            first = order[np.concatenate(([True], (value[order][1:] != value[order][:-1]) | (own[order][1:] != own[order][:-1])))]
+            value, own, sign = value[first], own[first], self.count[look[first]]
+            self.add(own, value, -sign)
+            who.append(own)
             what.append(value)
             signs.append(sign)
-            touched = np.unique((pair * self.size + _places(value, self.cells)).ravel())
+            touched = np.unique(self.places(own, value).ravel())
             look = touched[np.abs(self.count[touched]) == 1]
-        full = (self.count != 0) | (self.key != 0) | (self.check != 0)
-        empty = ~full.reshape(self.n, -1).any(axis=1)
+        full = np.concatenate(([0], np.cumsum((self.count != 0) | (self.key != 0) | (self.check != 0))))
+        empty = full[self.base[1:]] == full[self.base[:-1]]
         parts = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((who, np.int64), (what, np.uint64), (signs, np.int64))]
         return parts[0], parts[1], parts[2], empty
 
@@ -126,42 +159,89 @@ def _chosen(digests: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return who, digests[place]
 
 
+def _larger(cells: np.ndarray, total: np.ndarray) -> np.ndarray:
+    if (cells > np.maximum(MOST, 64 * total)).any():
+        raise ValueError("a sketch can't be peeled")
+    return cells * GROWTH
+
+
+def _slices(cells: np.ndarray, most: int = 1 << 21):
+    """Runs of sketches with about `most` cells in all."""
+    lo, ends = 0, np.cumsum(RANGES * cells)
+    while lo < len(cells):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def sketched(every: tuple[np.ndarray, np.ndarray], n: int) -> tuple[list[str], np.ndarray]:
+    """The fingerprints of the first n texts given as paragraphs(), and their cells: as many as peeling needs."""
+    rows, out = np.arange(n), np.empty(n, object)
+    cells = cells_for(np.diff(every[1])[:n])
+    todo = rows
+    while len(todo):
+        stuck = []
+        for lo, hi in _slices(cells[todo]):
+            some = todo[lo:hi]
+            made = Sketches(cells[some])
+            made.add(*_chosen(*every, some), 1)
+            _, _, _, empty = made.copy().peel()
+            empty &= np.maximum.reduceat(made.count, made.base[:-1]) < 128
+            out[some[empty]] = np.array(made.texts(), object)[empty]
+            stuck.append(some[~empty])
+        todo = np.concatenate(stuck)
+        cells[todo] = _larger(cells[todo], np.diff(every[1])[todo])
+    return out.tolist(), cells
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], a_rows: np.ndarray, b: tuple[np.ndarray, np.ndarray], b_rows: np.ndarray) -> np.ndarray:
     """2 * common / all for pairs of texts given as paragraphs() and row numbers; 1 for two without paragraphs."""
-    total = (a[1][a_rows + 1] - a[1][a_rows]) + (b[1][b_rows + 1] - b[1][b_rows])
-    out = np.ones(len(a_rows))
-    todo, cells = np.flatnonzero(total > 0), FIRST_CELLS
-    while len(todo) and cells <= 8 * total[todo].max():
-        apart = np.zeros(len(todo), np.int64)
-        empty = np.zeros(len(todo), bool)
-        step = max(1, (1 << 21) // (RANGES * cells))  # bounds the cells in memory
-        for lo in range(0, len(todo), step):
-            some = todo[lo : lo + step]
-            sketches = Sketches(len(some), cells)
-            sketches.add(*_chosen(*a, a_rows[some]), 1)
-            sketches.add(*_chosen(*b, b_rows[some]), -1)
-            pair, _, _, empty[lo : lo + step] = sketches.peel()
-            apart[lo : lo + step] = np.bincount(pair, minlength=len(some))
-        out[todo[empty]] = (total[todo[empty]] - apart[empty]) / total[todo[empty]]
-        todo, cells = todo[~empty], cells * GROWTH
-    for k in todo.tolist():  # stuck with many more cells than digests
-        x, y = (_chosen(*side, rows[k : k + 1])[1] for side, rows in ((a, a_rows), (b, b_rows)))
-        out[k] = 2 * len(np.intersect1d(x, y)) / total[k]
+    sizes = [x[1][rows + 1] - x[1][rows] for x, rows in ((a, a_rows), (b, b_rows))]
+    total, out = sizes[0] + sizes[1], np.ones(len(a_rows))
+    todo, cells = np.flatnonzero(total > 0), cells_for(np.maximum(*sizes))
+    while len(todo):
+        stuck = []
+        for lo, hi in _slices(cells[todo]):
+            some = todo[lo:hi]
+            apart = Sketches(cells[some])
+            apart.add(*_chosen(*a, a_rows[some]), 1)
+            apart.add(*_chosen(*b, b_rows[some]), -1)
+            pair, _, _, empty = apart.peel()
+            differ = np.bincount(pair, minlength=len(some))
+            out[some[empty]] = ((total[some] - differ) / total[some])[empty]
+            stuck.append(some[~empty])
+        todo = np.concatenate(stuck)
+        cells[todo] = _larger(cells[todo], total[todo])
     return out
 
 
-def difference(a: str, b: str) -> tuple[set[int], set[int]]:
-    """The paragraph digests that only a has, and only b."""
-    pa_, pb = paragraphs([a]), paragraphs([b])
-    cells, zero = FIRST_CELLS, np.zeros(1, np.int64)
+def difference(a: str, b: str) -> tuple[set[int], set[int], int]:
+    """From two fingerprints: the paragraph digests that only a has, those that only b has, and how many both have."""
+    one, two = Sketches.read([a]), Sketches.read([b])
+    counts = [int(x.count.sum()) // RANGES for x in (one, two)]
+    cells, apart = np.maximum(one.cells, two.cells), None
+    if one.cells[0] == two.cells[0]:
+        apart = one.copy()
+        apart.count -= two.count
+        apart.key ^= two.key
+        apart.check ^= two.check
     while True:
-        sketches = Sketches(1, cells)
-        sketches.add(*_chosen(*pa_, zero), 1)
-        sketches.add(*_chosen(*pb, zero), -1)
-        _, value, sign, empty = sketches.peel()
-        if empty[0]:
-            return set(value[sign > 0].tolist()), set(value[sign < 0].tolist())
-        cells *= GROWTH
+        if apart is not None:
+            _, value, sign, empty = apart.peel()
+            if empty[0]:
+                mine, theirs = set(value[sign > 0].tolist()), set(value[sign < 0].tolist())
+                return mine, theirs, counts[0] - len(mine)
+            cells = _larger(cells, np.array([sum(counts)]))
+        apart = Sketches(cells)
+        for side, sign in ((one, 1), (two, -1)):
+            who, value, _, _ = side.copy().peel()
+            apart.add(who, value, sign)
+
+
+def near(a: str, b: str) -> float:
+    """The likeness of two fingerprints, 0 to 1; 1 for two without paragraphs."""
+    mine, theirs, both = difference(a, b)
+    return 2 * both / (2 * both + len(mine) + len(theirs)) if both or mine or theirs else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -171,14 +251,31 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def _ranges(ids: DataFrame, parts: int) -> list[int]:
-    """Ascending ids, all of them in the table, that end about equal ranges; the largest comes last."""
+def _ends(ids: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending ids that end about equal ranges of rows, the largest last, and how many ranges' rows each ends."""
     marks = [k / parts for k in range(1, parts)]
     row = ids.agg(
         F.percentile_approx("id", F.array(*map(F.lit, marks)) if marks else F.array(F.lit(0.5)), F.lit(10_000)).alias("ends"),
         F.max("id").alias("last"),
     ).first()
-    return sorted({*((row["ends"] or []) if marks else []), row["last"]} - {None})
+    ends = [*((row["ends"] or []) if marks else []), *([] if row["last"] is None else [row["last"]])]
+    return np.unique(np.array(ends, np.int64), return_counts=True)
+
+
+def range_of(ends: np.ndarray, many: np.ndarray):
+    """A column function of (id, hash): the number of a row's range.  An id that
+    fills several ranges is cut by the hash of the text."""
+    start = np.cumsum(many) - many
+
+    @F.pandas_udf("int")
+    def number(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        ids = ids.to_numpy()
+        at = np.searchsorted(ends, ids)
+        high = (hashes.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        part = (high * many[at].astype(np.uint64)) >> np.uint64(32)
+        return pd.Series((start[at] + np.where(ids == ends[at], part.astype(np.int64), 0)).astype(np.int32))
+
+    return number
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,36 +283,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near_edited, near_next) for each row.
 
     The next document is the one with the next smaller id, and after the
-    smallest the largest; among equal ids texts come in descending order, and a
-    null id comes after all others (before the first again).  A null text is
-    empty.  A single row is its own next.  An empty table gives no rows; other
-    columns are not read.
+    smallest the largest; among equal ids texts come in descending order of
+    their xxhash64, and a null id comes after all others (before the first
+    again).  A null text is empty; a very long text is sketched like any other,
+    with cells in proportion.  A single row is its own next.  An empty table
+    gives no rows; other columns are not read.
 
     Rows are dealt once, by ranges of ids; the first row of each range also
-    goes to the range before it, so no task needs more than its range.
+    goes to the range before it, so no task needs more than its range.  Only
+    rows that repeat both id and text can't be parted.
     """
     spark = docs.sparkSession
     short_batches(spark)
     lowest = F.lit(-(1 << 63))  # a null id comes last
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("id", F.coalesce("doc", lowest))
-    ends = _ranges(rows.select("id"), shuffle_partitions(spark))
-    # Range k has the ids above ends[k-1] up to ends[k]; the larger ids come first.
-    bounds = F.array(*map(F.lit, ends)) if ends else F.array(F.lit(0))
-    k = F.size(F.filter(bounds, lambda end: end < F.col("id")))
-    top = F.element_at(bounds, k + 1) == F.col("id")  # may be the first of its range
-    rows = rows.withColumn("k", k)
-    lent = F.when(top, F.array(F.struct(F.col("k").alias("to"), F.lit(0).alias("lent")), F.struct(F.pmod(F.col("k") + 1, F.lit(max(1, len(ends)))).alias("to"), F.lit(1).alias("lent"))))
-    rows = rows.withColumn("at", F.explode(F.coalesce(lent, F.array(F.struct(F.col("k").alias("to"), F.lit(0).alias("lent"))))))
-    rows = rows.select(F.col("at.to").alias("to"), F.col("at.lent").alias("lent"), F.col("id"), "doc", "text")
-    dealt = rows.repartition(max(1, len(ends)), "to").sortWithinPartitions("to", "lent", F.desc("id"), F.desc("text"))
-    out = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows.select(F.coalesce("doc", lowest).alias("id"), "doc", "text")
+    ends, many = _ends(rows.select("id"), shuffle_partitions(spark))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    if not len(ends):
+        return spark.createDataFrame([], schema)
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("k", range_of(ends, many)("id", "hash"))
+    # The first row of each range in descending order, a few numbers a range.
+    tops = sorted((r.k, r.top.id, r.top.hash) for r in rows.groupBy("k").agg(F.max(F.struct("id", "hash")).alias("top")).collect())
+    before = {k: tops[(i + 1) % len(tops)][0] for i, (k, _, _) in enumerate(tops)}  # ranges come in descending order
+    lent = spark.createDataFrame([(k, i, h, before[k]) for k, i, h in tops], "k int, id long, hash long, before int")
+    rows = rows.join(F.broadcast(lent), ["k", "id", "hash"], "left")
+    here = F.struct(F.col("k").alias("to"), F.lit(0).alias("lent"))
+    there = F.struct(F.col("before").alias("to"), F.lit(1).alias("lent"))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
+    rows = rows.select(F.col("at.to").alias("to"), F.col("at.lent").alias("lent"), "id", "hash", "doc", "text")
+    parts = int(many.sum())
+    dealt = rows.repartitionById(parts, "to").sortWithinPartitions("to", "lent", F.desc("id"), F.desc("hash"), F.desc("text")).select("to", "lent", "doc", "text")
 
     def run(batches):
         held = None  # the row that waits for its next, and its range
         for batch in batches:
             pairs = []
-            for to, lent, doc, text in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4))):
+            for to, lent, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if held is not None:
                     if held[0] != to:
                         raise ValueError("a range of ids has no row that follows it")
@@ -224,8 +329,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if pairs:
                 yield _compared(*zip(*pairs), names)
 
-    names = [part.split(" ")[0] for part in out.split(", ")]
-    return dealt.mapInArrow(run, out)
+    return dealt.mapInArrow(run, schema)
 
 
 def _compared(docs, own, following, names) -> pa.RecordBatch:
@@ -237,15 +341,10 @@ def _compared(docs, own, following, names) -> pa.RecordBatch:
     next_at[extra] = n + np.arange(len(extra))
     here = paragraphs([*own, *(following[k] for k in extra.tolist())])
     there = paragraphs(new)
-    sketches = []
-    for every in (here, there):
-        made = Sketches(n, CELLS)
-        made.add(*_chosen(*every, np.arange(n)), 1)
-        sketches.append(made.texts())
     rows = np.arange(n)
     columns = [
         pa.array(docs, pa.int64()), pa.array([len(t) for t in own], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new]), pa.array(sketches[0]), pa.array(sketches[1]),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new]), pa.array(sketched(here, n)[0]), pa.array(sketched(there, n)[0]),
         pa.array(likeness(here, rows, there, rows)), pa.array(likeness(here, rows, here, next_at)),
     ]
     return pa.RecordBatch.from_arrays(columns, names=names)

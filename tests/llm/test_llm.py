@@ -1,6 +1,5 @@
 """The training-data operators on small fixtures, against brute force."""
 import collections
-import hashlib
 import random
 import re
 import struct
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from feedloom.llm import (
-    bpe, components, decontaminate, fingerprints, quality, queries, sharding, simhash_dedup, substring_dedup, text, toxicity, url_filter,
+    bpe, components, decontaminate, quality, queries, sharding, simhash_dedup, substring_dedup, text, toxicity, url_filter,
 )
 
 VOCAB = [a + b for a in "ka lo mi nu re sa to vy".split() for b in "ba de fi go hu je".split()]
@@ -313,38 +312,6 @@ def test_components_of_a_chain(spark):
     assert {(r.node, r.component) for r in components.components(edges).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
 
 
-# -- 9 fingerprints ---------------------------------------------------------------
-
-
-def test_fingerprints(spark, odd):
-    rng = random.Random(11)
-    made = [". ".join(prose(rng, 9) for _ in range(rng.randint(1, 30))) for _ in range(60)]
-    rows = odd.unionByName(frame(spark, made, range(100, 160)))
-    texts = {r.doc_id: r.text or "" for r in rows.collect()}
-    got = {r.doc_id: r for r in fingerprints.fingerprints(rows.withColumn("to", F.lit(1)).withColumn("at", F.lit(1))).collect()}
-    ids = sorted(texts, reverse=True)
-    prints = {}
-    for i, after in zip(ids, [*ids[1:], ids[0]]):
-        own, following = texts[i], texts[after]
-        third = len(own) // 3
-        new = own[: len(own) - third] + following[:third]
-        a, b, c = (set(fingerprints.paragraphs([t])[0].tolist()) for t in (own, new, following))
-        like = lambda x, y: 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
-        assert got[i].n_chars == len(own) and got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert abs(got[i].near_edited - like(a, b)) < 1e-12 and abs(got[i].near_next - like(a, c)) < 1e-12
-        assert fingerprints.difference(own, new) == (a - b, b - a)
-        prints.setdefault(own, set()).add(got[i].fingerprint)
-    assert all(len(p) == 1 for p in prints.values())
-
-
-def test_fingerprint_odd_ids(spark):
-    rows = frame(spark, ["b b", "a a", "c", None], [4, 4, None, 9])
-    got = fingerprints.fingerprints(rows).collect()
-    want = lambda own, following: hashlib.sha256((own[: len(own) - len(own) // 3] + following[: len(own) // 3]).encode()).hexdigest()
-    assert {(r.doc_id, r.edited_sha256) for r in got} == {(9, want("", "b b")), (4, want("b b", "a a")), (4, want("a a", "c")), (None, want("c", ""))}
-    assert fingerprints.fingerprints(rows.limit(1)).count() == 1 and fingerprints.fingerprints(rows.limit(0)).count() == 0
-
-
 # -- 10 decontamination -----------------------------------------------------------
 
 
