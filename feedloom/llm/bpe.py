@@ -7,7 +7,8 @@ order, lowest first, to the whole list of words; each merge touches the two
 neighbours of the joined position only.  If a merge makes a pair of a rank
 that is lower than the present one, the rest of that word waits until the
 lower rank is done, so the result is that of merging each word by itself,
-lowest rank first and leftmost first.  Words are looked up again from a
+lowest rank first and leftmost first.  A word that waits very often is merged
+alone, so long words take no square of their length.  Words are looked up again from a
 bounded table while a task runs, so nothing is shuffled.
 """
 from __future__ import annotations
@@ -35,6 +36,8 @@ TABLE_WORD_CHARS = 64
 #: Characters of text whose new words are replayed together.
 BLOCK_CHARS = 3_000_000
 NONE = np.int32(2**31 - 1)
+#: So often a word may wait for lower ranks before it is merged alone.
+PATIENCE = 64
 #: Marks a text's first part, which has no space before it; no UTF-8 text has it.
 FIRST = "\ud800"
 
@@ -89,6 +92,7 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     for lo in range(0, len(text) - 1, 1 << 18):  # in pieces, which bounds the lookup's memory
         hi = min(len(text) - 1, lo + (1 << 18))
         rank_at[lo:hi] = vocabulary.pairs(token[lo:hi], token[lo + 1 : hi + 1])
+    waits, alone = np.zeros(len(words), np.int32), []
     index: dict[int, list[np.ndarray]] = {}  # the inverted index: rank to places
     heap: list[int] = []
 
@@ -117,15 +121,34 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
         at = at[rank_at[at] == rank]
         if len(at) > 1:
             at = distinct(at)
-            if vocabulary.falls[rank]:  # a lower rank may come up: one place a word
+            # of places that overlap in a row, every other one
+            row = np.concatenate(([False], after[at[:-1]] == at[1:]))
+            if row.any():
+                start = np.flatnonzero(~row)
+                since = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+                at = at[since % 2 == 0]
+        fell = False
+        if len(at) and vocabulary.falls[rank]:  # up to the first place of a word that makes a lower rank
+            end = after[after[at]]
+            joined = np.concatenate(([False], end[:-1] == at[1:]))
+            left = np.where(joined, rank, token[before[at]])
+            own = np.full(len(at), rank, np.int32)
+            lower = (vocabulary.pairs(left, own) < rank) | (vocabulary.pairs(own, token[end]) < rank)
+            if lower.any():
                 word = np.searchsorted(gaps, at)
-                at = at[np.concatenate(([True], word[1:] != word[:-1]))]
-            else:  # of places that overlap in a row, every other one
-                row = np.concatenate(([False], after[at[:-1]] == at[1:]))
-                if row.any():
-                    start = np.flatnonzero(~row)
-                    since = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
-                    at = at[since % 2 == 0]
+                head = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                earlier = np.cumsum(lower) - lower
+                keep = earlier == np.repeat(earlier[head], np.diff(np.append(head, len(at))))
+                fell = not keep.all()
+                cut = word[~keep]
+                at = at[keep]
+                if fell:  # words that wait too often are merged alone
+                    cut = np.unique(cut) - 1
+                    waits[cut] += 1
+                    for w in cut[waits[cut] > PATIENCE].tolist():
+                        alone.append(w)
+                        rank_at[gaps[w] : gaps[w + 1]] = NONE
+                    at = at[rank_at[at] == rank]
         if len(at) == 0:
             continue
         gone = after[at]
@@ -139,7 +162,7 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
         left = left[joins]
         rank_at[left] = vocabulary.pairs(token[left], token[at[joins]])
         file(np.concatenate((at, left)))
-        if vocabulary.falls[rank]:
+        if fell:
             more = np.concatenate(filed)
             more = more[rank_at[more] == rank]
             if len(more):
@@ -149,7 +172,44 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     kept = np.flatnonzero(token >= 0)
     packed = token[kept].astype("<u4").tobytes()
     bounds = (4 * np.searchsorted(kept, gaps)).tolist()
-    return [packed[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
+    out = [packed[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
+    for w in alone:
+        out[w] = replay_alone(words[w], vocabulary)
+    return out
+
+
+def replay_alone(word: bytes, vocabulary: Vocabulary) -> bytes:
+    """Packed ids of one word: its pairs in a heap by rank and place, which takes
+    n log n steps however often a merge makes a lower rank."""
+    ranks, n = vocabulary.ranks, len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts here
+    rank_at = [ranks.get(word[k : k + 2]) for k in range(n)]
+    rank_at[-1] = None
+    heap = [r << 40 | k for k, r in enumerate(rank_at) if r is not None]
+    heapq.heapify(heap)
+    while heap:
+        top = heapq.heappop(heap)
+        rank, at = top >> 40, top & (1 << 40) - 1
+        if rank_at[at] != rank:
+            continue
+        gone = after[at]
+        rank_at[gone] = None
+        end = after[at] = after[gone]
+        if end < n:
+            before[end] = at
+        left = before[at]
+        for a, b in ((left, end), (at, after[end] if end < n else 0)):
+            if 0 <= a < b:
+                rank_at[a] = made = ranks.get(word[a:b])
+                if made is not None:
+                    heapq.heappush(heap, made << 40 | a)
+            elif a >= 0:
+                rank_at[a] = None
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[word[at : after[at]]])
+        at = after[at]
+    return np.array(out, "<u4").tobytes()
 
 
 class Encoder:

@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import shared_dir
+from feedloom.llm.common import shared_dir, short_batches
 
 MAGIC = b"urldigest1"
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -88,17 +88,24 @@ class DigestArray:
         return bytes(self.strings[int(self.ends[i]) : int(self.ends[i + 1])]).decode()
 
 
-def probes_of(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Strings of all rules that could fit, the longest first."""
-    out = set()
-    coded = path.encode()
-    at = 0
-    while True:
-        tail = host[at:].encode()
-        out.update(tail + coded[:n] for n in lengths if n <= len(coded))
-        at = host.find(".", at) + 1
-        if at == 0:
-            return sorted(out, key=lambda x: (-len(x), x))
+def rule_sizes(rules: list[tuple[str, str, str]]) -> list[tuple[int, list[int]]]:
+    """Lengths of the rules' hosts, and for each the lengths of the paths after such hosts, all the longest first."""
+    found: dict[int, set[int]] = {}
+    for _, host, path in rules:
+        found.setdefault(len(host), set()).add(len(path))
+    return [(n, sorted(found[n], reverse=True)) for n in sorted(found, reverse=True)]
+
+
+def probes_of(host: str, path: str, sizes: list[tuple[int, list[int]]]) -> list[bytes]:
+    """Strings of all rules that could fit, the longest first: only suffixes and
+    prefixes of a rule's length are made, so a long url costs no more than a short one."""
+    out = []
+    for n, paths in sizes:
+        at = len(host) - n
+        if at == 0 or (at > 0 and host[at - 1] == "."):
+            tail = host[at:]
+            out += [tail + path[:m] for m in paths if m <= len(path)]
+    return [x.encode() for x in sorted(out, key=len, reverse=True)]
 
 
 def _shared_file(spark: SparkSession, name: str, data: bytes) -> str:
@@ -119,23 +126,25 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     A rule (verdict, host, path) fits its host and all subdomains if the url's
     path starts with the rule's; the longest rule wins.  Without a fitting rule,
     `rule` is null and the verdict is `default`.  Null urls and urls without
-    "://" have empty host and path and are judged like any other; repeated rows
-    stay rows; an empty table gives no rows; other columns are not read.
+    "://" have empty host and path and are judged like any other; so are very long
+    urls; repeated rows stay rows; an empty table gives no rows; other columns
+    are not read.
     """
     spark = pages.sparkSession
+    short_batches(spark)
     rules = [(v, h.translate(LOWER), p) for v, h, p in rules]
     if any(v not in ("allow", "block") or (p and p[0] != "/") for v, _, p in rules):
         raise ValueError("a rule is (allow or block, host, path from its slash)")
     packed = DigestArray.pack(rules)
     name = f"rules-{hashlib.sha256(packed).hexdigest()[:24]}.bin"
     spark.sparkContext.addFile(_shared_file(spark, name, packed))  # copied to every executor
-    lengths = sorted({len(p.encode()) for _, _, p in rules})
+    sizes = rule_sizes(rules)
 
     def run(batches):
         array = DigestArray(SparkFiles.get(name))
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
-            probes = [probes_of(h, p, lengths) for h, p in parts]
+            probes = [probes_of(h, p, sizes) for h, p in parts]
             found = array.find([x for xs in probes for x in xs])
             rule, verdict, at = [], [], 0
             for xs in probes:
@@ -147,5 +156,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
             columns = [batch.column(0), *(pa.array(x, pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], rule, verdict))]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "path", "rule", "verdict"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"))
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
