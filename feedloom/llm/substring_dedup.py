@@ -8,8 +8,11 @@ consecutive chunks that belong to other documents is a repeated passage if it
 has enough words, and is taken out.
 
 Chunks never travel with their text.  Digests are aggregated to the smallest
-and largest id (pre-aggregated before the shuffle, so a very common passage is
-a few rows), and only digests of several documents go back to documents.
+and largest id and their number (pre-aggregated before the shuffle, so a very
+common passage is a few rows), and only digests of several documents go back to
+documents.  Digests that make up over one in `HOT` of all chunks are fewer than
+`HOT`, whatever the input: they are broadcast, so no task meets all documents
+with a common passage; the others are joined by digest.
 """
 from __future__ import annotations
 
@@ -26,6 +29,7 @@ WINDOW = 4  # words that the rolling hash sees
 REACH = 3  # a cut is the minimum of so many neighbours on either side
 LONGEST = 64  # words in a chunk
 MIN_WORDS = 16  # words in a run of repeated chunks
+HOT = 10_000  # a digest with more than this share of all chunks is broadcast
 
 
 def chunk_ends(words: Words, hashes: np.ndarray) -> np.ndarray:
@@ -78,17 +82,22 @@ def _chunked(column: pa.Array):
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(high, low, doc): digests of each document's chunks; rows without id have none."""
+    """(high, low, doc): the different digests of each row's chunks; rows without id have none."""
     short_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for first, _, _, words, ends, high, low in _chunked(batch.column(1)):
-                doc = ids[first + words.rows()[ends - 1]] if len(ends) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(low), pa.array(doc)], names=["high", "low", "doc"])
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+                row = first + words.rows()[ends - 1] if len(ends) else np.zeros(0, np.int64)
+                order = np.lexsort((low, high, row))
+                row, high, low = row[order], high[order], low[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(high[new]), pa.array(low[new]), pa.array(ids[row[new]])], names=["high", "low", "doc"])
+
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.where(key.isNotNull()).select(key.cast("long").alias("doc"), text.alias("text"))
     return rows.mapInArrow(run, "high long, low long, doc long")
 
 
@@ -100,27 +109,31 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     and were taken out, or may have been, of other documents).
 
     Rows that share an id are one document and don't repeat each other.  Null
-    texts stay null; rows without id and texts without words stay as they are;
-    an empty table gives no rows.  Columns named like a result are replaced.
+    texts stay null; rows without id and texts without words stay as they are; a
+    very long text is chunked like any other; a run of exactly `min_words` words
+    goes; an empty table gives no rows.  Columns named like a result are replaced.
     """
     spark = docs.sparkSession
     short_batches(spark)
     parts = chunks(docs, id_col, text_col)
-    several = (
-        parts.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        .where("first <> last").drop("last")
-    )
-    several = stored(several)
-    found = (
-        chunks(docs, id_col, text_col).join(several, ["high", "low"])
-        .groupBy(F.col("doc").alias("__of")).agg(F.collect_set(F.struct("high", "first")).alias("__chunks"))
-    )
+    many = parts.groupBy("high", "low").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    several = stored(many.where("first <> last").drop("last"))
+    total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > total // HOT
+    common = several.where(hot).select("high", "low", F.col("first").alias("common"))  # under HOT rows
+    # A chunk that met a common digest has nothing else to meet: it goes anywhere.
+    met = parts.join(F.broadcast(common), ["high", "low"], "left").withColumn("key", F.when(F.col("common").isNull(), F.col("low")).otherwise(F.xxhash64("doc", "high")))
+    rest = several.where(~hot).select("high", F.col("low").alias("key"), "first")
+    met = met.join(rest, ["high", "key"], "left").withColumn("first", F.coalesce("common", "first")).where("first is not null")
+    found = met.groupBy(F.col("doc").alias("__of")).agg(F.collect_set(F.struct("high", "first")).alias("__chunks"))
     added = "n_repeats long, repeat_words long, repeats array<struct<start:long,end:long>>, repeats_of array<long>, lent_words long"
     names = [part.split(" ")[0] for part in added.split(", ")]
     kept = [c for c in docs.columns if c not in names]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    joined = rows.withColumn("__doc", F.col(f"`{id_col}`").cast("long")).join(found, F.col("__doc") == F.col("__of"), "left").drop("__of")
-    schema = rows.schema
+    key = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], key.alias("__doc"))
+    joined = rows.where("__doc is not null").join(found, F.col("__doc") == F.col("__of"), "left").drop("__of")
+    joined = joined.unionByName(rows.where("__doc is null").withColumn("__chunks", F.lit(None).cast(found.schema["__chunks"].dataType)))
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     for field in spark.createDataFrame([], added).schema:
         schema = schema.add(field)
 
