@@ -9,21 +9,33 @@ from feedloom.llm.common import held_out
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, max_bytes: int,
            id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> list[tuple]:
-    """(id, text, label, extra columns) of at most `per_class` documents of each
-    class, chosen by a hash of the id among the labelled rows outside the
-    held-out fold (crc32 of the id, modulo 5, is 0), without texts of more than
-    `max_bytes`.  An id with several labels has the largest; null labels are none."""
+    """(id, text, label, extra columns) of `per_class` documents of each class, or
+    of all if there are fewer.
+
+    A document qualifies if it has a label outside the held-out fold (crc32 of
+    the id, modulo 5, is 0) and a text of at most `max_bytes`; of those the ones
+    whose id has the smallest hash are taken.  An id with several labels has the
+    largest; null labels are none.  Of rows that share an id the one with the
+    shortest qualifying text counts (equal lengths: the smallest hash, then text).  A null
+    text is empty.  The sample is the same however the tables are split.
+    """
     marks = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
         .where(~held_out("__id", 5, 0))
     )
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), text.alias("__text"), *[F.col(f"`{c}`").alias(f"__x{k}") for k, c in enumerate(extra)])
+    rows = rows.withColumns({"__size": F.octet_length("__text"), "__hash": F.xxhash64("__text")}).where((F.col("__size") <= max_bytes) & F.col("__id").isNotNull())
+    # Ids with sizes and hashes are shuffled, no texts.
+    fit = rows.select("__id", "__size", "__hash").groupBy("__id").agg(F.min(F.struct("__size", "__hash")).alias("__own")).join(marks, "__id")
     chosen = None
     for k in (0, 1):
-        one = marks.where(F.col("__label") == k).orderBy(F.xxhash64(F.col("__id"), F.lit("sample")), "__id").limit(per_class)
+        one = fit.where(F.col("__label") == k).orderBy(F.xxhash64(F.col("__id"), F.lit("sample")), "__id").limit(per_class)
         chosen = one if chosen is None else chosen.unionByName(one)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *extra)
-    rows = rows.where(F.octet_length("__text") <= max_bytes)
+    chosen = chosen.select("__id", "__label", "__own.__size", "__own.__hash")
     # At most 2 * per_class ids are broadcast, whatever the size of the tables.
-    found = rows.join(F.broadcast(chosen), "__id").select("__id", "__text", "__label", *extra)
-    return sorted(map(tuple, found.limit(4 * per_class).collect()), key=lambda r: (r[0], r[1]))
+    found = rows.join(F.broadcast(chosen), ["__id", "__size", "__hash"])
+    one = F.struct("__text", "__label", *[f"__x{k}" for k in range(len(extra))])
+    found = found.groupBy("__id").agg(F.min(one).alias("__one")).select("__id", "__one.*")
+    return sorted(map(tuple, found.collect()), key=lambda r: r[0])  # 2 * per_class rows at most
