@@ -32,9 +32,9 @@ def shard_of(keys: Sequence[Column | str], weights: Sequence[float]) -> Column:
     return F.array_max(F.array(*drawn))["shard"] if len(drawn) > 1 else F.lit(0)
 
 
-def with_slots(rows: DataFrame, shard_col: str, order_cols: Sequence[str], n_rows: int) -> DataFrame:
+def with_slots(rows: DataFrame, shard_col: str, order_cols: Sequence[str], n_rows: int, shards: int) -> DataFrame:
     """`rows` with `slot`: 0, 1, 2 and so on inside each shard."""
-    buckets = max(1, -(-n_rows // (BUCKET_ROWS * 16)))
+    buckets = max(1, -(-n_rows // (BUCKET_ROWS * shards)))
     dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit("slot"), *order_cols), F.lit(buckets)).cast("int"))
     before = Window.partitionBy(shard_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = (
@@ -63,9 +63,9 @@ def shard_table(docs: DataFrame, shards: int = 16, weights: Sequence[float] | No
     weights = list(weights) if weights else [1.0] * shards
     if len(weights) != shards:
         raise ValueError("one weight for each shard")
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(f"`{id_col}`").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
@@ -73,5 +73,5 @@ def shard_table(docs: DataFrame, shards: int = 16, weights: Sequence[float] | No
         shard_of([id_col], [*weights, weights[0]]).alias("grown_shard"),
     )
     # The count comes from file footers, without reading a column.
-    out = with_slots(rows, "shard", ["doc_id", "text_crc32", "size"], docs.count())
+    out = with_slots(rows, "shard", ["doc_id", "text_crc32", "size"], docs.count(), shards)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
