@@ -40,6 +40,8 @@ RANGE_TOKENS = 1 << 20
 FOLD = 10
 #: Hash that stands for the end of a text, as a token and as the first context.
 END = U64(0x5851F42D4C957F2D)
+#: Pairs are told apart by 56 bits, as their hashes are most of what is shuffled.
+PAIR = ~U64(255)
 #: Contexts seen less than 2, 4, 8 and so on times share a bucket.
 BUCKETS = 24
 #: Weights (unknown, unigram, bigram) before learning, and of buckets that no held-out token has.
@@ -55,7 +57,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
         if x.dtype == np.uint64:
             x = np.diff(x, prepend=U64(0))
         planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b""
-        small = pa.compress(planes, codec="zstd", asbytes=True)
+        small = pa.Codec("zstd", compression_level=6).compress(planes, asbytes=True)
         out += [struct.pack("<QQc", len(small), len(x), x.dtype.char.encode()), small]
     return b"".join(out)
 
@@ -110,12 +112,15 @@ class Gathered:
         inner = np.ones(len(tokens), bool)
         inner[ends] = False
         tokens[inner] = hashes
-        words, places = np.unique(tokens, return_inverse=True)
+        words, places, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.lexsort((words, -np.frexp(often)[1]))  # frequent words have small numbers, which pack well
+        number = np.empty(len(words), np.int32)
+        number[order] = np.arange(len(words))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as writer:
             writer.write_batch(pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64())], names=["id"]))
         train, kept = (int((counts + 1)[which].sum()) for which in (codes > 0, codes == 1))
-        return (key, len(tokens), train, kept, sink.getvalue().to_pybytes(), _pack(counts + 1, codes), _pack(words), _pack(places.ravel().astype(np.int32)))
+        return (key, len(tokens), train, kept, sink.getvalue().to_pybytes(), _pack(counts + 1, codes), _pack(words[order]), _pack(number[places.ravel()]))
 
 
 def portions(docs: DataFrame, id_col: str, text_col: str, learn) -> DataFrame:
@@ -151,11 +156,14 @@ def _opened(texts: bytes, words: bytes, places: bytes):
     """Tokens of each text, codes, and for words and pairs: different hashes, and each token's place among them."""
     counts, codes = _unpack(texts)
     words, places = _unpack(words)[0], _unpack(places)[0]
-    tokens = words[places]
+    tokens, order = words[places], np.argsort(words)
+    number = np.empty(len(words), np.int64)
+    number[order] = np.arange(len(words))
+    words, places = words[order], number[places]
     context = np.empty_like(tokens)
     context[1:] = tokens[:-1]
     context[np.cumsum(counts) - counts] = END
-    pairs, at = np.unique(mix(context * U64(BASE) + tokens + U64(1)), return_inverse=True)
+    pairs, at = np.unique(mix(context * U64(BASE) + tokens + U64(1)) & PAIR, return_inverse=True)
     return counts, codes, ((words, places), (pairs, at.ravel()))
 
 
