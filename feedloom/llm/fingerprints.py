@@ -19,7 +19,6 @@ import base64
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -262,20 +261,23 @@ def _ends(ids: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.array(ends, np.int64), return_counts=True)
 
 
-def range_of(ends: np.ndarray, many: np.ndarray):
-    """A column function of (id, hash): the number of a row's range.  An id that
-    fills several ranges is cut by the hash of the text."""
+def with_range(rows: DataFrame, ends: np.ndarray, many: np.ndarray) -> DataFrame:
+    """`rows` (id, hash and others) with k, the number of a row's range.  The ends
+    stand in blocks of about the root of their number, which are searched in two
+    steps.  An id that fills several ranges is cut by the hash of the text."""
+    spark, wide = rows.sparkSession, int(np.ceil(np.sqrt(len(ends))))
+    blocks_of = lambda x: [x[k : k + wide].tolist() for k in range(0, len(x), wide)]
     start = np.cumsum(many) - many
-
-    @F.pandas_udf("int")
-    def number(ids: pd.Series, hashes: pd.Series) -> pd.Series:
-        ids = ids.to_numpy()
-        at = np.searchsorted(ends, ids)
-        high = (hashes.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
-        part = (high * many[at].astype(np.uint64)) >> np.uint64(32)
-        return pd.Series((start[at] + np.where(ids == ends[at], part.astype(np.int64), 0)).astype(np.int32))
-
-    return number
+    marks = spark.createDataFrame(  # one row, a few numbers a range
+        [(ends[wide - 1 :: wide].tolist(), blocks_of(ends), blocks_of(start), blocks_of(many))],
+        "__tops array<long>, __ends array<array<long>>, __start array<array<long>>, __many array<array<long>>",
+    )
+    below = lambda ends: F.size(F.filter(ends, lambda end: end < F.col("id"))) + 1
+    at = lambda name: F.element_at(F.element_at(name, F.col("__block")), F.col("__at"))
+    part = F.shiftright(F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-(1 << 63))), 32) * at("__many"), 32)
+    rows = rows.crossJoin(F.broadcast(marks)).withColumn("__block", below("__tops")).withColumn("__at", below(F.element_at("__ends", F.col("__block"))))
+    k = at("__start") + F.when(F.col("id") == at("__ends"), part).otherwise(0)
+    return rows.withColumn("k", k.cast("int")).drop("__tops", "__ends", "__start", "__many", "__block", "__at")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,7 +305,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not len(ends):
         return spark.createDataFrame([], schema)
-    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("k", range_of(ends, many)("id", "hash"))
+    rows = with_range(rows.withColumn("hash", F.xxhash64("text")), ends, many)
     # The first row of each range in descending order, a few numbers a range.
     tops = sorted((r.k, r.top.id, r.top.hash) for r in rows.groupBy("k").agg(F.max(F.struct("id", "hash")).alias("top")).collect())
     before = {k: tops[(i + 1) % len(tops)][0] for i, (k, _, _) in enumerate(tops)}  # ranges come in descending order
