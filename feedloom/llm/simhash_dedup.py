@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import short_batches, shuffle_partitions, stored
+from feedloom.llm.common import short_batches, shuffle_partitions, stored, unused
 from feedloom.llm.components import components
 from feedloom.llm.text import LOWER_BYTES
 
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
 
 
@@ -188,5 +188,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The documents, without those that are near copies of one with a smaller id.
     Rows without id stay, and rows that repeat an id stay or go together."""
     found = near_duplicates(docs, id_col, text_col, **how)
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(copies, F.col(id_col) == F.col("__copy"), "left_anti")
+    name = unused("__copy", docs.columns)
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(copies, F.col(f"`{id_col}`") == F.col(name), "left_anti")

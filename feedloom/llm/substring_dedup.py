@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import short_batches, stored
+from feedloom.llm.common import short_batches, stored, unused
 from feedloom.llm.text import Powers, U64, Words, blocks, mix
 
 WINDOW = 4  # words that the rolling hash sees
@@ -125,21 +125,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     met = parts.join(F.broadcast(common), ["high", "low"], "left").withColumn("key", F.when(F.col("common").isNull(), F.col("low")).otherwise(F.xxhash64("doc", "high")))
     rest = several.where(~hot).select("high", F.col("low").alias("key"), "first")
     met = met.join(rest, ["high", "key"], "left").withColumn("first", F.coalesce("common", "first")).where("first is not null")
-    found = met.groupBy(F.col("doc").alias("__of")).agg(F.collect_set(F.struct("high", "first")).alias("__chunks"))
     added = "n_repeats long, repeat_words long, repeats array<struct<start:long,end:long>>, repeats_of array<long>, lent_words long"
     names = [part.split(" ")[0] for part in added.split(", ")]
     kept = [c for c in docs.columns if c not in names]
-    key = F.col(f"`{id_col}`").cast("long")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], key.alias("__doc"))
-    joined = rows.where("__doc is not null").join(found, F.col("__doc") == F.col("__of"), "left").drop("__of")
-    joined = joined.unionByName(rows.where("__doc is null").withColumn("__chunks", F.lit(None).cast(found.schema["__chunks"].dataType)))
+    doc, of, own = (unused(c, docs.columns) for c in ("__doc", "__of", "__chunks"))
+    found = met.groupBy(F.col("doc").alias(of)).agg(F.collect_set(F.struct("high", "first")).alias(own))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{id_col}`").cast("long").alias(doc))
+    joined = rows.where(F.col(doc).isNotNull()).join(found, F.col(doc) == F.col(of), "left").drop(of)
+    joined = joined.unionByName(rows.where(F.col(doc).isNull()).withColumn(own, F.lit(None).cast(found.schema[own].dataType)))
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     for field in spark.createDataFrame([], added).schema:
         schema = schema.add(field)
 
     def run(batches):
         for batch in batches:
-            yield _without_repeats(batch, kept, text_col, names, min_words)
+            yield _without_repeats(batch, kept, text_col, names, min_words, doc, own)
 
     return joined.mapInArrow(run, schema)
 
@@ -151,11 +151,11 @@ def _runs(mark: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(mark & ~before), np.flatnonzero(mark & ~after)
 
 
-def _without_repeats(batch: pa.RecordBatch, kept: list[str], text_col: str, names: list[str], min_words: int) -> pa.RecordBatch:
+def _without_repeats(batch: pa.RecordBatch, kept: list[str], text_col: str, names: list[str], min_words: int, doc: str, own: str) -> pa.RecordBatch:
     text_at = batch.schema.get_field_index(text_col)
     column = batch.column(text_at)
-    ids = batch.column(batch.schema.get_field_index("__doc")).to_pylist()
-    lists = batch.column(batch.schema.get_field_index("__chunks"))
+    ids = batch.column(batch.schema.get_field_index(doc)).to_pylist()
+    lists = batch.column(batch.schema.get_field_index(own))
     n = batch.num_rows
     texts = column.to_pylist()
     out = [[0] * n, [0] * n, [[] for _ in range(n)], [[] for _ in range(n)], [0] * n]
