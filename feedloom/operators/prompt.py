@@ -39,34 +39,49 @@ def prompt_profile(prompt: str | None, topics: Sequence[str] = config.PROMPT_TOP
     )
 
 
-def alignment(tags: Column, text: Column, topics: Sequence[str]) -> Column:
+def presence(text: Column, topics: Sequence[str]) -> Column:
+    """The share of the topics that occur in a text."""
+    if not topics:
+        return F.lit(0.0)
+    lower = [t.lower() for t in topics]
+    return F.least(F.lit(1.0), hits(F.lower(text), lower) / F.lit(float(len(lower))))
+
+
+def alignment(tags: Column, present: Column, topics: Sequence[str]) -> Column:
     """Half from tags that contain or are contained in a topic, half from topics in the text; each at most 1."""
     if not topics:
         return F.lit(0.0)
     lower = [t.lower() for t in topics]
     tagged = F.size(F.filter(tags, lambda tag: F.exists(F.array(*map(F.lit, lower)), lambda t: F.lower(tag).contains(t) | t.contains(F.lower(tag)))))
-    match = F.least(F.lit(1.0), tagged / F.lit(float(len(lower))))
-    present = F.least(F.lit(1.0), hits(F.lower(text), lower) / F.lit(float(len(lower))))
-    return match * 0.5 + present * 0.5
+    return F.least(F.lit(1.0), tagged / F.lit(float(len(lower)))) * 0.5 + present * 0.5
 
 
 def boost(a: Column) -> Column:
     return F.when(a > 0.5, 4.0 + a * 4.0).when(a > 0.3, 2.5 + a * 4.0).when(a > 0.1, 1.5 + a * 5.0).otherwise(0.3)
 
 
-def rerank(items: DataFrame, topics: Sequence[str], final: str = "final") -> DataFrame:
-    """`items` with `final` times the boost of their alignment; unchanged without topics."""
+def rerank(items: DataFrame, topics: Sequence[str], final: str = "final", present: str | None = None) -> DataFrame:
+    """`items` with `final` times the boost of their alignment; unchanged without
+    topics.  `present` names a column of presence() made before texts were left
+    behind; without it, title and summary are read."""
     if not topics:
         return items
-    return items.withColumn(final, F.col(final) * boost(alignment(F.col("tags"), text_of("title", "summary"), topics)))
+    share = F.col(present) if present else presence(text_of("title", "summary"), topics)
+    return items.withColumn(final, F.col(final) * boost(alignment(F.col("tags"), share, topics)))
 
 
-def exclude(items: DataFrame, topics: Sequence[str]) -> DataFrame:
-    """Items that name none of the topics in title, summary or tags."""
+def names_any(text: Column, topics: Sequence[str]) -> Column:
+    lower, found = F.lower(text), F.lit(False)
+    for t in topics:
+        found = found | contains(lower, t.lower())
+    return found
+
+
+def exclude(items: DataFrame, topics: Sequence[str], named: str | None = None) -> DataFrame:
+    """Items that name none of the topics in title, summary or tags.  `named` names a
+    column of names_any() made before texts were left behind."""
     if not topics:
         return items
-    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.array_join("tags", " ")))
-    bad = F.lit(False)
-    for t in topics:
-        bad = bad | contains(text, t.lower())
-    return items.where(~bad)
+    if named:
+        return items.where(~(F.col(named) | names_any(F.array_join("tags", " "), topics)))
+    return items.where(~names_any(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.array_join("tags", " ")), topics))

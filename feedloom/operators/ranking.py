@@ -1,17 +1,20 @@
 """BM25, recency, boosts, heuristic scores and the category ranker.
 
 No token is ever shuffled: a query has few terms, so each row counts them in
-place, and the corpus statistics are one pre-aggregated row for each group.
+place.  The texts are read once: their counts go into a narrow cached table, which
+the corpus statistics, the best score and the scores all read.
 """
 from __future__ import annotations
 
+import collections
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import config
-from feedloom.functions.text import add, col, contains, half_up, hits, text_of, tokens
+from feedloom.functions.text import add, col, contains, half_up, hits, text_of
 
 DAY = 86_400
 
@@ -21,45 +24,73 @@ def query_terms(query: str) -> list[str]:
     return query.lower().split()
 
 
-def _times(term: str) -> Column:
-    return F.size(F.filter("__tokens", lambda t: t == F.lit(term)))
-
-
-def bm25(items: DataFrame, terms: Sequence[str] | dict[str, Sequence[str]], text: Column, group: str | None = None, k1: float = config.K1, b: float = config.B, out: str = "bm25_raw") -> DataFrame:
-    """`items` with the BM25 score of each row against its group's rows (or all rows).
-
-    terms: a query's, or with `group` each group's own.  Terms that can't be
-    tokens (two characters or less, or with signs) score 0.
+def term_counts(text: Column, terms: Sequence[str]) -> Column:
+    """How many tokens a text has, then how often each term is one.  A token is a
+    run of more than two ASCII word characters; other terms never are."""
+    lower = F.lower(text)
+    length = F.regexp_count(lower, F.lit("[a-z0-9_]{3,}"))
+    able = [t for t in dict.fromkeys(terms) if re.fullmatch("[a-z0-9_]{3,}", t)]
+    if not able:
+        return F.array(length, *[F.lit(0)] * len(terms))
+    found = F.regexp_extract_all(lower, F.lit(f"(?<![a-z0-9_])(?:{'|'.join(able)})(?![a-z0-9_])"), F.lit(0))
+    # The matches are bound once, not looked for again for every term.
+    counts = F.transform(F.array(found), lambda f: F.transform(F.array(*map(F.lit, terms)), lambda term: F.size(F.filter(f, lambda t: t == term))))
+    return F.concat(F.array(length), F.get(counts, F.lit(0)))
+
+
+_kept: collections.deque = collections.deque()
+#: Narrow tables that stay cached; older ones are made again if they are asked for once more.
+MOST_KEPT = 4
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """`rows`, cached (in memory, else on disk) when they are first read, as several
+    parts of a plan read them.  Of all these tables the last few stay."""
+    while len(_kept) >= MOST_KEPT:
+        old = _kept.popleft()
+        if old.sparkSession.sparkContext._jsc is not None:
+            old.unpersist()
+    _kept.append(rows.persist())
+    return rows
+
+
+def bm25(items: DataFrame, terms: Sequence[str] | dict[str, Sequence[str]], text: Column, group: str | None = None, key: str = "id", columns: Sequence[str] | None = None,
+         extra: dict[str, Column] | None = None, k1: float = config.K1, b: float = config.B) -> DataFrame:
+    """The rows' `columns` (all by default; texts that aren't asked for stay behind)
+    and `extra` columns, with bm25_raw, the BM25 score against the rows of the same
+    group (or all rows), and bm25, that over max(the group's best, 1).
+
+    terms: a query's, or with `group` each group's own; rows of other groups
+    score 0.  Terms that can't be tokens (two characters or less, or with signs)
+    score 0.
     """
     lists = terms if isinstance(terms, dict) else {None: list(terms)}
     different = list(dict.fromkeys(t for each in lists.values() for t in each))
-    rows = items.withColumn("__tokens", tokens(text)).withColumn("__length", F.size("__tokens"))
-    rows = rows.withColumns({f"__tf{k}": _times(term) for k, term in enumerate(different)}).drop("__tokens")
+    wanted = list(dict.fromkeys([key, *([group] if group else []), *(items.columns if columns is None else columns)]))
+    rows = items.select(*[F.col(f"`{c}`") for c in wanted], *[x.alias(n) for n, x in (extra or {}).items()], term_counts(text, different).alias("__counts"))
+    rows = kept(rows)
+    count = lambda k: F.col("__counts")[k]
     by = [group] if group else []
-    stats = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum("__length").alias("__all"), *[F.count_if(F.col(f"__tf{k}") > 0).alias(f"__df{k}") for k in range(len(different))]
-    )
-    # One row for each group: a category, or the whole.
-    rows = rows.join(F.broadcast(stats), by) if group else rows.crossJoin(F.broadcast(stats))
-    average = F.col("__all") / F.greatest(F.col("__n"), F.lit(1))
-    ratio = F.coalesce(F.try_divide(F.col("__length"), average), F.lit(0.0))
+    stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.sum(count(0)).alias("__all"), F.array(*[F.count_if(count(k + 1) > 0) for k in range(len(different))]).alias("__df"))
+    # One row for each group that has terms, or one in all.
+    if group:
+        rows = rows.join(F.broadcast(stats.where(F.col(group).isin(list(lists)))), by, "left")
+    else:
+        rows = rows.crossJoin(F.broadcast(stats))
+    ratio = F.coalesce(F.try_divide(count(0), F.col("__all") / F.greatest(F.col("__n"), F.lit(1))), F.lit(0.0))
     parts = []
     for k, term in enumerate(different):
-        tf, df = F.col(f"__tf{k}"), F.col(f"__df{k}")
+        tf, df = count(k + 1), F.col("__df")[k]
         times = F.lit(0)
         for name, each in lists.items():
             n = list(each).count(term)
             times = F.lit(n) if name is None else F.when(F.col(group) == name, n).otherwise(times) if n else times
         idf = F.ln((F.col("__n") - df + 0.5) / (df + 0.5) + 1)
-        parts.append(F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * ratio)) * times).otherwise(F.lit(0.0)))
-    return rows.withColumn(out, add(parts).cast("double")).drop(*[c for c in rows.columns if c.startswith("__") and c not in items.columns])
-
-
-def normalized(items: DataFrame, score: str, group: Sequence[str] = (), out: str = "bm25") -> DataFrame:
-    """`items` with score / max(largest score of the group, 1), at most 1."""
-    most = items.groupBy(*group).agg(F.greatest(F.max(score), F.lit(1.0)).alias("__most"))
-    rows = items.join(F.broadcast(most), list(group)) if group else items.crossJoin(F.broadcast(most))
-    return rows.withColumn(out, F.least(F.col(score) / F.col("__most"), F.lit(1.0))).drop("__most")
+        parts.append(F.coalesce(F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * ratio)) * times), F.lit(0.0)))
+    rows = rows.withColumn("bm25_raw", add(parts).cast("double")).drop("__n", "__all", "__df", "__counts")
+    most = rows.groupBy(*by).agg(F.greatest(F.max("bm25_raw"), F.lit(1.0)).alias("__most"))
+    rows = rows.join(F.broadcast(most.where(F.col(group).isin(list(lists)))), by, "left") if group else rows.crossJoin(F.broadcast(most))
+    return rows.withColumn("bm25", F.coalesce(F.least(F.col("bm25_raw") / F.col("__most"), F.lit(1.0)), F.lit(0.0))).drop("__most")
 
 
 def age_days(published: Column | str, as_of: int) -> Column:
@@ -120,21 +151,24 @@ def latest_scores(scores: DataFrame, key: str = "item_id", at: str = "scored_at"
 
 
 def rank_categories(items: DataFrame, scores: DataFrame, as_of: int, days: int, categories: Sequence[str] | None = None, terms: dict[str, Sequence[str]] | None = None,
-                    core_terms: Sequence[str] = config.CORE_TERMS, highlight: str | None = None, unscored_min: float = 3.0) -> DataFrame:
+                    core_terms: Sequence[str] = config.CORE_TERMS, highlight: str | None = None, unscored_min: float = 3.0, columns: Sequence[str] | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
     """Ranked items of each category in one job.
 
     items: id, title, summary, source_title, category, published_at (epoch
     seconds).  scores: item_id, scored_at, relevance, usefulness, tags; the
-    oldest counts.  Adds bm25, recency, llm, relevance, usefulness, tags, boost,
-    final and rank.  Kept are rows without an off-topic tag whose relevance
-    reaches the category's least (`unscored_min` for items without a score).
+    oldest counts.  Adds bm25, recency, llm, relevance, usefulness, tags, boost
+    and final to the items' `columns` (all by default; without texts less is
+    shuffled) and `extra` columns, which are made from the items.  Kept are rows
+    without an off-topic tag whose relevance reaches the category's least
+    (`unscored_min` for items without a score).
     """
     categories = list(categories or config.CATEGORIES)
     terms = terms or {c: query_terms(config.CATEGORY[c].query) for c in categories}
     rows = items.where(in_window("published_at", as_of, days) & F.col("category").isin(categories))
-    text = text_of("title", "summary", "source_title", "category")
-    rows = bm25(rows, {c: list(terms[c]) for c in categories}, text, "category")
-    rows = normalized(rows, "bm25_raw", ["category"])
+    made = {"boost": domain_boost(text_of("title", "summary"), core_terms, highlight), **(extra or {})}
+    if columns is not None:
+        columns = ["source_title", "published_at", *columns]
+    rows = bm25(rows, {c: list(terms[c]) for c in categories}, text_of("title", "summary", "source_title", "category"), "category", columns=columns, extra=made)
     own = lambda f: F.element_at(F.create_map(*[x for c in categories for x in (F.lit(c), F.lit(float(f(config.CATEGORY[c]))))]), F.col("category"))
     first = first_scores(scores.select("item_id", "scored_at", "relevance", "usefulness", "tags")).withColumnsRenamed({"relevance": "s_rel", "usefulness": "s_use", "tags": "s_tags"})
     rows = rows.join(first, rows.id == first.item_id, "left").drop("scored_at")
@@ -143,7 +177,6 @@ def rank_categories(items: DataFrame, scores: DataFrame, as_of: int, days: int,
     rows = rows.withColumns({
         "llm": F.when(scored, (F.col("s_rel") * 0.7 + F.col("s_use") * 0.3) / 10).otherwise(F.col("bm25")),
         "recency": recency("published_at", as_of, own(lambda c: c.half_life_days)),
-        "boost": domain_boost(text_of("title", "summary"), core_terms, highlight),
         "relevance": F.when(scored, F.col("s_rel")).otherwise(guess),
         "usefulness": F.when(scored, F.col("s_use")).otherwise(guess),
         "tags": F.coalesce("s_tags", F.array().cast("array<string>")),
@@ -155,27 +188,29 @@ def rank_categories(items: DataFrame, scores: DataFrame, as_of: int, days: int,
 
 
 def with_rank(rows: DataFrame, score: str = "final", group: Sequence[str] = ("category",), ties: Sequence[str] = ("id",), most: int | None = None, out: str = "rank", spread: int | None = None) -> DataFrame:
-    """`rows` with their place by descending score (9 decimals, so that engines agree on ties).
+    """`rows` with their place by descending score (9 decimals, so that engines agree on ties; NaN first, null last).
 
     With `most`, rows beyond it go before the shuffle.  To number all rows of a
     group, it is cut into `spread` ranges of scores that are sorted apart; the
-    counts of the ranges give each its first place.  By default small sessions
-    sort a group at once, and larger ones cut it finer the more partitions they have.
+    counts of the ranges give each its first place, so places are the same for
+    every spread.  By default small sessions sort a group at once, and larger
+    ones cut it finer the more partitions they have.
     """
     place = F.round(score, 9)
     if most is not None:
-        order = Window.partitionBy(*group).orderBy(place.desc(), *ties)
+        order = Window.partitionBy(*group).orderBy(place.desc_nulls_last(), *ties)
         return rows.withColumn(out, F.row_number().over(order).cast("long")).where(F.col(out) <= most)
     spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16) if spread is None else spread
     if spread == 1:
-        order = Window.partitionBy(*group).orderBy(place.desc(), *ties)
+        order = Window.partitionBy(*group).orderBy(place.desc_nulls_last(), *ties)
         return rows.withColumn(out, F.row_number().over(order).cast("long"))
     marks = F.array(*[F.lit(k / spread) for k in range(1, spread)])
     ends = rows.groupBy(*group).agg(F.percentile_approx(place, marks, F.lit(10_000)).alias("__ends"))
-    cut = rows.join(F.broadcast(ends), list(group))  # one row for each group
-    cut = cut.withColumn("__range", F.size(F.filter("__ends", lambda end: end > place))).drop("__ends")
+    cut = rows.join(ends, list(group), "left")
+    own = F.size(F.filter(F.coalesce("__ends", F.array().cast("array<double>")), lambda end: end > place))
+    cut = cut.withColumn("__range", F.when(place.isNull(), spread).otherwise(own)).drop("__ends")
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     first = cut.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy(*group, "__range").orderBy(place.desc(), *ties)
+    inside = Window.partitionBy(*group, "__range").orderBy(place.desc_nulls_last(), *ties)
     numbered = cut.withColumn("__k", F.row_number().over(inside))
-    return numbered.join(F.broadcast(first), [*group, "__range"]).withColumn(out, F.col("__first") + F.col("__k")).drop("__first", "__k", "__range")
+    return numbered.join(first, [*group, "__range"]).withColumn(out, F.col("__first") + F.col("__k")).drop("__first", "__k", "__range")

@@ -11,33 +11,37 @@ from pyspark.sql import functions as F
 from feedloom.functions.text import add, contains, half_up, occurrences, text_of, word_occurrences
 
 
-def searchable(title: str = "title", summary: str = "summary", full_text: Column | None = None) -> Column:
-    parts = [F.col(title), F.col(summary)]
+def searchable(summary: str = "summary", full_text: Column | None = None) -> Column:
+    """What is searched besides the title, in lower case."""
+    parts = [F.col(summary)]
     if full_text is not None:
         parts.append(F.substring(full_text, 1, 5000))
     return F.lower(text_of(*parts))
 
 
-def keyword_score(query: str, title: Column, text: Column) -> Column:
+def keyword_score(query: str, title: Column, rest: Column) -> Column:
     """100 for the phrase in the title; for each term 30 a whole word in the title,
-    10 a partial one, 5 a whole word elsewhere, and 2 for each of up to 10 other parts.
-    Terms are literals, also those with signs that patterns have a meaning for."""
-    lower = F.lower(title)
-    parts = [F.when(contains(lower, query.lower()), 100).otherwise(0)]
+    10 a partial one, 5 a whole word in the rest, and 2 for each of up to 10 other
+    parts there.  Both are in lower case.  Terms are literals, also those with
+    signs that patterns have a meaning for."""
+    parts = [F.when(contains(title, query.lower()), 100).otherwise(0)]
     for term in query.lower().split():
-        in_title = word_occurrences(lower, term)
-        part_title = occurrences(lower, term) - in_title
-        exact = word_occurrences(text, term) - in_title
-        partial = occurrences(text, term) - exact - in_title - part_title
-        parts += [in_title * 30, part_title * 10, exact * 5, F.least(partial, F.lit(10)) * 2]
+        in_title, exact = word_occurrences(title, term), word_occurrences(rest, term)
+        parts += [in_title * 30, (occurrences(title, term) - in_title) * 10, exact * 5, F.least(occurrences(rest, term) - exact, F.lit(10)) * 2]
     return add(parts)
 
 
+def _bound(title: Column, rest: Column, score) -> Column:
+    """score(title, rest) with both worked out once a row."""
+    made = F.transform(F.array(F.struct(title.alias("t"), rest.alias("r"))), lambda x: score(x["t"], x["r"]))
+    return F.get(made, F.lit(0))
+
+
 def search_keyword(items: DataFrame, query: str, limit: int, ties: Sequence[str] = ("id",)) -> DataFrame:
     """The best `limit` rows with a positive score, with score and similarity (at most 1)."""
     if not query.split():
         return items.withColumns({"score": F.lit(0), "similarity": F.lit(0.0)}).limit(0)
-    rows = items.withColumn("score", keyword_score(query, F.col("title"), searchable()))
+    rows = items.withColumn("score", _bound(F.lower("title"), searchable(), lambda t, r: keyword_score(query, t, r)))
     # Rows without a hit sort last: the filter after the limit keeps the score from being worked out twice.
     rows = rows.orderBy(F.desc("score"), *ties).limit(limit).where("score > 0")
     return rows.withColumn("similarity", F.least(F.lit(1.0), half_up(F.col("score") / 100, 3)))
@@ -48,9 +52,12 @@ def search_term(items: DataFrame, query: str, limit: int, ties: Sequence[str] =
     terms = [t for t in query.lower().split() if len(t) > 2]
     if not terms:
         return items.withColumns({"score": F.lit(0), "similarity": F.lit(0.0)}).limit(0)
-    text = searchable()
-    score = add([occurrences(F.lower("title"), t) * 3 + F.least(occurrences(text, t), F.lit(10)) for t in terms])
-    rows = items.withColumn("score", score).orderBy(F.desc("score"), *ties).limit(limit).where("score > 0")
+
+    def score(title, rest):
+        found = [(occurrences(title, t), occurrences(rest, t)) for t in terms]
+        return add([a * 3 + F.least(a + b, F.lit(10)) for a, b in found])
+
+    rows = items.withColumn("score", _bound(F.lower("title"), searchable(), score)).orderBy(F.desc("score"), *ties).limit(limit).where("score > 0")
     return rows.withColumn("similarity", half_up(F.col("score") / 100, 3))
 
 
@@ -85,13 +92,21 @@ def topk(rows: DataFrame, score: str, k: int, ties: Sequence[str]) -> DataFrame:
     return rows.orderBy(F.round(score, 9).desc(), *ties).limit(k)
 
 
+def nearest(items: DataFrame, vectors: DataFrame, vector: Sequence[float] | DataFrame, k: int) -> DataFrame:
+    """(id, cosine) of the k items nearest to a vector; texts of items are not read."""
+    rows = items.select("id").join(vectors.select(F.col("item_id").alias("id"), "embedding"), "id")
+    return topk(with_cosine(rows, vector).select("id", "cosine"), "cosine", k, ["id"])
+
+
 def search_semantic(items: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float] | DataFrame, limit: int) -> DataFrame:
     """Items by cosine; by terms where fewer than max(5, limit / 2) have vectors, and so for every limit under 5."""
-    found = topk(with_cosine(items.join(vectors, items.id == vectors.item_id), vector), "cosine", limit, ["id"])
     few = max(5, limit / 2)
-    if limit < few or len(found.select("id").take(int(few) + 1)) < few:  # the driver sees at most limit ids
+    best = [tuple(r) for r in nearest(items, vectors, vector, limit).collect()] if limit >= few else []  # `limit` rows at most
+    if len(best) < few:
         return search_term(items, query, limit).select(*items.columns, "similarity")
-    return found.withColumn("similarity", half_up(F.col("cosine"), 3)).select(*items.columns, "similarity")
+    found = items.sparkSession.createDataFrame(best, items.select("id", F.lit(0.0).alias("cosine")).schema)
+    rows = topk(items.join(F.broadcast(found), "id"), "cosine", limit, ["id"])
+    return rows.withColumn("similarity", half_up(F.col("cosine"), 3)).select(*items.columns, "similarity")
 
 
 def search_hybrid(items: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float] | DataFrame, limit: int, candidates: int = 100, w_vector: float = 0.6) -> DataFrame:

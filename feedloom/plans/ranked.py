@@ -46,16 +46,15 @@ ranked AS (SELECT *, (wl::DOUBLE * llm + wb::DOUBLE * bm25 + wr::DOUBLE * recenc
 placed AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(final, 9) DESC, id) AS rank FROM ranked) """
 
 
-def ranked(spark, d, days=30):
+def ranked(spark, d, columns=(), **how):
     terms = dict.fromkeys(config.CATEGORIES, TERMS)
-    return ranking.rank_categories(items(spark, d), scores(spark, d), AS_OF, days, terms=terms, core_terms=CORE)
+    return ranking.rank_categories(items(spark, d), scores(spark, d), AS_OF, 30, terms=terms, core_terms=CORE, columns=columns, **how)
 
 
 @query(f"WITH {BM25} SELECT id, category, round(s, 6) AS raw, round(bm25, 6) AS bm25 FROM bm", "items")
 def bm25_score(spark, d):
     rows = items(spark, d).where(ranking.in_window("published_at", AS_OF, 30))
-    rows = ranking.bm25(rows, dict.fromkeys(config.CATEGORIES, TERMS), text_of("title", "summary", "source_title", "category"), "category")
-    rows = ranking.normalized(rows, "bm25_raw", ["category"])
+    rows = ranking.bm25(rows, dict.fromkeys(config.CATEGORIES, TERMS), text_of("title", "summary", "source_title", "category"), "category", columns=[])
     return rows.select("id", "category", F.round("bm25_raw", 6).alias("raw"), F.round("bm25", 6).alias("bm25"))
 
 
@@ -154,12 +153,15 @@ again AS (SELECT *, final * CASE WHEN a > 0.5 THEN 4 + a * 4 WHEN a > 0.3 THEN 2
 
 @query(RANKED + ALIGN + "SELECT id, category, round(adjusted, 6) AS final FROM again", "items scores firsts")
 def prompt_rerank(spark, d):
-    return prompt.rerank(ranked(spark, d), TOPICS).select("id", "category", F.round("final", 6).alias("final"))
+    rows = ranked(spark, d, extra={"present": prompt.presence(text_of("title", "summary"), TOPICS)})
+    return prompt.rerank(rows, TOPICS, present="present").select("id", "category", F.round("final", 6).alias("final"))
 
 
 @query(RANKED + "SELECT id, category FROM placed p WHERE NOT contains(lower(title || ' ' || summary), 'onthe') AND NOT agentic AND NOT contains(lower(title || ' ' || summary), 'agent')", "items scores firsts")
 def exclude_topics(spark, d):
-    return prompt.exclude(ranked(spark, d), ["agent", "onthe"]).select("id", "category")
+    avoid = ["agent", "onthe"]
+    rows = ranked(spark, d, extra={"named": prompt.names_any(text_of("title", "summary"), avoid)})
+    return prompt.exclude(rows, avoid, named="named").select("id", "category")
 
 
 @query(RANKED + "SELECT p.id, round(p.final * 0.7 + 0.3 * (p.id % 10) / 10.0, 6) AS final FROM placed p", "items scores firsts")
@@ -183,10 +185,12 @@ SELECT position, id, category, round(adjusted, 6) AS final, floor(adjusted * 10
 
 def _digest_pipeline(spark, d, limit, oversize):
     """Rank every category, drop what is too long, re-rank by topics, exclude, and select across categories."""
-    rows = prompt.exclude(prompt.rerank(ranked(spark, d), TOPICS), ["esandha"])
+    text = text_of("title", "summary")
+    rows = ranked(spark, d, extra={"present": prompt.presence(text, TOPICS), "named": prompt.names_any(text, ["esandha"]), "size": F.length("summary")})
+    rows = prompt.exclude(prompt.rerank(rows, TOPICS, present="present"), ["esandha"], named="named")
     rows = with_urls(rows, spark, d)
     if oversize:
-        rows = rows.where(F.length("summary") <= oversize)
+        rows = rows.where(F.col("size") <= oversize)
     rows = rows.withColumn("all", F.lit("all"))
     top = selection.keep_first(rows, url_key("url"), [F.round("final", 9).desc(), "id"])
     top = selection.best_of_sources(top, 3, limit, group=["all"])

@@ -46,14 +46,14 @@ class Corpus:
         """A category's ranked and source-diverse items, with scores to three digits."""
         limit = clamp(limit, 1, 50, config.CATEGORY[category(name)].max_items)
         cap = selection.source_cap(config.PERIOD_SOURCE_CAP[period], limit)
-        rows = ranking.rank_categories(self.items, self.scores, self.as_of, period_days(period), [name], self._terms(terms), **how)
+        rows = ranking.rank_categories(self.items, self.scores, self.as_of, period_days(period), [name], self._terms(terms), columns=["title"], **how)
         rows = selection.select_diverse(selection.best_of_sources(rows, cap, limit), cap, limit)
         return rows.select("position", "id", "title", "source_title", "reason", *[F.round(c, 3).alias(c) for c in ("final", "bm25", "llm", "recency")])
 
     def digest(self, period: str = "week", top: int = 5, terms: dict | None = None, **how) -> DataFrame:
         """The best items of every category, in one job."""
         days = {k: v for k, v in config.PERIOD_DAYS.items() if k != "all"}.get(period, 7)
-        rows = ranking.rank_categories(self.items, self.scores, self.as_of, days, None, self._terms(terms), **how)
+        rows = ranking.rank_categories(self.items, self.scores, self.as_of, days, None, self._terms(terms), columns=["title"], **how)
         return ranking.with_rank(rows, most=top).select("category", "rank", "id", "title", F.round("final", 3).alias("final"))
 
     def find(self, query: str, kind: str = "hybrid", period: str = "week", name: str | None = None, limit: int | None = None, vector=None) -> DataFrame:
@@ -75,8 +75,7 @@ class Corpus:
         days = period_days(period, strict=False)
         rows = self.items.where(ranking.in_window("published_at", self.as_of, days))
         rows = rows.where(F.col("category") == category(name)) if name else rows
-        rows = search.with_cosine(rows.join(self.vectors, rows.id == self.vectors.item_id), question_vector).drop("item_id", "embedding")
-        near = search.topk(rows, "cosine", search.retrieval_size(limit), ["id"])
+        near = rows.join(F.broadcast(search.nearest(rows, self.vectors, question_vector, search.retrieval_size(limit))), "id")  # 40 rows at most
         name = name or "newsletters"
         best = ranking.rank_categories(near.withColumn("category", F.lit(name)), self.scores, self.as_of, days, [name], self._terms(terms), **how)
         best = best.withColumn("final", F.col("final") * 0.7 + F.col("cosine") * 0.3)
@@ -96,7 +95,7 @@ class Corpus:
 
     def score_analytics(self, name: str, period: str = "week", buckets: int = 10, terms: dict | None = None, **how) -> DataFrame:
         """Low, high, mean and upper median of each score of a category's ranked items."""
-        rows = ranking.rank_categories(self.items, self.scores, self.as_of, period_days(period, strict=False), [category(name)], self._terms(terms), **how)
+        rows = ranking.rank_categories(self.items, self.scores, self.as_of, period_days(period, strict=False), [category(name)], self._terms(terms), columns=[], **how)
         metrics = ["final", "bm25", "llm", "recency", "boost"]
         middle = analytics.upper_median(analytics.long_form(rows, metrics), "value", ["metric"])
         return analytics.distribution(rows, metrics).join(middle, "metric", "left")

@@ -87,9 +87,9 @@ RETRIEVE = RANKED.replace("WITH kept AS (SELECT * FROM items WHERE", f"WITH {COS
 @query(RETRIEVE + "SELECT p.id, round(0.7 * final + 0.3 * n.c, 6) AS final FROM placed p JOIN near n USING (id) ORDER BY round(0.7 * final + 0.3 * n.c, 9) DESC, id LIMIT 100", "items scores firsts")
 def retrieve_context(spark, d):
     """The nearest items, ranked among themselves under one category's settings, blended with their cosine."""
-    rows = search.with_cosine(items(spark, d).join(vectors(spark, d), F.col("id") == F.col("item_id")), query_vector(spark, d)).drop("item_id", "embedding")
-    near = search.topk(rows, "cosine", search.retrieval_size(100), ["id"])
-    best = ranking.rank_categories(near.withColumn("category", F.lit("newsletters")), scores(spark, d), AS_OF, 30, ["newsletters"], {"newsletters": TERMS}, CORE)
+    rows = items(spark, d)
+    near = rows.join(F.broadcast(search.nearest(rows, vectors(spark, d), query_vector(spark, d), search.retrieval_size(100))), "id")  # 200 rows at most
+    best = ranking.rank_categories(near.withColumn("category", F.lit("newsletters")), scores(spark, d), AS_OF, 30, ["newsletters"], {"newsletters": TERMS}, CORE, columns=["cosine"])
     best = best.withColumn("final", F.col("final") * 0.7 + F.col("cosine") * 0.3)
     return search.topk(best, "final", 100, ["id"]).select("id", F.round("final", 6).alias("final"))
 

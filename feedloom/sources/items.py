@@ -32,10 +32,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` dealt anew if they are in fewer splits than the session has cores, so
+    that work on texts uses all of them; larger tables are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, source_title, title, summary, category, published_at (epoch seconds)."""
     names = F.array(*[F.lit(c) for c in config.CATEGORIES])
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         F.col("doc_id").alias("id"), F.col("source").alias("source_title"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"), F.col("text").alias("summary"),
         F.element_at(names, (F.col("doc_id") % 7 + 1).cast("int")).alias("category"), (F.lit(AS_OF) - F.col("doc_id") % 90 * DAY).alias("published_at"),
     )
