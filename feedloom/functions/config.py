@@ -103,3 +103,25 @@ PROMPT_VOICE = (
     ("conversational", "conversational"), ("casual", "conversational"), ("technical", "technical"), ("deep", "technical"), ("executive", "executive"), ("brief", "executive"),
 )
 PROMPT_AVOID = (("avoid theory", "theory"), ("avoid research", "research"), ("no research", "research"))
+
+# Urls that podcast digests, searches and links found in texts reject.
+BAD_PODCAST_URL = (
+    r"(?i)reddit\.com/r/", r"(?i)reddit\.com/u/", r"(?i)news\.google\.com/rss/", r"(?i)inoreader\.com", r"(?i)/advertis(e|ing)", r"(?i)/sponsor",
+    r"(?i)/unsubscribe", r"(?i)/subscribe(?![a-z])",
+)
+BAD_SEARCH_URL = (
+    r"(?i)reddit\.com/r/", r"(?i)reddit\.com/u/", r"(?i)reddit\.com/user/", r"(?i)news\.google\.com/rss/", r"(?i)inoreader\.com", r"(?i)google\.com/reader",
+    r"(?i)/advertis(e|ing)", r"(?i)/sponsor", r"(?i)/unsubscribe", r"(?i)/subscribe(?![a-z])", r"(?i)/privacy", r"(?i)/terms",
+)
+BAD_FOUND_URL = (
+    r"(?i)inoreader\.com", r"(?i)google\.com/reader", r"(?i)news\.google\.com/rss/", r"(?i)tracking\.", r"(?i)/unsubscribe", r"(?i)reddit\.com/r/",
+    r"(?i)reddit\.com/u/", r"(?i)reddit\.com/user/", r"(?i)/advertise", r"(?i)/sponsor", r"(?i)/media-kit", r"(?i)/privacy", r"(?i)/terms",
+    r"(?i)substack\.com/redirect/", r"(?i)substackcdn\.com",
+)
+
+# Words that a podcast review looks for, as parts of words.
+PODCAST_AI_WORDS = ("highlights", "underscores", "shapes", "fosters", "emerging", "landscape", "leveraging", "harnessing", "delve", "showcase")
+
+# The fallback rundown and script of an episode.
+RUNDOWN_SEGMENTS, RUNDOWN_LIGHTNING, SEGMENT_SECONDS, EPISODE_SECONDS = 4, 3, 120, 420
+SEGMENT_INTROS = ("Let's kick things off with", "Moving on to", "Next up,", "Now let's look at")

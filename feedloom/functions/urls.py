@@ -1,6 +1,7 @@
 """URL columns."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -69,27 +70,65 @@ def site_name(url: Column | str) -> Column:
     return F.regexp_replace(hostname(url), r"^www\.", "")
 
 
-def metadata(url: Column | str, host: str) -> tuple[Column, Column]:
-    """Author and source: on a host with a subdomain for each author that subdomain
-    and the host, elsewhere no author and the site."""
-    on = contains(site_name(url), host)
-    author = F.regexp_extract(col(url), r"://(?:www\.|m\.)?([^.]+)\.", 1)
-    return F.when(on, author), F.when(on, F.lit(host)).otherwise(site_name(url))
+def metadata(url: Column | str) -> tuple[Column, Column]:
+    """Author and source: on substack.com the subdomain, on medium.com the "@name" in
+    the path; elsewhere, and without such a name, no author.  The source is the
+    blog's host, or the site."""
+    u = col(url)
+    site = F.replace(hostname(u), F.lit("www."), F.lit(""))
+    letter = F.nullif(F.regexp_extract(u, r"https://([^.]+)\.substack\.com", 1), F.lit(""))
+    writer = F.nullif(F.regexp_extract(u, r"medium\.com/@([^/]+)", 1), F.lit(""))
+    on_letter = contains(site, "substack.com") & letter.isNotNull()
+    medium, dev = contains(site, "medium.com"), contains(site, "dev.to")
+    good = F.coalesce(u.startswith("http"), F.lit(False))
+    author = F.when(good & on_letter, letter).when(good & medium, writer)
+    source = F.when(on_letter, "substack.com").when(medium, "medium.com").when(dev, "dev.to").otherwise(site)
+    return author, F.when(good, source)
+
+
+def bad_podcast_url(url: Column | str) -> Column:
+    """Rejected for an episode; an empty url is."""
+    u = F.coalesce(col(url), F.lit(""))
+    return (u == "") | any_match(u, config.BAD_PODCAST_URL)
+
+
+def bad_search_url(url: Column | str) -> Column:
+    """Rejected as a search result; an empty url is."""
+    u = F.coalesce(col(url), F.lit(""))
+    return (u == "") | any_match(u, config.BAD_SEARCH_URL)
+
+
+def first_url(text: Column | str, bad: Sequence[str] = config.BAD_FOUND_URL) -> Column:
+    """The first url in a text that no bad pattern fits, or null."""
+    found = F.regexp_extract_all(col(text), F.lit("""https?://[^\\s<>"')]+"""), F.lit(0))
+    return F.get(F.filter(found, lambda u: ~any_match(u, bad)), F.lit(0))
+
+
+def search_query(title: Column | str) -> Column:
+    """What is searched for an article: 80 characters of its title without signs, or the title."""
+    short = F.regexp_replace(F.substring(col(title), 1, 80), r"[^A-Za-z0-9_\s-]", "")
+    short = F.regexp_replace(short, r"^\s+|\s+$", "")
+    return F.when(short == "", col(title)).otherwise(short)
+
+
+def paper_url(code: Column | str, base: str) -> Column:
+    """A paper's page: the code in percent encoding, spaces too."""
+    return F.concat(F.lit(base), F.regexp_replace(F.url_encode(col(code)), r"\+", "%20"))
 
 
 def unwrap_cl0(url: Column | str) -> Column:
-    """The target of a /CL0/<encoded>/<n>/ tracking link; other urls as they are."""
-    found = F.regexp_extract(col(url), r"/CL0/([^/]+)/", 1)
+    """The target of a /CL0/<encoded>/<digits>/ tracking link, slashes included; other urls as they are."""
+    found = F.regexp_extract(col(url), r"/CL0/(.+?)/[0-9]+/", 1)
     for code, char in (("%2F", "/"), ("%3A", ":"), ("%3D", "="), ("%3F", "?")):
         found = F.replace(found, F.lit(code), F.lit(char))
     return F.when(found != "", found).otherwise(col(url))
 
 
-def unwrap_base64(url: Column | str) -> Column:
-    """The target ("e") in the JSON of a /redirect/2/<base64url> link; other urls as they are."""
-    coded = F.translate(F.regexp_extract(col(url), r"/redirect/2/([A-Za-z0-9_-]+)", 1), "-_", "+/")
+def unwrap_base64(url: Column | str, host: str = "substack.com") -> Column:
+    """The target ("e") in the JSON of a <host>/redirect/2/<base64url> link; other urls, and other hosts', as they are."""
+    coded = F.translate(F.regexp_extract(col(url), re.escape(host) + r"/redirect/2/([A-Za-z0-9_-]+)", 1), "-_", "+/")
     json = F.try_to_binary(coded, F.lit("base64")).cast("string")
-    return F.coalesce(F.when(coded != "", F.get_json_object(json, "$.e")), col(url))
+    return F.coalesce(F.when(coded != "", F.nullif(F.get_json_object(json, "$.e"), F.lit(""))), col(url))
 
 
 def arxiv_id(url: Column | str) -> Column:

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import half_up, strip_html
-from feedloom.functions.urls import is_web, site_name
+from feedloom.functions import config
+from feedloom.functions.text import ai_language_issues, bias_issues, half_up, hits, strip_html
+from feedloom.functions.urls import bad_podcast_url, bad_review_url, excluded_item, is_web, site_name, valid_url
+from feedloom.operators.decompose import decompose
 
 NOTHING = "No summary available"
 
@@ -64,3 +66,71 @@ def verification_report(issues: DataFrame, group: Sequence[str]) -> DataFrame:
     body = F.concat(F.when(F.col("errors") > 0, F.concat(F.lit("### Errors (must fix)\n\n"), "__e")).otherwise(""), F.when(F.col("warnings") > 0, F.concat(F.lit("### Warnings (consider fixing)\n\n"), "__w")).otherwise(""))
     found = F.when(F.col("errors") + F.col("warnings") > 0, F.concat(F.lit("## Issues Found\n\n"), body)).otherwise("## All Checks Passed\n\nNo issues found.\n")
     return rows.select(*group, "errors", "warnings", F.concat(F.lit("# Script Verification Report\n\n**Passed Verification:** "), passed, F.lit("\n\n"), found).alias("report"))
+
+
+def extract(items: DataFrame, newsletters: Sequence[str], aggregators: Sequence[str] = ()) -> DataFrame:
+    """Digests of items: discussion threads and redirects go, newsletters become
+    their articles, and each row left gets a digest."""
+    return fallback_digest(decompose(items.where(~excluded_item("url")), newsletters, aggregators=aggregators))
+
+
+def podcast_digests(items: DataFrame, focus: str = "", aggregators: Sequence[str] = (), least: int = 3) -> DataFrame:
+    """Digests for an episode of the items with a good url whose relevance is at least `least` (null counts as 5)."""
+    rows = podcast_digest(items.where(~excluded_item("url") & valid_url("url", aggregators)), focus)
+    return rows.where(F.coalesce("relevance_to_focus", F.lit(5)) >= least)
+
+
+def _reported(found: Sequence[Column]) -> Column:
+    return F.array_compact(F.array(*found))
+
+
+def review(digests: DataFrame, product: str | None = None) -> DataFrame:
+    """`digests` with `issues` (bad url, language of gist and of why it matters, bias,
+    the first bad bullet) and `passed`."""
+    said = lambda c, title: F.when(F.size(ai_language_issues(c)) > 0, F.concat(F.lit(f"{title} has AI language: "), F.array_join(ai_language_issues(c), "; ")))
+    bias = bias_issues("why_it_matters", product)
+    bullet = F.get(F.filter("key_bullets", lambda b: F.size(ai_language_issues(b)) > 0), F.lit(0))
+    issues = _reported([
+        F.when(bad_review_url("url"), F.concat(F.lit("Bad URL domain/pattern: "), F.coalesce("url", F.lit("")))),
+        said(F.coalesce("gist", F.lit("")), "Gist"), said(F.coalesce("why_it_matters", F.lit("")), "Why It Matters"),
+        F.when(F.size(bias) > 0, F.concat(F.lit("Why It Matters: "), F.array_join(bias, "; "))),
+        F.when(bullet.isNotNull(), F.concat(F.lit("Key bullet has AI language: "), F.substring(bullet, 1, 50), F.lit("..."))),
+    ])
+    return digests.withColumn("issues", issues).withColumn("passed", F.size("issues") == 0)
+
+
+def review_podcast(digests: DataFrame) -> DataFrame:
+    """`digests` of an episode with `issues` (bad url, language of gist, takeaway and
+    soundbites, low relevance) and `passed`.  Words count inside words too."""
+    bad = lambda c: hits(F.lower(F.coalesce(c, F.lit(""))), config.PODCAST_AI_WORDS) > 0
+    relevance = F.col("relevance_to_focus")
+    issues = _reported([
+        F.when(bad_podcast_url("url"), F.concat(F.lit("Bad URL: "), F.coalesce("url", F.lit("")))),
+        F.when(bad(F.col("one_sentence_gist")), "Gist contains AI-style language"),
+        F.when(bad(F.col("one_line_takeaway")), "Takeaway contains AI-style language"),
+        F.when(F.exists("soundbite_lines", bad), "Soundbite contains AI-style language"),
+        F.when(F.coalesce(relevance, F.lit(5)) < 3, F.concat(F.lit("Low relevance score: "), relevance.cast("string"))),
+    ])
+    return digests.withColumn("issues", issues).withColumn("passed", F.size("issues") == 0)
+
+
+def apply_fixes(scripts: DataFrame, issues: DataFrame, key: str, order: str) -> DataFrame:
+    """`scripts` (key, script) with each script's issues mended in order: the first
+    occurrence of an unsupported line is marked, once a script, and an overconfident
+    line gives way to its fix.  Scripts without issues stay."""
+    mark = " [NEEDS SUPPORT]"
+    own = issues.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "severity", "type", "line", "fix"))).alias("__issues"))  # one script's issues
+
+    def first(script, line, new):
+        at = F.position(line, script)
+        return F.when(at > 0, F.concat(F.substring(script, F.lit(1), at - 1), new, F.substring(script, at + F.length(line), F.length(script)))).otherwise(script)
+
+    def mended(script, x):
+        unsupported = (x["severity"] == "error") & (x["type"] == "unsupported_claim") & ~script.contains(mark.strip())
+        marked = F.when(F.coalesce(unsupported, F.lit(False)), first(script, x["line"], F.concat(x["line"], F.lit(mark)))).otherwise(script)
+        tone = F.coalesce((x["type"] == "overconfident_language") & (F.coalesce(x["fix"], F.lit("")) != ""), F.lit(False))
+        return F.when(tone, first(marked, x["line"], x["fix"])).otherwise(marked)
+
+    rows = scripts.join(own, key, "left")
+    fixed = F.aggregate(F.coalesce("__issues", F.array().cast(own.schema["__issues"].dataType)), F.col("script"), mended)
+    return rows.withColumn("script", fixed).drop("__issues")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import chunks, config, text, urls
 from feedloom.operators import decompose as newsletters
-from feedloom.operators import digests
+from feedloom.operators import digests, replies
 from feedloom.plans.registry import query
-from feedloom.sources.items import items, read, with_urls
+from feedloom.sources.items import items, read, spread, with_urls
 
 HOST_SQL = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 
@@ -23,22 +23,37 @@ def vendor_hostname(spark, d):
     return read(spark, d, "pages").select("page_id", urls.hostname("url").alias("host"))
 
 
-@query(f"""WITH h AS (SELECT page_id, url, regexp_replace({HOST_SQL}, 'www\\.', '') AS site FROM pages)
-SELECT page_id, CASE WHEN contains(site, 'example.net') THEN regexp_extract(url, '://(?:www\\.|m\\.)?([^.]+)\\.', 1) END AS author, CASE WHEN contains(site, 'example.net') THEN 'example.net' ELSE site END AS source FROM h""")
+#: Pages' urls moved to hosts with rules of their own, by page number.
+BLOGS = "CASE page_id % 6 WHEN 0 THEN 'https://ann.substack.com/p/' WHEN 1 THEN 'https://www.medium.com/@bob/' WHEN 2 THEN 'https://medium.com/x/' WHEN 3 THEN 'https://dev.to/c/' WHEN 4 THEN 'http://substack.com/' ELSE url END"
+
+
+def _blogs(spark, d):
+    own = F.when(F.col("page_id") % 6 == 5, F.col("url"))
+    for k, u in enumerate(("https://ann.substack.com/p/", "https://www.medium.com/@bob/", "https://medium.com/x/", "https://dev.to/c/", "http://substack.com/")):
+        own = own.when(F.col("page_id") % 6 == k, F.lit(u))
+    return read(spark, d, "pages").select("page_id", own.alias("u"))
+
+
+@query(f"""WITH h AS (SELECT page_id, {BLOGS} AS url FROM pages), s AS (SELECT page_id, url, replace({HOST_SQL}, 'www.', '') AS site FROM h)
+SELECT page_id, CASE WHEN site = 'ann.substack.com' THEN 'ann' WHEN contains(url, '/@') THEN regexp_extract(url, '@([a-z]+)', 1) END AS author,
+  CASE WHEN site = 'ann.substack.com' THEN 'substack.com' ELSE site END AS source FROM s""")
 def url_metadata(spark, d):
-    return read(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in zip(("author", "source"), urls.metadata("url", "example.net"))])
+    return _blogs(spark, d).select("page_id", *[c.alias(n) for n, c in zip(("author", "source"), urls.metadata("u"))])
 
 
-@query("""SELECT page_id, 'https://x.example/' || page_id AS target FROM pages""")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://x.example/' || page_id WHEN 1 THEN 'https://y.example/a/b?c=' || page_id WHEN 2 THEN 'https://track.example/CL0/https:%2F%2Fx.example/none' ELSE url END AS target FROM pages""")
 def url_unwrap_cl0(spark, d):
-    wrapped = F.concat(F.lit("https://track.example/CL0/https:%2F%2Fx.example%2F"), F.col("page_id").cast("string"), F.lit("/1/abc"))
+    n = F.col("page_id").cast("string")
+    encoded = F.concat(F.lit("https://track.example/CL0/https:%2F%2Fx.example%2F"), n, F.lit("/1/abc"))
+    plain = F.concat(F.lit("https://track.example/CL0/https://y.example/a/b%3Fc%3D"), n, F.lit("/22/abc"))
+    wrapped = F.when(n % 4 == 0, encoded).when(n % 4 == 1, plain).when(n % 4 == 2, "https://track.example/CL0/https:%2F%2Fx.example/none").otherwise(F.col("url"))
     return read(spark, d, "pages").select("page_id", urls.unwrap_cl0(wrapped).alias("target"))
 
 
-@query("SELECT page_id, url AS target FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://mail.example/redirect/2/abc' ELSE url END AS target FROM pages")
 def url_unwrap_b64(spark, d):
     coded = F.translate(F.base64(F.concat(F.lit('{"e":"'), "url", F.lit('"}')).cast("binary")), "+/=\r\n", "-_")
-    wrapped = F.concat(F.lit("https://mail.example/redirect/2/"), coded, F.lit("?r=1"))
+    wrapped = F.when(F.col("page_id") % 3 == 0, "https://mail.example/redirect/2/abc").otherwise(F.concat(F.lit("https://substack.com/redirect/2/"), coded, F.lit("?r=1")))
     return read(spark, d, "pages").select("page_id", urls.unwrap_base64(wrapped).alias("target"))
 
 
@@ -74,16 +89,26 @@ def title_block(spark, d):
     return read(spark, d, "documents").select("doc_id", text.any_match(title, [f"(?i){p}" for p in newsletters.BAD_TITLE]).alias("bad"))
 
 
-@query("""SELECT page_id, list_filter(regexp_extract_all(html, 'https?://[^\\s<>"'')]+'), lambda u: NOT contains(u, 'example.net'))[1] AS first_url FROM pages""")
+@query(MADE + f"SELECT page_id, ({_rejects(config.BAD_PODCAST_URL[:-1])} OR u LIKE '%/subscribe') AS bad FROM m")
+def url_block_podcast(spark, d):
+    return _made_urls(spark, d).select("page_id", urls.bad_podcast_url("u").alias("bad"))
+
+
+@query(MADE + f"SELECT page_id, ({_rejects([p for p in config.BAD_SEARCH_URL if '(?!' not in p])} OR u LIKE '%/subscribe') AS bad FROM m")
+def url_block_search(spark, d):
+    return _made_urls(spark, d).select("page_id", urls.bad_search_url("u").alias("bad"))
+
+
+@query(f"""SELECT page_id, list_filter(regexp_extract_all('https://a.tracking.example/x https://b.example/sponsor ' || html, 'https?://[^\\s<>"'')]+'), lambda u: NOT ({_rejects(config.BAD_FOUND_URL)}))[1] AS first_url FROM pages""")
 def url_first_in_text(spark, d):
-    found = F.regexp_extract_all("html", F.lit("""https?://[^\\s<>"')]+"""), F.lit(0))
-    return read(spark, d, "pages").select("page_id", F.get(F.filter(found, lambda u: ~u.contains("example.net")), F.lit(0)).alias("first_url"))
+    html = F.concat(F.lit("https://a.tracking.example/x https://b.example/sponsor "), "html")
+    return read(spark, d, "pages").select("page_id", urls.first_url(html).alias("first_url"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9_\\s-]', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS q FROM documents")
+@query("""WITH q AS (SELECT doc_id, text, trim(regexp_replace(substr(text, 1, 80), '[^A-Za-z0-9_\\s-]', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS q FROM documents)
+SELECT doc_id, CASE WHEN q = '' THEN text ELSE q END AS q FROM q""")
 def search_query_clean(spark, d):
-    short = F.regexp_replace(F.substring("text", 1, 80), r"[^A-Za-z0-9_\s-]", "")
-    return read(spark, d, "documents").select("doc_id", F.regexp_replace(short, r"^\s+|\s+$", "").alias("q"))
+    return read(spark, d, "documents").select("doc_id", urls.search_query("text").alias("q"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN printf('%04d.%05d', 1000 + doc_id % 9000, doc_id % 100000) END AS arxiv FROM documents""")
@@ -95,12 +120,12 @@ def arxiv_id(spark, d):
 
 @query("SELECT p_partkey, 'https://papers.example/abs/' || url_encode(p_name) AS url FROM part")
 def paper_url(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.concat(F.lit("https://papers.example/abs/"), F.regexp_replace(F.url_encode("p_name"), r"\+", "%20")).alias("url"))
+    return read(spark, d, "part").select("p_partkey", urls.paper_url("p_name", "https://papers.example/abs/").alias("url"))
 
 
 @query("SELECT o_orderkey, year(o_orderdate)::INTEGER AS year FROM orders")
 def year_from_pubdate(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", F.expr("try_cast(substr(date_format(o_orderdate, 'yyyy-MM'), 1, 4) AS int)").alias("year"))
+    return read(spark, d, "orders").select("o_orderkey", replies.year_of(F.date_format("o_orderdate", "yyyy-MM")).alias("year"))
 
 
 @query("""SELECT conv_id, CASE WHEN count(*) > 3 THEN string_agg(role, ', ' ORDER BY turn) FILTER (WHERE turn <= (SELECT min(turn) + 2 FROM conversations c WHERE c.conv_id = o.conv_id)) || ' et al.'
@@ -108,8 +133,7 @@ def year_from_pubdate(spark, d):
 def authors_label(spark, d):
     names = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
     rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(names).alias("json"))
-    who = F.from_json("json", "array<string>")
-    return rows.select("conv_id", F.concat(F.array_join(F.slice(who, 1, 3), ", "), F.when(F.size(who) > 3, " et al.").otherwise("")).alias("label"))
+    return rows.select("conv_id", replies.authors_label("json").alias("label"))
 
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g')) AS txt FROM pages""")
@@ -149,18 +173,43 @@ def truncate_word(spark, d):
 
 @query(None)
 def decompose_newsletter(spark, d):
-    rows = with_urls(items(spark, d), spark, d).join(read(spark, d, "pages").select("page_id", "html"), F.col("id") == F.col("page_id")).drop("page_id")
+    pages = read(spark, d, "pages")
+    n = pages.count()  # from the file footers
+    rows = items(spark, d).join(pages.select("page_id", "url", "html"), F.col("id") % max(n, 1) == F.col("page_id")).drop("page_id")
     rows = rows.withColumns({"summary": F.col("html"), "bm25": F.lit(0.8), "final": F.lit(0.9)}).drop("html")
     return newsletters.decompose(rows, ["src1"]).select("id", "title", "url", F.round("bm25", 6).alias("bm25"), F.round("final", 6).alias("final"))
 
 
-@query("""WITH f AS (SELECT id, source_title, CASE WHEN summary = '' THEN 'No summary available' ELSE summary END AS c, id % 11 / 10.0 AS final FROM items),
-h AS (SELECT *, trim(substr(c, 1, 150), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS head FROM f WHERE NOT contains(c, '<'))
-SELECT id, trim(substr(c, 1, 100), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS gist, CASE WHEN length(head) < 50 THEN 'From ' || source_title || '. Topics: a, b' WHEN ends_with(head, '.') THEN head ELSE head || '...' END AS why_it_matters,
-  floor(final * 10 + 0.5)::BIGINT AS relevance FROM h""", "items")
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: The digest of every item, with markup in every other text.
+DIGEST = f"""WITH f AS (SELECT id, source_title, title, CASE WHEN summary = '' THEN 'No summary available' ELSE CASE WHEN id % 2 = 0 THEN '<p class="x">Lead &amp; &lt;more&gt;</p> ' ELSE '' END || summary END AS raw, id % 11 / 10.0 AS final FROM items),
+g AS (SELECT *, CASE WHEN contains(raw, '<') THEN trim(regexp_replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g')) ELSE raw END AS c FROM f),
+h AS (SELECT *, trim(substr(c, 1, 150), {WHITE}) AS head FROM g),
+dig AS (SELECT id, title, trim(substr(c, 1, 100), {WHITE}) AS gist, CASE WHEN length(head) < 50 THEN 'From ' || source_title || '. Topics: a, b' WHEN ends_with(head, '.') THEN head ELSE head || '...' END AS why,
+  CASE WHEN length(c) > 150 THEN head || '...' ELSE trim(c, {WHITE}) END AS bullet, floor(final * 10 + 0.5)::BIGINT AS relevance FROM h) """
+
+
+def _digests(spark, d):
+    marked = F.when(F.col("summary") == "", "").when(F.col("id") % 2 == 0, F.concat(F.lit('<p class="x">Lead &amp; &lt;more&gt;</p> '), "summary")).otherwise(F.col("summary"))
+    rows = items(spark, d).withColumns({"summary": marked, "final": F.col("id") % 11 / 10.0, "tags": F.array(F.lit("a"), F.lit("b")), "url": F.lit("https://x.example/a")})
+    return digests.fallback_digest(rows)
+
+
+@query(DIGEST + "SELECT id, gist, why AS why_it_matters, bullet, relevance FROM dig", "items")
 def digest_fallback(spark, d):
-    rows = items(spark, d).where(~F.col("summary").contains("<")).withColumns({"final": F.col("id") % 11 / 10.0, "tags": F.array(F.lit("a"), F.lit("b")), "url": F.lit("")})
-    return digests.fallback_digest(rows).select("id", "gist", "why_it_matters", "relevance")
+    return _digests(spark, d).select("id", "gist", "why_it_matters", F.get("key_bullets", F.lit(0)).alias("bullet"), "relevance")
+
+
+@query(None)
+def digest_extract(spark, d):
+    """Exclusion, newsletters to articles, and digests in one."""
+    pages = read(spark, d, "pages")
+    n = pages.count()  # from the file footers
+    rows = items(spark, d).join(pages.select("page_id", "url", "html"), F.col("id") % max(n, 1) == F.col("page_id")).drop("page_id")
+    rows = rows.withColumns({"summary": F.when(F.col("id") % 2 == 0, F.col("html")).otherwise(F.col("summary")), "url": F.when(F.col("id") % 10 == 1, "https://reddit.com/r/x").otherwise(F.col("url")),
+                             "bm25": F.lit(0.8), "final": F.col("id") % 11 / 10.0, "tags": F.array(F.lit("a"))}).drop("html")
+    return digests.extract(rows, ["src1"]).select("id", "title", "url", "gist", "relevance")
 
 
 @query("""SELECT id, substr(CASE WHEN summary = '' THEN 'No summary available' ELSE summary END, 1, 100) AS one_sentence_gist, 'New content from ' || source_title AS what_changed,
@@ -177,48 +226,66 @@ def arxiv_url(spark, d):
     return read(spark, d, "documents").select("doc_id", urls.arxiv_url(code, fixed=True).alias("url"))
 
 
-#: Prose with words that reviews count, made of the id, since the texts have none.
+#: Every text, after prose with words that reviews count, as few texts have any.
 def _made_text():
     n = F.col("doc_id")
     return F.concat(
         F.when(n % 2 == 0, "This trend highlights a landscape. ").otherwise("We tested it. "), F.when(n % 3 == 0, "They delve, delve and explore. ").otherwise("Delves only. "),
-        F.when(n % 5 == 0, "code search, code search, agents, agents and information retrieval. ").otherwise("search. "), F.when(n % 7 == 0, "Teams should explore it.").otherwise("Done."))
+        F.when(n % 5 == 0, "code search, code search, agents, agents and information retrieval. ").otherwise("search. "), F.when(n % 7 == 0, "Teams should explore it. ").otherwise("Done. "), "text")
 
 
 MADE_TEXT = """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'This trend highlights a landscape. ' ELSE 'We tested it. ' END || CASE WHEN doc_id % 3 = 0 THEN 'They delve, delve and explore. ' ELSE 'Delves only. ' END
- || CASE WHEN doc_id % 5 = 0 THEN 'code search, code search, agents, agents and information retrieval. ' ELSE 'search. ' END || CASE WHEN doc_id % 7 = 0 THEN 'Teams should explore it.' ELSE 'Done.' END AS t FROM documents) """
+ || CASE WHEN doc_id % 5 = 0 THEN 'code search, code search, agents, agents and information retrieval. ' ELSE 'search. ' END || CASE WHEN doc_id % 7 = 0 THEN 'Teams should explore it. ' ELSE 'Done. ' END || text AS t FROM documents) """
 
+AI_WORDS_SQL = "['highlights', 'underscores', 'shapes', 'fosters', 'emerging', 'landscape', 'approaches', 'methodologies', 'ecosystem', 'leveraging', 'harnessing', 'delve', 'showcase', 'explore', 'unpack']"
+INANIMATE_SQL = "regexp_matches(any_value(t), '(this|that|the|research|finding|trend|approach|method)\\s+(highlights|underscores|shapes|shows|demonstrates|indicates)', 'i')"
+PREAMBLE_SQL = "regexp_matches(any_value(t), '^(This|The|Research|Studies?)\\s+(further|also)?\\s*(highlights|shows|demonstrates)', 'i')"
 
-@query(MADE_TEXT + """, w AS (SELECT unnest(['highlights', 'underscores', 'shapes', 'fosters', 'emerging', 'landscape', 'approaches', 'methodologies', 'ecosystem', 'leveraging', 'harnessing', 'delve', 'showcase', 'explore', 'unpack']) AS word),
-c AS (SELECT doc_id, t, word, len(regexp_extract_all(lower(t), '\\b' || word || '\\b')) AS n FROM m, w)
-SELECT doc_id, sum(n)::BIGINT AS words, (count(*) FILTER (WHERE n > 0) + CASE WHEN regexp_matches(any_value(t), '(this|that|the|research|finding|trend|approach|method)\\s+(highlights|underscores|shapes|shows|demonstrates|indicates)', 'i') THEN 1 ELSE 0 END
- + CASE WHEN regexp_matches(any_value(t), '^(This|The|Research|Studies?)\\s+(further|also)?\\s*(highlights|shows|demonstrates)', 'i') THEN 1 ELSE 0 END)::INTEGER AS issues FROM c GROUP BY doc_id""")
+
+@query(MADE_TEXT + f""", w AS (SELECT unnest({AI_WORDS_SQL}) AS word), c AS (SELECT doc_id, t, word, len(regexp_extract_all(lower(t), '\\b' || word || '\\b')) AS n FROM m, w)
+SELECT doc_id, sum(n)::BIGINT AS words, (count(*) FILTER (WHERE n > 0) + CASE WHEN {INANIMATE_SQL} THEN 1 ELSE 0 END + CASE WHEN {PREAMBLE_SQL} THEN 1 ELSE 0 END)::INTEGER AS issues FROM c GROUP BY doc_id""")
 def ai_language_review(spark, d):
-    made = F.lower(_made_text())
-    words = text.add([text.word_occurrences(made, w) for w in config.AI_WORDS])
-    return read(spark, d, "documents").select("doc_id", words.cast("long").alias("words"), F.size(text.ai_language_issues(_made_text())).alias("issues"))
+    words = text.add([text.word_occurrences(F.lower("t"), w) for w in config.AI_WORDS])
+    rows = spread(read(spark, d, "documents")).select("doc_id", _made_text().alias("t"))
+    return rows.select("doc_id", words.cast("long").alias("words"), F.size(text.ai_language_issues("t")).alias("issues"))
 
 
 @query(MADE_TEXT + """, k AS (SELECT doc_id, t, len(regexp_extract_all(lower(t), 'code search|context management|agents|information retrieval')) AS n FROM m)
-SELECT doc_id, concat_ws('; ', CASE WHEN n > 4 THEN 'Heavy keyword stuffing detected (' || n || ' keyword mentions)' END, CASE WHEN t LIKE '%Teams should explore%' THEN 'Generic corporate advice pattern' END) AS issues FROM k""")
+SELECT doc_id, concat_ws('; ', CASE WHEN n > 4 THEN 'Heavy keyword stuffing detected (' || n || ' keyword mentions)' END, CASE WHEN regexp_matches(t, 'teams (should|can|must) (evaluate|explore|understand)', 'i') THEN 'Generic corporate advice pattern' END) AS issues FROM k""")
 def bias_review(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.array_join(text.bias_issues(_made_text()), "; ").alias("issues"))
+    return spread(read(spark, d, "documents")).select("doc_id", F.array_join(text.bias_issues(_made_text()), "; ").alias("issues"))
+
+
+#: Digests whose gist, reason and bullet hold whole texts, so that every text is reviewed.
+REVIEW = MADE_TEXT + f""", x AS (SELECT m.doc_id, m.t, p.url AS u FROM m JOIN pages p ON p.page_id = m.doc_id % (SELECT count(*) FROM pages)),
+w AS (SELECT k, word FROM (SELECT unnest({AI_WORDS_SQL}) AS word, generate_subscripts({AI_WORDS_SQL}, 1) AS k)),
+c AS (SELECT x.doc_id, x.t, x.u, w.k, w.word, len(regexp_extract_all(lower(x.t), '\\b' || w.word || '\\b')) AS n FROM x, w),
+lang AS (SELECT doc_id, any_value(t) AS t, any_value(u) AS u, concat_ws('; ', string_agg('Overused AI word: "' || word || '" (' || n || 'x)', '; ' ORDER BY k) FILTER (WHERE n > 0),
+  CASE WHEN {INANIMATE_SQL} THEN 'Possible inanimate subject doing human action' END, CASE WHEN {PREAMBLE_SQL} THEN 'Corporate preamble pattern detected' END) AS ai FROM c GROUP BY doc_id),
+bias AS (SELECT *, concat_ws('; ', CASE WHEN n > 4 THEN 'Heavy keyword stuffing detected (' || n || ' keyword mentions)' END, CASE WHEN regexp_matches(t, 'teams (should|can|must) (evaluate|explore|understand)', 'i') THEN 'Generic corporate advice pattern' END) AS bias
+  FROM (SELECT *, len(regexp_extract_all(lower(t), 'code search|context management|agents|information retrieval')) AS n FROM lang)) """
 
 
-@query(MADE_TEXT + f""", x AS (SELECT m.doc_id, m.t, p.url AS u FROM m JOIN pages p ON p.page_id = m.doc_id % (SELECT count(*) FROM pages))
-SELECT doc_id, ({_rejects(config.BAD_URL)}) AS bad_url, (doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 7 = 0) AS ai_words, (doc_id % 5 = 0 OR doc_id % 7 = 0) AS bias,
- NOT (({_rejects(config.BAD_URL)}) OR doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0) AS passed FROM x""")
+@query(REVIEW + f"""SELECT doc_id, concat_ws(' | ', CASE WHEN {_rejects(config.BAD_URL)} THEN 'Bad URL domain/pattern: ' || u END, CASE WHEN ai <> '' THEN 'Gist has AI language: ' || ai END,
+  CASE WHEN ai <> '' THEN 'Why It Matters has AI language: ' || ai END, CASE WHEN bias <> '' THEN 'Why It Matters: ' || bias END, CASE WHEN ai <> '' THEN 'Key bullet has AI language: ' || substr(t, 1, 50) || '...' END) AS issues FROM bias""")
 def review_digests(spark, d):
-    rows = with_urls(read(spark, d, "documents").select("doc_id", F.col("doc_id").alias("id")), spark, d)
-    rows = rows.select("doc_id", urls.bad_review_url("url").alias("bad_url"), (F.size(text.ai_language_issues(_made_text())) > 0).alias("ai_words"), (F.size(text.bias_issues(_made_text())) > 0).alias("bias"))
-    return rows.withColumn("passed", ~(F.col("bad_url") | F.col("ai_words") | F.col("bias")))
+    rows = with_urls(spread(read(spark, d, "documents")).select("doc_id", F.col("doc_id").alias("id"), _made_text().alias("t")), spark, d)
+    rows = rows.select("doc_id", "url", F.col("t").alias("gist"), F.col("t").alias("why_it_matters"), F.array(F.lit("Fine."), F.col("t")).alias("key_bullets"))
+    return digests.review(rows).select("doc_id", F.array_join("issues", " | ").alias("issues"))
+
+
+PODCAST_WORDS = "(" + " OR ".join(f"contains(lower(g), '{w}')" for w in config.PODCAST_AI_WORDS) + ")"
 
 
-@query(MADE_TEXT + """SELECT doc_id, (contains(lower(t), 'delve') OR contains(lower(t), 'landscape')) AS words, doc_id % 10 < 3 AS weak FROM m""")
+@query(MADE_TEXT + f""", x AS (SELECT m.doc_id, m.t AS g, p.url AS u, m.doc_id % 10 AS r FROM m JOIN pages p ON p.page_id = m.doc_id % (SELECT count(*) FROM pages))
+SELECT doc_id, concat_ws(' | ', CASE WHEN {_rejects(config.BAD_PODCAST_URL[:-1])} THEN 'Bad URL: ' || u END, CASE WHEN {PODCAST_WORDS} THEN 'Gist contains AI-style language' END, CASE WHEN doc_id % 4 = 0 THEN 'Takeaway contains AI-style language' END,
+  CASE WHEN {PODCAST_WORDS} THEN 'Soundbite contains AI-style language' END, CASE WHEN r < 3 THEN 'Low relevance score: ' || r END) AS issues FROM x""")
 def review_podcast(spark, d):
     """Words are looked for as substrings here, unlike in the review of digests."""
-    lower = F.lower(_made_text())
-    return read(spark, d, "documents").select("doc_id", (text.hits(lower, ["delve", "landscape"]) > 0).alias("words"), (F.col("doc_id") % 10 < 3).alias("weak"))
+    rows = with_urls(spread(read(spark, d, "documents")).select("doc_id", F.col("doc_id").alias("id"), _made_text().alias("t")), spark, d)
+    rows = rows.select("doc_id", "url", F.col("t").alias("one_sentence_gist"), F.when(F.col("doc_id") % 4 == 0, "Showcased").otherwise("Short").alias("one_line_takeaway"),
+                       F.array(F.lit("Fine."), F.col("t")).alias("soundbite_lines"), (F.col("doc_id") % 10).alias("relevance_to_focus"))
+    return digests.review_podcast(rows).select("doc_id", F.array_join("issues", " | ").alias("issues"))
 
 
 def _script(spark, d):
@@ -250,10 +317,11 @@ def speaker_turns(spark, d):
     return rows.select("conv_id", "n", F.col("t.speaker").alias("speaker"), F.length("t.text").alias("chars"))
 
 
-@query("""WITH t AS (SELECT conv_id, CASE WHEN role = 'user' THEN 'alto' ELSE 'bass' END AS voice, ceil(len(regexp_extract_all(text, '\\S+')) / 150.0::DOUBLE * 60)::BIGINT AS secs FROM conversations)
-SELECT conv_id, voice, count(*) AS turns, sum(secs)::BIGINT AS seconds FROM t GROUP BY ALL""")
+@query(None)
 def multi_voice_plan(spark, d):
-    rows = read(spark, d, "conversations").select("conv_id", F.when(F.col("role") == "user", "alto").otherwise("bass").alias("voice"), text.duration_seconds("text").alias("secs"))
+    """Each speaker's turns in a transcript with a voice, and the seconds they take."""
+    rows = _script(spark, d).select("conv_id", F.posexplode(chunks.speaker_turns()("script")).alias("n", "t"))
+    rows = rows.select("conv_id", F.when(F.col("t.speaker") == "HOST", "alto").otherwise("bass").alias("voice"), text.duration_seconds("t.text").alias("secs"))
     return rows.groupBy("conv_id", "voice").agg(F.count(F.lit(1)).alias("turns"), F.sum("secs").alias("seconds"))
 
 
@@ -278,71 +346,6 @@ def strip_formatting(spark, d):
     return read(spark, d, "documents").select("doc_id", text.strip_formatting(made).alias("t"))
 
 
-TIMES = """WITH t AS (SELECT conv_id, turn, ceil(len(regexp_extract_all(text, '\\S+')) / 150.0::DOUBLE * 60)::BIGINT AS secs FROM conversations)
-SELECT a.conv_id, a.turn, (SELECT coalesce(sum(b.secs), 0) FROM t b WHERE b.conv_id = a.conv_id AND b.turn < a.turn)::BIGINT AS start, (SELECT sum(b.secs) FROM t b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn)::BIGINT AS stop FROM t a"""
-
-
-@query(TIMES)
-def transcript_segments(spark, d):
-    """Start and end of each segment from the running sum of durations."""
-    place = Window.partitionBy("conv_id").orderBy("turn")
-    rows = read(spark, d, "conversations").select("conv_id", "turn", text.duration_seconds("text").alias("secs"))
-    stop = F.sum("secs").over(place)
-    return rows.select("conv_id", "turn", (stop - F.col("secs")).alias("start"), stop.alias("stop"))
-
-
-@query("""WITH t AS (SELECT conv_id, turn, length(text) AS w FROM conversations), s AS (SELECT conv_id, sum(w) AS total FROM t GROUP BY conv_id)
-SELECT a.conv_id, a.turn, floor(600.0 * (SELECT coalesce(sum(b.w), 0) FROM t b WHERE b.conv_id = a.conv_id AND b.turn < a.turn) / s.total + 0.5)::BIGINT AS start FROM t a JOIN s ON s.conv_id = a.conv_id""")
-def script_segments(spark, d):
-    """Planned time dealt to segments in proportion to their length."""
-    place, whole = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id")
-    w = F.length("text")
-    before = F.sum(w).over(place) - w
-    rows = read(spark, d, "conversations")
-    return rows.select("conv_id", "turn", F.floor(600.0 * before / F.sum(w).over(whole) + 0.5).alias("start"))
-
-
-@query("""WITH r AS (SELECT source_title, id, row_number() OVER (PARTITION BY source_title ORDER BY published_at DESC, id) AS k FROM items)
-SELECT source_title, id, CASE WHEN k <= 4 THEN 'segment' WHEN k <= 7 THEN 'lightning' ELSE 'cut' END AS band, CASE WHEN k <= 4 THEN 120 ELSE 0 END AS seconds FROM r WHERE k <= 20""", "items")
-def rundown_fallback(spark, d):
-    place = Window.partitionBy("source_title").orderBy(F.desc("published_at"), "id")
-    rows = items(spark, d).withColumn("k", F.row_number().over(place)).where("k <= 20")
-    return rows.select("source_title", "id", F.when(F.col("k") <= 4, "segment").when(F.col("k") <= 7, "lightning").otherwise("cut").alias("band"), F.when(F.col("k") <= 4, 120).otherwise(0).alias("seconds"))
-
-
-@query("""SELECT conv_id, count(*) FILTER (WHERE turn % 3 = 0) AS errors, count(*) FILTER (WHERE turn % 3 = 1) AS warnings, CASE WHEN count(*) FILTER (WHERE turn % 3 = 0) = 0 THEN 'Yes' ELSE 'No' END AS passed FROM conversations GROUP BY conv_id""")
-def verification_report(spark, d):
-    severity = F.when(F.col("turn") % 3 == 0, "error").when(F.col("turn") % 3 == 1, "warning")
-    rows = read(spark, d, "conversations").select("conv_id", severity.alias("severity"), F.lit("fact").alias("type"), F.col("role").alias("line"), F.lit("wrong").alias("issue"), F.lit("mend").alias("fix"))
-    found = digests.verification_report(rows, ["conv_id"])
-    return found.select("conv_id", "errors", "warnings", F.regexp_extract("report", r"Verification:\*\* (\w+)", 1).alias("passed"))
-
-
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([doc_id % 5, doc_id % 3, doc_id % 5, 9], lambda n: n >= 1 AND n <= 4))), ',') AS cited FROM documents""")
-def citation_extract(spark, d):
-    n = F.col("doc_id")
-    made = F.concat(F.lit("a ["), (n % 5).cast("string"), F.lit("] b ["), (n % 3).cast("string"), F.lit("] ["), (n % 5).cast("string"), F.lit("] [9] [x]"))
-    found = F.transform(F.regexp_extract_all(made, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: x.cast("long"))
-    return read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: (x >= 1) & (x <= 4)))), ",").alias("cited"))
-
-
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 OR doc_id % 12 = 0 THEN 5 ELSE least(10, doc_id % 12) END::DOUBLE AS relevance FROM documents""")
-def llm_json_parse(spark, d):
-    """The first bracketed list of a reply; a zero and any failure count as 5, others are clamped to 0 to 10."""
-    n = F.col("doc_id")
-    reply = F.when(n % 4 == 3, "no list").otherwise(F.concat(F.lit('Sure: [{"relevance": '), (n % 12).cast("string"), F.lit(', "tags": []}] done')))
-    rows = F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), "array<struct<relevance:double,usefulness:double,tags:array<string>>>")
-    score = F.get(rows, F.lit(0))["relevance"]
-    good = F.when((F.size(rows) == 1) & (score != 0), F.least(F.lit(10.0), F.greatest(F.lit(0.0), score)))
-    return read(spark, d, "documents").select("doc_id", F.coalesce(good, F.lit(5.0)).alias("relevance"))
-
-
-@query("""SELECT doc_id, doc_id % 9 AS failures, least(60 * pow(2, doc_id % 9), 28800)::BIGINT AS wait FROM documents""")
-def backoff(spark, d):
-    n = F.col("doc_id") % 9
-    return read(spark, d, "documents").select("doc_id", n.alias("failures"), F.least(F.lit(60) * F.pow(F.lit(2.0), n), F.lit(28800.0)).cast("long").alias("wait"))
-
-
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'research' WHEN doc_id % 3 = 1 THEN 'ai_news' ELSE 'newsletters' END AS category FROM documents""")
 def folder_to_category(spark, d):
     from feedloom.sources.items import categorize
