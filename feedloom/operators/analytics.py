@@ -61,3 +61,12 @@ def themes(rows: DataFrame, text: Column, tags: Column, weights: dict[str, float
         hit = F.exists(F.array(*[F.lit(t.lower()) for t in topics]), lambda t: F.lower("theme").contains(t) | t.contains(F.lower("theme")))
         out = out.withColumn("weight", F.when(hit, F.col("weight") * 2.5).otherwise(F.col("weight")))
     return out
+
+
+def first_bucket(text: Column | str, kinds: Sequence[tuple[str, str]], other: str) -> Column:
+    """The name of the first kind whose word is in the text (ASCII case doesn't count), or `other`."""
+    lower, out = F.lower(F.col(text) if isinstance(text, str) else text), None
+    for word, name in kinds:
+        hit = F.coalesce(lower.contains(word), F.lit(False))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(other) if out is not None else F.lit(other)

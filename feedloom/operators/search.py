@@ -77,6 +77,27 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
 
 
+def _to_binary(vectors: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else np.asarray(v, "<f4").tobytes() for v in vectors.to_pylist()], pa.binary())
+
+
+def _from_binary(size: int):
+    def run(coded: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else np.frombuffer(b, "<f4") if len(b) else np.zeros(size, np.float32) for b in coded.to_pylist()], pa.list_(pa.float32()))
+
+    return run
+
+
+def encode_vector(vector: Column | str) -> Column:
+    """A vector as little-endian 32-bit floats in a binary."""
+    return F.arrow_udf(_to_binary, "binary")(F.col(vector) if isinstance(vector, str) else vector)
+
+
+def decode_vector(coded: Column | str, size: int = 768) -> Column:
+    """The vector of a binary that encode_vector() made; an empty one is `size` zeros."""
+    return F.arrow_udf(_from_binary(size), "array<float>")(F.col(coded) if isinstance(coded, str) else coded)
+
+
 def vector_column(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 

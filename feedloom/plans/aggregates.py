@@ -73,12 +73,18 @@ def agg_coverage_by_source(spark, d):
     return rows.orderBy(F.desc("never"), "source_title").limit(5)
 
 
-@query("""WITH b AS (SELECT CASE WHEN url LIKE '%/en/%' THEN 'English' WHEN url LIKE '%/de/%' THEN 'German' WHEN url LIKE '%example.net%' THEN 'Net' WHEN url LIKE '%.org%' THEN 'Org' ELSE 'Other' END AS kind FROM pages)
-SELECT kind, count(*) AS n FROM b GROUP BY kind""")
+#: The first name that an url contains decides; made hosts stand for those of feeds.
+KINDS = (("hacker", "Hacker News"), ("reddit", "Reddit"), ("economist", "Economist (paywall)"), ("wsj", "WSJ (paywall)"), ("github", "GitHub"), ("medium", "Medium"), ("substack", "Substack"), ("arxiv", "arXiv"))
+
+
+@query("""WITH m AS (SELECT page_id, url || (['', '/hacker', '/reddit', '/economist', '/wsj', '/github', '/medium', '/substack', '/arxiv', '/arxiv/github'])[page_id % 10 + 1] AS url FROM pages),
+b AS (SELECT CASE WHEN url LIKE '%hacker%' THEN 'Hacker News' WHEN url LIKE '%reddit%' THEN 'Reddit' WHEN url LIKE '%economist%' THEN 'Economist (paywall)' WHEN url LIKE '%wsj%' THEN 'WSJ (paywall)' WHEN url LIKE '%github%' THEN 'GitHub'
+  WHEN url LIKE '%medium%' THEN 'Medium' WHEN url LIKE '%substack%' THEN 'Substack' WHEN url LIKE '%arxiv%' THEN 'arXiv' ELSE 'Other' END AS kind, page_id % 4 = 0 AS error FROM m)
+SELECT kind, count(*) AS n, count(*) FILTER (WHERE error) AS errors FROM b GROUP BY kind""")
 def agg_case_bucket(spark, d):
-    u = F.col("url")
-    kind = F.when(u.contains("/en/"), "English").when(u.contains("/de/"), "German").when(u.contains("example.net"), "Net").when(u.contains(".org"), "Org").otherwise("Other")
-    return read(spark, d, "pages").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    rows = read(spark, d, "pages").select("page_id", F.concat("url", F.element_at(F.array(*map(F.lit, ("", "/hacker", "/reddit", "/economist", "/wsj", "/github", "/medium", "/substack", "/arxiv", "/arxiv/github"))), (F.col("page_id") % 10 + 1).cast("int"))).alias("url"))
+    kind = analytics.first_bucket("url", KINDS, "Other")
+    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("page_id") % 4 == 0).alias("errors"))
 
 
 @query("""SELECT 'ALL' AS category, count(*) AS total, count(*) FILTER (WHERE id % 5 < 3) AS cached, sum(length(summary)) / 1024.0 / 1024.0 AS mb FROM items

@@ -1,17 +1,18 @@
 """Further entries: requests, caches, appends, feeds and streams."""
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from feedloom.functions import config
-from feedloom.plans.ranked import CORE, RANKED, TERMS
-from feedloom.plans.registry import query
+from feedloom.operators import search
+from feedloom.plans.ranked import CORE, DIVERSE, RANKED, TERMS
+from feedloom.plans.registry import QUERIES, query
 from feedloom.plans.requests import Corpus, clamp, period_days
 from feedloom.sources import items as feeds
+from feedloom.sources import landed, upserts
 from feedloom.sources.items import AS_OF, DAY, items, query_vector, read, scores, vectors
+from feedloom.sources.places import new_place
+from feedloom.streaming import ingest
 
 EACH = dict.fromkeys(config.CATEGORIES, TERMS)
 
@@ -83,9 +84,8 @@ def clamp_limit(spark, d):
 
 
 def _appended(spark, rows):
-    """Append to a table in the warehouse's manner, twice, and read it back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="feedloom-")
-    path = f"{base.rstrip('/')}/appended-{os.urandom(8).hex()}"
+    """Append to a table, twice, and read it back."""
+    path = new_place(spark, "appended")
     for _ in range(2):
         rows.write.mode("append").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
@@ -96,9 +96,28 @@ def sink_append_scores(spark, d):
     return _appended(spark, scores(spark, d).select("item_id", "scored_at", "relevance"))
 
 
-@query("SELECT page_id AS place, url FROM pages UNION ALL SELECT page_id, url FROM pages")
+@query(DIVERSE + "SELECT category, position, id, reason FROM chosen UNION ALL SELECT category, position, id, reason FROM chosen", "items scores firsts")
 def sink_append_selections(spark, d):
-    return _appended(spark, read(spark, d, "pages").select(F.col("page_id").alias("place"), "url"))
+    return _appended(spark, QUERIES["select_diverse"](spark, d).select("category", "position", "id", "reason"))
+
+
+@query("SELECT doc_id AS id, text FROM documents WHERE doc_id % 2 = 0")
+def sink_files(spark, d):
+    """A table as JSON files, and read back."""
+    path = new_place(spark, "files")
+    rows = read(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "text")
+    rows.write.json(path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("SELECT doc_id AS key, 1767225600 + (doc_id % 7 - 3) * 200 + 300 AS expires_at, 1767225600 AS last_refresh_at, doc_id % 5 AS count FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1767225600 + 3600, 1767225600, 7 FROM documents WHERE doc_id % 2 = 1")
+def cache_extend_set(spark, d):
+    """Half of the entries live 300 seconds longer, the others are set anew for an hour."""
+    n = F.col("doc_id")
+    table = read(spark, d, "documents").select(n.alias("key"), (F.lit(AS_OF) + (n % 7 - 3) * 200).alias("expires_at"), F.lit(AS_OF).cast("long").alias("last_refresh_at"), (n % 5).alias("count"))
+    longer = table.where("key % 2 = 0").select("key", (F.col("expires_at") + 300).alias("expires_at"))
+    fresh = table.where("key % 2 = 1").select("key", F.lit(AS_OF + 3600).cast("long").alias("expires_at"), F.lit(AS_OF).cast("long").alias("last_refresh_at"), F.lit(7).cast("long").alias("count"), F.lit(1).alias("seq"))
+    return upserts.replace(upserts.update(table, longer, ["key"], ["expires_at"]), fresh, ["key"], "seq")
 
 
 @query("SELECT doc_id AS key, 1767225600 + (doc_id % 7 - 3) * 200 <= 1767225600 AS expired FROM documents")
@@ -115,12 +134,12 @@ def cache_invalidate(spark, d):
     return read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.when(hit, 0).otherwise(AS_OF).alias("expires_at"))
 
 
-@query("SELECT vec_id AS item_id, len(embedding)::INTEGER AS size, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+@query("SELECT vec_id AS item_id, len(embedding)::INTEGER AS size, 4 * len(embedding)::INTEGER AS bytes, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
 def vec_codec(spark, d):
-    """Vectors to 32-bit floats in JSON and back."""
-    coded = vectors(spark, d).select("item_id", F.to_json(F.col("embedding").cast("array<float>")).alias("json"))
-    back = F.from_json("json", "array<float>")
-    return coded.select("item_id", F.size(back).alias("size"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+    """Vectors to little-endian 32-bit floats in a binary, and back."""
+    coded = vectors(spark, d).select("item_id", search.encode_vector("embedding").alias("coded"))
+    rows = coded.select("item_id", F.octet_length("coded").alias("bytes"), search.decode_vector("coded").alias("back"))
+    return rows.select("item_id", F.size("back").alias("size"), "bytes", F.round(F.aggregate("back", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
 # -- feeds ------------------------------------------------------------------------
@@ -134,7 +153,7 @@ def _articles(spark, d):
         F.array(F.lit("user/-/state/read"), F.when(n % 2 == 0, F.lit("user/1/label/Papers")).otherwise("user/1/label/Misc")).alias("categories"),
         F.when(n % 3 == 0, F.array(F.struct(F.concat(F.lit("https://c.example/"), n.cast("string")).alias("href")))).alias("canonical"),
         F.when(n % 3 == 1, F.array(F.struct(F.concat(F.lit("https://a.example/"), n.cast("string")).alias("href"), F.lit("text/html").alias("type")))).alias("alternate"),
-        F.struct(F.concat(F.lit('<a href="https://agg.example/x">x</a> <a href="https://body.example/'), n.cast("string"), F.lit('">y</a> '), F.substring("text", 1, 600)).alias("content")).alias("summary"),
+        F.struct(F.concat(F.lit('<a href="https://agg.example/x">x</a> <a href="https://body.example/'), n.cast("string"), F.lit('">y</a> '), "text").alias("content")).alias("summary"),
         F.struct(F.col("source").alias("streamId"), F.concat(F.lit("Feed "), "source").alias("title"), F.lit("https://f.example").alias("htmlUrl")).alias("origin"),
     )
 
@@ -151,43 +170,165 @@ def categorize_override(spark, d):
     return feeds.categorize(feeds.normalize(_articles(spark, d)), {"Papers": "research", "Misc": "podcasts"}).select("id", "category")
 
 
-@query(None)
+@query("SELECT doc_id::VARCHAR AS id, 'Feed ' || source AS source_title, 1767225600 - doc_id % 90 * 86400 AS published_at, 2 AS labels FROM documents")
 def src_feed_page(spark, d):
     """Landed pages of feed articles, read with an explicit schema."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="feedloom-")
-    path = f"{folder.rstrip('/')}/feed-{os.urandom(8).hex()}"
+    path = new_place(spark, "feed")
     _articles(spark, d).write.json(path)
     return feeds.normalize(feeds.read_feed(spark, path)).select("id", "source_title", "published_at", F.size("categories").alias("labels"))
 
 
-# -- increments, as batches over the events stream ----------------------------------
+# -- landed replies -----------------------------------------------------------------
 
 
-@query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_id < 9000) AND event_id >= 9000")
-def stream_daily_sync(spark, d):
-    """What one run takes: events after the newest one that the table has."""
-    rows = read(spark, d, "events")
-    mark = rows.where("event_id < 9000").agg(F.max("ts").alias("mark"))
-    return rows.where("event_id >= 9000").crossJoin(F.broadcast(mark)).where(F.col("ts") > F.col("mark")).select("event_id")
+def _landed(spark, rows, name, schema):
+    path = new_place(spark, name)
+    rows.write.json(path)
+    return landed.replies(spark, path, schema)
+
+
+@query("""SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 4 = 0 THEN '(Untitled)' ELSE split_part(text, chr(10), 1) END AS title, 'Feed ' || source AS source_title,
+  CASE doc_id % 3 WHEN 0 THEN 'https://c.example/' || doc_id WHEN 1 THEN 'https://a.example/' || doc_id ELSE '#' END AS url, 1767225600 - doc_id % 90 * 86400 AS published_at FROM documents WHERE length(split_part(text, chr(10), 1)) > 0 OR doc_id % 4 = 0""")
+def src_starred(spark, d):
+    """Pages of ten starred articles."""
+    pages = _articles(spark, d).where(F.col("title").isNull() | (F.length("title") > 0)).groupBy(F.floor(F.col("id").cast("long") / 10).alias("page")).agg(F.collect_list(F.struct(*feeds.FEED_ARTICLE.names)).alias("items"))
+    rows = landed.starred(_landed(spark, pages.select("items", F.col("page").cast("string").alias("continuation")), "starred", landed.STARRED))
+    return rows.select("id", "title", "source_title", "url", "published_at")
+
+
+@query("SELECT 'feed/' || s_suppkey AS stream_id, s_name AS title, 'https://f.example/' || s_suppkey AS html_url, 'Group ' || s_nationkey AS label FROM supplier")
+def src_subscriptions(spark, d):
+    n = F.col("s_suppkey").cast("string")
+    label = F.concat(F.lit("Group "), F.col("s_nationkey").cast("string"))
+    one = F.struct(F.concat(F.lit("feed/"), n).alias("id"), F.col("s_name").alias("title"), F.lit("u").alias("url"), F.concat(F.lit("https://f.example/"), n).alias("htmlUrl"),
+                   F.array(F.struct(F.lit("user/1/label/x").alias("id"), label.alias("label"))).alias("categories"))
+    pages = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(one).alias("subscriptions"))
+    rows = landed.subscriptions(_landed(spark, pages.select("subscriptions"), "subscriptions", landed.SUBSCRIPTIONS))
+    return rows.select("stream_id", "title", "html_url", F.get("labels", F.lit(0)).alias("label"))
+
+
+@query("SELECT 'user/1/label/' || n_name AS tag_id, n_name AS label FROM nation")
+def src_tags(spark, d):
+    pages = read(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.concat(F.lit("user/1/label/"), "n_name").alias("id"), F.lit("0").alias("sortid"))).alias("tags"))
+    return landed.tags(_landed(spark, pages.select("tags"), "tags", landed.TAGS))
+
+
+@query("SELECT p_partkey::VARCHAR AS bibcode, p_name AS title, '[\"' || p_brand || '\",\"' || p_type || '\"]' AS authors, p_size::VARCHAR AS pubdate FROM part")
+def src_papers_api(spark, d):
+    one = F.struct(F.col("p_partkey").cast("string").alias("bibcode"), F.array("p_name").alias("title"), F.array("p_brand", "p_type").alias("author"), F.col("p_size").cast("string").alias("pubdate"))
+    pages = read(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 50).alias("page")).agg(F.collect_list(one).alias("docs"))
+    rows = landed.papers(_landed(spark, pages.select(F.struct("docs").alias("response")), "papers", landed.PAPERS))
+    return rows.select("bibcode", "title", "authors", "pubdate")
+
+
+@query("WITH n AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS position FROM supplier) SELECT s_nationkey::VARCHAR AS library_id, position::INTEGER AS position, s_suppkey::VARCHAR AS bibcode FROM n WHERE position >= 1 AND position < 4")
+def src_library_items(spark, d):
+    """The second to fourth paper of each library."""
+    keys = F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda k: k.cast("string"))
+    pages = read(spark, d, "supplier").groupBy("s_nationkey").agg(keys.alias("documents"))
+    return landed.library_items(_landed(spark, pages.select(F.col("s_nationkey").cast("string").alias("library_id"), "documents"), "libraries", landed.LIBRARY), 1, 3)
 
 
-@query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN false ELSE length(html) >= 100 END AS fetched FROM pages")
+def src_web_page(spark, d):
+    html = F.when(F.col("page_id") % 3 == 0, F.substring("html", 1, 99)).otherwise(F.col("html"))
+    return read(spark, d, "pages").select("page_id", landed.page_text(html).isNotNull().alias("fetched"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN nullif(trim(regexp_replace(replace(text, '<', ' '), '\\s+', ' ', 'g')), '') END AS abstract FROM documents")
+def src_arxiv(spark, d):
+    xml = F.concat(F.lit("<entry>"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("<summary>\n  "), F.replace(F.col("text"), F.lit("<"), F.lit(" ")), F.lit("\n</summary>"))).otherwise(""), F.lit("</entry>"))
+    return read(spark, d, "documents").select("doc_id", landed.arxiv_abstract(xml).alias("abstract"))
+
+
+# -- syncs through the streaming ingest ---------------------------------------------
+
+AGE = "doc_id % 90"
+
+
+def _land(spark, d, where, folder, title=None):
+    rows = _articles(spark, d).where(where)
+    rows = rows.withColumn("title", F.lit(title)) if title else rows
+    rows.write.mode("append").json(folder)
+
+
+def _sync_result(table):
+    return table.read().select("id", "title", "category", "published_at")
+
+
+SYNCED = """SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 4 = 0 THEN 'Untitled' ELSE split_part(text, chr(10), 1) END AS title, CASE WHEN doc_id % 2 = 0 THEN 'research' ELSE 'newsletters' END AS category, 1767225600 - doc_id % 90 * 86400 AS published_at FROM documents """
+
+
+def _streamed(spark):
+    place = new_place(spark, "sync")
+    return f"{place}/landing", ingest.KeyedTable(spark, f"{place}/table"), f"{place}/check"
+
+
+FOLDERS = {"Papers": "research"}
+
+
+@query(SYNCED + f"WHERE {AGE} < 30")
+def stream_daily_sync(spark, d):
+    """A first run that catches up on 30 days, then one after the newest article: what
+    comes late, with another title here, is dropped; a new checkpoint loses nothing."""
+    folder, table, check = _streamed(spark)
+    _land(spark, d, "id % 90 >= 10", folder)
+    ingest.daily_sync(spark, folder, table, check, AS_OF, FOLDERS, catch_up_days=30)
+    _land(spark, d, "id % 90 IN (10, 11)", folder, "late")
+    _land(spark, d, "id % 90 < 10", folder)
+    ingest.daily_sync(spark, folder, table, check + "-new", AS_OF, FOLDERS)
+    return _sync_result(table)
+
+
+@query(SYNCED + f"WHERE {AGE} < 7")
 def stream_weekly_sync(spark, d):
-    rows = read(spark, d, "events")
-    last = rows.agg((F.max("ts") - F.expr("INTERVAL 7 DAY")).alias("mark"))
-    return rows.crossJoin(F.broadcast(last)).where(F.col("ts") > F.col("mark")).select("event_id")
+    """A week back, whatever the table has; a run beyond its budget takes nothing."""
+    folder, table, check = _streamed(spark)
+    _land(spark, d, "true", folder)
+    ingest.weekly_sync(spark, folder, table, check, AS_OF, FOLDERS, calls_used=20)
+    ingest.weekly_sync(spark, folder, table, check + "-over", AS_OF + 60 * DAY, FOLDERS, calls_used=95)
+    return _sync_result(table)
 
 
-@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR")
+@query(SYNCED + f"WHERE {AGE} <= 2")
 def stream_48h_sync(spark, d):
-    rows = read(spark, d, "events")
-    last = rows.agg((F.max("ts") - F.expr("INTERVAL 48 HOURS")).alias("mark"))
-    return rows.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("mark")).select("event_id")
+    folder, table, _ = _streamed(spark)
+    _land(spark, d, "true", folder)
+    ingest.recent_sync(spark, folder, table, AS_OF, FOLDERS)
+    return _sync_result(table)
 
 
-@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
+@query(SYNCED + "WHERE source IN ('src1', 'src2')")
 def stream_per_category(spark, d):
-    return read(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """All articles of some streams, one stream after the other."""
+    folder, table, _ = _streamed(spark)
+    _land(spark, d, "true", folder)
+    for stream in ("src1", "src2"):
+        ingest.stream_sync(spark, folder, table, FOLDERS, (stream,))
+    return _sync_result(table)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS used FROM events GROUP BY 1")
+def stream_budget(spark, d):
+    """Calls of each day, counted by a stream with a watermark."""
+    place = new_place(spark, "budget")
+    read(spark, d, "events").select("event_id", "ts").write.parquet(f"{place}/landing")
+    stream = spark.readStream.schema("event_id long, ts timestamp").parquet(f"{place}/landing")
+    days = ingest.calls_a_day(stream).writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{place}/days"))
+    days.option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("day timestamp, used long").parquet(f"{place}/days").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "used")
+
+
+@query("SELECT event_id FROM events")
+def stream_dedupe(spark, d):
+    """Each event lands twice and counts once."""
+    place = new_place(spark, "dedupe")
+    rows = read(spark, d, "events").select("event_id", "ts")
+    rows.unionByName(rows).write.parquet(f"{place}/landing")
+    stream = spark.readStream.schema("event_id long, ts timestamp").parquet(f"{place}/landing")
+    once = ingest.deduplicated(stream, "event_id").writeStream.format("parquet").option("checkpointLocation", f"{place}/check")
+    once.trigger(availableNow=True).start(f"{place}/once").awaitTermination()
+    return spark.read.schema("event_id long, ts timestamp").parquet(f"{place}/once").select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) > 50")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 
 def last_of(batch: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    place = Window.partitionBy(*key).orderBy(F.desc(order))
+    """The row of each key with the largest `order`; of equal ones always the same."""
+    place = Window.partitionBy(*key).orderBy(F.desc(order), F.xxhash64(*batch.columns))
     return batch.withColumn("__k", F.row_number().over(place)).where("__k = 1").drop("__k")
 
 
@@ -31,7 +32,7 @@ def merge(table: DataFrame, batch: DataFrame, key: Sequence[str], order: str, ke
 
 def insert_ignore(table: DataFrame, batch: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """Rows of the batch whose key is new; the first of a batch wins."""
-    place = Window.partitionBy(*key).orderBy(order)
+    place = Window.partitionBy(*key).orderBy(order, F.xxhash64(*batch.columns))
     first = batch.withColumn("__k", F.row_number().over(place)).where("__k = 1").drop("__k", order)
     return table.unionByName(first.join(table.select(*key), list(key), "left_anti"))
 

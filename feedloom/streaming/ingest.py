@@ -1,10 +1,12 @@
 """Incremental ingest with Structured Streaming.
 
 Landed feed pages are read as a file stream; every micro-batch is normalised,
-filtered by the high-water mark of the run and upserted by id into a table
-that is kept in versions, so readers never see half a write and a replayed
-batch changes nothing.  The streaming checkpoint takes the place of a stored
-cursor.
+filtered by the high-water mark of the run and upserted by id.  The table is
+partitioned by a hash of the id, and a batch rewrites only the partitions that
+it touches, so its cost follows the batch, not the table.  An upsert of the
+same rows changes nothing, so a batch that is replayed, after a failure or
+with a new checkpoint, does no harm.  The streaming checkpoint takes the place
+of a stored cursor.
 """
 from __future__ import annotations
 
@@ -18,42 +20,45 @@ from feedloom.sources import items as feeds
 from feedloom.sources import upserts
 
 DAY = 86_400
+PART = "key_part"
 
 
-class VersionedTable:
-    """A Parquet table in folders v-<n>, the highest complete one of which counts."""
+class KeyedTable:
+    """A Parquet table partitioned by a hash of its key."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", parts: int = 16) -> None:
+        self.spark, self.path, self.key, self.parts = spark, path.rstrip("/"), key, parts
 
-    def _fs(self):
+    def exists(self) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return []
-        found = []
-        for status in fs.listStatus(path):
-            name = status.getPath().getName()
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-            if name.startswith("v-") and fs.exists(done):
-                found.append(int(name[2:]))
-        return sorted(found)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return bool(fs.exists(path)) and any(s.getPath().getName().startswith(PART) for s in fs.listStatus(path))
 
-    def read(self) -> DataFrame | None:
-        found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v-{found[-1]}") if found else None
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v-{version}")
+    def _files(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
 
-    def forget(self, keep: int = 2) -> None:
-        """Delete all but the last versions."""
-        fs, _ = self._fs()
-        for old in self.versions()[:-keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v-{old}"), True)
+    def read(self) -> DataFrame | None:
+        return self._files().drop(PART) if self.exists() else None
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(PART, F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.parts)).cast("int"))
+
+    def upsert(self, batch: DataFrame, order: str, mode: str = "merge") -> None:
+        """Put a batch into the table; only the partitions that it touches are read and written again."""
+        rows = self._dealt(batch)
+        touched = sorted(r[0] for r in rows.select(PART).distinct().collect())  # `parts` numbers at most
+        if not touched:
+            return
+        old = self._files().where(F.col(PART).isin(touched)).drop(PART) if self.exists() else None
+        new = batch
+        if old is None:
+            new = upserts.last_of(new, [self.key], order).drop(order)
+        elif mode == "replace":
+            new = upserts.replace(old, new, [self.key], order)
+        else:
+            new = upserts.merge(old, new, [self.key], order, keep_if_null=[c for c in old.columns if c != self.key])
+        dealt = self._dealt(new).repartition(len(touched), PART)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
 
 
 def high_water(table: DataFrame | None, as_of: int, empty_days: int = 1, catch_up_days: int | None = None) -> int:
@@ -69,32 +74,61 @@ def newer(rows: DataFrame, mark: int, inclusive: bool = False) -> DataFrame:
     return rows.where(F.col("published_at") >= mark) if inclusive else rows.where(F.col("published_at") > mark)
 
 
-def upsert_batch(table: VersionedTable, mark: int, prepare: Callable[[DataFrame], DataFrame], mode: str = "merge", inclusive: bool = False) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function.  A batch writes version batch id + 1 from the version
-    before it, so a replay writes the same version again."""
+def upsert_batch(table: KeyedTable, mark: int, prepare: Callable[[DataFrame], DataFrame], mode: str = "merge", inclusive: bool = False) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: what is after the mark goes into the table."""
 
     def run(batch: DataFrame, number: int) -> None:
         rows = newer(prepare(batch), mark, inclusive).withColumn("__seq", F.col("published_at"))
-        before = [v for v in table.versions() if v <= number]
-        old = table.spark.read.parquet(f"{table.path}/v-{before[-1]}") if before else None
-        if old is None:
-            new = upserts.last_of(rows, ["id"], "__seq").drop("__seq")
-        elif mode == "replace":
-            new = upserts.replace(old, rows, ["id"], "__seq")
-        else:
-            new = upserts.merge(old, rows, ["id"], "__seq", keep_if_null=[c for c in old.columns if c != "id"])
-        table.write(new, number + 1)
+        table.upsert(rows, "__seq", mode)
 
     return run
 
 
-def ingest(spark: SparkSession, landing: str, table: VersionedTable, checkpoint: str, as_of: int, folders: dict[str, str], mode: str = "merge",
-           catch_up_days: int | None = None, files_a_batch: int = 8) -> StreamingQuery:
-    """Read what has landed since the last run, and stop.  The mark is taken once for a run."""
-    mark = high_water(table.read(), as_of, catch_up_days=catch_up_days)
-    prepare = lambda rows: feeds.categorize(feeds.normalize(rows), folders)
+def _prepared(folders: dict[str, str], streams: tuple[str, ...] | None):
+    def prepare(rows: DataFrame) -> DataFrame:
+        made = feeds.categorize(feeds.normalize(rows), folders)
+        return made if streams is None else made.where(F.col("stream_id").isin(list(streams)))
+
+    return prepare
+
+
+def ingest(spark: SparkSession, landing: str, table: KeyedTable, checkpoint: str, as_of: int, folders: dict[str, str], mode: str = "merge", mark: int | None = None,
+           catch_up_days: int | None = None, files_a_batch: int = 8, streams: tuple[str, ...] | None = None) -> StreamingQuery:
+    """Read what has landed since the last run, and stop.  The mark is taken once for
+    a run; `streams` keeps the articles of some streams only."""
+    mark = high_water(table.read(), as_of, catch_up_days=catch_up_days) if mark is None else mark
     stream = feeds.stream_feed(spark, landing, files_a_batch)
-    return stream.writeStream.foreachBatch(upsert_batch(table, mark, prepare, mode)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run = upsert_batch(table, mark, _prepared(folders, streams), mode)
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def within_budget(calls_used: int, most: int = 95) -> bool:
+    """Whether a run may make another call today; runs pause at `most` calls."""
+    return calls_used < most
+
+
+def daily_sync(spark: SparkSession, landing: str, table: KeyedTable, checkpoint: str, as_of: int, folders: dict[str, str], calls_used: int = 0, **how) -> bool:
+    """Articles after the newest one that the table has; False if the budget pauses it."""
+    if not within_budget(calls_used):
+        return False
+    ingest(spark, landing, table, checkpoint, as_of, folders, **how).awaitTermination()
+    return True
+
+
+def weekly_sync(spark: SparkSession, landing: str, table: KeyedTable, checkpoint: str, as_of: int, folders: dict[str, str], calls_used: int = 0, **how) -> bool:
+    """Articles of the last seven days, whatever the table has; False if the budget pauses it."""
+    return daily_sync(spark, landing, table, checkpoint, as_of, folders, calls_used, mark=as_of - 7 * DAY, **how)
+
+
+def recent_sync(spark: SparkSession, landing: str, table: KeyedTable, as_of: int, folders: dict[str, str], hours: int = 48, streams: tuple[str, ...] | None = None, mode: str = "merge") -> None:
+    """All that has landed of the last hours, the first moment included, in one batch without a checkpoint."""
+    rows = feeds.read_feed(spark, landing)
+    upsert_batch(table, as_of - hours * 3600, _prepared(folders, streams), mode, inclusive=True)(rows, 0)
+
+
+def stream_sync(spark: SparkSession, landing: str, table: KeyedTable, folders: dict[str, str], streams: tuple[str, ...] | None = None, mode: str = "replace") -> None:
+    """All that has landed of some streams (a category's, a label's, one, or all), whatever its time."""
+    upsert_batch(table, -(1 << 62), _prepared(folders, streams), mode, inclusive=True)(feeds.read_feed(spark, landing), 0)
 
 
 def deduplicated(stream: DataFrame, key: str = "id", time: str = "ts", delay: str = "1 day") -> DataFrame:

@@ -91,6 +91,18 @@ def test_ranks_in_ranges_equal_ranks_at_once(spark):
     assert {r.id for r in ranking.with_rank(rows, most=3).collect()} == {i for i, k in plain.items() if k <= 3}
 
 
+def test_null_scores_rank_last_for_every_spread(spark):
+    rng = random.Random(7)
+    made = [(i, rng.choice("ab"), rng.choice([None, float("nan"), 0.5, 1.5, rng.random()])) for i in range(200)]
+    rows = spark.createDataFrame([*made, (900, None, 1.0), (901, None, None)], "id long, category string, final double")
+    found = [{r.id: r["rank"] for r in ranking.with_rank(rows, spread=k).collect()} for k in (1, 3, 8)]
+    assert len(found[0]) == 202 and found[0] == found[1] == found[2]
+    for c in "ab":
+        mine = [(i, f) for i, x, f in made if x == c]
+        none = {i for i, f in mine if f is None}
+        assert {i for i in none if found[0][i] <= len(mine) - len(none)} == set()
+
+
 def test_small_limits_still_give_ten():
     assert selection.least_items(5) == 10 and selection.least_items(30) == 21
     assert selection.source_cap(4, 10) == 4 and selection.source_cap(4, 25) == 10

@@ -15,9 +15,9 @@ def land(folder, name, rows):
     (folder / name).write_text("\n".join(map(json.dumps, rows)))
 
 
-def run(spark, tmp, **how):
-    table = ingest.VersionedTable(spark, f"file://{tmp}/table")
-    query = ingest.ingest(spark, f"file://{tmp}/landing", table, f"file://{tmp}/check", AS_OF, {"Papers": "research"}, **how)
+def run(spark, tmp, check="check", **how):
+    table = ingest.KeyedTable(spark, f"file://{tmp}/table", parts=4)
+    query = ingest.ingest(spark, f"file://{tmp}/landing", table, f"file://{tmp}/{check}", AS_OF, {"Papers": "research"}, **how)
     query.awaitTermination()
     return {r.id: r for r in table.read().collect()}
 
@@ -34,6 +34,44 @@ def test_ingest(spark, tmp_path):
     assert set(run(spark, tmp_path)) == {"1", "3"}  # nothing new
 
 
+def test_new_checkpoint_loses_nothing(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    land(landing, "a.json", [article(i, AS_OF - i) for i in range(1, 9)])
+    assert len(run(spark, tmp_path)) == 8
+    land(landing, "b.json", [article(20, AS_OF + 5), article(3, AS_OF + 6, "again")])
+    got = run(spark, tmp_path, "other")  # reads all files again; the mark keeps the new ones
+    assert set(got) == {*map(str, range(1, 9)), "20"} and got["3"].title == "again"
+    assert run(spark, tmp_path, "third", mark=0) == got  # a replay changes nothing
+
+
+def test_only_touched_parts_are_written(spark, tmp_path):
+    table = ingest.KeyedTable(spark, f"file://{tmp_path}/t", parts=8)
+    rows = lambda ids, v: spark.createDataFrame([(i, v, 1) for i in ids], "id string, v string, seq int")
+    table.upsert(rows(map(str, range(60)), "old"), "seq")
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    table.upsert(rows(["7"], "new"), "seq")
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert len(set(before) - set(after)) <= 2 and len(set(before) & set(after)) >= len(before) - 2
+    assert {r.id: r.v for r in table.read().collect()} == {str(i): "new" if i == 7 else "old" for i in range(60)}
+    table.upsert(rows([], "none"), "seq")
+    assert table.read().count() == 60
+
+
+def test_replace_mode_and_equal_times(spark, tmp_path):
+    table = ingest.KeyedTable(spark, f"file://{tmp_path}/t", parts=2)
+    table.upsert(spark.createDataFrame([("a", "x", "y", 1)], "id string, v string, w string, seq int"), "seq")
+    twice = [("a", "p", 2), ("a", "q", 2)]
+    table.upsert(spark.createDataFrame(twice, "id string, v string, seq int"), "seq", "replace")
+    first = table.read().collect()[0]
+    table.upsert(spark.createDataFrame(twice[::-1], "id string, v string, seq int"), "seq", "replace")
+    assert first.w is None and table.read().collect()[0].v == first.v  # equal times give the same row in any order
+
+
+def test_budget():
+    assert ingest.within_budget(94) and not ingest.within_budget(95)
+
+
 def test_normalize(spark, tmp_path):
     land(tmp_path, "x.json", [article(1, 5, canonical=None, alternate=[{"href": "https://alt.dev", "type": "text/html"}]), article(2, 5, canonical=None, summary={"content": '<a href="https://in.agg.com/1">x</a><a href="https://good.dev">y</a>'}), {"id": "3"}])
     got = {r.id: r for r in feeds.normalize(feeds.read_feed(spark, f"file://{tmp_path}"), ("agg.com",)).collect()}
