@@ -125,3 +125,6 @@ PODCAST_AI_WORDS = ("highlights", "underscores", "shapes", "fosters", "emerging"
 # The fallback rundown and script of an episode.
 RUNDOWN_SEGMENTS, RUNDOWN_LIGHTNING, SEGMENT_SECONDS, EPISODE_SECONDS = 4, 3, 120, 420
 SEGMENT_INTROS = ("Let's kick things off with", "Moving on to", "Next up,", "Now let's look at")
+
+# Libraries that are never shown, by parts of their names.
+BLOCKED_LIBRARIES = ("scix", "2024 bibliography")

@@ -25,8 +25,8 @@ def source_cap(period_cap: int, limit: int, category_most: int = 10) -> int:
     return math.ceil(period_cap * limit / category_most) if limit > category_most else period_cap
 
 
-def best_of_sources(rows: DataFrame, per_source: int, most: int, score: str = "final", source: str = "source_title", group: Sequence[str] = ("category",), ties: Sequence[str] = ("id",), least: int | None = None) -> DataFrame:
-    """The rows that select_diverse() can take, with their rank among these.
+def best_of_sources(rows: DataFrame, per_source: int, most: int, score: str = "final", source: str = "source_title", group: Sequence[str] = ("category",), ties: Sequence[str] = ("id",), least: int | None = None, before: Sequence[str] = ()) -> DataFrame:
+    """The rows that select_diverse() can take, with their rank among these: by score, or first by the columns of `before`.
 
     Of one source it takes at most min(per_source, most) rows and tops up with at
     most `least`, so worse rows of a source never count.  They go before the
@@ -34,7 +34,7 @@ def best_of_sources(rows: DataFrame, per_source: int, most: int, score: str = "f
     group is a few rows of each source.
     """
     least = least_items(most) if least is None else least
-    order = [F.round(score, 9).desc(), *ties]
+    order = [*before, F.round(score, 9).desc(), *ties]
     in_source = Window.partitionBy(*group, source).orderBy(*order)
     rows = rows.withColumn("__s", F.row_number().over(in_source)).where(F.col("__s") <= min(per_source, most) + least).drop("__s")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

@@ -7,7 +7,8 @@ from feedloom.functions import config
 from feedloom.operators import search
 from feedloom.plans.ranked import CORE, DIVERSE, RANKED, TERMS
 from feedloom.plans.registry import QUERIES, query
-from feedloom.plans.requests import Corpus, clamp, period_days
+from feedloom.plans.requests import Corpus, Papers, clamp, period_days
+from feedloom.plans.searches import RETRIEVE
 from feedloom.sources import items as feeds
 from feedloom.sources import landed, upserts
 from feedloom.sources.items import AS_OF, DAY, items, query_vector, read, scores, vectors
@@ -43,17 +44,83 @@ def api_search(spark, d):
     return corpus(spark, d).find("then", "keyword", "month", "ai_news", 12).select("id", F.col("score").cast("long").alias("score"))
 
 
-@query(None)
+@query(RETRIEVE.replace("30 * 86400", "90 * 86400").replace("LIMIT 200", "LIMIT 40") + "SELECT p.id, round(0.7 * final + 0.3 * n.c, 6) AS final FROM placed p JOIN near n USING (id) ORDER BY round(0.7 * final + 0.3 * n.c, 9) DESC, id LIMIT 20", "items scores firsts")
 def api_ask(spark, d):
     return corpus(spark, d).ask(query_vector(spark, d), "all", None, 20, EACH, core_terms=CORE).select("id", F.round("final", 6).alias("final"))
 
 
-@query(None)
+PICK = """, p3 AS (SELECT *, row_number() OVER (PARTITION BY source_title ORDER BY r) AS s FROM p1),
+first AS (SELECT *, row_number() OVER (ORDER BY r) AS position FROM p3 WHERE s <= 3 QUALIFY position <= {most}),
+rest AS (SELECT p3.*, (SELECT count(*) FROM first) + row_number() OVER (ORDER BY r) AS position FROM p3 WHERE id NOT IN (SELECT id FROM first) QUALIFY position <= {least}),
+picked AS (SELECT * FROM first UNION ALL SELECT * FROM rest) """
+
+ASKED = RANKED + """, tagged AS (SELECT p.*, CASE WHEN agentic THEN 0.5 ELSE 0 END AS tm, (CASE WHEN contains(lower(p.title || ' ' || p.summary), 'agent') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(p.title || ' ' || p.summary), 'then') THEN 0.5 ELSE 0 END) AS tp
+  FROM placed p WHERE category IN ('research', 'ai_news') AND length(summary) <= 50000),
+aligned AS (SELECT *, (least(1.0, tm) * 0.5 + least(1.0, tp) * 0.5)::DOUBLE AS a FROM tagged),
+again AS (SELECT *, final * CASE WHEN a > 0.5 THEN 4 + a * 4 WHEN a > 0.3 THEN 2.5 + a * 4 WHEN a > 0.1 THEN 1.5 + a * 5 ELSE 0.3 END AS adjusted FROM aligned),
+p1 AS (SELECT *, row_number() OVER (ORDER BY round(adjusted, 9) DESC, id) AS r FROM again) """
+
+
+@query(ASKED + PICK.format(most=16, least=11) + "SELECT position, id, category, round(adjusted, 6) AS final FROM picked", "items scores firsts")
 def api_newsletter(spark, d):
     rows = corpus(spark, d).newsletter(["research", "ai_news"], "month", 20, "agents then", ("agent", "then"), terms=EACH, core_terms=CORE)
     return rows.select("position", "id", "category", F.round("final", 6).alias("final"))
 
 
+EPISODE = RANKED + """, p1 AS (SELECT *, row_number() OVER (ORDER BY CASE category WHEN 'ai_news' THEN 0 ELSE 1 END, round(final, 9) DESC, id) AS r FROM placed WHERE category IN ('research', 'ai_news')) """ + PICK.format(most=12, least=10)
+
+
+@query(EPISODE + """, d AS (SELECT *, row_number() OVER (ORDER BY position) AS k FROM picked WHERE floor(final * 10 + 0.5) >= 3)
+SELECT id, title, position, CASE WHEN k <= 4 THEN 'segment' WHEN k <= 7 THEN 'lightning' ELSE 'cut' END AS band FROM d""", "items scores firsts")
+def api_podcast(spark, d):
+    """Without a prompt the categories come one after the other."""
+    base = corpus(spark, d)
+    base.items = base.items.withColumn("url", F.concat(F.lit("https://x.example/"), F.col("id").cast("string")))
+    made = base.podcast(["ai_news", "research"], "month", 12, terms=EACH, core_terms=CORE)
+    return made["rundown"].select("id", "title", "position", "band")
+
+
+@query(RANKED + "SELECT rank, id, round(final, 6) AS final, round(bm25, 6) AS bm25, CASE WHEN scored THEN 1767225600 - 10 * 86400 END AS stored_at FROM placed WHERE category = 'research' AND rank <= 40", "items scores firsts")
+def api_ranking_debug(spark, d):
+    rows = corpus(spark, d).ranking_debug("research", "month", 40, terms=EACH, core_terms=CORE)
+    return rows.select("rank", "id", F.round("final", 6).alias("final"), F.round("bm25", 6).alias("bm25"), "stored_at")
+
+
+def _library(spark, d):
+    """Parts as papers, in twenty libraries."""
+    parts = read(spark, d, "part")
+    key = F.col("p_partkey")
+    papers = parts.select(key.cast("string").alias("bibcode"), F.col("p_name").alias("title"), F.to_json(F.array("p_brand", "p_type", "p_name", "p_brand")).alias("authors"), F.col("p_type").alias("abstract"), key.alias("fetched_at"))
+    links = parts.select(F.concat(F.lit("Library "), (key % 20).cast("string")).alias("library_id"), key.cast("string").alias("bibcode"), F.floor(key / 20).alias("position"))
+    return Papers(papers, links, "https://papers.example/abs/")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_type ILIKE '%s%' OR p_name ILIKE '%s%' OR p_brand ILIKE '%s%' ORDER BY p_partkey DESC LIMIT 10), n AS (SELECT *, row_number() OVER (ORDER BY p_partkey DESC) AS n FROM p)
+SELECT n, p_partkey::VARCHAR AS bibcode, '[' || n || '] Bibcode: ' || p_partkey || chr(10) || 'Title: ' || p_name || chr(10) || 'Authors: ' || p_brand || ', ' || p_type || ', ' || p_name || ' et al.' || chr(10) || 'Abstract: ' || p_type AS entry FROM n""")
+def api_papers_context(spark, d):
+    return _library(spark, d).context("s")
+
+
+@query("""WITH p AS (SELECT p_partkey FROM part WHERE p_partkey % 20 = 3 ORDER BY p_partkey DESC LIMIT 10), n AS (SELECT *, row_number() OVER (ORDER BY p_partkey DESC) AS n FROM p)
+SELECT q, n, p_partkey::VARCHAR AS bibcode, 'https://papers.example/abs/' || p_partkey AS url FROM n JOIN (VALUES (1, 2), (1, 1), (2, 4)) c(q, cited) ON cited = n""")
+def api_papers_ask(spark, d):
+    """Two answers with citations, some of them of papers that the context lacks."""
+    papers = _library(spark, d)
+    answers = spark.createDataFrame([(1, "As [2] says, and [1], and [2] again, not [99] or [0]."), (2, "Only [4].")], "q int, answer string")
+    return papers.cited(answers, papers.context("", "Library 3")).select("q", F.col("n").cast("long").alias("n"), "bibcode", "url")
+
+
+@query("""SELECT p_partkey // 20 AS position, p_partkey::VARCHAR AS bibcode, p_name AS title, 'https://papers.example/abs/' || p_partkey AS url, (SELECT count(*) FROM part WHERE p_partkey % 20 = 7) AS total, (SELECT count(*) FROM part WHERE p_partkey % 20 = 7) > 15 AS has_more
+FROM part WHERE p_partkey % 20 = 7 AND p_partkey // 20 >= 5 AND p_partkey // 20 < 15""")
+def api_library(spark, d):
+    return _library(spark, d).library("Library 7", 5, 10).select("position", "bibcode", "title", "url", "total", "has_more")
+
+
+@query("SELECT 'Library ' || p_partkey % 20 AS library_id, count(*) AS papers FROM part GROUP BY 1")
+def api_libraries(spark, d):
+    return _library(spark, d).libraries()
+
+
 @query(RANKED + """, long AS (SELECT 'final' AS metric, final::DOUBLE AS v FROM placed WHERE category = 'research' UNION ALL SELECT 'bm25', bm25 FROM placed WHERE category = 'research' UNION ALL SELECT 'llm', llm FROM placed WHERE category = 'research'
   UNION ALL SELECT 'recency', recency FROM placed WHERE category = 'research' UNION ALL SELECT 'boost', boost FROM placed WHERE category = 'research'),
 o AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY metric) AS n FROM long)

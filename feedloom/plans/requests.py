@@ -3,12 +3,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import config
 from feedloom.functions.text import text_of
-from feedloom.operators import analytics, prompt, ranking, search, selection
+from feedloom.functions.urls import arxiv_url, paper_url, url_key
+from feedloom.operators import analytics, digests, podcast, prompt, ranking, replies, search, selection
 
 
 def period_days(period: str, strict: bool = True, default: int = 7) -> int:
@@ -81,17 +82,51 @@ class Corpus:
         best = best.withColumn("final", F.col("final") * 0.7 + F.col("cosine") * 0.3)
         return search.topk(best, "final", limit, ["id"])
 
+    def _chosen(self, names: list[str], period: str, limit: int, words: str, topics: tuple[str, ...], oversize: int | None, terms: dict | None, **how) -> DataFrame:
+        """Items across categories, re-ranked by what the prompt names, or else in the
+        order of the categories, and source-diverse."""
+        profile = prompt.prompt_profile(words, topics)
+        focus, avoid = (profile.focus_topics, profile.exclude_topics) if profile and profile.focus_topics else ([], [])  # exclusions alone are not looked at
+        text = text_of("title", "summary")
+        extra = {"present": prompt.presence(text, focus), "named": prompt.names_any(text, avoid), "size": F.length("summary")}
+        own = [c for c in ("title", "url", "content_snippet") if c in self.items.columns]
+        rows = ranking.rank_categories(self.items, self.scores, self.as_of, period_days(period), [category(n) for n in names], self._terms(terms), columns=own, extra=extra, **how)
+        if oversize is not None:
+            rows = rows.where(F.col("size") <= oversize)
+        rows = prompt.exclude(prompt.rerank(rows, focus, present="present"), avoid, named="named")
+        place = F.create_map(*[F.lit(x) for k, n in enumerate(dict.fromkeys(names)) for x in (n, k)])
+        rows = rows.withColumns({"all": F.lit("all"), "place": F.lit(0) if focus else F.element_at(place, F.col("category"))})
+        if "url" in own:
+            rows = selection.keep_first(rows, url_key("url"), ["place", F.round("final", 9).desc(), "id"])
+        per_source = 2 if period == "week" else 3
+        rows = selection.best_of_sources(rows, per_source, limit, group=["all"], before=["place"])
+        return selection.select_diverse(rows, per_source, limit, group=["all"]).drop("all", "place", "present", "named", "size")
+
     def newsletter(self, names: list[str], period: str = "week", limit: int | None = None, words: str = "", topics: tuple[str, ...] = config.PROMPT_TOPICS, oversize: int = 50_000, terms: dict | None = None, **how) -> DataFrame:
         """Items for a newsletter across categories, re-ranked by what the prompt names."""
-        limit = clamp(limit, 1, 50, 20)
-        profile = prompt.prompt_profile(words, topics)
-        rows = ranking.rank_categories(self.items, self.scores, self.as_of, period_days(period), [category(n) for n in names], self._terms(terms), **how)
-        rows = rows.where(F.length("summary") <= oversize)
-        if profile and profile.focus_topics:  # exclusions alone are not looked at
-            rows = prompt.exclude(prompt.rerank(rows, profile.focus_topics), profile.exclude_topics)
-        most = -(-limit * 10 // 13)
-        rows = rows.withColumn("all", F.lit("all"))
-        return selection.select_diverse(selection.best_of_sources(rows, 3, most, group=["all"]), 3, most, group=["all"]).drop("all")
+        return self._chosen(names, period, -(-clamp(limit, 1, 50, 20) * 10 // 13), words, topics, oversize, terms, **how)
+
+    def podcast(self, names: list[str], period: str = "week", limit: int | None = None, words: str = "", topics: tuple[str, ...] = config.PROMPT_TOPICS, terms: dict | None = None, aggregators: tuple[str, ...] = (), **how) -> dict[str, DataFrame]:
+        """An episode: selected items, their digests, the rundown, the script, its segments
+        with times, and the report on issues (none without a model)."""
+        chosen = self._chosen(names, period, clamp(limit, 1, 50, 15), words, topics, None, terms, **how)
+        texts = self.items.select("id", "summary").join(F.broadcast(chosen.select("id")), "id")  # `limit` rows
+        chosen = chosen.join(F.broadcast(texts), "id")
+        made = digests.podcast_digests(chosen, words, aggregators).join(F.broadcast(chosen.select("id", "position")), "id")
+        bands = podcast.rundown(made.withColumn("episode", F.lit(1)), ["episode"], ["position"])
+        script = podcast.fallback_script(bands, "episode")
+        named = bands.where("band = 'segment'").select("episode", "place", "seconds", F.substring("one_line_takeaway", 1, 50).alias("title"))
+        times = podcast.script_times(named, script.withColumnRenamed("seconds", "spoken"), "episode")
+        none = script.select("episode", *[F.lit(None).cast("string").alias(c) for c in ("severity", "type", "line", "issue", "fix")])
+        return {"selection": chosen, "digests": made, "rundown": bands, "script": script, "segments": times, "report": digests.verification_report(none, ["episode"])}
+
+    def ranking_debug(self, name: str, period: str = "week", limit: int | None = None, terms: dict | None = None, **how) -> DataFrame:
+        """The best items of a category with all their scores, and when the newest stored score was made."""
+        limit = clamp(limit, 1, 100, 50)
+        rows = ranking.rank_categories(self.items, self.scores, self.as_of, 30 if period == "month" else 7, [category(name)], self._terms(terms), columns=["title"], **how)
+        rows = ranking.with_rank(rows, most=limit)
+        last = self.scores.groupBy("item_id").agg(F.max("scored_at").alias("stored_at"))
+        return rows.join(last, rows.id == last.item_id, "left").drop("item_id")
 
     def score_analytics(self, name: str, period: str = "week", buckets: int = 10, terms: dict | None = None, **how) -> DataFrame:
         """Low, high, mean and upper median of each score of a category's ranked items."""
@@ -107,3 +142,47 @@ class Corpus:
         titled = text_of("title") != ""
         one = self.items.agg(F.count(F.lit(1)).alias("raw"), F.count_if(titled).alias("normalised"), F.count_if(titled & own).alias("categorised"), F.count_if(titled & own & window).alias("recent"))
         return analytics.long_form(one, ["raw", "normalised", "categorised", "recent"])
+
+
+@dataclass
+class Papers:
+    """Papers (bibcode, title, authors as JSON, abstract, fetched_at) and their libraries' links (library_id, bibcode, position)."""
+
+    papers: DataFrame
+    links: DataFrame
+    page: str
+
+    def context(self, question: str, library: str | None = None, limit: int = 20, most: int = 10) -> DataFrame:
+        """(n, bibcode, entry): the numbered papers that an answer may cite: a library's,
+        or those whose title, abstract or authors have the question in them, newest first."""
+        if library is not None:
+            rows = self.papers.join(self.links.where(F.col("library_id") == library).select("bibcode"), "bibcode")
+        else:
+            like = F.lit(f"%{question}%")
+            rows = self.papers.where(F.ilike("title", like) | F.ilike("abstract", like) | F.ilike("authors", like))
+        rows = rows.orderBy(F.desc("fetched_at"), "bibcode").limit(min(limit, most))
+        n = F.row_number().over(Window.orderBy(F.desc("fetched_at"), "bibcode"))  # `most` rows
+        entry = F.concat(F.lit("["), n.cast("string"), F.lit("] Bibcode: "), "bibcode", F.lit("\nTitle: "), F.coalesce(F.nullif("title", F.lit("")), "bibcode"), F.lit("\nAuthors: "),
+                         F.coalesce(replies.authors_label("authors"), F.lit("Unknown")), F.lit("\nAbstract: "), F.coalesce(F.nullif("abstract", F.lit("")), F.lit("N/A")))
+        return rows.select(n.alias("n"), "bibcode", entry.alias("entry"))
+
+    def cited(self, answers: DataFrame, context: DataFrame, answer: str = "answer") -> DataFrame:
+        """(n, bibcode, url) for each paper that an answer cites, in the order of its citations."""
+        refs = answers.select(*[c for c in answers.columns if c != answer], F.posexplode(replies.citations(answer, 10)).alias("at", "n"))
+        return refs.join(F.broadcast(context.select("n", "bibcode")), "n").withColumn("url", paper_url("bibcode", self.page))
+
+    def library(self, name: str, start: int = 0, rows: int = 20, blocked: tuple[str, ...] = config.BLOCKED_LIBRARIES) -> DataFrame:
+        """A page of a library's papers with their urls, `total` and `has_more`; none of a blocked library."""
+        if any(b in name.lower() for b in blocked):
+            raise ValueError(f"library {name} is not available")
+        own = self.links.where(F.col("library_id") == name)
+        total = own.agg(F.count(F.lit(1)).alias("total"))
+        found = own.where((F.col("position") >= start) & (F.col("position") < start + rows)).join(self.papers, "bibcode", "left").crossJoin(F.broadcast(total))
+        return found.select("position", "bibcode", "title", "authors", paper_url("bibcode", self.page).alias("url"), arxiv_url("bibcode").alias("arxiv_url"), "total", (F.col("total") > start + rows).alias("has_more"))
+
+    def libraries(self, blocked: tuple[str, ...] = config.BLOCKED_LIBRARIES) -> DataFrame:
+        """Each library that isn't blocked, with its number of papers."""
+        good = F.lit(True)
+        for b in blocked:
+            good = good & ~F.lower("library_id").contains(b)
+        return self.links.where(good).groupBy("library_id").agg(F.count(F.lit(1)).alias("papers"))

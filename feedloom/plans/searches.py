@@ -94,7 +94,10 @@ def retrieve_context(spark, d):
     return search.topk(best, "final", 100, ["id"]).select("id", F.round("final", 6).alias("final"))
 
 
-@query(None)
+@query("""WITH c AS (SELECT doc_id, text, list_reduce(list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT), lambda h, u: CASE WHEN u < 65536 THEN (31 * h + u) % 4294967296
+  ELSE (31 * ((31 * h + 55296 + (u - 65536) // 1024) % 4294967296) + 56320 + (u - 65536) % 1024) % 4294967296 END, 0::BIGINT) AS h FROM documents WHERE text <> ''),
+a AS (SELECT doc_id, text, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) AS hash FROM c UNION ALL SELECT doc_id, text, 0 FROM documents WHERE text = '')
+SELECT doc_id, hash, 768 AS size, CASE WHEN trim(text) = '' THEN 0 ELSE round(sin(hash + 73)::FLOAT::DOUBLE, 4) END AS second FROM a""")
 def embed_pseudo(spark, d):
     rows = read(spark, d, "documents").select("doc_id", search.pseudo_hash(F.col("text")).alias("hash"), search.pseudo_embedding(F.col("text")).alias("v"))
     return rows.select("doc_id", "hash", F.size("v").alias("size"), F.round(F.get("v", F.lit(1)).cast("double"), 4).alias("second"))

@@ -148,7 +148,11 @@ def html_to_text(spark, d):
     return read(spark, d, "pages").select("page_id", text.html_to_text("html").alias("txt"))
 
 
-@query(None)
+@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gi'), '<style[^>]*>.*?</style>', '', 'gi'), '<br\\s*/?>', chr(10), 'gi') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(replace(replace(replace(t, '</p>', chr(10)), '</li>', chr(10)), '</div>', chr(10)), '<h[1-6][^>]*>(.*?)</h[1-6]>', chr(10) || '\\1' || chr(10), 'gi') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(t, '<a[^>]*href=["'']([^"'']*?)["''][^>]*>(.*?)</a>', '\\2 (\\1)', 'gi'), '<[^>]+>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)) AS t FROM c)
+SELECT page_id, regexp_replace(regexp_replace(t, '\\n\\n\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS txt FROM d""")
 def html_to_plaintext(spark, d):
     return read(spark, d, "pages").select("page_id", text.html_to_plaintext("html").alias("txt"))
 
