@@ -1,6 +1,7 @@
 """Aggregations and distributions."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import config
@@ -210,12 +211,13 @@ def agg_max_by_source(spark, d):
     return _scored(spark, d).groupBy("source").agg(F.max("final").alias("best")).orderBy(F.desc("best"), "source").limit(3)
 
 
-@query("""WITH p AS (SELECT category, list_position(['research', 'tech_articles', 'product_news', 'ai_news', 'community', 'newsletters', 'podcasts'], category) AS place, id FROM items WHERE published_at >= 1767225600 - 2 * 86400)
-SELECT place::INTEGER AS place, category, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM p GROUP BY place, category""", "items")
+@query("""WITH p AS (SELECT category, list_position(['research', 'tech_articles', 'product_news', 'ai_news', 'community', 'newsletters', 'podcasts'], category) AS place, id, row_number() OVER (PARTITION BY category ORDER BY published_at DESC, id) AS k FROM items)
+SELECT place::INTEGER AS place, category, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM p WHERE k <= 10 GROUP BY place, category""", "items")
 def agg_group_ordered_category(spark, d):
-    """A digest's sections in order; a section has a window's items, which a cap bounds upstream."""
+    """A digest's sections in order; a section has the ten newest items, as the digest's cap says."""
     place = F.create_map(*[x for k, c in enumerate(config.DIGEST_ORDER) for x in (F.lit(c), F.lit(k + 1))])
-    rows = items(spark, d).where(F.col("published_at") >= AS_OF - 2 * DAY).withColumn("place", F.coalesce(F.element_at(place, F.col("category")), F.lit(99)))
+    newest = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("published_at"), "id"))
+    rows = items(spark, d).select("id", "category", "published_at").withColumn("k", newest).where("k <= 10").withColumn("place", F.coalesce(F.element_at(place, F.col("category")), F.lit(99)))
     return rows.groupBy("place", "category").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.functions import urls
+from feedloom.functions import text, urls
 from feedloom.functions.text import contains
 from feedloom.operators.ranking import in_window
 from feedloom.plans.registry import query
@@ -170,9 +170,12 @@ def ddl_migrate(spark, d):
     return table.unionByName(wider, allowMissingColumns=True)
 
 
-@query("""SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9-]', '-', 'g')) AS filename FROM pages""")
+@query("""SELECT page_id, regexp_replace(lower(url), '[^a-z0-9-]', '-', 'g') || CASE WHEN page_id % 2 = 0 THEN '.md' ELSE '.txt' END AS filename, CASE WHEN page_id % 2 = 0 THEN '# **Page** *' || page_id || '*' ELSE 'Page ' || page_id END AS body FROM pages""")
 def sink_download(spark, d):
-    return read(spark, d, "pages").select("page_id", F.regexp_replace(F.lower("url"), "[^a-z0-9-]", "-").alias("filename"))
+    """Markdown as it is, or as plain text."""
+    even, made = F.col("page_id") % 2 == 0, F.concat(F.lit("# **Page** *"), F.col("page_id").cast("string"), F.lit("*"))
+    name = F.concat(F.regexp_replace(F.lower("url"), "[^a-z0-9-]", "-"), F.when(even, ".md").otherwise(".txt"))
+    return read(spark, d, "pages").select("page_id", name.alias("filename"), F.when(even, made).otherwise(text.strip_formatting(made)).alias("body"))
 
 
 @query("SELECT doc_id AS item_id, source AS name FROM documents UNION ALL SELECT page_id, url FROM pages")

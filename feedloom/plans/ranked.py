@@ -207,3 +207,14 @@ def newsletter_pipeline(spark, d):
 def podcast_pipeline(spark, d):
     rows = _digest_pipeline(spark, d, 12, None)
     return rows.select("position", "id", "category", F.round("final", 6).alias("final"), half_up(F.col("final") * 10).cast("long").alias("relevance"))
+
+
+@query("""SELECT * FROM (VALUES ('Focus on code search for senior engineers', 'code search', '', 'senior engineers', 'focus', '', NULL), ('A casual summary of agents, avoid research', 'research,agents', 'research', NULL, 'summary', 'summary', 'conversational'),
+  ('Deep technical overview of RAG for the team', 'rag', '', 'everyone', 'deep-dive', '', 'technical'), ('  ', NULL, NULL, NULL, NULL, NULL, NULL)) t(words, focus, avoid, audience, intent, hints, voice)""")
+def prompt_profile(spark, d):
+    """What prompts ask for; a blank one has no profile."""
+    rows = []
+    for words in ("Focus on code search for senior engineers", "A casual summary of agents, avoid research", "Deep technical overview of RAG for the team", "  "):
+        p = prompt.prompt_profile(words)
+        rows.append((words, *([None] * 6 if p is None else (",".join(p.focus_topics), ",".join(p.exclude_topics), p.audience, p.intent, ",".join(p.format_hints), p.voice_style))))
+    return spark.createDataFrame(rows, "words string, focus string, avoid string, audience string, intent string, hints string, voice string")
