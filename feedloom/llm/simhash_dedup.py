@@ -8,9 +8,9 @@ five segments and r = 4 the first segment is equal and the second differs in
 at most one bit.  So every fingerprint is filed under each (segment, next
 segment) pair as it is, and also under the pairs whose second part has one bit
 changed.  Two linked fingerprints always meet in a file of about 26 bits.
-Work and shuffle grow with the number of different fingerprints; files are
-small, and inside a file a search over what is not yet reached compares whole
-fingerprints and keeps a spanning forest, never all pairs.
+Work and shuffle grow with the number of different fingerprints.  In a short
+file all pairs are compared; in a longer one a search over what is not yet
+reached compares whole fingerprints and keeps a spanning forest.
 """
 from __future__ import annotations
 
@@ -26,7 +26,8 @@ from feedloom.llm.text import LOWER_BYTES
 
 SEGMENTS = 5
 SEED = 42
-NO_ID = 1 << 61
+#: In files of more fingerprints a search keeps a spanning forest; in shorter ones all pairs are compared.
+SHORT_FILE = 24
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -70,7 +71,7 @@ def _bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:
 
 
 def filed(nodes: DataFrame) -> DataFrame:
-    """(key, fp, node) for every file that a fingerprint is in."""
+    """(key, fp) for every file that a fingerprint is in."""
 
     def run(batches):
         parts = _bounds()
@@ -83,81 +84,76 @@ def filed(nodes: DataFrame) -> DataFrame:
                 second = (fp >> np.uint64(low2)) & np.uint64((1 << width2) - 1)
                 head = np.uint64(i << 40) | (first << np.uint64(20))
                 keys += [head | (second ^ np.uint64(flip)) for flip in [0, *(1 << b for b in range(width2))]]
-            out = [np.concatenate(keys).view(np.int64), np.tile(fp.view(np.int64), len(keys)), np.tile(np.asarray(batch.column(1)), len(keys))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "fp", "node"])
+            out = [np.concatenate(keys).view(np.int64), np.tile(fp.view(np.int64), len(keys))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "fp"])
 
-    return nodes.select("fp", "node").mapInArrow(run, "key long, fp long, node long")
+    return nodes.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges of a spanning forest of the links among the fingerprints of one file."""
-    left = np.arange(len(fps))
+    left = fps
     out = []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[x]) <= radius
+            near = np.bitwise_count(left ^ x) <= radius
             if near.any():
                 reached, left = left[near], left[~near]
-                out.append((np.full(len(reached), nodes[x]), nodes[reached]))
-                queue.extend(reached.tolist())
+                out.append((np.full(len(reached), x), reached))
+                queue.extend(reached)
     return out
 
 
-def links_in_files(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int):
-    """Edges between nodes from whole files; `key` is sorted."""
+def links_in_files(key: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+    """Links between the fingerprints of whole files, as pairs; `key` is sorted."""
     cut = np.flatnonzero(np.diff(key)) + 1
     starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
     sizes = ends - starts
-    src, dst = [], []
-    for k in range(1, int(min(24, sizes.max(initial=0)))):  # small files: rows k apart
-        at = np.repeat(starts[(sizes > k) & (sizes <= 24)], sizes[(sizes > k) & (sizes <= 24)] - k)
-        if len(at) == 0:
-            continue
-        many = sizes[(sizes > k) & (sizes <= 24)] - k
-        at = at + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    src, dst = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for k in range(1, int(min(SHORT_FILE, sizes.max(initial=0)))):  # short files: rows k apart
+        which = (sizes > k) & (sizes <= SHORT_FILE)
+        many = sizes[which] - k
+        at = np.repeat(starts[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         near = np.bitwise_count(fp[at] ^ fp[at + k]) <= radius
-        src.append(node[at[near]])
-        dst.append(node[at[near] + k])
-    for g in np.flatnonzero(sizes > 24):
-        for a, b in forest(fp[starts[g] : ends[g]], node[starts[g] : ends[g]], radius):
+        src.append(fp[at[near]])
+        dst.append(fp[at[near] + k])
+    for g in np.flatnonzero(sizes > SHORT_FILE):
+        for a, b in forest(fp[starts[g] : ends[g]], radius):
             src.append(a)
             dst.append(b)
-    if not src:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(src), np.concatenate(dst)
+    a, b = np.concatenate(src).view(np.int64), np.concatenate(dst).view(np.int64)
+    pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0)
+    return pairs[pairs[:, 0] != pairs[:, 1]]
 
 
 def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) that connect the same groups as all pairs within `radius` bits do."""
+    """Links (a, b) of fingerprints that connect the same groups as all pairs within `radius` bits do."""
     if radius >= SEGMENTS:
         raise ValueError("the files above are complete for radii under the number of segments")
-    spark = nodes.sparkSession
-    rows = filed(nodes)
-    rows = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+    rows = filed(nodes).repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches):
-        rest = None
+        parts, held = [], 0  # whole files, then the last one so far
         for batch in batches:
-            now = [np.asarray(batch.column(k)) for k in range(3)]
-            if rest is not None:
-                now = [np.concatenate((a, b)) for a, b in zip(rest, now)]
+            now = [np.asarray(batch.column(k)) for k in range(2)]
             if len(now[0]) == 0:
                 continue
             cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-            if cut < 16384:  # more of the last file may follow
-                rest = now
+            if held + cut < 16384 or (cut == 0 and parts[-1][0][-1] == now[0][0]):
+                parts.append(now)
+                held += len(now[0])
                 continue
-            rest = [x[cut:] for x in now]
-            yield made([x[:cut] for x in now])
-        if rest is not None:
-            yield made(rest)
-
-    def made(arrays):
-        a, b = links_in_files(arrays[0], arrays[1].view(np.uint64), arrays[2], radius)
-        pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            parts.append([x[:cut] for x in now])
+            yield made(parts)
+            parts, held = [[x[cut:] for x in now]], len(now[0]) - cut
+        if parts:
+            yield made(parts)
+
+    def made(parts):
+        key, fp = (np.concatenate(x) for x in zip(*parts))
+        pairs = links_in_files(key, fp.view(np.uint64), radius)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -167,20 +163,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id) for each row of `docs`.
 
     component_id is the smallest id that links reach.  Null and empty texts have
-    fingerprint zero and are linked like any other; rows that repeat an id stay
-    rows; a null id gets a row with the smallest id of its group, or null if none has an id; an
+    fingerprint zero and are linked like any other; a very long text has one
+    fingerprint of all its shingles; rows that repeat an id stay rows; a null id
+    gets a row with the smallest id of its group, or null if none has an id; an
     empty table gives no rows.  Other columns of `docs` are not read.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle))
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("node"))
-    # A fingerprint that only rows without an id have is a node above all ids.
-    nodes = stored(nodes.withColumn("node", F.coalesce("node", F.lit(NO_ID) + F.shiftrightunsigned("fp", 3))))
+    nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("id")))
     found = components(links(nodes, radius))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "component").select("fp", "component_id")
     return fps.join(named, "fp").select(
-        F.col("id").alias("doc_id"),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"),
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
     )
 
 
