@@ -31,12 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/feedloom/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that stored() wrote in this application, once no result of
+    an operator is to be read any more."""
+    _delete(spark, _own_folder(spark))
+
+
 def stored(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back, which cuts
     its lineage and survives lost executors.  Tables whose rows hold megabytes
     ask for small row groups of about `block_bytes`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/feedloom/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._feedloom_path = path
@@ -47,9 +62,7 @@ def drop_stored(df: DataFrame) -> None:
     """Delete a table that stored() wrote, once nothing reads it any more."""
     path = getattr(df, "_feedloom_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        _delete(df.sparkSession, path)
 
 
 class Sent:
