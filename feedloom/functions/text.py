@@ -129,6 +129,7 @@ CUES = (
     r"(?i)\[SFX[^\]]*\]", r"(?i)\[APPLAUSE\]", r"(?i)\[LAUGHTER\]", r"(?i)\[silence[^\]]*\]", r"(?i)\[\s*[A-Z\s]*\s*MUSIC\s*\]", r"(?i)\[NEEDS SUPPORT\]",
     r"(?i)cold open:?\s*", r"(?i)lightning round:?\s*", r"(?i)quick hits:?\s*", r"(?i)intro segment:?\s*", r"(?i)outro:?\s*", r"(?i)main segment:?\s*",
 )
+# Markup, speakers and white space of a transcript, in the order of removal.
 MARKUP = (
     (r"(?m)^##\s*.+$", ""), (r"\*\*[A-Z]+:\*\*\s*", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\[[0-9:]+\]\s*", ""), (r"\(≈?[0-9]+s\)", ""),
     (r"(?m)^---+$", ""), (r"(?m)^Segment [0-9]+\s*[—–-]\s*.+$", ""),

@@ -27,6 +27,7 @@ BAD_URL = (
     r"linktrak\.io", r"click\.linksynergy\.com", r"\.eventbrite\.com/([A-Za-z0-9_-]+)?(?:[/?#]|$)", r"meetup\.com/[^/]+/(?!events?/|members?/)",
 )
 BAD_TITLE = (r"^advertise$", r"^sponsor$", r"^advertisement$", r"^promotional content$", r"^(subscribe|join|sign up)$")
+# Parts of urls on a newsletter's host that are no articles.
 POST_ACTIONS = ("open.substack.com/", "action=restack", "action=share", "redirect=app-store")
 INTERNAL = (
     "/subscribe", "/app-link/", "submitLike=", "comments=true", "action=share", "action=restack", "/action/disable_email", "redirect=app-store",
@@ -35,6 +36,7 @@ INTERNAL = (
 LINE_INTERNAL = ("/redirect/", "/app-link/", "/subscribe", "substackcdn.com/open", "open.substack.com/")
 TRACKER = "tracking.tldrnewsletter"
 
+# How links are written, in the order in which they are looked for.
 MARKDOWN = re.compile(r"\[([^\]]+)\]\((https?://[^)]+)\)")
 ANCHOR = re.compile(r"""<a\s+[^>]*?href=["']([^"']+)["'][^>]*>(.*?)</a>""", re.I)
 LINE = re.compile(r"""^(\d+\.\s+)?(.+?)(?:\s*[-–]|\s+)?(https?://[^\s<>"]+)""", re.M)

@@ -84,6 +84,7 @@ def fallback_script(episodes: DataFrame, key: str) -> DataFrame:
         intro = F.element_at(intros, F.pmod(x["place"] - 1, F.lit(len(config.SEGMENT_INTROS))) + 1)
         return F.concat(F.lit("## "), x["name"], F.lit("\n\n**HOST:** "), intro, F.lit(" "), F.lower(x["name"]), F.lit(". "), x["points"], F.lit("\n\n[PAUSE]\n\n"))
 
+    # What is said first and last.
     head = F.concat(F.lit("[INTRO MUSIC]\n\n**HOST:** Welcome to this week's code intelligence digest. I'm your host.\n\n**COHOST:** And I'm your co-host. Today we're covering "), F.col("stories").cast("string"),
                     F.lit(" stories on code search, agents, and developer tools.\n\n"))
     tail = F.lit("**HOST:** That's all for this week. Thanks for listening. Check the show notes for all links.\n\n[OUTRO MUSIC]")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import collections
 import re
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -46,7 +47,9 @@ MOST_KEPT = 4
 
 def kept(rows: DataFrame) -> DataFrame:
     """`rows`, cached (in memory, else on disk) when they are first read, as several
-    parts of a plan read them.  Of all these tables the last few stay."""
+    parts of a plan read them.  Of all these tables the last few stay.  A mark keeps
+    a later query from reading this one's table, as files may have changed."""
+    rows = rows.withColumn("__made", F.lit(uuid.uuid4().hex))
     while len(_kept) >= MOST_KEPT:
         old = _kept.popleft()
         if old.sparkSession.sparkContext._jsc is not None:
@@ -88,7 +91,7 @@ def bm25(items: DataFrame, terms: Sequence[str] | dict[str, Sequence[str]], text
             times = F.lit(n) if name is None else F.when(F.col(group) == name, n).otherwise(times) if n else times
         idf = F.ln((F.col("__n") - df + 0.5) / (df + 0.5) + 1)
         parts.append(F.coalesce(F.when(tf > 0, idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * ratio)) * times), F.lit(0.0)))
-    rows = rows.withColumn("bm25_raw", add(parts).cast("double")).drop("__n", "__all", "__df", "__counts")
+    rows = rows.withColumn("bm25_raw", add(parts).cast("double")).drop("__n", "__all", "__df", "__counts", "__made")
     most = rows.groupBy(*by).agg(F.greatest(F.max("bm25_raw"), F.lit(1.0)).alias("__most"))
     rows = rows.join(F.broadcast(most.where(F.col(group).isin(list(lists)))), by, "left") if group else rows.crossJoin(F.broadcast(most))
     return rows.withColumn("bm25", F.coalesce(F.least(F.col("bm25_raw") / F.col("__most"), F.lit(1.0)), F.lit(0.0))).drop("__most")

@@ -53,9 +53,6 @@ def query(body: str | None = None, tables: str = "", name: str | None = None):
     return put
 
 
-from feedloom.plans import aggregates, episodes, extras, filters, joins, ranked, searches, texts  # noqa: E402,F401  they register themselves
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: the ranked and source-diverse items of every category."""
     return QUERIES["select_diverse"](spark, sf_dir)
