@@ -160,10 +160,16 @@ def _opened(texts: bytes, words: bytes, places: bytes):
     number = np.empty(len(words), np.int64)
     number[order] = np.arange(len(words))
     words, places = words[order], number[places]
-    context = np.empty_like(tokens)
-    context[1:] = tokens[:-1]
-    context[np.cumsum(counts) - counts] = END
-    pairs, at = np.unique(mix(context * U64(BASE) + tokens + U64(1)) & PAIR, return_inverse=True)
+    pair = np.empty_like(tokens)  # the context, then in its place the pair's hash
+    pair[1:] = tokens[:-1]
+    pair[np.cumsum(counts) - counts] = END
+    pair *= U64(BASE)
+    pair += tokens
+    del tokens
+    pair += U64(1)
+    pair = mix(pair)
+    pair &= PAIR
+    pairs, at = np.unique(pair, return_inverse=True)
     return counts, codes, ((words, places), (pairs, at.ravel()))
 
 
