@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, decontaminate, fingerprints, ngram_lm, quality, sharding, simhash_dedup, substring_dedup, toxicity, url_filter
+from feedloom.llm import bpe, decontaminate, fingerprints, ngram_lm, quality, sharding, simhash_dedup, spelling, substring_dedup, toxicity, url_filter
 from feedloom.llm.common import table
 
 
@@ -99,6 +99,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
@@ -110,6 +114,7 @@ QUERIES = {
     "op8_quality_nbsvm": op8_quality_nbsvm,
     "op9_iblt_fingerprints": op9_iblt_fingerprints,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
