@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, decontaminate, fingerprints, ngram_lm, quality, sharding, simhash_dedup, spelling, substring_dedup, toxicity, url_filter
+from feedloom.llm import alignment, bpe, decontaminate, fingerprints, ngram_lm, quality, sharding, simhash_dedup, spelling, substring_dedup, toxicity, url_filter
 from feedloom.llm.common import table
 
 
@@ -103,6 +103,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
@@ -115,6 +122,7 @@ QUERIES = {
     "op9_iblt_fingerprints": op9_iblt_fingerprints,
     "op10_decontamination": op10_decontamination,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
