@@ -58,8 +58,23 @@ def stored(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, column: str, parts: int, block_bytes: int | None = None) -> DataFrame:
+    """As stored(), with rows dealt into `parts` buckets by `column`, so that what is
+    joined by that column comes to the table's rows, which stay where they are."""
+    spark = df.sparkSession
+    name = uuid.uuid4().hex
+    path = f"{_own_folder(spark)}/{name}"
+    writer = df.write.format("parquet").bucketBy(parts, column).option("path", path)
+    (writer.option("parquet.block.size", block_bytes) if block_bytes else writer).saveAsTable(f"feedloom_{name}")
+    out = spark.table(f"feedloom_{name}")
+    out._feedloom_path, out._feedloom_table = path, f"feedloom_{name}"
+    return out
+
+
 def drop_stored(df: DataFrame) -> None:
-    """Delete a table that stored() wrote, once nothing reads it any more."""
+    """Delete a table that stored() or stored_by() wrote, once nothing reads it any more."""
+    if hasattr(df, "_feedloom_table"):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._feedloom_table}")
     path = getattr(df, "_feedloom_path", None)
     if path:
         _delete(df.sparkSession, path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import alignment, bpe, decontaminate, fingerprints, ngram_lm, quality, sharding, simhash_dedup, spelling, substring_dedup, toxicity, url_filter
+from feedloom.llm import alignment, bpe, decontaminate, fingerprints, ngram_lm, quality, sharding, simhash_dedup, spelling, substring_dedup, suffix_dedup, toxicity, url_filter
 from feedloom.llm.common import table
 
 
@@ -110,6 +110,11 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), *files)
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
@@ -123,6 +128,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
