@@ -36,11 +36,11 @@ from feedloom.llm.packed import opened, pack, portions, sealed, sliced, unpack,
 from feedloom.llm.text import Powers, raw, slice_hashes
 
 #: Bytes of text in a portion, units encoded at once, and rows of pairs in a task that adds them up.
-PORTION, ENCODED, PAIR_ROWS = 4 << 20, 1 << 12, 1 << 20
+PORTION, ENCODED, PAIR_ROWS = 3 << 20, 1 << 12, 1 << 20
 #: Cells that a panel of rows of a product may have before they are summed.
-PANEL = 1 << 20
-#: Units that a worker remembers.
-KNOWN = 1 << 17
+PANEL = 1 << 19
+#: Units that a worker remembers at most; beyond that it begins again.
+KNOWN = 1 << 18
 #: No unit begins before a space that one of these bytes follows: ASCII white space
 #: and the first bytes of all other white space in UTF-8.
 STAYS = np.zeros(256, bool)
@@ -175,33 +175,31 @@ class Pair:
         self.said_sizes = np.array([len(s) for s in self.said], np.int64)
         self.known: dict[bytes, tuple[list[int], list[int]]] = {}
 
-    def encode(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of units that begin with a space."""
-        known, out = self.known, [None] * len(units)
-        new = []
-        for k, unit in enumerate(units):
-            out[k] = known.get(unit)
-            if out[k] is None:
-                new.append(k)
+    def encode(self, units: list[bytes], often: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of units that begin with a space; those that a portion has more than once
+        (`often`) are remembered for the next ones."""
+        known, repeats = self.known, (often > 1).tolist()
+        out = list(map(known.get, units))
+        new = [k for k, both in enumerate(out) if both is None]
         for lo in range(0, len(new), ENCODED):
             some = new[lo : lo + ENCODED]
             texts = [units[k].decode("utf-8", "replace") for k in some]
             ids = zip((x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)), self.b.encode([t[1:] for t in texts], num_threads=1))
             for k, both in zip(some, ids):
                 out[k] = both
-                if len(units[k]) < 64:
+                if repeats[k] and len(units[k]) < 64:
                     known[units[k]] = both
-            if len(known) > KNOWN:
-                known.clear()
+        if len(known) > KNOWN:
+            known.clear()
         return [a for a, _ in out], [b for _, b in out]
 
 
 # -- portions ---------------------------------------------------------------------
 
 
-def units_of(texts: pa.Array, powers: Powers, cuts: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Different units of texts that are not empty, with a space put before each; the
-    unit at each place, and the places before each text, then all."""
+def units_of(texts: pa.Array, powers: Powers, cuts: bool) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Different units of texts that are not empty, with a space put before each, and how
+    often each occurs; the unit at each place, and the places before each text, then all."""
     buf, offs = raw(texts)
     buf, offs = np.insert(buf, offs[:-1], 32), offs + np.arange(len(offs))
     start = np.zeros(len(buf), bool)
@@ -210,21 +208,23 @@ def units_of(texts: pa.Array, powers: Powers, cuts: bool) -> tuple[list[bytes],
     start[offs[:-1]] = True
     starts = np.flatnonzero(start)
     ends = np.append(starts[1:], len(buf))
-    _, first, unit = np.unique(slice_hashes(buf, starts, ends, powers), return_index=True, return_inverse=True)
+    _, first, unit, often = np.unique(slice_hashes(buf, starts, ends, powers), return_index=True, return_inverse=True, return_counts=True)
     data = buf.tobytes()
-    return [data[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist())], unit, np.searchsorted(starts, offs)
+    return [data[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist())], often, unit, np.searchsorted(starts, offs)
 
 
 class Aligned:
     """Tokens, groups and links of different units."""
 
-    def __init__(self, pair: Pair, units: list[bytes]) -> None:
-        lists = pair.encode(units)
+    def __init__(self, pair: Pair, units: list[bytes], often: np.ndarray) -> None:
+        lists = pair.encode(units, often)
         self.ok = np.ones(len(units), bool)
-        for k, (unit, a, b) in enumerate(zip(units, *lists)):
-            if b"".join([pair.bytes_a[i] for i in a]) != unit or b"".join([pair.bytes_b[i] for i in b]) != unit:
-                self.ok[k] = False
-                lists[0][k] = lists[1][k] = []
+        all_of = b"".join(units)
+        if any(b"".join([table[i] for x in every for i in x]) != all_of for table, every in zip((pair.bytes_a, pair.bytes_b), lists)):
+            for k, (unit, a, b) in enumerate(zip(units, *lists)):
+                if b"".join([pair.bytes_a[i] for i in a]) != unit or b"".join([pair.bytes_b[i] for i in b]) != unit:
+                    self.ok[k] = False
+                    lists[0][k] = lists[1][k] = []
         (self.n_a, a), (self.n_b, b) = ((np.array([len(x) for x in every], np.int64), np.array([i for x in every for i in x], np.int64)) for every in lists)
         n = len(units)
         of_a, of_b = groups(overlaps(pair.sizes_a[a], pair.sizes_b[b]), len(b))
@@ -267,8 +267,8 @@ def aligned_portions(docs: DataFrame, sent: Sent) -> DataFrame:
         for key, ids, texts in portions(batches, PORTION):
             texts = texts.cast(pa.large_binary()).fill_null(b"")
             full = np.flatnonzero(np.asarray(pc.binary_length(texts)) > 0)
-            units, unit, at = units_of(texts.take(pa.array(full)), powers, pair.cuts)
-            x = Aligned(pair, units)
+            units, often, unit, at = units_of(texts.take(pa.array(full)), powers, pair.cuts)
+            x = Aligned(pair, units, often)
             text_of = np.repeat(np.arange(len(full)), np.diff(at))
             good = np.bincount(text_of, ~x.ok[unit], len(full)) == 0 if len(full) else np.zeros(0, bool)
             keep = good[text_of]
