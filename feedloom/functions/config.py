@@ -81,6 +81,7 @@ EXCLUDED_ITEM = (r"(?i)reddit\.com/r/", r"(?i)reddit\.com/u/", r"(?i)reddit\.com
 SOURCE_MULTIPLIER = {0: 0.0, 1: 1.0, 2: 1.3, 3: 1.6}
 
 # Order of categories in a rendered digest; others come last.
+DIGEST_LABEL = {"ai_news": "AI News"}  # others are their names with capitals
 DIGEST_ORDER = ("research", "tech_articles", "product_news", "ai_news", "community", "newsletters", "podcasts")
 
 # Themes of digests with their weights.
@@ -91,6 +92,8 @@ THEMES = {
 }
 
 # What a prompt's words say; the first that occurs decides, but topics and hints are all taken.
+#: Topics of a prompt that raise an issue's themes.
+THEME_TOPICS = ("code search", "semantic search", "context management", "information retrieval", "agentic workflows", "agents", "developer productivity", "embeddings", "rag", "vector database")
 PROMPT_TOPICS = (
     "agentic workflows", "information retrieval", "developer productivity", "vector database", "context management", "context window", "code search",
     "semantic search", "ai tools", "ai coding", "code review", "devtools", "embeddings", "refactoring", "monorepo", "enterprise", "infrastructure",

@@ -4,10 +4,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions import config
+from feedloom.functions import config, whatwg
 from feedloom.functions.text import any_match, col, contains
 
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?"
@@ -24,9 +25,26 @@ def path(url: Column | str) -> Column:
     return F.when(found == "", F.lit("/")).otherwise(found)
 
 
+#: Urls whose key can be read off: a lower-case name that doesn't end in a number, a
+#: port of few digits, and a path of safe characters without dot segments.
+PLAIN = r"^https?://(?=[^/?#:]*[a-z-](?:[:/?#]|$))[a-z0-9-]+(?:\.[a-z0-9-]+)*(?::[0-9]{0,4})?(?:/(?!(?:\.|%2[eE]){1,2}(?:[/?#]|$))[A-Za-z0-9._~!$&'()*+,;=:@%-]*)*(?:[?#][!-~]*)?$"
+
+
 def url_key(url: Column | str) -> Column:
-    """host + path, which query, fragment, port and the host's case don't change; null if unparsable."""
-    return F.when(hostname(url).isNotNull(), F.concat(hostname(url), path(url)))
+    """host + path by the URL standard, which query, fragment, port, user and the host's
+    case don't change; null if the url can't be parsed without a base.
+
+    Most urls are plain, and their parts are cut out by expressions; others (dot
+    segments, characters that must be encoded, other alphabets, numbers as hosts,
+    backslashes, other schemes) are parsed in Arrow batches, in which plain ones are null.
+    """
+    u = col(url)
+    plain = F.coalesce(u.rlike(PLAIN) & ~F.lower(hostname(u)).rlike("(?:^|\\.)xn--"), F.lit(False))
+    return F.when(plain, F.concat(hostname(u), path(u))).otherwise(F.arrow_udf(_parsed_keys, "string")(F.when(~plain, u)))
+
+
+def _parsed_keys(urls: pa.Array) -> pa.Array:
+    return pa.array([None if u is None else whatwg.key(u) for u in urls.to_pylist()], pa.string())
 
 
 def final_url(url: Column | str, extracted: Column | str, aggregators: Sequence[str]) -> Column:

@@ -10,13 +10,13 @@ import collections
 import re
 import uuid
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import config
 from feedloom.functions.text import add, col, contains, half_up, hits, text_of
+from feedloom.operators.analytics import beside
 
 DAY = 86_400
 
@@ -144,14 +144,15 @@ def heuristic_scores(text: Column, groups: dict[str, Sequence[str]] = config.HEU
 
 
 def first_scores(scores: DataFrame, key: str = "item_id", at: str = "scored_at") -> DataFrame:
-    """The oldest score of each item; an aggregate, so no window over an item's history."""
+    """The oldest score of each item; an aggregate, so no window over an item's history.
+    Of scores of one time it is always the same one."""
     rest = [c for c in scores.columns if c != key]
-    return scores.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(at)).alias("s")).select(key, "s.*")
+    return scores.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(at, F.xxhash64(*rest))).alias("s")).select(key, "s.*")
 
 
 def latest_scores(scores: DataFrame, key: str = "item_id", at: str = "scored_at") -> DataFrame:
     rest = [c for c in scores.columns if c != key]
-    return scores.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(at)).alias("s")).select(key, "s.*")
+    return scores.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, F.xxhash64(*rest))).alias("s")).select(key, "s.*")
 
 
 def rank_categories(items: DataFrame, scores: DataFrame, as_of: int, days: int, categories: Sequence[str] | None = None, terms: dict[str, Sequence[str]] | None = None,
@@ -191,13 +192,6 @@ def rank_categories(items: DataFrame, scores: DataFrame, as_of: int, days: int,
     return rows.drop("s_rel", "s_use", "s_tags", "least", "item_id", "bm25_raw")
 
 
-def _beside(rows: DataFrame, more: DataFrame, group: Sequence[str]) -> DataFrame:
-    """`rows` with the other columns of their group's row; null is a group of its own."""
-    more = more.withColumnsRenamed({g: f"__of_{g}" for g in group})
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in group], F.lit(True))
-    return rows.join(more, same, "left").drop(*[f"__of_{g}" for g in group])
-
-
 def with_rank(rows: DataFrame, score: str = "final", group: Sequence[str] = ("category",), ties: Sequence[str] = ("id",), most: int | None = None, out: str = "rank", spread: int | None = None) -> DataFrame:
     """`rows` with their place by descending score (9 decimals, so that engines agree on ties; NaN first, null last).
 
@@ -217,11 +211,11 @@ def with_rank(rows: DataFrame, score: str = "final", group: Sequence[str] = ("ca
         return rows.withColumn(out, F.row_number().over(order).cast("long"))
     marks = F.array(*[F.lit(k / spread) for k in range(1, spread)])
     ends = rows.groupBy(*group).agg(F.percentile_approx(place, marks, F.lit(10_000)).alias("__ends"))
-    cut = _beside(rows, ends, group)
+    cut = beside(rows, ends, group)
     own = F.size(F.filter(F.coalesce("__ends", F.array().cast("array<double>")), lambda end: end > place))
     cut = cut.withColumn("__range", F.when(place.isNull(), spread).otherwise(own)).drop("__ends")
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     first = cut.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy(*group, "__range").orderBy(place.desc_nulls_last(), *ties)
     numbered = cut.withColumn("__k", F.row_number().over(inside))
-    return _beside(numbered, first, [*group, "__range"]).withColumn(out, F.col("__first") + F.col("__k")).drop("__first", "__k", "__range")
+    return beside(numbered, first, [*group, "__range"]).withColumn(out, F.col("__first") + F.col("__k")).drop("__first", "__k", "__range")

@@ -34,6 +34,33 @@ def retry_after(failures: Column | str) -> Column:
     return F.least(F.lit(60.0) * F.pow(F.lit(2.0), col(failures) - 1), F.lit(28_800.0)).cast("long")
 
 
+def _said(seconds: Column) -> Column:
+    """A time in seconds, minutes or hours."""
+    whole = lambda x: F.floor(x + 0.5).cast("long").cast("string")
+    return F.when(seconds < 60, F.concat(whole(seconds), F.lit("s"))).when(seconds < 3600, F.concat(whole(seconds / 60), F.lit("m"))).otherwise(F.concat(whole(seconds / 3600), F.lit("h")))
+
+
+def backoff_status(keys: DataFrame, key: str, as_of: int) -> DataFrame:
+    """Rows whose cache key tells of failures ("backoff_<resource>_attempts_<n>_lastFailure_<seconds>"),
+    with resource, attempts, failed_at, retry_at, the ages of both in words and whether a try is due."""
+    part = lambda k: F.regexp_extract(F.col(key), r"backoff_([A-Za-z0-9_]+)_attempts_([0-9]+)_lastFailure_([0-9]+)", k)
+    rows = keys.where(part(1) != "").select("*", part(1).alias("resource"), part(2).try_cast("long").alias("attempts"), part(3).try_cast("long").alias("failed_at"))
+    rows = rows.withColumn("retry_at", F.col("failed_at") + retry_after("attempts"))
+    return rows.withColumns({"age": _said(F.lit(as_of) - F.col("failed_at")), "wait": _said(F.greatest(F.lit(0), F.col("retry_at") - as_of)), "can_retry": F.col("retry_at") <= as_of})
+
+
+def backoff_key(resource: Column | str, attempts: Column | str, failed_at: Column | str) -> Column:
+    return F.concat(F.lit("backoff_"), col(resource), F.lit("_attempts_"), col(attempts).cast("string"), F.lit("_lastFailure_"), col(failed_at).cast("string"))
+
+
+def feeds_cache(feeds: DataFrame, group: list[str], at: str, as_of: int, hours: int = 6) -> DataFrame:
+    """(group..., last_refresh_at, count, expires_at, expired): how many feeds were
+    refreshed, when last, and until when they are good."""
+    rows = feeds.groupBy(*group).agg(F.max(at).alias("last_refresh_at"), F.count(F.lit(1)).alias("count"))
+    rows = rows.withColumn("expires_at", F.col("last_refresh_at") + hours * 3600)
+    return rows.withColumn("expired", F.col("expires_at") <= as_of)
+
+
 def authors_label(authors: Column | str, most: int = 3) -> Column:
     """The first names of a JSON list, and "et al." if there are more; a text that is no list as it is."""
     who = F.from_json(col(authors), "array<string>")

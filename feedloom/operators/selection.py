@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 
 def keep_first(rows: DataFrame, key: Column, order: Sequence[Column | str], group: Sequence[str] = ()) -> DataFrame:
-    """The first row of each key in the given order; rows with a null key all stay."""
-    marked = rows.withColumn("__key", key)
-    place = Window.partitionBy(*group, "__key").orderBy(*order)
-    marked = marked.withColumn("__k", F.row_number().over(place))
-    return marked.where(F.col("__key").isNull() | (F.col("__k") == 1)).drop("__key", "__k")
+    """The first row of each key in the given order; rows with a null key all stay.
+
+    Rows with a null key are numbered, so each is a key of its own: they spread over
+    all tasks, and one condition on the place limits every group before its shuffle.
+    """
+    marked = rows.withColumn("__key", key).withColumn("__own", F.when(F.col("__key").isNull(), F.monotonically_increasing_id()))
+    place = Window.partitionBy(*group, "__key", "__own").orderBy(*order)
+    return marked.withColumn("__k", F.row_number().over(place)).where("__k = 1").drop("__key", "__own", "__k")
 
 
 def least_items(most: int) -> int:

@@ -1,3 +1,3 @@
 
 
-from feedloom.plans import aggregates, episodes, extras, filters, joins, ranked, searches, texts  # noqa: F401  they register themselves
+from feedloom.plans import aggregates, episodes, extras, filters, joins, ranked, searches, stored, texts  # noqa: F401  they register themselves

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import config
 from feedloom.functions.text import tokens
-from feedloom.operators import analytics
+from feedloom.operators import analytics, ranking
 from feedloom.plans.registry import query
-from feedloom.sources.items import AS_OF, DAY, items, read, scores
+from feedloom.sources.items import AS_OF, DAY, items, read, scores, text_items
 
 # documents as a full-text cache: some were fetched, some failed, some were never tried
 def have():
@@ -171,7 +171,7 @@ def _themed(spark, d):
     from feedloom.operators.ranking import first_scores
 
     first = first_scores(scores(spark, d)).select(F.col("item_id").alias("id"), "tags")
-    return items(spark, d).join(first, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return text_items(spark, d).join(first, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 @query(THEMES + "SELECT theme, sum(weight)::DOUBLE * CASE WHEN theme = 'que' OR theme = 'agent' THEN 2.5 ELSE 1 END AS weight FROM found GROUP BY theme", "items scores firsts")
@@ -212,13 +212,13 @@ def agg_max_by_source(spark, d):
 
 
 @query("""WITH p AS (SELECT category, list_position(['research', 'tech_articles', 'product_news', 'ai_news', 'community', 'newsletters', 'podcasts'], category) AS place, id, row_number() OVER (PARTITION BY category ORDER BY published_at DESC, id) AS k FROM items)
-SELECT place::INTEGER AS place, category, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM p WHERE k <= 10 GROUP BY place, category""", "items")
+SELECT place::INTEGER AS place, category, k AS position, id FROM p""", "items")
 def agg_group_ordered_category(spark, d):
-    """A digest's sections in order; a section has the ten newest items, as the digest's cap says."""
+    """All entries of a digest: the place of the section, and the entry's place there,
+    newest first.  An entry is a row, so no section is held in one."""
     place = F.create_map(*[x for k, c in enumerate(config.DIGEST_ORDER) for x in (F.lit(c), F.lit(k + 1))])
-    newest = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("published_at"), "id"))
-    rows = items(spark, d).select("id", "category", "published_at").withColumn("k", newest).where("k <= 10").withColumn("place", F.coalesce(F.element_at(place, F.col("category")), F.lit(99)))
-    return rows.groupBy("place", "category").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    rows = ranking.with_rank(items(spark, d).select("id", "category", "published_at"), "published_at", out="position", spread=4)
+    return rows.select(F.coalesce(F.element_at(place, F.col("category")), F.lit(99)).alias("place"), "category", "position", "id")
 
 
 @query("""WITH m AS (SELECT doc_id AS key, 1767225600 + (doc_id % 7 - 3) * 200 AS expires_at, n_chars AS count FROM documents)
@@ -245,7 +245,7 @@ def agg_bm25_corpus(spark, d):
     from feedloom.functions.text import text_of
 
     terms = ["the", "und", "that", "with"]
-    rows = items(spark, d).select(tokens(text_of("title", "summary", "source_title", "category")).alias("t"))
+    rows = text_items(spark, d).select(tokens(text_of("title", "summary", "source_title", "category")).alias("t"))
     one = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("t")).alias("words"), *[F.count_if(F.array_contains("t", t)).alias(f"df_{t}") for t in terms])
     pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"df_{t}").alias("df")) for t in terms]))
     return one.select(pairs.alias("p"), "docs", "words").select("p.term", "docs", "words", (F.col("words") / F.col("docs")).alias("avgdl"), "p.df")

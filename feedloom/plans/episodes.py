@@ -137,7 +137,7 @@ def backoff(spark, d):
 
 
 ISSUE = """WITH x AS (SELECT id % 50 AS issue, category, list_position(['research', 'tech_articles', 'product_news', 'ai_news', 'community', 'newsletters', 'podcasts'], category) AS p, id % 11 AS relevance, title, source_title, substr(summary, 1, 100) AS gist, id FROM items),
-n AS (SELECT *, array_to_string(list_transform(string_split(category, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM x) """
+n AS (SELECT *, CASE WHEN category = 'ai_news' THEN 'AI News' ELSE array_to_string(list_transform(string_split(category, '_'), lambda w: upper(w[1]) || w[2:]), ' ') END AS name FROM x) """
 
 
 def _issues(spark, d):
@@ -145,7 +145,7 @@ def _issues(spark, d):
     return rows.withColumn("key_bullets", F.array(F.lit("one <b>"), F.lit("two")))
 
 
-@query(ISSUE + """, e AS (SELECT *, '### [' || title || '](https://x.example/?a=1&b=' || id || ')' || chr(10) || chr(10) || '*' || source_title || '*' || chr(10) || chr(10) || gist || chr(10) || chr(10) || '- one <b>' || chr(10) || '- two' || chr(10) || chr(10) AS entry FROM n),
+@query(ISSUE + """, e AS (SELECT *, '### [' || title || '](https://x.example/?a=1&b=' || id || ')' || chr(10) || chr(10) || '*' || source_title || '*' || chr(10) || chr(10) || gist || chr(10) || chr(10) || '- one <b>' || chr(10) || '- two' || chr(10) || chr(10) AS entry FROM n QUALIFY row_number() OVER (PARTITION BY issue ORDER BY -relevance, title, entry) <= 50),
 s AS (SELECT issue, p, '## ' || name || chr(10) || chr(10) || string_agg(entry, '' ORDER BY -relevance, title, entry) AS body FROM e GROUP BY issue, p, name)
 SELECT issue, '# Weekly' || chr(10) || chr(10) || string_agg(body, '' ORDER BY p) AS body FROM s GROUP BY issue""", "items")
 def render_markdown(spark, d):
@@ -155,7 +155,7 @@ def render_markdown(spark, d):
 ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
 
 
-@query(ISSUE + f""", e AS (SELECT *, '<article><h3><a href="https://x.example/?a=1&amp;b=' || id || '">' || {ESCAPE.format("title")} || '</a></h3><p><em>' || source_title || '</em></p><p>' || {ESCAPE.format("gist")} || '</p><ul><li>one &lt;b&gt;</li><li>two</li></ul></article>' AS entry FROM n),
+@query(ISSUE + f""", e AS (SELECT *, '<article><h3><a href="https://x.example/?a=1&amp;b=' || id || '">' || {ESCAPE.format("title")} || '</a></h3><p><em>' || source_title || '</em></p><p>' || {ESCAPE.format("gist")} || '</p><ul><li>one &lt;b&gt;</li><li>two</li></ul></article>' AS entry FROM n QUALIFY row_number() OVER (PARTITION BY issue ORDER BY -relevance, title, entry) <= 50),
 s AS (SELECT issue, p, '<section><h2>' || name || '</h2>' || string_agg(entry, '' ORDER BY -relevance, title, entry) || '</section>' AS body FROM e GROUP BY issue, p, name)
 SELECT issue, '<h1>Weekly</h1>' || string_agg(body, '' ORDER BY p) AS body FROM s GROUP BY issue""", "items")
 def render_html(spark, d):

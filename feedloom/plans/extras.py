@@ -11,15 +11,16 @@ from feedloom.plans.requests import Corpus, Papers, clamp, period_days
 from feedloom.plans.searches import RETRIEVE
 from feedloom.sources import items as feeds
 from feedloom.sources import landed, upserts
-from feedloom.sources.items import AS_OF, DAY, items, query_vector, read, scores, vectors
+from feedloom.sources.items import AS_OF, DAY, query_vector, read, scores, text_items, vectors
 from feedloom.sources.places import new_place
+from feedloom.sources.versions import SnapshotTable
 from feedloom.streaming import ingest
 
 EACH = dict.fromkeys(config.CATEGORIES, TERMS)
 
 
 def corpus(spark, d) -> Corpus:
-    return Corpus(items(spark, d), scores(spark, d), vectors(spark, d), AS_OF)
+    return Corpus(text_items(spark, d), scores(spark, d), vectors(spark, d), AS_OF)
 
 
 MONTH_CAP = RANKED + """, capped AS (SELECT *, (SELECT count(*) FROM placed q WHERE q.category = p.category AND q.source_title = p.source_title AND q.rank <= p.rank) AS in_source FROM placed p WHERE category = 'research'),
@@ -150,29 +151,29 @@ def clamp_limit(spark, d):
 # -- appends and caches -----------------------------------------------------------
 
 
-def _appended(spark, rows):
-    """Append to a table, twice, and read it back."""
-    path = new_place(spark, "appended")
-    for _ in range(2):
-        rows.write.mode("append").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+def _appended(spark, rows, key):
+    """Append to a table, twice, each with a replay that adds nothing, and read it back."""
+    table = SnapshotTable(spark, new_place(spark, "appended"), key)
+    for n in (0, 0, 1, 1, 0):
+        table.append(rows, "batches", n)
+    return table.read()
 
 
 @query("SELECT item_id, scored_at, relevance FROM scores UNION ALL SELECT item_id, scored_at, relevance FROM scores", "scores")
 def sink_append_scores(spark, d):
-    return _appended(spark, scores(spark, d).select("item_id", "scored_at", "relevance"))
+    return _appended(spark, scores(spark, d).select("item_id", "scored_at", "relevance"), ["item_id"])
 
 
 @query(DIVERSE + "SELECT category, position, id, reason FROM chosen UNION ALL SELECT category, position, id, reason FROM chosen", "items scores firsts")
 def sink_append_selections(spark, d):
-    return _appended(spark, QUERIES["select_diverse"](spark, d).select("category", "position", "id", "reason"))
+    return _appended(spark, QUERIES["select_diverse"](spark, d).select("category", "position", "id", "reason"), ["id"])
 
 
-@query("SELECT doc_id AS id, text FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id AS id, text FROM documents")
 def sink_files(spark, d):
     """A table as JSON files, and read back."""
     path = new_place(spark, "files")
-    rows = read(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "text")
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     rows.write.json(path)
     return spark.read.schema(rows.schema).json(path)
 

@@ -9,6 +9,8 @@ from feedloom.operators.ranking import in_window
 from feedloom.plans.registry import query
 from feedloom.sources import upserts
 from feedloom.sources.items import AS_OF, DAY, items, read, with_urls
+from feedloom.sources.places import new_place
+from feedloom.sources.versions import SnapshotTable
 
 HOST = "example.net"  # plays the aggregator
 
@@ -121,6 +123,16 @@ def _papers(spark, d):
     return table, one.unionByName(two)
 
 
+def _stored(spark, d, mode):
+    """The batch put into a stored table, and put again, as a replay does."""
+    rows, batch = _papers(spark, d)
+    table = SnapshotTable(spark, new_place(spark, "papers"), ["key"])
+    table.upsert(rows.withColumn("seq", F.lit(0)), "seq")
+    for _ in range(2):
+        table.upsert(batch, "seq", mode, keep_if_null=["body"])
+    return table.read()
+
+
 PAPERS = """WITH docs AS (SELECT doc_id AS key, source AS title, n_chars AS body FROM documents), old AS (SELECT * FROM docs WHERE key % 2 = 0),
 batch AS (SELECT key, 'new ' || title AS title, CASE WHEN key % 5 = 0 THEN body + 1 END AS body, 1 AS seq FROM docs WHERE key % 3 = 0
   UNION ALL SELECT key, 'newer ' || title, NULL, 2 FROM docs WHERE key % 9 = 0),
@@ -129,19 +141,19 @@ last AS (SELECT * FROM batch b WHERE seq = (SELECT max(seq) FROM batch c WHERE c
 
 @query(PAPERS + "SELECT key, title, body FROM last UNION ALL SELECT key, title, body FROM old WHERE key NOT IN (SELECT key FROM last)")
 def sink_upsert_replace(spark, d):
-    return upserts.replace(*_papers(spark, d), ["key"], "seq")
+    return _stored(spark, d, "replace")
 
 
 @query(PAPERS + """SELECT key, title, coalesce(body, (SELECT body FROM old WHERE old.key = last.key)) AS body FROM last
   UNION ALL SELECT key, title, body FROM old WHERE key NOT IN (SELECT key FROM last)""")
 def sink_upsert_merge(spark, d):
-    return upserts.merge(*_papers(spark, d), ["key"], "seq", keep_if_null=["body"])
+    return _stored(spark, d, "merge")
 
 
 @query(PAPERS + """SELECT key, title, body FROM old UNION ALL SELECT key, title, body FROM batch
   WHERE seq = 1 AND key NOT IN (SELECT key FROM old)""")
 def sink_insert_ignore(spark, d):
-    return upserts.insert_ignore(*_papers(spark, d), ["key"], "seq")
+    return _stored(spark, d, "ignore")
 
 
 @query(PAPERS + "SELECT key, title, body FROM old WHERE key NOT IN (SELECT key FROM batch)")

@@ -8,7 +8,7 @@ from feedloom.functions.text import half_up, text_of
 from feedloom.functions.urls import url_key
 from feedloom.operators import prompt, ranking, selection
 from feedloom.plans.registry import query
-from feedloom.sources.items import AS_OF, items, read, scores, with_urls
+from feedloom.sources.items import AS_OF, items, read, scores, text_items, with_urls
 
 #: The texts are invented prose, in which the categories' own terms don't occur: these do.
 TERMS = ["the", "and", "that", "the", "que", "und"]
@@ -48,12 +48,12 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(fin
 
 def ranked(spark, d, columns=(), **how):
     terms = dict.fromkeys(config.CATEGORIES, TERMS)
-    return ranking.rank_categories(items(spark, d), scores(spark, d), AS_OF, 30, terms=terms, core_terms=CORE, columns=columns, **how)
+    return ranking.rank_categories(text_items(spark, d), scores(spark, d), AS_OF, 30, terms=terms, core_terms=CORE, columns=columns, **how)
 
 
 @query(f"WITH {BM25} SELECT id, category, round(s, 6) AS raw, round(bm25, 6) AS bm25 FROM bm", "items")
 def bm25_score(spark, d):
-    rows = items(spark, d).where(ranking.in_window("published_at", AS_OF, 30))
+    rows = text_items(spark, d).where(ranking.in_window("published_at", AS_OF, 30))
     rows = ranking.bm25(rows, dict.fromkeys(config.CATEGORIES, TERMS), text_of("title", "summary", "source_title", "category"), "category", columns=[])
     return rows.select("id", "category", F.round("bm25_raw", 6).alias("raw"), F.round("bm25", 6).alias("bm25"))
 
@@ -71,7 +71,7 @@ def recency_decay(spark, d):
 
 @query(f"SELECT k.id, CASE WHEN b.n >= 3 THEN 3.0 WHEN b.n = 2 THEN 2.0 WHEN b.n = 1 AND contains(lower(k.summary), 'agent') THEN 1.5 WHEN b.n = 1 THEN 1.5 ELSE 1.0 END::DOUBLE AS boost FROM items k, LATERAL (SELECT {BOOST} AS n) b", "items")
 def domain_boost(spark, d):
-    return items(spark, d).select("id", ranking.domain_boost(text_of("title", "summary"), CORE).alias("boost"))
+    return text_items(spark, d).select("id", ranking.domain_boost(text_of("title", "summary"), CORE).alias("boost"))
 
 
 def _values(words):
@@ -89,7 +89,7 @@ SELECT id, floor((CASE WHEN o > 0 AND n = 0 THEN 2 ELSE least(10, 5 + b) END) *
 
 @query(_heuristic_sql(), "items")
 def heuristic_llm_score(spark, d):
-    rows = items(spark, d)
+    rows = text_items(spark, d)
     found = ranking.heuristic_scores(text_of("title", "summary"))
     return rows.select("id", found["relevance"].alias("relevance"), found["usefulness"].alias("usefulness"), F.array_join(F.array_sort(found["tags"]), ",").alias("tags"))
 

@@ -1,6 +1,7 @@
 """Entry points: what a request asks for, checked, and the plans that answer it."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import config
 from feedloom.functions.text import text_of
-from feedloom.functions.urls import arxiv_url, paper_url, url_key
-from feedloom.operators import analytics, digests, podcast, prompt, ranking, replies, search, selection
+from feedloom.functions.urls import arxiv_url, paper_url, url_key, valid_url
+from feedloom.operators import analytics, digests, podcast, prompt, ranking, render, replies, search, selection
+from feedloom.sources.places import new_place
 
 
 def period_days(period: str, strict: bool = True, default: int = 7) -> int:
@@ -31,6 +33,13 @@ def category(name: str) -> str:
     return name
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A few rows that several parts of an answer are made from, worked out once."""
+    place = new_place(rows.sparkSession, "chosen")
+    rows.coalesce(1).write.parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
 @dataclass
 class Corpus:
     """The tables that requests read: items, scores and vectors, and the time of asking."""
@@ -106,19 +115,40 @@ class Corpus:
         """Items for a newsletter across categories, re-ranked by what the prompt names."""
         return self._chosen(names, period, -(-clamp(limit, 1, 50, 20) * 10 // 13), words, topics, oversize, terms, **how)
 
-    def podcast(self, names: list[str], period: str = "week", limit: int | None = None, words: str = "", topics: tuple[str, ...] = config.PROMPT_TOPICS, terms: dict | None = None, aggregators: tuple[str, ...] = (), **how) -> dict[str, DataFrame]:
+    def newsletter_issue(self, names: list[str], period: str = "week", limit: int | None = None, words: str = "", topics: tuple[str, ...] = config.PROMPT_TOPICS, oversize: int = 50_000, terms: dict | None = None,
+                         newsletters: tuple[str, ...] = (), aggregators: tuple[str, ...] = (), title: str = "Code Intelligence Digest", **how) -> dict[str, DataFrame]:
+        """A newsletter from ranking to text: selected items, their digests (newsletters as
+        their articles, each with a good url), the issue as Markdown and HTML, and its
+        themes with their weights, which the prompt's topics raise."""
+        chosen = _small(self.newsletter(names, period, limit, words, topics, oversize, terms, **how))
+        texts = self.items.select("id", "summary").join(F.broadcast(chosen.select("id")), "id")  # 50 rows at most
+        made = digests.extract(chosen.join(F.broadcast(texts), "id"), newsletters, aggregators).where(valid_url("url", aggregators))
+        place = chosen.select(F.col("id").cast("string").alias("__of"), "position")
+        made = _small(made.join(F.broadcast(place), F.regexp_replace("id", "-article-[0-9]+$", "") == F.col("__of")).drop("__of"))
+        issue = made.withColumn("issue", F.lit(1))
+        tags = made.select(F.explode("topic_tags").alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        asked = [t for t in config.THEME_TOPICS if t in words.lower()]
+        if asked:
+            raised = F.exists(F.array(*map(F.lit, asked)), lambda t: F.lower("theme").contains(t) | t.contains(F.lower("theme")))
+            tags = tags.withColumn("weight", F.when(raised, F.col("weight") * 2.5).otherwise(F.col("weight")))
+        return {"selection": chosen, "digests": made, "markdown": render.newsletter(issue, "issue", title), "html": render.newsletter(issue, "issue", title, html=True), "themes": tags}
+
+    def podcast(self, names: list[str], period: str = "week", limit: int | None = None, words: str = "", topics: tuple[str, ...] = config.PROMPT_TOPICS, terms: dict | None = None, aggregators: tuple[str, ...] = (), issues: Callable[[DataFrame], DataFrame] | None = None, **how) -> dict[str, DataFrame]:
         """An episode: selected items, their digests, the rundown, the script, its segments
-        with times, and the report on issues (none without a model)."""
-        chosen = self._chosen(names, period, clamp(limit, 1, 50, 15), words, topics, None, terms, **how)
+        with times, and the report on issues: those that `issues` finds in the digests
+        (severity, type, line, issue, fix), or none, as without a model."""
+        chosen = _small(self._chosen(names, period, clamp(limit, 1, 50, 15), words, topics, None, terms, **how))
         texts = self.items.select("id", "summary").join(F.broadcast(chosen.select("id")), "id")  # `limit` rows
         chosen = chosen.join(F.broadcast(texts), "id")
-        made = digests.podcast_digests(chosen, words, aggregators).join(F.broadcast(chosen.select("id", "position")), "id")
+        made = _small(digests.podcast_digests(chosen, words, aggregators).join(F.broadcast(chosen.select("id", "position")), "id"))
         bands = podcast.rundown(made.withColumn("episode", F.lit(1)), ["episode"], ["position"])
         script = podcast.fallback_script(bands, "episode")
         named = bands.where("band = 'segment'").select("episode", "place", "seconds", F.substring("one_line_takeaway", 1, 50).alias("title"))
         times = podcast.script_times(named, script.withColumnRenamed("seconds", "spoken"), "episode")
-        none = script.select("episode", *[F.lit(None).cast("string").alias(c) for c in ("severity", "type", "line", "issue", "fix")])
-        return {"selection": chosen, "digests": made, "rundown": bands, "script": script, "segments": times, "report": digests.verification_report(none, ["episode"])}
+        found = script.select("episode", *[F.lit(None).cast("string").alias(c) for c in ("severity", "type", "line", "issue", "fix")])
+        if issues is not None:
+            found = found.unionByName(issues(made).withColumn("episode", F.lit(1)))
+        return {"selection": chosen, "digests": made, "rundown": bands, "script": script, "segments": times, "report": digests.verification_report(found, ["episode"])}
 
     def ranking_debug(self, name: str, period: str = "week", limit: int | None = None, terms: dict | None = None, **how) -> DataFrame:
         """The best items of a category with all their scores, and when the newest stored score was made."""
@@ -135,6 +165,27 @@ class Corpus:
         middle = analytics.upper_median(analytics.long_form(rows, metrics), "value", ["metric"])
         return analytics.distribution(rows, metrics).join(middle, "metric", "left")
 
+    def _all_scores(self, name: str, period: str, terms: dict | None, **how) -> DataFrame:
+        return ranking.rank_categories(self.items, self.scores, self.as_of, period_days(period, strict=False), [category(name)], self._terms(terms), columns=[], **how)
+
+    def score_histograms(self, name: str, period: str = "week", buckets: int = 10, terms: dict | None = None, **how) -> DataFrame:
+        """(metric, bucket, low, n) of a category's scores: bm25, relevance, usefulness, recency and final."""
+        rows = analytics.long_form(self._all_scores(name, period, terms, **how), ["bm25", "relevance", "usefulness", "recency", "final"])
+        return analytics.histogram(rows, "value", buckets, ["metric"])
+
+    def score_sources(self, name: str, period: str = "week", most: int = 10, terms: dict | None = None, **how) -> DataFrame:
+        """(source, n, mean, high, low): a category's sources with the best final scores on average."""
+        rows = self._all_scores(name, period, terms, **how).groupBy(F.col("source_title").alias("source"))
+        rows = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("final").alias("mean"), F.max("final").alias("high"), F.min("final").alias("low"))
+        return search.topk(rows, "mean", most, ["source"])
+
+    def status(self, recent: int = 10) -> DataFrame:
+        """(kind, name, value): items of each category, vectors in all, and the newest items with their times."""
+        by = self.items.groupBy("category").agg(F.count(F.lit(1)).alias("value")).select(F.lit("category").alias("kind"), F.col("category").alias("name"), "value")
+        embedded = self.vectors.agg(F.count(F.lit(1)).alias("value")).select(F.lit("embeddings").alias("kind"), F.lit("all").alias("name"), "value")
+        newest = self.items.select("id", "title", "published_at").orderBy(F.desc("published_at"), "id").limit(recent)
+        return by.unionByName(embedded).unionByName(newest.select(F.lit("recent").alias("kind"), F.col("title").alias("name"), F.col("published_at").alias("value")))
+
     def stages(self, name: str, period: str = "week") -> DataFrame:
         """How many rows each stage leaves, in one pass."""
         window = ranking.in_window("published_at", self.as_of, period_days(period, strict=False))

@@ -7,7 +7,7 @@ from feedloom.functions import config
 from feedloom.operators import ranking, search
 from feedloom.plans.ranked import CORE, RANKED, TERMS
 from feedloom.plans.registry import query
-from feedloom.sources.items import AS_OF, items, query_vector, read, scores, vectors
+from feedloom.sources.items import AS_OF, items, query_vector, read, scores, text_items, vectors
 
 PHRASE = "the then an"
 
@@ -20,14 +20,14 @@ kw AS (SELECT id, score::BIGINT AS score, least(1.0, floor(score / 100 * 1000 +
 
 @query(KEY + "SELECT * FROM kw ORDER BY score DESC, id LIMIT 40", "items")
 def search_keyword(spark, d):
-    return search.search_keyword(items(spark, d), PHRASE, 40).select("id", F.col("score").cast("long").alias("score"), "similarity")
+    return search.search_keyword(text_items(spark, d), PHRASE, 40).select("id", F.col("score").cast("long").alias("score"), "similarity")
 
 
 @query("""WITH t AS (SELECT id, lower(title) AS ti, lower(title || ' ' || summary) AS tx FROM items), w(term) AS (VALUES ('the'), ('then')),
 s AS (SELECT id, sum((length(ti) - length(replace(ti, term, ''))) // length(term) * 3 + least((length(tx) - length(replace(tx, term, ''))) // length(term), 10)) AS score FROM t, w GROUP BY id)
 SELECT id, score::BIGINT AS score, (floor(score / 100 * 1000 + 0.5) / 1000)::DOUBLE AS similarity FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 30""", "items")
 def search_term(spark, d):
-    return search.search_term(items(spark, d), PHRASE, 30).select("id", F.col("score").cast("long").alias("score"), "similarity")
+    return search.search_term(text_items(spark, d), PHRASE, 30).select("id", F.col("score").cast("long").alias("score"), "similarity")
 
 
 COS = """cos AS (SELECT e.vec_id AS id, CASE WHEN list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) = 0 THEN 0 ELSE list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])
@@ -57,7 +57,7 @@ def vec_normalize(spark, d):
 
 @query(f"WITH {COS} SELECT i.id, i.title, floor(c * 1000 + 0.5) / 1000 AS similarity FROM cos JOIN items i USING (id) ORDER BY round(c, 9) DESC, id LIMIT 20", "items")
 def search_semantic(spark, d):
-    rows = search.search_semantic(items(spark, d), vectors(spark, d), PHRASE, query_vector(spark, d), 20)
+    rows = search.search_semantic(text_items(spark, d), vectors(spark, d), PHRASE, query_vector(spark, d), 20)
     return rows.select("id", "title", "similarity")
 
 
@@ -66,18 +66,18 @@ s AS (SELECT id, sum((length(ti) - length(replace(ti, term, ''))) // length(term
 SELECT id, (floor(score / 100 * 1000 + 0.5) / 1000)::DOUBLE AS similarity FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 4""", "items")
 def search_semantic_fallback(spark, d):
     """A limit under five always falls back to terms."""
-    return search.search_semantic(items(spark, d), vectors(spark, d), PHRASE, query_vector(spark, d), 4).select("id", "similarity")
+    return search.search_semantic(text_items(spark, d), vectors(spark, d), PHRASE, query_vector(spark, d), 4).select("id", "similarity")
 
 
 @query(KEY + f", {COS} SELECT kw.id, round(0.6 * greatest(0, coalesce(cos.c, 0)) + 0.4 * least(1, similarity), 6)::DOUBLE AS similarity FROM kw LEFT JOIN cos USING (id) ORDER BY round(0.6 * greatest(0, coalesce(cos.c, 0)) + 0.4 * least(1, similarity), 9) DESC, id LIMIT 25", "items")
 def search_hybrid(spark, d):
-    rows = search.search_hybrid(items(spark, d), vectors(spark, d), PHRASE, query_vector(spark, d), 25)
+    rows = search.search_hybrid(text_items(spark, d), vectors(spark, d), PHRASE, query_vector(spark, d), 25)
     return rows.select("id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(KEY + "SELECT i.category, count(*) AS n, max(kw.score) AS best FROM kw JOIN items i USING (id) GROUP BY i.category", "items")
 def search_all_categories(spark, d):
-    rows = search.search_keyword(items(spark, d).where(F.col("category").isin(list(config.CATEGORIES))), PHRASE, 100)
+    rows = search.search_keyword(text_items(spark, d).where(F.col("category").isin(list(config.CATEGORIES))), PHRASE, 100)
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max("score").cast("long").alias("best"))
 
 
@@ -87,7 +87,7 @@ RETRIEVE = RANKED.replace("WITH kept AS (SELECT * FROM items WHERE", f"WITH {COS
 @query(RETRIEVE + "SELECT p.id, round(0.7 * final + 0.3 * n.c, 6) AS final FROM placed p JOIN near n USING (id) ORDER BY round(0.7 * final + 0.3 * n.c, 9) DESC, id LIMIT 100", "items scores firsts")
 def retrieve_context(spark, d):
     """The nearest items, ranked among themselves under one category's settings, blended with their cosine."""
-    rows = items(spark, d)
+    rows = text_items(spark, d)
     near = rows.join(F.broadcast(search.nearest(rows, vectors(spark, d), query_vector(spark, d), search.retrieval_size(100))), "id")  # 200 rows at most
     best = ranking.rank_categories(near.withColumn("category", F.lit("newsletters")), scores(spark, d), AS_OF, 30, ["newsletters"], {"newsletters": TERMS}, CORE, columns=["cosine"])
     best = best.withColumn("final", F.col("final") * 0.7 + F.col("cosine") * 0.3)

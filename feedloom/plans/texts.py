@@ -8,7 +8,7 @@ from feedloom.functions import chunks, config, text, urls
 from feedloom.operators import decompose as newsletters
 from feedloom.operators import digests, replies
 from feedloom.plans.registry import query
-from feedloom.sources.items import items, read, spread, with_urls
+from feedloom.sources.items import read, spread, text_items, with_urls
 
 HOST_SQL = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 
@@ -179,7 +179,7 @@ def truncate_word(spark, d):
 def decompose_newsletter(spark, d):
     pages = read(spark, d, "pages")
     n = pages.count()  # from the file footers
-    rows = items(spark, d).join(pages.select("page_id", "url", "html"), F.col("id") % max(n, 1) == F.col("page_id")).drop("page_id")
+    rows = text_items(spark, d).join(pages.select("page_id", "url", "html"), F.col("id") % max(n, 1) == F.col("page_id")).drop("page_id")
     rows = rows.withColumns({"summary": F.col("html"), "bm25": F.lit(0.8), "final": F.lit(0.9)}).drop("html")
     return newsletters.decompose(rows, ["src1"]).select("id", "title", "url", F.round("bm25", 6).alias("bm25"), F.round("final", 6).alias("final"))
 
@@ -196,7 +196,7 @@ dig AS (SELECT id, title, trim(substr(c, 1, 100), {WHITE}) AS gist, CASE WHEN le
 
 def _digests(spark, d):
     marked = F.when(F.col("summary") == "", "").when(F.col("id") % 2 == 0, F.concat(F.lit('<p class="x">Lead &amp; &lt;more&gt;</p> '), "summary")).otherwise(F.col("summary"))
-    rows = items(spark, d).withColumns({"summary": marked, "final": F.col("id") % 11 / 10.0, "tags": F.array(F.lit("a"), F.lit("b")), "url": F.lit("https://x.example/a")})
+    rows = text_items(spark, d).withColumns({"summary": marked, "final": F.col("id") % 11 / 10.0, "tags": F.array(F.lit("a"), F.lit("b")), "url": F.lit("https://x.example/a")})
     return digests.fallback_digest(rows)
 
 
@@ -210,7 +210,7 @@ def digest_extract(spark, d):
     """Exclusion, newsletters to articles, and digests in one."""
     pages = read(spark, d, "pages")
     n = pages.count()  # from the file footers
-    rows = items(spark, d).join(pages.select("page_id", "url", "html"), F.col("id") % max(n, 1) == F.col("page_id")).drop("page_id")
+    rows = text_items(spark, d).join(pages.select("page_id", "url", "html"), F.col("id") % max(n, 1) == F.col("page_id")).drop("page_id")
     rows = rows.withColumns({"summary": F.when(F.col("id") % 2 == 0, F.col("html")).otherwise(F.col("summary")), "url": F.when(F.col("id") % 10 == 1, "https://reddit.com/r/x").otherwise(F.col("url")),
                              "bm25": F.lit(0.8), "final": F.col("id") % 11 / 10.0, "tags": F.array(F.lit("a"))}).drop("html")
     return digests.extract(rows, ["src1"]).select("id", "title", "url", "gist", "relevance")
@@ -219,7 +219,7 @@ def digest_extract(spark, d):
 @query("""SELECT id, substr(CASE WHEN summary = '' THEN 'No summary available' ELSE summary END, 1, 100) AS one_sentence_gist, 'New content from ' || source_title AS what_changed,
   substr(title, 1, 60) AS soundbite, (id % 11)::BIGINT AS relevance_to_focus FROM items""", "items")
 def podcast_digest_fallback(spark, d):
-    rows = items(spark, d).withColumns({"final": F.col("id") % 11 / 10.0, "url": F.lit("")})
+    rows = text_items(spark, d).withColumns({"final": F.col("id") % 11 / 10.0, "url": F.lit("")})
     return digests.podcast_digest(rows).select("id", "one_sentence_gist", "what_changed", F.col("soundbite_lines")[0].alias("soundbite"), "relevance_to_focus")
 
 

@@ -17,6 +17,8 @@ from feedloom.functions import config
 #: 2026-01-01 in UTC, the time that all queries are asked at.
 AS_OF = 1_767_225_600
 DAY = 86_400
+#: Bytes of a table that may be dealt anew.
+SMALL_TABLE = 256 << 20
 
 FEED_ARTICLE = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("author", T.StringType()),
@@ -32,17 +34,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """`rows` dealt anew if they are in fewer splits than the session has cores, so
-    that work on texts uses all of them; larger tables are not shuffled."""
+def spread(rows: DataFrame, most_bytes: int = SMALL_TABLE) -> DataFrame:
+    """A small table's rows dealt anew if they are in fewer splits than the session has
+    cores, so that costly work on texts uses all of them: a file of one row group is
+    one split whatever the split size.  Tables of over `most_bytes` are never
+    shuffled for that, on any session."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size <= most_bytes and rows.rdd.getNumPartitions() < cores else rows
+
+
+def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """items() for plans that work on the texts."""
+    return _items(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, source_title, title, summary, category, published_at (epoch seconds)."""
+    return _items(read(spark, sf_dir, "documents"))
+
+
+def _items(documents: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(c) for c in config.CATEGORIES])
-    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
+    return documents.select(
         F.col("doc_id").alias("id"), F.col("source").alias("source_title"), F.regexp_extract("text", r"^[^\n]*", 0).alias("title"), F.col("text").alias("summary"),
         F.element_at(names, (F.col("doc_id") % 7 + 1).cast("int")).alias("category"), (F.lit(AS_OF) - F.col("doc_id") % 90 * DAY).alias("published_at"),
     )

@@ -1,15 +1,16 @@
 """Incremental ingest with Structured Streaming.
 
 Landed feed pages are read as a file stream; every micro-batch is normalised,
-filtered by the high-water mark of the run and upserted by id.  The table is
-partitioned by a hash of the id, and a batch rewrites only the partitions that
-it touches, so its cost follows the batch, not the table.  An upsert of the
-same rows changes nothing, so a batch that is replayed, after a failure or
-with a new checkpoint, does no harm.  The streaming checkpoint takes the place
-of a stored cursor.
+filtered by the high-water mark of the run and upserted by id into a table with
+snapshots, which rewrites the files that hold one of the batch's keys only.  An
+upsert of the same rows changes nothing, so a batch that is replayed, after a
+failure or with a new checkpoint, does no harm.  The streaming checkpoint takes
+the place of a stored cursor; a sync with a budget of calls keeps its cursor in
+the table itself, committed with the rows of the pages that it stands for.
 """
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,48 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.sources import items as feeds
-from feedloom.sources import upserts
+from feedloom.sources.versions import SnapshotTable
 
 DAY = 86_400
-PART = "key_part"
 
 
-class KeyedTable:
-    """A Parquet table partitioned by a hash of its key."""
+class KeyedTable(SnapshotTable):
+    """A table of items by id."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "id", parts: int = 16) -> None:
-        self.spark, self.path, self.key, self.parts = spark, path.rstrip("/"), key, parts
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", bucket_rows: int = 1 << 20) -> None:
+        super().__init__(spark, path, [key], bucket_rows)
 
-    def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return bool(fs.exists(path)) and any(s.getPath().getName().startswith(PART) for s in fs.listStatus(path))
 
-    def _files(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def read(self) -> DataFrame | None:
-        return self._files().drop(PART) if self.exists() else None
-
-    def _dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn(PART, F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.parts)).cast("int"))
-
-    def upsert(self, batch: DataFrame, order: str, mode: str = "merge") -> None:
-        """Put a batch into the table; only the partitions that it touches are read and written again."""
-        rows = self._dealt(batch)
-        touched = sorted(r[0] for r in rows.select(PART).distinct().collect())  # `parts` numbers at most
-        if not touched:
-            return
-        old = self._files().where(F.col(PART).isin(touched)).drop(PART) if self.exists() else None
-        new = batch
-        if old is None:
-            new = upserts.last_of(new, [self.key], order).drop(order)
-        elif mode == "replace":
-            new = upserts.replace(old, new, [self.key], order)
-        else:
-            new = upserts.merge(old, new, [self.key], order, keep_if_null=[c for c in old.columns if c != self.key])
-        dealt = self._dealt(new).repartition(len(touched), PART)
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
+#: Columns of an empty batch.
+ITEM_SCHEMA = "id string, stream_id string, source_title string, title string, url string, author string, published_at long, summary string, content_snippet string, categories array<string>, category string, __seq long"
 
 
 def high_water(table: DataFrame | None, as_of: int, empty_days: int = 1, catch_up_days: int | None = None) -> int:
@@ -78,8 +51,11 @@ def upsert_batch(table: KeyedTable, mark: int, prepare: Callable[[DataFrame], Da
     """A foreachBatch function: what is after the mark goes into the table."""
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = newer(prepare(batch), mark, inclusive).withColumn("__seq", F.col("published_at"))
-        table.upsert(rows, "__seq", mode)
+        rows = newer(prepare(batch), mark, inclusive).withColumn("__seq", F.col("published_at")).persist()  # read for its buckets, its keys and its rows
+        try:
+            table.upsert(rows, "__seq", mode)
+        finally:
+            rows.unpersist()
 
     return run
 
@@ -115,6 +91,52 @@ def daily_sync(spark: SparkSession, landing: str, table: KeyedTable, checkpoint:
     return True
 
 
+PAGE = "page"
+
+
+def landed_pages(spark: SparkSession, landing: str) -> list[int]:
+    """Numbers of the pages that have landed, a folder each, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(landing)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{PAGE}="))
+
+
+def paged_sync(spark: SparkSession, landing: str, table: KeyedTable, as_of: int, folders: dict[str, str], name: str = "daily-sync", most: int = 95, mode: str = "merge", catch_up_days: int | None = None) -> dict:
+    """A sync that takes one call for its start and one for each page, and stops in the
+    middle when the calls of the UTC day reach `most`; the next run goes on after the
+    last page that it took, with the same high-water mark, so runs in pieces take what
+    one run takes.  The state (cursor, mark, calls, day, items, status) is committed with
+    the pages' rows, so a run that is lost has taken all of its pages or none.
+
+    All pages of a run are one batch: which pages it may take follows from the state,
+    and only their folders are read.
+    """
+    day = time.strftime("%Y-%m-%d", time.gmtime(as_of))
+    old = table.state().get(name)
+    going = old is not None and old["status"] == "paused"
+    used = old["calls"] if old is not None and old["day"] == day else 0
+    mark = old["mark"] if going else high_water(table.read(), as_of, catch_up_days=catch_up_days)
+    cursor = old["cursor"] if old is not None else -1
+    left = [p for p in landed_pages(spark, landing) if p > cursor]
+    can = max(0, most - used - 1)
+    if not left or not can:
+        state = {"cursor": cursor, "mark": mark, "calls": used, "day": day, "items": old["items"] if going else 0, "status": "paused" if left else "completed"}
+        if old is not None or left:
+            table.upsert(spark.createDataFrame([], ITEM_SCHEMA), "__seq", mode, state={name: state})
+        return state
+    taken = left[:can]
+    pages = spark.read.schema(feeds.FEED_ARTICLE).option("basePath", landing).json([f"{landing}/{PAGE}={p}" for p in taken])
+    rows = newer(_prepared(folders, None)(pages), mark).withColumn("__seq", F.col("published_at")).persist()
+    try:
+        items = rows.count() + (old["items"] if going else 0)
+        state = {"cursor": taken[-1], "mark": mark, "calls": used + 1 + len(taken), "day": day, "items": items, "status": "paused" if len(taken) < len(left) else "completed"}
+        table.upsert(rows, "__seq", mode, state={name: state})
+    finally:
+        rows.unpersist()
+    return state
+
+
 def weekly_sync(spark: SparkSession, landing: str, table: KeyedTable, checkpoint: str, as_of: int, folders: dict[str, str], calls_used: int = 0, **how) -> bool:
     """Articles of the last seven days, whatever the table has; False if the budget pauses it."""
     return daily_sync(spark, landing, table, checkpoint, as_of, folders, calls_used, mark=as_of - 7 * DAY, **how)
@@ -131,6 +153,12 @@ def stream_sync(spark: SparkSession, landing: str, table: KeyedTable, folders: d
     upsert_batch(table, -(1 << 62), _prepared(folders, streams), mode, inclusive=True)(feeds.read_feed(spark, landing), 0)
 
 
+def label_sync(spark: SparkSession, landing: str, table: KeyedTable, folders: dict[str, str], label: str, mode: str = "replace") -> None:
+    """All that has landed under a label, whatever its time."""
+    prepare = _prepared(folders, None)
+    upsert_batch(table, -(1 << 62), lambda rows: prepare(rows).where(F.array_contains("categories", label)), mode, inclusive=True)(feeds.read_feed(spark, landing), 0)
+
+
 def deduplicated(stream: DataFrame, key: str = "id", time: str = "ts", delay: str = "1 day") -> DataFrame:
     """An improvement on zero tolerance: rows up to `delay` late count, each key once."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
