@@ -9,11 +9,13 @@ from feedloom.operators import replies, search
 from feedloom.plans.extras import EACH, FOLDERS, SYNCED, _articles, _land, _streamed, _sync_result, corpus
 from feedloom.plans.ranked import BM25, CORE, RANKED, TERMS, URL_KEY
 from feedloom.plans.registry import query
+from feedloom.plans.searches import KEY
 from feedloom.plans.texts import WHITE
 from feedloom.sources.items import AS_OF, DAY, items, read, scores, text_items, vectors, with_urls
 from feedloom.sources.kept import ScoreState, VectorStore
 from feedloom.sources.places import new_place
 from feedloom.sources.term_index import TermIndex
+from feedloom.sources.text_index import TextIndex
 from feedloom.sources.vector_index import VectorIndex
 from feedloom.streaming import ingest
 
@@ -45,6 +47,30 @@ def bm25_index_topk(spark, d):
     return rows.select(F.col("group").alias("category"), "id", F.round("bm25_raw", 6).alias("raw"))
 
 
+def _text_index(spark, d):
+    index = TextIndex(spark, new_place(spark, "grams"))
+    index.append(text_items(spark, d).select("id", "title", "source_title", "summary", "category", "published_at"), F.lower(text_of("title", "summary")))
+    return index
+
+
+KEY_RARE = KEY.replace("'the then an'", "'rethion lyesor'").replace("('the', 'the'), ('then', 'then'), ('an', 'an')", "('rethion', 'rethion'), ('lyesor', 'lyesor')")
+
+
+@query(KEY_RARE + "SELECT * FROM kw ORDER BY score DESC, id LIMIT 40", "items")
+def search_keyword_index(spark, d):
+    """search_keyword over the blocks that can hold a term."""
+    rows = search.search_keyword(_text_index(spark, d).candidates(["rethion", "lyesor"]), "rethion lyesor", 40)
+    return rows.select("id", F.col("score").cast("long").alias("score"), "similarity")
+
+
+@query("""SELECT id, source_title FROM items WHERE contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'esandha') OR contains(translate(summary, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'esandha') ORDER BY published_at DESC, id""", "items")
+def filter_like_index(spark, d):
+    """A substring of whole texts, of which only those of candidate blocks are read."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rows = _text_index(spark, d).candidates(["esandha"])
+    return rows.where(F.translate("title", upper, lower).like("%esandha%") | F.translate("summary", upper, lower).like("%esandha%")).select("id", "source_title")
+
+
 @query(None)
 def vec_index_search(spark, d):
     """The ten nearest of every fiftieth vector, from an inverted file (recall is tested against the whole scan)."""

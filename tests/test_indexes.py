@@ -167,3 +167,32 @@ def test_vector_index(spark):
     for r in index.search(queries, 10, probes=10**6).collect():
         whole.setdefault(r.query_id, []).append(r.item_id)
     assert all(sorted(whole[i]) == sorted(exact(i)) for i in range(0, 1500, 50))
+
+
+def test_trigram_index(spark):
+    from feedloom.operators.search import search_keyword
+    from feedloom.sources.text_index import TextIndex
+
+    rng = random.Random(12)
+    words = ["lorem", "ipsum", "dolor", "Sit", "amet", "é", "日本語"]
+    rows = [(i, " ".join(rng.choices(words, k=3)), " ".join(rng.choices(words, k=20)) if i % 9 else None) for i in range(900)]
+    rows[333] = (333, "a Needle here", "x")
+    rows[700] = (700, None, "haystack NEEDLES 日本酒")
+    table = spark.createDataFrame(rows, "id long, title string, summary string")
+    index = TextIndex(spark, new_place(spark, "grams"), block_docs=16, shelf_blocks=4)
+    text = F.lower(F.concat_ws(" ", "title", "summary"))
+    index.append(table.where("id < 500"), text)
+    index.append(table.where("id >= 500"), text)
+
+    def same(query, terms):
+        want = sorted(map(tuple, search_keyword(table, query, 900).select("id", "score").collect()))
+        found = index.candidates(terms)
+        assert sorted(map(tuple, search_keyword(found, query, 900).select("id", "score").collect())) == want
+        return found.count()
+
+    assert same("needle", ["needle"]) <= 32 and same("needle 日本酒", ["needle", "日本酒"]) <= 32
+    assert same("nowhere", ["nowhere"]) == 0 and same("ipsum", ["ipsum"]) == 900
+    assert same("é needle", ["é", "needle"]) == 900  # a term of two bytes prunes nothing
+    plan = index.candidates(["needle"])
+    assert {r[0] for r in plan.select("id").where("title = 'a Needle here'").collect()} == {333}
+    assert "shelf" in plan._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
