@@ -45,7 +45,7 @@ PORTION = 4 << 20
 #: Windows that are looked at together.
 PIECE = 1 << 18
 #: Occurrences of a core (at most 127 counted a portion) from which it is split, and offsets in a cell.
-HOT, CELL = 4096, 8
+HOT, CELL = 1024, 8
 #: Rows that a task gathers, and symbols that are merged together, in how many shards.
 CORE_ROWS, STRING_ROWS, SYMBOLS, SHARDS = 1 << 20, 1 << 17, 1 << 18, 4
 #: Ways of a core: all its windows are repeated; several strings; several strings, split.
