@@ -34,6 +34,11 @@ CATEGORY = {
 
 # Days of each period, and the per-source cap of each.
 PERIOD_DAYS = {"day": 1, "week": 7, "month": 30, "all": 90}
+#: Days by period of each kind of request, and of any other period (none: an error).
+ROUTE_DAYS = {
+    "items": (PERIOD_DAYS, None), "search": (PERIOD_DAYS, 7), "ask": (PERIOD_DAYS, 7), "ranking": ({"month": 30}, 7), "analytics": ({"month": 30}, 7), "debug": ({"month": 30}, 7),
+    "newsletter": ({"week": 7}, 30), "podcast": ({"week": 7}, 30),
+}
 PERIOD_SOURCE_CAP = {"day": 1, "week": 4, "month": 5, "all": 6}
 
 # BM25.

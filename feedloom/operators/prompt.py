@@ -39,6 +39,22 @@ def prompt_profile(prompt: str | None, topics: Sequence[str] = config.PROMPT_TOP
     )
 
 
+def profile_columns(text: Column, topics: Sequence[str] = config.PROMPT_TOPICS, avoid: Sequence[tuple[str, str]] = config.PROMPT_AVOID) -> dict[str, Column]:
+    """prompt_profile() of a column of prompts; all null for a blank one."""
+    lower, blank = F.lower(text), F.trim(F.coalesce(text, F.lit(""))) == ""
+
+    def named(pairs):
+        return F.when(~blank, F.array_compact(F.array(*[F.when(contains(lower, word), value) for word, value in pairs])))
+
+    def first(choices):
+        return F.when(~blank, F.coalesce(*[F.when(contains(lower, word), value) for word, value in choices]))
+
+    return {
+        "focus_topics": F.array_distinct(named([(t, t) for t in topics])), "exclude_topics": named(avoid), "audience": first(config.PROMPT_AUDIENCE),
+        "intent": first(config.PROMPT_INTENT), "format_hints": named([(h, h) for h in config.PROMPT_HINTS]), "voice_style": first(config.PROMPT_VOICE),
+    }
+
+
 def presence(text: Column, topics: Sequence[str]) -> Column:
     """The share of the topics that occur in a text."""
     if not topics:

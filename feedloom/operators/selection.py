@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions import config
+
 
 def keep_first(rows: DataFrame, key: Column, order: Sequence[Column | str], group: Sequence[str] = ()) -> DataFrame:
     """The first row of each key in the given order; rows with a null key all stay.
@@ -23,6 +25,12 @@ def least_items(most: int) -> int:
     return max(10, math.ceil(0.67 * most))
 
 
+def source_caps(period: Column, limit: Column, category_most: int = 10) -> Column:
+    """source_cap() of columns, by the name of the period; null for an unknown one."""
+    cap = F.element_at(F.create_map(*[F.lit(x) for pair in config.PERIOD_SOURCE_CAP.items() for x in pair]), period)
+    return F.when(limit > category_most, F.ceil(cap * limit / category_most)).otherwise(cap)
+
+
 def source_cap(period_cap: int, limit: int, category_most: int = 10) -> int:
     """The per-source cap, larger in proportion if more items than usual are asked for."""
     return math.ceil(period_cap * limit / category_most) if limit > category_most else period_cap

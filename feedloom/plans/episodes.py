@@ -108,10 +108,11 @@ def verification_fixes(spark, d):
     return digests.apply_fixes(rows.drop("line"), one.unionByName(two), "conv_id", "n")
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(CASE WHEN doc_id % 5 = doc_id % 3 THEN [doc_id % 5] ELSE [doc_id % 5, doc_id % 3] END, lambda n: n >= 1 AND n <= 4), ',') AS cited FROM documents""")
+@query("""WITH f AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all('a [' || doc_id % 5 || '] b [' || doc_id % 3 || '] [' || doc_id % 5 || '] [9] [x] ' || text, '\\[([0-9]+)\\]', 1), lambda x: x::BIGINT), lambda n: n >= 1 AND n <= 4) AS l FROM documents)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS cited FROM f""")
 def citation_extract(spark, d):
     n = F.col("doc_id")
-    made = F.concat(F.lit("a ["), (n % 5).cast("string"), F.lit("] b ["), (n % 3).cast("string"), F.lit("] ["), (n % 5).cast("string"), F.lit("] [9] [x]"))
+    made = F.concat(F.lit("a ["), (n % 5).cast("string"), F.lit("] b ["), (n % 3).cast("string"), F.lit("] ["), (n % 5).cast("string"), F.lit("] [9] [x] "), "text")
     return read(spark, d, "documents").select("doc_id", F.array_join(replies.citations(made, 4), ",").alias("cited"))
 
 

@@ -7,7 +7,7 @@ from feedloom.functions import config
 from feedloom.operators import search
 from feedloom.plans.ranked import CORE, DIVERSE, RANKED, TERMS
 from feedloom.plans.registry import QUERIES, query
-from feedloom.plans.requests import Corpus, Papers, clamp, period_days
+from feedloom.plans.requests import Corpus, Papers, clamped, days_of
 from feedloom.plans.searches import RETRIEVE
 from feedloom.sources import items as feeds
 from feedloom.sources import landed, upserts
@@ -137,15 +137,26 @@ def api_stages(spark, d):
     return corpus(spark, d).stages("research", "month")
 
 
-@query("SELECT * FROM (VALUES ('day', 1), ('week', 7), ('month', 30), ('all', 90), ('year', 7)) t(period, days)")
+PERIODS, ROUTES = ["day", "week", "month", "all", "year"], ["items", "search", "ask", "ranking", "analytics", "debug", "newsletter", "podcast"]
+
+
+@query(f"""WITH a AS (SELECT doc_id, ({PERIODS})[doc_id % 5 + 1] AS period, ({ROUTES})[doc_id // 5 % 8 + 1] AS route FROM documents)
+SELECT doc_id, route, period, CASE WHEN route IN ('items', 'search', 'ask') THEN CASE period WHEN 'day' THEN 1 WHEN 'week' THEN 7 WHEN 'month' THEN 30 WHEN 'all' THEN 90 ELSE CASE WHEN route <> 'items' THEN 7 END END
+  WHEN route IN ('newsletter', 'podcast') THEN CASE period WHEN 'week' THEN 7 ELSE 30 END ELSE CASE period WHEN 'month' THEN 30 ELSE 7 END END AS days FROM a""")
 def period_resolution(spark, d):
-    return spark.createDataFrame([(p, period_days(p, strict=False)) for p in ("day", "week", "month", "all", "year")], "period string, days int")
+    """What each kind of request takes a period for; a request a document."""
+    n = F.col("doc_id")
+    rows = read(spark, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, PERIODS)), (n % 5 + 1).cast("int")).alias("period"), F.element_at(F.array(*map(F.lit, ROUTES)), (F.floor(n / 5) % 8 + 1).cast("int")).alias("route"))
+    return rows.withColumn("days", days_of(F.col("route"), F.col("period")))
 
 
-@query("SELECT * FROM (VALUES (-3, 1, 1, 1), (0, 1, 1, 1), (25, 25, 25, 20), (70, 50, 70, 20), (200, 50, 100, 20)) t(asked, items, search, ask)")
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN (o_totalprice / 1000)::INTEGER - 60 END AS asked FROM orders)
+SELECT o_orderkey, coalesce(greatest(1, least(50, asked)), 10) AS items, coalesce(greatest(1, least(100, asked)), 10) AS search, coalesce(greatest(1, least(20, asked)), 5) AS ask FROM o""")
 def clamp_limit(spark, d):
-    rows = [(n, clamp(n, 1, 50, 10), clamp(n, 1, 100, 10), clamp(n, 1, 20, 5)) for n in (-3, 0, 25, 70, 200)]
-    return spark.createDataFrame(rows, "asked int, items int, search int, ask int")
+    """Limits that requests ask for, or don't; a request an order."""
+    asked = F.when(F.col("o_orderkey") % 7 > 0, F.round(F.col("o_totalprice") / 1000).cast("int") - 60)
+    rows = read(spark, d, "orders").select("o_orderkey", asked.alias("asked"))
+    return rows.select("o_orderkey", *[clamped(F.col("asked"), 1, most, default).alias(name) for name, most, default in (("items", 50, 10), ("search", 100, 10), ("ask", 20, 5))])
 
 
 # -- appends and caches -----------------------------------------------------------
@@ -297,10 +308,12 @@ def src_library_items(spark, d):
     return landed.library_items(_landed(spark, pages.select(F.col("s_nationkey").cast("string").alias("library_id"), "documents"), "libraries", landed.LIBRARY), 1, 3)
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN false ELSE length(html) >= 100 END AS fetched FROM pages")
+@query("SELECT page_id, length(html) >= 100 AS fetched FROM pages UNION ALL SELECT -1 - page_id, length(url) >= 100 FROM pages")
 def src_web_page(spark, d):
-    html = F.when(F.col("page_id") % 3 == 0, F.substring("html", 1, 99)).otherwise(F.col("html"))
-    return read(spark, d, "pages").select("page_id", landed.page_text(html).isNotNull().alias("fetched"))
+    """Pages, and as too short ones their urls."""
+    pages = read(spark, d, "pages")
+    rows = pages.select("page_id", "html").unionByName(pages.select((-1 - F.col("page_id")).alias("page_id"), F.col("url").alias("html")))
+    return rows.select("page_id", landed.page_text(F.col("html")).isNotNull().alias("fetched"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN nullif(trim(regexp_replace(replace(text, '<', ' '), '\\s+', ' ', 'g')), '') END AS abstract FROM documents")

@@ -134,10 +134,14 @@ def dedupe_id(spark, d):
     return selection.keep_first(parts[0].unionByName(parts[1]).unionByName(parts[2]), F.col("id"), ["place"])
 
 
-@query("SELECT * FROM (VALUES ('day', 5, 1), ('day', 25, 3), ('week', 10, 4), ('week', 20, 8), ('month', 15, 8), ('all', 50, 30)) t(period, lim, cap)")
+@query("""WITH a AS (SELECT doc_id, (['day', 'week', 'month', 'all', 'year'])[doc_id % 5 + 1] AS period, (n_chars % 50 + 1)::BIGINT AS lim FROM documents),
+c AS (SELECT *, CASE period WHEN 'day' THEN 1 WHEN 'week' THEN 4 WHEN 'month' THEN 5 WHEN 'all' THEN 6 END AS own FROM a)
+SELECT doc_id, period, lim, CASE WHEN lim > 10 THEN (own * lim + 9) // 10 ELSE own END::BIGINT AS cap FROM c""")
 def items_source_cap(spark, d):
-    asked = [("day", 5), ("day", 25), ("week", 10), ("week", 20), ("month", 15), ("all", 50)]
-    return spark.createDataFrame([(p, n, selection.source_cap(config.PERIOD_SOURCE_CAP[p], n)) for p, n in asked], "period string, lim int, cap int")
+    """The cap of a source by period and limit; a request a document."""
+    period = F.element_at(F.array(*map(F.lit, ["day", "week", "month", "all", "year"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = read(spark, d, "documents").select("doc_id", period.alias("period"), (F.col("n_chars") % 50 + 1).cast("long").alias("lim"))
+    return rows.withColumn("cap", selection.source_caps(F.col("period"), F.col("lim")).cast("long"))
 
 
 @query(RANKED + "SELECT category, rank, id FROM placed WHERE rank <= 5", "items scores firsts")
@@ -209,12 +213,22 @@ def podcast_pipeline(spark, d):
     return rows.select("position", "id", "category", F.round("final", 6).alias("final"), half_up(F.col("final") * 10).cast("long").alias("relevance"))
 
 
-@query("""SELECT * FROM (VALUES ('Focus on code search for senior engineers', 'code search', '', 'senior engineers', 'focus', '', NULL), ('A casual summary of agents, avoid research', 'research,agents', 'research', NULL, 'summary', 'summary', 'conversational'),
-  ('Deep technical overview of RAG for the team', 'rag', '', 'everyone', 'deep-dive', '', 'technical'), ('  ', NULL, NULL, NULL, NULL, NULL, NULL)) t(words, focus, avoid, audience, intent, hints, voice)""")
+PROMPTS = ["Focus on code search for senior engineers. ", "A casual summary of agents, avoid research. ", "Deep technical overview of RAG for the team. ", ""]
+
+
+def _profile_sql():
+    pick = lambda pairs: "CASE " + " ".join(f"WHEN contains(p, '{w}') THEN '{v}'" for w, v in pairs) + " END"
+    every = lambda words: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(p, '{w}') THEN '{v}' END" for w, v in words) + "], lambda x: x IS NOT NULL), ',')"
+    prompts = "[" + ", ".join(f"'{p}'" for p in PROMPTS) + "]"
+    return f"""WITH t AS (SELECT conv_id, turn, lower(({prompts})[turn % 4 + 1] || text) AS p FROM conversations)
+SELECT conv_id, turn, {every([(t, t) for t in config.PROMPT_TOPICS])} AS focus, array_to_string(list_distinct(list_filter([{", ".join(f"CASE WHEN contains(p, '{w}') THEN '{v}' END" for w, v in config.PROMPT_AVOID)}], lambda x: x IS NOT NULL)), ',') AS avoid,
+  {pick(config.PROMPT_AUDIENCE)} AS audience, {pick(config.PROMPT_INTENT)} AS intent, {every([(h, h) for h in config.PROMPT_HINTS])} AS hints, {pick(config.PROMPT_VOICE)} AS voice FROM t WHERE trim(p) <> ''"""
+
+
+@query(_profile_sql())
 def prompt_profile(spark, d):
-    """What prompts ask for; a blank one has no profile."""
-    rows = []
-    for words in ("Focus on code search for senior engineers", "A casual summary of agents, avoid research", "Deep technical overview of RAG for the team", "  "):
-        p = prompt.prompt_profile(words)
-        rows.append((words, *([None] * 6 if p is None else (",".join(p.focus_topics), ",".join(p.exclude_topics), p.audience, p.intent, ",".join(p.format_hints), p.voice_style))))
-    return spark.createDataFrame(rows, "words string, focus string, avoid string, audience string, intent string, hints string, voice string")
+    """What the turns of conversations ask for, after prompts with words that profiles know."""
+    said = F.concat(F.element_at(F.array(*map(F.lit, PROMPTS)), (F.col("turn") % 4 + 1).cast("int")), "text")
+    found = prompt.profile_columns(said)
+    rows = read(spark, d, "conversations").where(F.trim(said) != "").select("conv_id", "turn", *[c.alias(n) for n, c in found.items()])
+    return rows.select("conv_id", "turn", F.array_join("focus_topics", ",").alias("focus"), F.array_join(F.array_distinct("exclude_topics"), ",").alias("avoid"), "audience", "intent", F.array_join("format_hints", ",").alias("hints"), F.col("voice_style").alias("voice"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import config
@@ -23,6 +23,22 @@ def period_days(period: str, strict: bool = True, default: int = 7) -> int:
     return default
 
 
+def days_of(route: Column, period: Column) -> Column:
+    """Days that a period means to a kind of request; null where it is an error."""
+    out = F.lit(None).cast("int")
+    for name, (days, other) in config.ROUTE_DAYS.items():
+        known = F.lit(other).cast("int")
+        for p, n in days.items():
+            known = F.when(period == p, n).otherwise(known)
+        out = F.when(route == name, known).otherwise(out)
+    return out
+
+
+def clamped(limit: Column, least: int, most: int, default: int) -> Column:
+    """clamp() of a column."""
+    return F.coalesce(F.greatest(F.lit(least), F.least(F.lit(most), limit)), F.lit(default))
+
+
 def clamp(limit: int | None, least: int, most: int, default: int) -> int:
     return default if limit is None else max(least, min(most, int(limit)))
 
@@ -160,13 +176,13 @@ class Corpus:
 
     def score_analytics(self, name: str, period: str = "week", buckets: int = 10, terms: dict | None = None, **how) -> DataFrame:
         """Low, high, mean and upper median of each score of a category's ranked items."""
-        rows = ranking.rank_categories(self.items, self.scores, self.as_of, period_days(period, strict=False), [category(name)], self._terms(terms), columns=[], **how)
+        rows = self._all_scores(name, period, terms, **how)
         metrics = ["final", "bm25", "llm", "recency", "boost"]
         middle = analytics.upper_median(analytics.long_form(rows, metrics), "value", ["metric"])
         return analytics.distribution(rows, metrics).join(middle, "metric", "left")
 
     def _all_scores(self, name: str, period: str, terms: dict | None, **how) -> DataFrame:
-        return ranking.rank_categories(self.items, self.scores, self.as_of, period_days(period, strict=False), [category(name)], self._terms(terms), columns=[], **how)
+        return ranking.rank_categories(self.items, self.scores, self.as_of, 30 if period == "month" else 7, [category(name)], self._terms(terms), columns=[], **how)
 
     def score_histograms(self, name: str, period: str = "week", buckets: int = 10, terms: dict | None = None, **how) -> DataFrame:
         """(metric, bucket, low, n) of a category's scores: bm25, relevance, usefulness, recency and final."""

@@ -83,9 +83,10 @@ def url_block_decompose(spark, d):
     return _made_urls(spark, d).select("page_id", text.any_match("u", [f"(?i){p}" for p in newsletters.BAD_URL]).alias("bad"))
 
 
-@query("SELECT doc_id, (['Sponsor', 'a sponsor', 'sign up', 'Story'])[doc_id % 4 + 1] IN ('Sponsor', 'sign up') AS bad FROM documents")
+@query("""SELECT doc_id, trim(lower(t)) IN ('advertise', 'sponsor', 'advertisement', 'promotional content', 'subscribe', 'join', 'sign up') AS bad FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN text ELSE (['Sponsor', 'a sponsor', 'sign up'])[doc_id % 4 + 1] END AS t FROM documents)""")
 def title_block(spark, d):
-    title = F.element_at(F.array(*map(F.lit, ["Sponsor", "a sponsor", "sign up", "Story"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    n = F.col("doc_id") % 4
+    title = F.when(n == 3, F.col("text")).otherwise(F.element_at(F.array(*map(F.lit, ["Sponsor", "a sponsor", "sign up", ""])), (n + 1).cast("int")))
     return read(spark, d, "documents").select("doc_id", text.any_match(title, [f"(?i){p}" for p in newsletters.BAD_TITLE]).alias("bad"))
 
 
@@ -111,10 +112,10 @@ def search_query_clean(spark, d):
     return read(spark, d, "documents").select("doc_id", urls.search_query("text").alias("q"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN printf('%04d.%05d', 1000 + doc_id % 9000, doc_id % 100000) END AS arxiv FROM documents""")
+@query("""SELECT doc_id, nullif(regexp_extract(text || ' https://arxiv.org/' || CASE WHEN doc_id % 2 = 0 THEN 'abs/' ELSE 'list/' END || printf('%04d.%05d', 1000 + doc_id % 9000, doc_id % 100000) || 'v2', 'arxiv\\.org/(abs|pdf)/([0-9]{4}\\.[0-9]{4,5})', 2), '') AS arxiv FROM documents""")
 def arxiv_id(spark, d):
     n = F.col("doc_id")
-    made = F.concat(F.lit("https://arxiv.org/"), F.when(n % 2 == 0, "abs/").otherwise("list/"), F.lpad((1000 + n % 9000).cast("string"), 4, "0"), F.lit("."), F.lpad((n % 100000).cast("string"), 5, "0"), F.lit("v2"))
+    made = F.concat("text", F.lit(" https://arxiv.org/"), F.when(n % 2 == 0, "abs/").otherwise("list/"), F.lpad((1000 + n % 9000).cast("string"), 4, "0"), F.lit("."), F.lpad((n % 100000).cast("string"), 5, "0"), F.lit("v2"))
     return read(spark, d, "documents").select("doc_id", urls.arxiv_id(made).alias("arxiv"))
 
 
@@ -181,7 +182,7 @@ def decompose_newsletter(spark, d):
     n = pages.count()  # from the file footers
     rows = text_items(spark, d).join(pages.select("page_id", "url", "html"), F.col("id") % max(n, 1) == F.col("page_id")).drop("page_id")
     rows = rows.withColumns({"summary": F.col("html"), "bm25": F.lit(0.8), "final": F.lit(0.9)}).drop("html")
-    return newsletters.decompose(rows, ["src1"]).select("id", "title", "url", F.round("bm25", 6).alias("bm25"), F.round("final", 6).alias("final"))
+    return newsletters.decompose(rows, ["src"]).select("id", "title", "url", F.round("bm25", 6).alias("bm25"), F.round("final", 6).alias("final"))
 
 
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -213,7 +214,7 @@ def digest_extract(spark, d):
     rows = text_items(spark, d).join(pages.select("page_id", "url", "html"), F.col("id") % max(n, 1) == F.col("page_id")).drop("page_id")
     rows = rows.withColumns({"summary": F.when(F.col("id") % 2 == 0, F.col("html")).otherwise(F.col("summary")), "url": F.when(F.col("id") % 10 == 1, "https://reddit.com/r/x").otherwise(F.col("url")),
                              "bm25": F.lit(0.8), "final": F.col("id") % 11 / 10.0, "tags": F.array(F.lit("a"))}).drop("html")
-    return digests.extract(rows, ["src1"]).select("id", "title", "url", "gist", "relevance")
+    return digests.extract(rows, ["src"]).select("id", "title", "url", "gist", "relevance")
 
 
 @query("""SELECT id, substr(CASE WHEN summary = '' THEN 'No summary available' ELSE summary END, 1, 100) AS one_sentence_gist, 'New content from ' || source_title AS what_changed,
@@ -344,9 +345,9 @@ def format_mmss(spark, d):
     return read(spark, d, "documents").select("doc_id", text.format_mmss("n_chars").alias("t"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace('**' || source || '** and *' || lang || '*', '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g') AS t FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace('**' || source || '** and *' || lang || '* ' || text, '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g') AS t FROM documents")
 def strip_formatting(spark, d):
-    made = F.concat(F.lit("**"), "source", F.lit("** and *"), "lang", F.lit("*"))
+    made = F.concat(F.lit("**"), "source", F.lit("** and *"), "lang", F.lit("* "), "text")
     return read(spark, d, "documents").select("doc_id", text.strip_formatting(made).alias("t"))
 
 
