@@ -132,6 +132,7 @@ def draw(values, shard):
 @pytest.mark.parametrize("weights", [[1.0] * 16, [1.0, 2.0, 0.5]])
 def test_draws_and_slots(spark, monkeypatch, weights):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(sharding, "COPIES", 4)
     rng = random.Random(23)
     rows = [(rng.choice([None, rng.randint(-50, 5000)]) if k % 40 == 0 else k, rng.choice([None, "", prose(rng, 3)])) for k in range(1500)] + [(7, "same")] * 30
     got = sharding.shard_table(spark.createDataFrame(rows, "doc_id long, text string"), len(weights), weights).collect()
