@@ -30,18 +30,23 @@ def cut_speech(text: str | None, size: int = 3800) -> list[str]:
     """Pieces for speech: cut after a separator line, else a blank line, else a sentence, past the middle."""
     if text is None:
         return []
-    out = []
-    while len(text) > size:
-        at = size
+    out, lo, hi = [], 0, len(text)
+    while hi - lo > size:
+        at = lo + size
         for mark in ("---", "\n\n", ". "):
-            found = text.rfind(mark, 0, size + len(mark))
-            if found > size * 0.5:
+            found = text.rfind(mark, lo, lo + size + len(mark))
+            if found - lo > size * 0.5:
                 at = found + len(mark)
                 break
-        out.append(text[:at].strip())
-        text = text[at:].strip()
-    if text or not out:
-        out.append(text)
+        out.append(text[lo:at].strip())
+        # What is left is trimmed by its bounds, not copied.
+        lo = at
+        while lo < hi and text[lo].isspace():
+            lo += 1
+        while hi > lo and text[hi - 1].isspace():
+            hi -= 1
+    if hi > lo or not out:
+        out.append(text[lo:hi])
     return out
 
 

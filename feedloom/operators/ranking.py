@@ -41,14 +41,22 @@ def term_counts(text: Column, terms: Sequence[str]) -> Column:
 
 
 _kept: collections.deque = collections.deque()
-#: Narrow tables that stay cached; older ones are made again if they are asked for once more.
-MOST_KEPT = 4
+#: Narrow tables that stay cached, more than a plan has parts; older ones are made again if they are asked for once more.
+MOST_KEPT = 32
+
+
+def release() -> None:
+    """Free the narrow tables, once no result of a ranking is to be read any more."""
+    while _kept:
+        old = _kept.popleft()
+        if old.sparkSession.sparkContext._jsc is not None:
+            old.unpersist()
 
 
 def kept(rows: DataFrame) -> DataFrame:
     """`rows`, cached (in memory, else on disk) when they are first read, as several
-    parts of a plan read them.  Of all these tables the last few stay.  A mark keeps
-    a later query from reading this one's table, as files may have changed."""
+    parts of a plan read them.  Callers free them with release(); without it the last
+    `MOST_KEPT` stay.  A mark keeps a later query from reading this one's table, as files may have changed."""
     rows = rows.withColumn("__made", F.lit(uuid.uuid4().hex))
     while len(_kept) >= MOST_KEPT:
         old = _kept.popleft()

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from feedloom.functions.text import add, contains, half_up, occurrences, text_of, word_occurrences
 
 
+#: Rows that a semantic search can be asked for.
+MOST_FOUND = 10_000
+
+
 def searchable(summary: str = "summary", full_text: Column | None = None) -> Column:
     """What is searched besides the title, in lower case."""
     parts = [F.col(summary)]
@@ -120,7 +124,11 @@ def nearest(items: DataFrame, vectors: DataFrame, vector: Sequence[float] | Data
 
 
 def search_semantic(items: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float] | DataFrame, limit: int) -> DataFrame:
-    """Items by cosine; by terms where fewer than max(5, limit / 2) have vectors, and so for every limit under 5."""
+    """Items by cosine; by terms where fewer than max(5, limit / 2) have vectors, and so
+    for every limit under 5.  Which it is has to be known before the plan is made, so
+    the best ids, `MOST_FOUND` at most, are found first."""
+    if limit > MOST_FOUND:
+        raise ValueError(f"a search gives {MOST_FOUND} rows at most")
     few = max(5, limit / 2)
     best = [tuple(r) for r in nearest(items, vectors, vector, limit).collect()] if limit >= few else []  # `limit` rows at most
     if len(best) < few:

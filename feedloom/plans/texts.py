@@ -13,9 +13,19 @@ from feedloom.sources.items import read, spread, text_items, with_urls
 HOST_SQL = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 
 
-@query(f"SELECT page_id, {HOST_SQL} || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END AS key FROM pages")
+@query("""WITH r AS (SELECT page_id, split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) AS rest FROM pages),
+k AS (SELECT page_id, CASE WHEN strpos(rest, '/') > 0 THEN lower(substr(rest, 1, strpos(rest, '/') - 1)) || substr(rest, strpos(rest, '/')) ELSE lower(rest) || '/' END AS key FROM r)
+SELECT page_id, form, CASE form WHEN 'encoded' THEN key || '%C3%A9%20' ELSE key END AS key FROM k, (VALUES ('plain'), ('loud'), ('dots'), ('spaces'), ('encoded')) f(form)""")
 def url_key(spark, d):
-    return read(spark, d, "pages").select("page_id", urls.url_key("url").alias("key"))
+    """Keys of urls as they are, with a louder host, port and query, with dot segments,
+    between spaces, and with what has to be encoded at the end."""
+    cut = F.regexp_extract("url", "^([^?#]*)", 1)
+    head, tail = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), F.substring(cut, F.length(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)) + 1, F.length("url"))
+    port = F.when(head.startswith("https"), ":443").otherwise(":80")
+    path = F.when(tail == "", "/").otherwise(tail)
+    forms = {"plain": F.col("url"), "loud": F.concat(F.upper(head), port, path, F.lit("?x=/../y#z")), "dots": F.concat(head, F.lit("/q/./r/.."), F.lit("/%2E%2e"), path), "spaces": F.concat(F.lit(" \t"), "url", F.lit("\n ")), "encoded": F.concat(head, path, F.lit("é ?q"))}
+    rows = read(spark, d, "pages").select("page_id", F.explode(F.array(*[F.struct(F.lit(n).alias("form"), u.alias("url")) for n, u in forms.items()])).alias("f"))
+    return rows.select("page_id", "f.form", urls.url_key("f.url").alias("key"))
 
 
 @query(f"SELECT page_id, {HOST_SQL} AS host FROM pages")
