@@ -124,7 +124,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     """(page_id, host, path, rule, verdict) for each row of `pages`.
 
     A rule (verdict, host, path) fits its host and all subdomains if the url's
-    path starts with the rule's; the longest rule wins.  Without a fitting rule,
+    path starts with the rule's; the longest rule wins, of equally long ones that with
+    the longer host.  Without a fitting rule,
     `rule` is null and the verdict is `default`.  Null urls and urls without
     "://" have empty host and path and are judged like any other; so are very long
     urls; repeated rows stay rows; an empty table gives no rows; other columns
