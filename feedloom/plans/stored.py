@@ -14,9 +14,11 @@ from feedloom.plans.texts import WHITE
 from feedloom.sources.items import AS_OF, DAY, items, read, scores, text_items, vectors, with_urls
 from feedloom.sources.kept import ScoreState, VectorStore
 from feedloom.sources.places import new_place
+from feedloom.sources.ratings import Ratings, refresh_feeds
 from feedloom.sources.term_index import TermIndex
 from feedloom.sources.text_index import TextIndex
 from feedloom.sources.vector_index import VectorIndex
+from feedloom.sources.versions import SnapshotTable
 from feedloom.streaming import ingest
 
 SINCE = AS_OF - 30 * DAY
@@ -302,3 +304,54 @@ def stream_single_sync(spark, d):
     _land(spark, d, "true", folder)
     ingest.stream_sync(spark, folder, table, FOLDERS, ("src7",))
     return _sync_result(table)
+
+
+# -- ratings and feeds ------------------------------------------------------------
+
+
+@query("""SELECT doc_id AS item_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 9 > 0 THEN doc_id % 4 END::INTEGER AS rating, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 9 = 0 THEN 'taken back' ELSE 'first' END END AS notes,
+  CASE WHEN doc_id % 3 = 0 THEN 1767225600 - doc_id % 9 END AS rated_at, doc_id % 5 = 0 AND doc_id % 10 > 0 AS starred FROM documents""")
+def api_item_relevance(spark, d):
+    """Ratings of a third of the items, some taken back, and stars, some of them too."""
+    ratings, n = Ratings(spark, new_place(spark, "ratings")), F.col("doc_id")
+    docs = read(spark, d, "documents").select("doc_id", n.alias("item_id"))
+    rated = docs.where(n % 3 == 0).select("item_id", (n % 4).alias("rating"), F.lit("first").alias("notes"), (F.lit(AS_OF) - n % 9).alias("rated_at"), F.lit(0).alias("seq"))
+    ratings.rate(rated)
+    ratings.star(docs.where(n % 5 == 0).select("item_id", F.lit(True).alias("starred"), F.lit(0).alias("seq")))
+    ratings.rate(docs.where(n % 9 == 0).select("item_id", F.lit(None).cast("int").alias("rating"), F.lit("taken back").alias("notes"), F.lit(AS_OF).alias("rated_at"), F.lit(0).alias("seq")))
+    ratings.star(docs.where(n % 10 == 0).select("item_id", F.lit(False).alias("starred"), F.lit(0).alias("seq")))
+    return ratings.of(docs)
+
+
+FEEDS = """feeds AS (SELECT 'feed/' || s_suppkey AS stream_id, s_name AS canonical_name, CASE s_nationkey % 3 WHEN 0 THEN 'research' WHEN 1 THEN 'community' ELSE 'newsletters' END AS default_category, 'f' || s_nationkey || '.example' AS vendor FROM supplier)"""
+FOLDER_NAMES = ["Research", "Developer Communities", "Other"]
+
+
+def _feeds(spark, d):
+    """Suppliers as subscriptions, refreshed into a stored table twice."""
+    table, n = SnapshotTable(spark, new_place(spark, "feeds"), ["stream_id"]), F.col("s_nationkey")
+    label = F.element_at(F.array(*map(F.lit, FOLDER_NAMES)), (n % 3 + 1).cast("int"))
+    rows = read(spark, d, "supplier").select(F.concat(F.lit("feed/"), F.col("s_suppkey").cast("string")).alias("stream_id"), F.col("s_name").alias("title"), F.concat(F.lit("https://f"), n.cast("string"), F.lit(".example/x")).alias("html_url"), F.array(label, F.lit("research")).alias("labels"))
+    for part in (rows.where("s_suppkey % 2 = 0").withColumn("title", F.lit("old")), rows):
+        refresh_feeds(table, part, {"research": "research", "developer communities": "community"})
+    return table.read()
+
+
+@query(f"WITH {FEEDS} SELECT * FROM feeds")
+def api_refresh_feeds(spark, d):
+    return _feeds(spark, d).select("stream_id", "canonical_name", "default_category", "vendor")
+
+
+@query(f"WITH {FEEDS} SELECT stream_id, canonical_name, default_category FROM feeds ORDER BY canonical_name, stream_id")
+def api_feeds(spark, d):
+    return _feeds(spark, d).select("stream_id", "canonical_name", "default_category").orderBy("canonical_name", "stream_id")
+
+
+@query(f"""WITH {FEEDS}, r AS (SELECT 'feed/' || s_suppkey AS stream_id, s_suppkey % 4 AS relevance FROM supplier WHERE s_suppkey % 5 > 0)
+SELECT stream_id, canonical_name, coalesce(relevance, 1)::INTEGER AS relevance, (CASE coalesce(relevance, 1) WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.3 ELSE 1.6 END)::DOUBLE AS factor FROM feeds LEFT JOIN r USING (stream_id)""")
+def api_source_relevance(spark, d):
+    ratings, n = Ratings(spark, new_place(spark, "ratings")), F.col("s_suppkey")
+    rows = read(spark, d, "supplier").where(n % 5 > 0).select(F.concat(F.lit("feed/"), n.cast("string")).alias("stream_id"), "s_suppkey")
+    for seq, relevance in enumerate((F.lit(3), n % 4)):
+        ratings.set_sources(rows.select("stream_id", relevance.alias("relevance"), F.lit(seq).alias("seq")))
+    return ratings.source_factors(_feeds(spark, d)).select("stream_id", "canonical_name", "relevance", "factor")

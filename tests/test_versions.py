@@ -105,3 +105,19 @@ def test_linear_hash(spark):
         assert {r.b for r in rows} == set(range(new))
         assert {r.a for r in rows if r.b >= old} == split_from(old, new)
         assert all(r.a == r.b for r in rows if r.b < old)
+
+
+def test_ratings(spark):
+    from feedloom.sources.ratings import Ratings, feeds_of
+
+    ratings = Ratings(spark, new_place(spark, "ratings"))
+    ids = spark.createDataFrame([("a",), ("b",), ("c",)], "item_id string")
+    assert {tuple(r) for r in ratings.of(ids).collect()} == {(i, None, None, None, False) for i in "abc"}
+    with pytest.raises(ValueError):
+        ratings.rate(spark.createDataFrame([("a", 4, "", 1, 0)], "item_id string, rating int, notes string, rated_at long, seq int"))
+    ratings.star(spark.createDataFrame([("a", True, 0), ("b", True, 0), ("b", False, 1)], "item_id string, starred boolean, seq int"))
+    ratings.rate(spark.createDataFrame([("a", 3, "good", 1, 0), ("b", 0, None, 2, 0)], "item_id string, rating int, notes string, rated_at long, seq int"))
+    assert sorted(map(tuple, ratings.of(ids).collect())) == [("a", 3, "good", 1, True), ("b", 0, None, 2, False), ("c", None, None, None, False)]
+    assert ratings.source_factors(spark.createDataFrame([("f",)], "stream_id string")).first().factor == 1.0
+    rows = spark.createDataFrame([("s", "T", "https://H.com:8/x", ["RESEARCH", "x"]), ("t", "U", None, [])], "stream_id string, title string, html_url string, labels array<string>")
+    assert sorted(map(tuple, feeds_of(rows, {"research": "research"}).collect())) == [("s", "T", "research", ["RESEARCH", "x"], "h.com"), ("t", "U", "newsletters", [], None)]
