@@ -13,6 +13,8 @@ from feedloom.sources.versions import Versions
 
 #: Vectors that centroids are fitted on, at most; rows of a list that one task compares.
 SAMPLE, LIST_ROWS = 20_000, 200_000
+#: Share of the nearest in the sample that the lists probed by default have.
+RECALL = 0.96
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -35,6 +37,23 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 7) -
     return centers
 
 
+def needed(sample: np.ndarray, centers: np.ndarray, k: int = 10, queries: int = 300, recall: float = RECALL) -> int:
+    """How many lists have to be probed for the share `recall` of the `k` nearest of some
+    vectors of the sample, itself left out, among the sample.  Vectors without
+    structure need most lists, well gathered ones a few."""
+    if len(sample) < 2:
+        return len(centers)
+    own, ranks = (sample @ centers.T).argmax(axis=1), []
+    for q in range(min(queries, len(sample))):
+        score = sample @ sample[q]
+        score[q] = -np.inf
+        near = np.argpartition(-score, min(k, len(score) - 1))[:k]
+        place = np.empty(len(centers), np.int64)
+        place[np.argsort(-(centers @ sample[q]), kind="stable")] = np.arange(len(centers))
+        ranks.append(place[own[near]])
+    return int(np.quantile(np.concatenate(ranks), recall, method="higher")) + 1
+
+
 def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Vectors of `size` numbers as a matrix, and the rows that have one."""
     lists = column.to_numpy(zero_copy_only=False)
@@ -48,7 +67,9 @@ class VectorIndex:
     Centroids are fitted on at most `SAMPLE` vectors, those with the least hashes of
     their ids; every vector with as many numbers as these is in a list.  A search
     probes the lists nearest to a query and compares all their vectors exactly, so
-    only the recall depends on the lists, never a score.
+    only the recall depends on the lists, never a score.  How many it probes is
+    measured on the sample when the index is built: as many as have `RECALL` of
+    the nearest, all of them if need be.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -81,12 +102,12 @@ class VectorIndex:
         dealt.write.partitionBy("list").parquet(f"{self.path}/{folder}")
         counts = {r[0]: r[1] for r in self._read(folder, schema).groupBy("list").agg(F.count(F.lit(1))).collect()}  # a row a list
         number, _ = self.versions.latest()
-        self.versions.commit(number + 1, {"folder": folder, "schema": schema, "size": size, "centers": centers.tolist(), "counts": {str(k): n for k, n in counts.items()}})
+        self.versions.commit(number + 1, {"folder": folder, "schema": schema, "size": size, "centers": centers.tolist(), "probes": needed(units(matrix), centers), "counts": {str(k): n for k, n in counts.items()}})
 
     def _read(self, folder: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
 
-    def search(self, queries: DataFrame, k: int, probes: int = 8, key: str = "query_id", column: str = "q") -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, key: str = "query_id", column: str = "q") -> DataFrame:
         """(query_id, item_id, cosine): the k best of the probed lists for each query; of
         equal cosines (9 decimals) the smaller ids.  Queries without a vector of the
         right size find nothing."""
@@ -95,7 +116,7 @@ class VectorIndex:
             raise ValueError("the index has not been built")
         size, centers = kept["size"], np.array(kept["centers"])
         parts = {int(c): -(-n // LIST_ROWS) for c, n in kept["counts"].items()}
-        probes = min(probes, len(centers))
+        probes = min(kept["probes"] if probes is None else probes, len(centers))
         sent = self.spark.sparkContext.broadcast((centers, parts))
         ids = queries.schema[key].dataType.simpleString()
         item = self._read(kept["folder"], kept["schema"])

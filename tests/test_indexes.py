@@ -142,11 +142,14 @@ def test_vectors_are_made_once(spark):
     assert after[3] != before[3] and len(after) == 32 and all(after[i] == v for i, v in before.items() if i != 3)
 
 
-def test_vector_index(spark):
+@pytest.mark.parametrize("spread", [0.4, 100.0])
+def test_vector_index(spark, spread):
+    """Vectors around centers, and vectors without any structure."""
     rng = np.random.default_rng(8)
     centers = rng.normal(size=(20, 16))
-    vectors = (centers[rng.integers(0, 20, 1500)] + 0.4 * rng.normal(size=(1500, 16))).astype(np.float32)
-    vectors[:400] = vectors[0]  # a group of equal vectors
+    vectors = (centers[rng.integers(0, 20, 1500)] + spread * rng.normal(size=(1500, 16))).astype(np.float32)
+    if spread < 1:
+        vectors[:400] = vectors[0]  # a group of equal vectors
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(2000, [0.0] * 16), (2001, None), (2002, [1.0])]
     table = spark.createDataFrame(rows, "item_id long, embedding array<float>").repartition(3)
     index = VectorIndex(spark, new_place(spark, "ivf"))
@@ -163,6 +166,8 @@ def test_vector_index(spark):
         found.setdefault(r.query_id, []).append(r.item_id)
     hits = sum(len(set(found[i]) & set(exact(i))) for i in range(0, 1500, 50))
     assert hits / (30 * 10) >= 0.9
+    probes, lists = (index.versions.latest()[1][n] for n in ("probes", "counts"))
+    assert probes < len(lists) / 2 if spread < 1 else probes > len(lists) / 4
     whole = {}
     for r in index.search(queries, 10, probes=10**6).collect():
         whole.setdefault(r.query_id, []).append(r.item_id)
@@ -196,3 +201,19 @@ def test_trigram_index(spark):
     plan = index.candidates(["needle"])
     assert {r[0] for r in plan.select("id").where("title = 'a Needle here'").collect()} == {333}
     assert "shelf" in plan._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
+
+
+def test_recall_on_the_tables(spark):
+    """The registered query against the whole scan."""
+    from feedloom.plans.registry import QUERIES
+
+    data = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    unit, found = v / np.linalg.norm(v, axis=1, keepdims=True), {}
+    for r in QUERIES["vec_index_search"](spark, data).collect():
+        found.setdefault(r.query_id, set()).add(r.item_id)
+    asked = [q for q in range(len(ids)) if ids[q] % 50 == 0]
+    assert set(found) == {ids[q] for q in asked}
+    hits = sum(len(found[ids[q]] & set(ids[np.lexsort((ids, -np.round(unit @ unit[q], 9)))[:10]])) for q in asked)
+    assert hits / (10 * len(asked)) >= 0.9
