@@ -366,7 +366,7 @@ def test_decontamination_empty(spark, odd):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_pipeline(spark, tmp_path):
