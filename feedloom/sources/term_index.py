@@ -17,8 +17,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.functions import config
 from feedloom.functions.text import tokens
@@ -83,8 +85,6 @@ class TermIndex:
         self.versions.commit(number + 1, {"folders": [*folders, folder], **fields})
 
     def _read(self, name: str) -> DataFrame:
-        from pyspark.sql import types as T
-
         manifest = self.versions.latest()[1]
         if manifest is None:
             raise ValueError("the index has no documents yet")
@@ -102,10 +102,19 @@ class TermIndex:
 
     def postings(self, terms: Sequence[str], since: int | None = None) -> DataFrame:
         """The rows of some terms; only their folders and row groups are read."""
-        hit = F.lit(False)
-        for t in dict.fromkeys(terms):
-            hit = hit | ((F.col("part") == self._part(F.lit(t))) & (F.col("term") == t))
-        rows = self._read("postings").where(hit)
+        manifest = self.versions.latest()[1]
+        if manifest is None:
+            raise ValueError("the index has no documents yet")
+        schema = T.StructType.fromJson(manifest["postings"])
+        # The hash of a term as Spark has it, so that only the folders of the terms are listed.
+        parts = sorted({xxhash.xxh64_intdigest(t.encode(), 42) for t in terms})
+        parts = sorted({(h - (1 << 64) if h >> 63 else h) % self.parts for h in parts})
+        rows = self.spark.createDataFrame([], schema)
+        for folder in manifest["folders"]:
+            base = f"{self.path}/{folder}/postings"
+            own = [f"{base}/part={p}" for p in parts if self.versions.fs().exists(self.versions.hadoop.Path(f"{base}/part={p}"))]
+            if own:
+                rows = rows.unionByName(self.spark.read.schema(schema).option("basePath", base).parquet(*own).where(F.col("term").isin(list(dict.fromkeys(terms)))))
         return rows if since is None else rows.where(F.col("last_at") >= since)
 
     # -- scores --
@@ -158,6 +167,8 @@ class TermIndex:
             heads = heads.where(F.col("first_at") >= since).unionByName(cut)
         df = heads.groupBy("group", "term").agg(F.sum("n").alias("df"))
         weights = self._weights(asked, df, since)
+        # A row a group and term: worked out once, for the bounds and for the scores.
+        weights = self.spark.createDataFrame(weights.collect(), weights.schema)
         bound = heads.join(F.broadcast(weights), ["group", "term"]).groupBy(*BLOCK).agg(F.sum(self._value(F.col("most"), F.col("least"))).alias("bound"), F.max("n").alias("n"))
         return bound, weights
 
@@ -168,21 +179,26 @@ class TermIndex:
         far; then only blocks whose bound reaches it are read."""
         different, _ = self._asked(terms, None)
         bound, weights = self.bounds(terms, since)
-        bound, weights = bound.persist(), weights.persist()
+        bound = bound.persist()
         order = Window.partitionBy("group").orderBy(F.desc("bound"), "day", "shard").rowsBetween(Window.unboundedPreceding, -1)
         # Of each group the first blocks, at most k (each has a document).
         first = bound.where("n > 0").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < k)
         near = self._scored(different, first, weights, since)
         place = Window.partitionBy("group").orderBy(F.desc("bm25_raw"))
-        least = near.withColumn("k", F.row_number().over(place)).where(F.col("k") == k).select("group", F.col("bm25_raw").alias("least"))  # a row a group
-        chosen = bound.join(F.broadcast(least), "group", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
-        found = self._scored(different, chosen, weights, since)
+        least = near.withColumn("k", F.row_number().over(place)).where(F.col("k") == k).select("group", "bm25_raw").collect()  # a row a group
+        reached = F.lit(0.0)
+        for r in least:
+            reached = F.when(F.col("group") == r[0], F.lit(r[1])).otherwise(reached)
+        chosen = bound.where(F.col("bound") >= reached - 1e-9)
+        days = [r[0] for r in chosen.select("day").distinct().collect()]  # days of the index, at most
+        found = self._scored(different, chosen, weights, since, days)
         best = Window.partitionBy("group").orderBy(F.round("bm25_raw", 9).desc(), "id")
         return found.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).select("group", "id", "bm25_raw")
 
-    def _scored(self, terms: Sequence[str], blocks: DataFrame, weights: DataFrame, since: int | None) -> DataFrame:
-        days = [r[0] for r in blocks.select("day").distinct().collect()]  # days of the index, at most
-        rows = self.postings(terms, since).where(F.col("day").isin(days)) if days else self.postings(terms, since).limit(0)
+    def _scored(self, terms: Sequence[str], blocks: DataFrame, weights: DataFrame, since: int | None, days: Sequence[int] | None = None) -> DataFrame:
+        """Scores of the documents of some blocks, which all lie on `days`."""
+        rows = self.postings(terms, since)
+        rows = rows if days is None else rows.where(F.col("day").isin(list(days)) if days else F.lit(False))
         rows = rows.join(blocks.select(*BLOCK), BLOCK, "left_semi")
         hits = self._exploded(rows, since).join(F.broadcast(weights), ["group", "term"])
         return hits.groupBy("group", "id").agg(F.sum(self._value(F.col("tf"), F.col("dl"))).alias("bm25_raw"))
