@@ -132,7 +132,7 @@ class Corpus:
         return self._chosen(names, period, -(-clamp(limit, 1, 50, 20) * 10 // 13), words, topics, oversize, terms, **how)
 
     def newsletter_issue(self, names: list[str], period: str = "week", limit: int | None = None, words: str = "", topics: tuple[str, ...] = config.PROMPT_TOPICS, oversize: int = 50_000, terms: dict | None = None,
-                         newsletters: tuple[str, ...] = (), aggregators: tuple[str, ...] = (), title: str = "Code Intelligence Digest", **how) -> dict[str, DataFrame]:
+                         newsletters: tuple[str, ...] = (), aggregators: tuple[str, ...] = (), title: str = "Digest", **how) -> dict[str, DataFrame]:
         """A newsletter from ranking to text: selected items, their digests (newsletters as
         their articles, each with a good url), the issue as Markdown and HTML, and its
         themes with their weights, which the prompt's topics raise."""

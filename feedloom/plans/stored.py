@@ -201,7 +201,7 @@ def _issue(spark, d):
 
 @query(ISSUE + """, e AS (SELECT *, '### [' || title || '](' || url || ')' || chr(10) || chr(10) || '*' || source_title || '*' || chr(10) || chr(10) || gist || chr(10) || chr(10) || '- ' || bullet || chr(10) || chr(10) AS entry FROM dig),
 s AS (SELECT p, '## ' || name || chr(10) || chr(10) || string_agg(entry, '' ORDER BY -rel, title, entry) AS body FROM e GROUP BY p, name)
-SELECT '# Code Intelligence Digest' || chr(10) || chr(10) || string_agg(body, '' ORDER BY p) AS body FROM s""", "items scores firsts urls")
+SELECT '# Digest' || chr(10) || chr(10) || string_agg(body, '' ORDER BY p) AS body FROM s""", "items scores firsts urls")
 def newsletter_issue(spark, d):
     """A newsletter from ranking to text: selection, digests, url filter, rendering."""
     return _issue(spark, d)["markdown"].select("body")
