@@ -62,6 +62,7 @@ def verification_report(issues: DataFrame, group: Sequence[str]) -> DataFrame:
 
     rows = issues.groupBy(*group).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"),
                                       lines("error", "Problem", "Fix").alias("__e"), lines("warning", "Issue", "Suggestion").alias("__w"))
+    # The headings of a report.
     passed = F.when(F.col("errors") == 0, "Yes").otherwise("No")
     body = F.concat(F.when(F.col("errors") > 0, F.concat(F.lit("### Errors (must fix)\n\n"), "__e")).otherwise(""), F.when(F.col("warnings") > 0, F.concat(F.lit("### Warnings (consider fixing)\n\n"), "__w")).otherwise(""))
     found = F.when(F.col("errors") + F.col("warnings") > 0, F.concat(F.lit("## Issues Found\n\n"), body)).otherwise("## All Checks Passed\n\nNo issues found.\n")
