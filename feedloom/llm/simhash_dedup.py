@@ -7,10 +7,14 @@ of l consecutive segments differs in at most l*r/SEGMENTS bits in all: with
 five segments and r = 4 the first segment is equal and the second differs in
 at most one bit.  So every fingerprint is filed under each (segment, next
 segment) pair as it is, and also under the pairs whose second part has one bit
-changed.  Two linked fingerprints always meet in a file of about 26 bits.
+changed.  Two linked fingerprints always meet in a file of about 26 bits, and
+in one of these files every longer chain keeps its budget too: candidates go as
+soon as two, three or four segments from the file's first differ in more than
+1, 2 or 3 bits, before whole fingerprints are compared.
 Work and shuffle grow with the number of different fingerprints.  In a short
-file all pairs are compared; in a longer one a search over what is not yet
-reached compares whole fingerprints and keeps a spanning forest.
+file all pairs are candidates; in a longer one a search over what is not yet
+reached keeps a spanning forest, and in a very long one it looks only at
+fingerprints whose third segment is within the chain's budget.
 """
 from __future__ import annotations
 
@@ -28,6 +32,8 @@ SEGMENTS = 5
 SEED = 42
 #: In files of more fingerprints a search keeps a spanning forest; in shorter ones all pairs are compared.
 SHORT_FILE = 24
+#: In files of more fingerprints the search looks up third segments.
+LONG_FILE = 8192
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -90,19 +96,75 @@ def filed(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest of the links among the fingerprints of one file."""
-    left = fps
+def chains(radius: int) -> tuple[np.ndarray, list[int]]:
+    """Masks of the first 1 to SEGMENTS segments from each start (start, length), and the budget of each length."""
+    one = [((1 << width) - 1) << low for low, width in _bounds()]
+    masks = [np.bitwise_or.accumulate(np.array([one[(i + k) % SEGMENTS] for k in range(SEGMENTS)], np.uint64)) for i in range(SEGMENTS)]
+    return np.stack(masks), [length * radius // SEGMENTS for length in range(1, SEGMENTS + 1)]
+
+
+def viable(xor: np.ndarray, start: np.ndarray, radius: int) -> np.ndarray:
+    """Places of the pairs, given as differing bits, of which every chain from `start`
+    on keeps its budget; the longest chain is the whole fingerprint."""
+    masks, budgets = chains(radius)
+    at = np.arange(len(xor))
+    for length in range(1, SEGMENTS):
+        at = at[np.bitwise_count(xor[at] & masks[start[at], length]) <= budgets[length]]
+    return at
+
+
+def _flips(bits: int, width: int) -> list[int]:
+    """The numbers of `width` bits of which at most `bits` are set."""
+    flips = {0}
+    for _ in range(bits):
+        flips |= {f ^ (1 << b) for f in flips for b in range(width)}
+    return sorted(flips)
+
+
+def forest(fps: np.ndarray, start: int, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a spanning forest of the links among the fingerprints of one file that
+    keep the budgets of all chains from `start` on.
+
+    What is not yet reached stands by its third segment in very long files, where one
+    segment can't differ in more bits than the chain of three may.
+    """
+    low, width = _bounds()[(start + 2) % SEGMENTS]
+    if len(fps) > LONG_FILE:
+        third = ((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        order = np.argsort(third, kind="stable")
+        values, firsts = np.unique(third[order], return_index=True)
+        left = dict(zip(values.tolist(), np.split(fps[order], firsts[1:])))
+    else:
+        left = {0: fps}
+    flips = _flips(3 * radius // SEGMENTS, width)
+
+    def asked(x):
+        if len(fps) <= LONG_FILE:
+            return [0] if 0 in left else []
+        value = (int(x) >> low) & ((1 << width) - 1)
+        return [value ^ f for f in flips if value ^ f in left]
+
+    def drop(place, keep):
+        if len(keep):
+            left[place] = keep
+        else:
+            del left[place]
+
     out = []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= radius
-            if near.any():
-                reached, left = left[near], left[~near]
-                out.append((np.full(len(reached), x), reached))
-                queue.extend(reached)
+    for place in list(left):
+        while place in left:
+            queue = [left[place][0]]
+            drop(place, left[place][1:])
+            while queue and left:
+                x = queue.pop()
+                for near_place in asked(x):
+                    rows = left[near_place]
+                    near = viable(rows ^ x, np.full(len(rows), start), radius)
+                    if len(near):
+                        reached = rows[near]
+                        drop(near_place, np.delete(rows, near))
+                        out.append((np.full(len(reached), x), reached))
+                        queue.extend(reached)
     return out
 
 
@@ -111,16 +173,17 @@ def links_in_files(key: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     cut = np.flatnonzero(np.diff(key)) + 1
     starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
     sizes = ends - starts
+    first = key >> 40
     src, dst = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for k in range(1, int(min(SHORT_FILE, sizes.max(initial=0)))):  # short files: rows k apart
         which = (sizes > k) & (sizes <= SHORT_FILE)
         many = sizes[which] - k
         at = np.repeat(starts[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        near = np.bitwise_count(fp[at] ^ fp[at + k]) <= radius
-        src.append(fp[at[near]])
-        dst.append(fp[at[near] + k])
+        near = at[viable(fp[at] ^ fp[at + k], first[at], radius)]
+        src.append(fp[near])
+        dst.append(fp[near + k])
     for g in np.flatnonzero(sizes > SHORT_FILE):
-        for a, b in forest(fp[starts[g] : ends[g]], radius):
+        for a, b in forest(fp[starts[g] : ends[g]], int(first[starts[g]]), radius):
             src.append(a)
             dst.append(b)
     a, b = np.concatenate(src).view(np.int64), np.concatenate(dst).view(np.int64)

@@ -252,3 +252,44 @@ def test_near_duplicates_with_clashing_columns(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("id", "fp", "node", "key", "component", "component_id", "fingerprint", "__copy")})
     got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(frame).collect()}
     assert got[1] == got[3] == got[5] == 1
+
+
+def test_chains_from_some_start_keep_their_budgets():
+    """Each pair within the radius passes from some segment on, each other pair from none; segment by segment."""
+    rng = np.random.default_rng(3)
+    for radius in range(5):
+        xor = np.array([sum(1 << int(b) for b in rng.choice(64, k % 7, replace=False)) for k in range(1, 300)], np.uint64)
+        passed = np.zeros(len(xor), bool)
+        for start in range(simhash_dedup.SEGMENTS):
+            at = simhash_dedup.viable(xor, np.full(len(xor), start), radius)
+            passed[at] = True
+            at = set(at.tolist())
+            parts = [simhash_dedup._bounds()[(start + k) % 5] for k in range(5)]
+            for i, x in enumerate(map(int, xor)):
+                sums = np.cumsum([((x >> low) & ((1 << width) - 1)).bit_count() for low, width in parts])
+                # A file stands for the first segment, which is equal there.
+                assert (i in at) == all(sums[k] <= (k + 1) * radius // 5 for k in range(1, 5))
+        assert (passed == (np.bitwise_count(xor) <= radius)).all()
+
+
+def test_very_long_files_have_the_same_groups(monkeypatch):
+    """Third segments looked up or not, a file's forest reaches what its links reach."""
+    rng = np.random.default_rng(4)
+    low, width = simhash_dedup._bounds()[1]
+    bases = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    flips = np.array([0, *(1 << b for b in range(64) if not low <= b < low + width)], np.uint64)
+    fps = np.unique(bases[rng.integers(0, 8, 150)] ^ flips[rng.integers(0, len(flips), 150)] ^ flips[rng.integers(0, len(flips), 150)])
+
+    def groups(edges):
+        of = {int(f): int(f) for f in fps}
+        for a, b in edges:
+            a, b = sorted((of[int(a)], of[int(b)]))
+            of = {f: a if g == b else g for f, g in of.items()}
+        return of
+
+    links = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if len(simhash_dedup.viable(np.array([a ^ b]), np.array([1]), 4))]
+    want = groups(links)
+    for limit in (10**6, 10):
+        monkeypatch.setattr(simhash_dedup, "LONG_FILE", limit)
+        edges = [(x, y) for a, b in simhash_dedup.forest(fps, 1, 4) for x, y in zip(a, b)]
+        assert groups(edges) == want and len(edges) == len(fps) - len(set(want.values()))
