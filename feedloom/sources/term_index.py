@@ -7,8 +7,10 @@ their frequencies and lengths, and the block's maximum: the highest frequency an
 the least length, which bound the score of the block's documents whatever the
 average length is by then.  Rows stand in folders by the hash of their term, in
 order of the term, so a query reads the rows of its terms.  Lengths of documents
-are a narrow table.  Both only grow: an append adds a folder, and counts add up
-when they are read.
+are a narrow table, and each group's documents and tokens of a day are added up
+beside it, so the average length of a window takes a row a day and the documents
+of the day that it begins in.  All of these only grow: an append adds a folder,
+and counts add up when they are read.
 """
 from __future__ import annotations
 
@@ -48,6 +50,49 @@ def _counted(id_type: str):
     return run, schema
 
 
+def _blocks(id_type: str):
+    """Rows that are sorted by part, term and block, as a row a term and block."""
+    schema = f"part int, term string, `group` string, day int, shard int, docs array<struct<id: {id_type}, at: bigint, tf: int, dl: int>>, n long, most int, least int, first_at long, last_at long"
+
+    def starts(rows):
+        change = np.zeros(rows.num_rows, bool)
+        change[:1] = True
+        for name in ("part", "term", *BLOCK):
+            column = rows.column(name).combine_chunks()
+            codes = np.asarray(column.dictionary_encode().indices if pa.types.is_string(column.type) else column)
+            change[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(change)
+
+    def made(rows, first):
+        columns = {name: rows.column(name).combine_chunks() for name in rows.column_names}
+        heads = pa.array(first)
+        docs = pa.StructArray.from_arrays([columns[name] for name in ("id", "at", "tf", "dl")], names=["id", "at", "tf", "dl"])
+        ends = np.append(first, rows.num_rows)
+        tf, dl, at = (np.asarray(columns[name]) for name in ("tf", "dl", "at"))
+        out = {name: columns[name].take(heads) for name in ("part", "term", *BLOCK)}
+        out["docs"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), docs)
+        out["n"] = pa.array(np.diff(ends))
+        for name, least, values in (("most", np.maximum, tf), ("least", np.minimum, dl), ("first_at", np.minimum, at), ("last_at", np.maximum, at)):
+            out[name] = pa.array(least.reduceat(values, first))
+        return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    def run(batches):
+        held = None  # the rows of the last block so far
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            rows = now if held is None else pa.concat_tables([held, now])
+            if rows.num_rows == 0:
+                continue
+            first = starts(rows)
+            if len(first) > 1:
+                yield made(rows.slice(0, first[-1]), first[:-1])
+            held = rows.slice(first[-1])
+        if held is not None:
+            yield made(held, np.array([0]))
+
+    return run, schema
+
+
 class TermIndex:
     """BM25 from postings: whole score tables, and the best k of each group without
     the blocks that can't have one of them."""
@@ -55,6 +100,12 @@ class TermIndex:
     def __init__(self, spark: SparkSession, path: str, parts: int = 64, spread: int = 4, block_docs: int = 1024, k1: float = config.K1, b: float = config.B) -> None:
         self.spark, self.path, self.parts, self.spread, self.block_docs, self.k1, self.b = spark, path.rstrip("/"), parts, spread, block_docs, k1, b
         self.versions = Versions(spark, f"{self.path}/versions")
+        self._kept: list[DataFrame] = []
+
+    def release(self) -> None:
+        """Free the block maxima that top() keeps in memory, or on disk, for its result."""
+        while self._kept:
+            self._kept.pop().unpersist()
 
     def _part(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.parts)).cast("int")
@@ -74,14 +125,18 @@ class TermIndex:
         # A common term's blocks are spread over several tasks; a block of a term is in one.
         counted = counted.withColumn("salt", F.pmod(F.xxhash64(*BLOCK), F.lit(self.spread)).cast("int"))
         dealt = counted.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "part", "salt")
-        postings = dealt.groupBy("part", "salt", "term", *BLOCK).agg(
-            F.collect_list(F.struct("id", "at", "tf", "dl")).alias("docs"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+        packed, columns = _blocks(rows.schema[key].dataType.simpleString())
+        postings = dealt.sortWithinPartitions("part", "term", *BLOCK).select("part", "term", *BLOCK, "id", "at", "tf", "dl").mapInArrow(packed, columns)
         folder = uuid.uuid4().hex
-        postings.drop("salt").sortWithinPartitions("part", "term", *BLOCK).write.partitionBy("part").option("parquet.block.size", 4 << 20).parquet(f"{self.path}/{folder}/postings")
-        docs.select("id", "group", "at", "dl").sortWithinPartitions("at").write.parquet(f"{self.path}/{folder}/documents")
+        postings.sortWithinPartitions("part", "term", *BLOCK).write.partitionBy("part").option("parquet.block.size", 4 << 20).parquet(f"{self.path}/{folder}/postings")
+        lengths = docs.select("id", "group", "at", "dl")
+        lengths.sortWithinPartitions("at").write.parquet(f"{self.path}/{folder}/documents")
+        read = self.spark.read.schema(lengths.schema).parquet(f"{self.path}/{folder}/documents")
+        daily = read.groupBy("group", F.floor(F.col("at") / DAY).cast("int").alias("day")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("dl").cast("long")).alias("tokens"))
+        daily.write.parquet(f"{self.path}/{folder}/days")
         number, manifest = self.versions.latest()
         folders = manifest["folders"] if manifest else []
-        fields = {"documents": docs.select("id", "group", "at", "dl").schema.jsonValue(), "postings": postings.drop("salt").schema.jsonValue()}
+        fields = {"documents": lengths.schema.jsonValue(), "postings": postings.schema.jsonValue(), "days": daily.schema.jsonValue()}
         self.versions.commit(number + 1, {"folders": [*folders, folder], **fields})
 
     def _read(self, name: str) -> DataFrame:
@@ -100,6 +155,16 @@ class TermIndex:
         rows = self._read("documents")
         return rows if since is None else rows.where(F.col("at") >= since)
 
+    def stats(self, since: int | None = None) -> DataFrame:
+        """(group, all_docs, avgdl) of the documents from `since` on: sums of whole days,
+        and the documents of the day that holds `since`."""
+        days = self._read("days")
+        if since is not None:
+            edge = since // DAY + 1
+            own = self.documents(since).where(F.col("at") < edge * DAY)
+            days = days.where(F.col("day") >= edge).select("group", "docs", "tokens").unionByName(own.select("group", F.lit(1).cast("long").alias("docs"), F.col("dl").cast("long").alias("tokens")))
+        return days.groupBy("group").agg(F.sum("docs").alias("all_docs"), (F.sum("tokens") / F.sum("docs")).alias("avgdl"))
+
     def postings(self, terms: Sequence[str], since: int | None = None) -> DataFrame:
         """The rows of some terms; only their folders and row groups are read."""
         manifest = self.versions.latest()[1]
@@ -127,8 +192,7 @@ class TermIndex:
 
     def _weights(self, asked: DataFrame, df: DataFrame, since: int | None) -> DataFrame:
         """(group, term, weight, avgdl): what a term counts in a group; a row each."""
-        stats = self.documents(since).groupBy("group").agg(F.count(F.lit(1)).alias("all_docs"), F.avg("dl").alias("avgdl"))
-        rows = asked.join(stats, "group").join(df, ["group", "term"])
+        rows = asked.join(self.stats(since), "group").join(df, ["group", "term"])
         idf = F.ln((F.col("all_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         return rows.select("group", "term", (idf * F.col("times")).alias("weight"), "avgdl")
 
@@ -165,6 +229,8 @@ class TermIndex:
         if since is not None:
             cut = rows.where(F.col("first_at") < since).select(*BLOCK, "term", F.size(F.filter("docs", lambda d: d["at"] >= since)).cast("long").alias("n"), "most", "least", "first_at")
             heads = heads.where(F.col("first_at") >= since).unionByName(cut)
+        heads = heads.persist()  # a row a term and block, read for the frequencies and for the bounds
+        self._kept.append(heads)
         df = heads.groupBy("group", "term").agg(F.sum("n").alias("df"))
         weights = self._weights(asked, df, since)
         # A row a group and term: worked out once, for the bounds and for the scores.
@@ -176,10 +242,10 @@ class TermIndex:
         """(group, id, bm25_raw): the best k of each group with a positive score.
 
         Blocks of the highest bounds that have k documents give the k-th best score so
-        far; then only blocks whose bound reaches it are read."""
+        far; then only blocks whose bound reaches it are read.  release() frees what the
+        result keeps cached, once it has been read."""
         different, _ = self._asked(terms, None)
         bound, weights = self.bounds(terms, since)
-        bound = bound.persist()
         order = Window.partitionBy("group").orderBy(F.desc("bound"), "day", "shard").rowsBetween(Window.unboundedPreceding, -1)
         # Of each group the first blocks, at most k (each has a document).
         first = bound.where("n > 0").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < k)
