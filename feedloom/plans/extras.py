@@ -154,7 +154,7 @@ def period_resolution(spark, d):
 SELECT o_orderkey, coalesce(greatest(1, least(50, asked)), 10) AS items, coalesce(greatest(1, least(100, asked)), 10) AS search, coalesce(greatest(1, least(20, asked)), 5) AS ask FROM o""")
 def clamp_limit(spark, d):
     """Limits that requests ask for, or don't; a request an order."""
-    asked = F.when(F.col("o_orderkey") % 7 > 0, F.round(F.col("o_totalprice") / 1000).cast("int") - 60)
+    asked = F.when(F.col("o_orderkey") % 7 > 0, F.rint(F.col("o_totalprice") / 1000).cast("int") - 60)  # halves to the even number, as SQL casts round
     rows = read(spark, d, "orders").select("o_orderkey", asked.alias("asked"))
     return rows.select("o_orderkey", *[clamped(F.col("asked"), 1, most, default).alias(name) for name, most, default in (("items", 50, 10), ("search", 100, 10), ("ask", 20, 5))])
 

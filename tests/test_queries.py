@@ -48,3 +48,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["category", "position", "id", "source_title", "reason", "final"]
     assert set(registry.ORACLE_SQL) <= set(entry.queries())
+
+
+def test_halves_of_limits(spark, tmp_path):
+    """Prices on a half, which SQL rounds to the even number."""
+    made = [(n, n % 5 * 0.01 + 50_500.0 + 1000.0 * n) for n in range(1, 120)] + [(n, 50_500.0 + 1000.0 * (n % 100)) for n in range(120, 330)] + [(400, None)]
+    path = str(tmp_path)
+    spark.createDataFrame(made, "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(f"{path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS FROM read_parquet('{path}/orders.parquet/*.parquet')")
+    assert rows_of(registry.QUERIES["clamp_limit"](spark, path).toPandas()) == rows_of(con.sql(registry.ORACLE_SQL["clamp_limit"]).df())
