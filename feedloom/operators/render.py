@@ -1,7 +1,7 @@
 """Digests as Markdown and HTML: one text for each issue."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import config
@@ -16,15 +16,11 @@ def escaped(text: Column | str) -> Column:
     return out
 
 
-#: Digests that an issue can be asked to have.
-MOST = 50
-
-
-def newsletter(digests: DataFrame, key: str, title: str, html: bool = False, most: int = MOST) -> DataFrame:
-    """(key, body): an issue's best `most` digests by category, in the fixed order of
-    categories.  Takes key, category, relevance, title, url, source_title, gist and
-    key_bullets.  Worse digests go before the shuffle, so an issue is a row of
-    bounded size however many digests there are."""
+def newsletter(digests: DataFrame, key: str, title: str, html: bool = False) -> DataFrame:
+    """(key, body): all digests of an issue by category, in the fixed order of
+    categories, the best first.  Takes key, category, relevance, title, url,
+    source_title, gist and key_bullets.  An issue is one row, so its size follows
+    the digests that the caller has put into it."""
     place = F.create_map(*[x for k, c in enumerate(config.DIGEST_ORDER) for x in (F.lit(c), F.lit(k))])
     label = F.create_map(*[F.lit(x) for pair in config.DIGEST_LABEL.items() for x in pair])
     name = F.coalesce(F.element_at(label, F.col("category")), F.initcap(F.replace(F.col("category"), F.lit("_"), F.lit(" "))))
@@ -41,8 +37,6 @@ def newsletter(digests: DataFrame, key: str, title: str, html: bool = False, mos
         section = lambda x: F.concat(F.lit("## "), x["name"], F.lit("\n\n"), x["body"])
         head = f"# {title}\n\n"
     rows = digests.select(key, F.coalesce(F.element_at(place, F.col("category")), F.lit(99)).alias("p"), name.alias("name"), (-F.col("relevance")).alias("r"), "title", entry.alias("entry"))
-    best = F.row_number().over(Window.partitionBy(key).orderBy("r", "title", "entry"))
-    rows = rows.withColumn("k", best).where(F.col("k") <= most).drop("k")
     rows = rows.groupBy(key, "p", "name").agg(F.array_sort(F.collect_list(F.struct("r", "title", "entry"))).alias("entries"))
     rows = rows.select(key, F.struct("p", "name", F.array_join(F.transform("entries", lambda e: e["entry"]), "").alias("body")).alias("s"))
     rows = rows.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("sections"))

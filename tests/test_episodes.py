@@ -128,3 +128,15 @@ def test_turns_by_a_plain_scan():
             else:
                 want.append((s, t))
         assert chunks.turns_of(text) == want
+
+
+def test_an_issue_has_all_its_digests(spark):
+    """More digests than fifty, of one category and of two."""
+    from feedloom.operators import render
+
+    made = [("i", "research" if n % 2 else "podcasts", n % 7, f"t{n:03d}", "u", "s", "g", ["b"]) for n in range(130)]
+    rows = spark.createDataFrame(made, "issue string, category string, relevance long, title string, url string, source_title string, gist string, key_bullets array<string>")
+    for html, mark in ((False, r"### \[(t\d+)\]"), (True, r">(t\d+)</a>")):
+        body = render.newsletter(rows, "issue", "Weekly", html=html).first().body
+        want = sorted(made, key=lambda r: (r[1] == "podcasts", -r[2], r[3]))
+        assert re.findall(mark, body) == [r[3] for r in want]
