@@ -79,3 +79,24 @@ def test_rows_that_repeat_an_id(spark):
     twice = near_copies.keep_one(spark.createDataFrame([(5, "a b c d e f", "en", "s", 1)] * 3 + [(6, "a b c d e f", "en", "s", 1)], SCHEMA)).collect()
     assert [(r.doc_id, r.text) for r in twice] == [(5, "a b c d e f")]
     assert near_copies.keep_one(frame.limit(0)).count() == 0
+
+
+def test_stage_takes_simhash_links(spark, monkeypatch):
+    """Without the exact search, fingerprints alone show a near copy; a pair that is linked but under 0.8 stays."""
+    from feedloom.llm import simhash_dedup
+
+    rng = random.Random(9)
+
+    def linked(n, edits, fits):
+        while True:
+            base = prose(rng, n)
+            near = edited(rng, base, edits)
+            apart = simhash_dedup.fingerprint(" ".join(base).encode()) ^ simhash_dedup.fingerprint(" ".join(near).encode())
+            if fits(jaccard(base, near)) and apart.bit_count() <= 4:
+                return [base, near]
+
+    words = linked(120, 1, lambda j: 0.8 <= j < 1) + linked(40, 3, lambda j: j < 0.8) + [prose(rng, 40)]
+    none = spark.createDataFrame([], "kind int, a long, b long, n int, rest int")
+    monkeypatch.setattr(near_copies, "first_pairs", lambda nodes: none)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame(spark, words), "").collect())
+    assert got == wanted(words) == [0, 2, 3, 4]
