@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.chunks import short_batches
+
 # Urls and titles that are no articles.
 BAD_URL = (
     r"/newsletters?(?:[/?#]|$)", r"/issues?(?:[/?#]|$)", r"/archive(?:[/?#]|$)",
@@ -119,6 +121,8 @@ def decompose(items: DataFrame, newsletters: Sequence[str], html: str = "summary
     url and unchanged scores; one without any stays as it is.
     """
 
+    short_batches()
+
     @F.pandas_udf("array<struct<title:string,url:string>>")
     def found(texts: pd.Series) -> pd.Series:
         finder = Finder(aggregators)

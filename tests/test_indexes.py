@@ -218,3 +218,16 @@ def test_recall_on_the_tables(spark):
     assert set(found) == {ids[q] for q in asked}
     hits = sum(len(found[ids[q]] & set(ids[np.lexsort((ids, -np.round(unit @ unit[q], 9)))[:10]])) for q in asked)
     assert hits / (10 * len(asked)) >= 0.9
+
+
+def test_batches_of_texts_are_bounded(spark):
+    from feedloom.functions import chunks
+    from feedloom.operators.decompose import decompose
+
+    rows = spark.createDataFrame([], "id string, source_title string, title string, url string, summary string, bm25 double, final double")
+    for made in (chunks.chunk_sentences, chunks.chunk_speech, chunks.speaker_turns, lambda: decompose(rows, ["x"])):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        made()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= chunks.BATCH_ROWS
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= chunks.BATCH_BYTES
