@@ -91,6 +91,12 @@ def bucket_of(key: Sequence[str], buckets: int) -> Column:
     return F.when(wide < buckets, wide).otherwise(wide - half).cast("int")
 
 
+def row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row has: its texts, and eight for each other column."""
+    long = [f.name for f in schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    return sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c in long), F.lit(8 * (len(schema) - len(long))).cast("long"))
+
+
 def split_from(old: int, new: int) -> set[int]:
     """Buckets of `old` that lose keys when there are `new`."""
     out = set()
@@ -111,9 +117,9 @@ class SnapshotTable:
     So what a batch reads and writes follows the batch.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str] = ("id",), bucket_rows: int = 1 << 20, most_files: int = 8) -> None:
+    def __init__(self, spark: SparkSession, path: str, key: Sequence[str] = ("id",), bucket_rows: int = 1 << 20, most_files: int = 8, bucket_bytes: int = 64 << 20) -> None:
         self.spark, self.path, self.key = spark, path.rstrip("/"), list(key)
-        self.bucket_rows, self.most_files = bucket_rows, most_files
+        self.bucket_rows, self.most_files, self.bucket_bytes = bucket_rows, most_files, bucket_bytes
         self.versions = Versions(spark, f"{self.path}/versions")
         #: Files that the last write took away, files it made, and buckets after it.
         self.last = {"retired": 0, "made": 0, "buckets": 0}
@@ -208,12 +214,15 @@ class SnapshotTable:
         number, manifest = begun
         schema, old_buckets = self._schema(manifest), manifest["buckets"]
         # A row for each bucket that the batch falls into.
-        touched = {r[0]: r[1] for r in rows.groupBy(bucket_of(self.key, old_buckets)).agg(F.count(F.lit(1))).collect()}
+        found = rows.groupBy(bucket_of(self.key, old_buckets)).agg(F.count(F.lit(1)), F.sum(row_bytes(table_rows.schema))).collect()
+        touched = {r[0]: r[1] for r in found}
         if not touched:
             if state is not None:
                 self._commit(number, manifest, set(), [], writer, batch, state)
             return state is not None
-        buckets = max(old_buckets, -(-(manifest["rows"] + sum(touched.values())) // self.bucket_rows))
+        size = max(1, sum(r[2] for r in found) // sum(touched.values()))
+        most = max(1, min(self.bucket_rows, self.bucket_bytes // size))
+        buckets = max(old_buckets, -(-(manifest["rows"] + sum(touched.values())) // most))
         parted = split_from(old_buckets, buckets)
         of: dict[int, list[str]] = {}
         for bucket, name, _ in manifest["files"]:

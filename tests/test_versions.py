@@ -121,3 +121,14 @@ def test_ratings(spark):
     assert ratings.source_factors(spark.createDataFrame([("f",)], "stream_id string")).first().factor == 1.0
     rows = spark.createDataFrame([("s", "T", "https://H.com:8/x", ["RESEARCH", "x"]), ("t", "U", None, [])], "stream_id string, title string, html_url string, labels array<string>")
     assert sorted(map(tuple, feeds_of(rows, {"research": "research"}).collect())) == [("s", "T", "research", ["RESEARCH", "x"], "h.com"), ("t", "U", "newsletters", [], None)]
+
+
+def test_long_rows_are_dealt_into_more_buckets(spark, tmp_path):
+    """A bucket has a bound in bytes, so no task writes a whole table of long texts."""
+    table = SnapshotTable(spark, f"{tmp_path}/long", bucket_bytes=1 << 16)
+    rows = spark.range(400).select(F.col("id"), F.repeat(F.lit("x"), 2000).alias("text"), F.lit(1).alias("seq"))
+    for _ in range(2):  # a replay changes no row
+        table.upsert(rows, "seq")
+        files = table.versions.latest()[1]["files"]
+        assert len({bucket for bucket, _, _ in files}) >= 8 and max(n for _, _, n in files) <= 100
+        assert sorted(r.id for r in table.read().collect()) == list(range(400))
