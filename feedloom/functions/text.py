@@ -179,16 +179,28 @@ def transcript_hash(text: Column | str, provider: str, voice: str, fmt: str) ->
 # -- reviews ----------------------------------------------------------------------
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def found_words(lower: Column, words: Sequence[str]) -> Column:
+    """All whole-word occurrences of words of ASCII letters, found in one pass; null is none."""
+    pattern = f"(?<![A-Za-z0-9_])(?:{'|'.join(words)})(?![A-Za-z0-9_])"
+    return F.coalesce(F.regexp_extract_all(lower, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+
+
 def ai_language_issues(text: Column | str) -> Column:
     """Array of issues: overused words with counts, and two phrase patterns."""
-    lower = F.lower(col(text))
-    found = []
-    for word in config.AI_WORDS:
-        n = word_occurrences(lower, word)
-        found.append(F.when(n > 0, F.concat(F.lit(f'Overused AI word: "{word}" ('), n.cast("string"), F.lit("x)"))))
-    found.append(F.when(col(text).rlike(config.INANIMATE), F.lit("Possible inanimate subject doing human action")))
-    found.append(F.when(col(text).rlike(config.PREAMBLE), F.lit("Corporate preamble pattern detected")))
-    return F.array_compact(F.array(*found))
+
+    def used(found: Column, word: str) -> Column:
+        n = F.size(F.filter(found, lambda t: t == word))
+        return once(n, lambda n: F.when(n > 0, F.concat(F.lit(f'Overused AI word: "{word}" ('), n.cast("string"), F.lit("x)"))))
+
+    words = once(found_words(F.lower(col(text)), config.AI_WORDS), lambda found: F.array(*[used(found, w) for w in config.AI_WORDS]))
+    inanimate = F.when(col(text).rlike(config.INANIMATE), F.lit("Possible inanimate subject doing human action"))
+    preamble = F.when(col(text).rlike(config.PREAMBLE), F.lit("Corporate preamble pattern detected"))
+    return F.array_compact(F.concat(words, F.array(inanimate, preamble)))
 
 
 def bias_issues(text: Column | str, product: str | None = None) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import config
-from feedloom.functions.text import ai_language_issues, bias_issues, half_up, hits, strip_html
+from feedloom.functions.text import ai_language_issues, bias_issues, half_up, hits, once, strip_html
 from feedloom.functions.urls import bad_podcast_url, bad_review_url, excluded_item, is_web, site_name, valid_url
 from feedloom.operators.decompose import decompose
 
@@ -88,14 +88,16 @@ def _reported(found: Sequence[Column]) -> Column:
 def review(digests: DataFrame, product: str | None = None) -> DataFrame:
     """`digests` with `issues` (bad url, language of gist and of why it matters, bias,
     the first bad bullet) and `passed`."""
-    said = lambda c, title: F.when(F.size(ai_language_issues(c)) > 0, F.concat(F.lit(f"{title} has AI language: "), F.array_join(ai_language_issues(c), "; ")))
-    bias = bias_issues("why_it_matters", product)
+    def joined(found: Column, head: str) -> Column:
+        return once(found, lambda x: F.when(F.size(x) > 0, F.concat(F.lit(head), F.array_join(x, "; "))))
+
+    said = lambda c, title: joined(ai_language_issues(c), f"{title} has AI language: ")
     bullet = F.get(F.filter("key_bullets", lambda b: F.size(ai_language_issues(b)) > 0), F.lit(0))
     issues = _reported([
         F.when(bad_review_url("url"), F.concat(F.lit("Bad URL domain/pattern: "), F.coalesce("url", F.lit("")))),
         said(F.coalesce("gist", F.lit("")), "Gist"), said(F.coalesce("why_it_matters", F.lit("")), "Why It Matters"),
-        F.when(F.size(bias) > 0, F.concat(F.lit("Why It Matters: "), F.array_join(bias, "; "))),
-        F.when(bullet.isNotNull(), F.concat(F.lit("Key bullet has AI language: "), F.substring(bullet, 1, 50), F.lit("..."))),
+        joined(bias_issues("why_it_matters", product), "Why It Matters: "),
+        once(bullet, lambda b: F.when(b.isNotNull(), F.concat(F.lit("Key bullet has AI language: "), F.substring(b, 1, 50), F.lit("...")))),
     ])
     return digests.withColumn("issues", issues).withColumn("passed", F.size("issues") == 0)
 
