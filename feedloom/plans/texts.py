@@ -260,7 +260,7 @@ PREAMBLE_SQL = "regexp_matches(any_value(t), '^(This|The|Research|Studies?)\\s+(
 @query(MADE_TEXT + f""", w AS (SELECT unnest({AI_WORDS_SQL}) AS word), c AS (SELECT doc_id, t, word, len(regexp_extract_all(lower(t), '\\b' || word || '\\b')) AS n FROM m, w)
 SELECT doc_id, sum(n)::BIGINT AS words, (count(*) FILTER (WHERE n > 0) + CASE WHEN {INANIMATE_SQL} THEN 1 ELSE 0 END + CASE WHEN {PREAMBLE_SQL} THEN 1 ELSE 0 END)::INTEGER AS issues FROM c GROUP BY doc_id""")
 def ai_language_review(spark, d):
-    words = text.add([text.word_occurrences(F.lower("t"), w) for w in config.AI_WORDS])
+    words = F.size(text.found_words(F.lower("t"), config.AI_WORDS))
     rows = spread(read(spark, d, "documents")).select("doc_id", _made_text().alias("t"))
     return rows.select("doc_id", words.cast("long").alias("words"), F.size(text.ai_language_issues("t")).alias("issues"))
 

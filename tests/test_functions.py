@@ -210,3 +210,15 @@ def test_decompose(spark):
     assert round(got["n-article-1"].bm25, 6) == 0.76 and round(got["n-article-1"].final, 6) == 0.81
     assert got["o"].title == "t" and got["e"].url == "u"
     assert (got["s"].title, got["s"].final) == ("Only one", 0.9)
+
+
+def test_words_of_reviews_are_found_in_one_pass(spark):
+    """One pattern for all words, with the counts that a pass for each word gives."""
+    rng = random.Random(3)
+    parts = [*config.AI_WORDS, "delves", "un-delve", "_explore", "é", "shapes.", "Landscape"]
+    rows = spark.createDataFrame([(k, " ".join(rng.choice(parts) for _ in range(40)) if k else None) for k in range(20)], "id long, v string")
+    each = text.add([text.word_occurrences(F.lower("v"), w) for w in config.AI_WORDS])
+    got = rows.select(F.size(text.found_words(F.lower("v"), config.AI_WORDS)), each).collect()
+    assert all(a == b for a, b in got) and got[1][0] > 5
+    plan = rows.select(text.ai_language_issues("v").alias("i"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("?<![A-Za-z0-9_]") == 1
