@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import config
-from feedloom.functions.text import add, col, contains, half_up, hits, text_of
+from feedloom.functions.text import add, col, contains, half_up, hits, once, text_of
 from feedloom.operators.analytics import beside
 
 DAY = 86_400
@@ -134,21 +134,28 @@ def llm_composite(relevance: Column | str, usefulness: Column | str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), col(relevance) * 0.7 + col(usefulness) * 0.3))
 
 
+def heuristic_score(text: Column, groups: dict[str, Sequence[str]] = config.HEURISTIC_GROUPS, off_topic: Sequence[str] = config.OFF_TOPIC) -> Column:
+    """A struct of relevance, usefulness and tags from keyword groups; a word is looked for once a text."""
+
+    def made(n: Column) -> Column:
+        boosts = {tag: F.least(n[k] * F.lit(0.5), F.lit(2.0)) for k, tag in enumerate(groups)}
+        relevance, usefulness = F.lit(5.0), F.lit(5.0)
+        for boost in boosts.values():
+            relevance, usefulness = F.least(F.lit(10.0), relevance + boost), F.least(F.lit(10.0), usefulness + boost * 0.8)
+        on = add([F.when(b > 0, 1).otherwise(0) for b in boosts.values()]) > 0
+        off = (n[len(groups)] > 0) & ~on
+        tags = F.array_compact(F.array(*[F.when(b > 0, F.lit(tag)) for tag, b in boosts.items()], F.when(off, F.lit("off-topic"))))
+        final = F.when(off, F.greatest(F.lit(0.0), relevance - 3)).otherwise(relevance)
+        return F.struct(half_up(final, 1).alias("relevance"), half_up(usefulness, 1).alias("usefulness"), tags.alias("tags"))
+
+    counts = once(F.lower(text), lambda lower: F.array(*[hits(lower, words) for words in [*groups.values(), off_topic]]))
+    return once(counts, made)
+
+
 def heuristic_scores(text: Column, groups: dict[str, Sequence[str]] = config.HEURISTIC_GROUPS, off_topic: Sequence[str] = config.OFF_TOPIC) -> dict[str, Column]:
-    """relevance, usefulness and tags from keyword groups."""
-    lower = F.lower(text)
-    boosts = {tag: F.least(hits(lower, words) * F.lit(0.5), F.lit(2.0)) for tag, words in groups.items()}
-    relevance, usefulness = F.lit(5.0), F.lit(5.0)
-    for boost in boosts.values():
-        relevance, usefulness = F.least(F.lit(10.0), relevance + boost), F.least(F.lit(10.0), usefulness + boost * 0.8)
-    on = add([F.when(b > 0, 1).otherwise(0) for b in boosts.values()]) > 0
-    off = (hits(lower, off_topic) > 0) & ~on
-    tags = F.array_compact(F.array(*[F.when(b > 0, F.lit(tag)) for tag, b in boosts.items()], F.when(off, F.lit("off-topic"))))
-    return {
-        "relevance": half_up(F.when(off, F.greatest(F.lit(0.0), relevance - 3)).otherwise(relevance), 1),
-        "usefulness": half_up(usefulness, 1),
-        "tags": tags,
-    }
+    """relevance, usefulness and tags of heuristic_score(), a column each."""
+    found = heuristic_score(text, groups, off_topic)
+    return {name: found[name] for name in ("relevance", "usefulness", "tags")}
 
 
 def first_scores(scores: DataFrame, key: str = "item_id", at: str = "scored_at") -> DataFrame:

@@ -89,9 +89,8 @@ SELECT id, floor((CASE WHEN o > 0 AND n = 0 THEN 2 ELSE least(10, 5 + b) END) *
 
 @query(_heuristic_sql(), "items")
 def heuristic_llm_score(spark, d):
-    rows = text_items(spark, d)
-    found = ranking.heuristic_scores(text_of("title", "summary"))
-    return rows.select("id", found["relevance"].alias("relevance"), found["usefulness"].alias("usefulness"), F.array_join(F.array_sort(found["tags"]), ",").alias("tags"))
+    rows = text_items(spark, d).select("id", ranking.heuristic_score(text_of("title", "summary")).alias("found"))
+    return rows.select("id", "found.relevance", "found.usefulness", F.array_join(F.array_sort("found.tags"), ",").alias("tags"))
 
 
 @query("SELECT item_id, scored_at, round(least(10, greatest(0, 0.7 * relevance + 0.3 * usefulness)), 6)::DOUBLE AS llm FROM scores", "scores")

@@ -222,3 +222,11 @@ def test_words_of_reviews_are_found_in_one_pass(spark):
     assert all(a == b for a, b in got) and got[1][0] > 5
     plan = rows.select(text.ai_language_issues("v").alias("i"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("?<![A-Za-z0-9_]") == 1
+
+
+def test_heuristic_score_looks_for_a_word_once(spark):
+    rows = spark.createDataFrame([("code search of a codebase",), ("sales of sports",), (None,)], "v string")
+    got = [tuple(r.h) for r in rows.select(ranking.heuristic_score(F.col("v")).alias("h")).collect()]
+    assert got[1] == (2.0, 5.0, ["off-topic"]) and got[0][0] == 6.0 and "code-search" in got[0][2] and got[2][0] == 5.0
+    plan = rows.select(ranking.heuristic_score(F.col("v")).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sports") == 1
