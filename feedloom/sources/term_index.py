@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions import config
+from feedloom.functions.chunks import short_batches
 from feedloom.functions.text import tokens
 from feedloom.sources.versions import Versions
 
 DAY = 86_400
 BLOCK = ["group", "day", "shard"]
+#: Documents whose tokens are counted at once.
+COUNTED = 256
 
 
 def _counted(id_type: str):
@@ -37,7 +40,7 @@ def _counted(id_type: str):
     schema = f"id {id_type}, `group` string, at long, day int, shard int, dl int, term string, tf int"
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, COUNTED) for b in batches for lo in range(0, b.num_rows, COUNTED)):
             lists = batch.column(batch.num_columns - 1)
             coded = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()).dictionary_encode()
             row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
@@ -120,6 +123,7 @@ class TermIndex:
         docs = rows.select(F.col(key).alias("id"), group.alias("group"), at.cast("long").alias("at"), days.alias("day"), tokens(text).alias("t"))
         docs = docs.join(F.broadcast(sizes), ["group", "day"])
         docs = docs.select("id", "group", "at", "day", F.pmod(F.xxhash64("id"), "shards").cast("int").alias("shard"), F.size("t").alias("dl"), "t")
+        short_batches(10_000)  # a row holds the tokens of a whole text, and later a posting
         run, schema = _counted(rows.schema[key].dataType.simpleString())
         counted = docs.mapInArrow(run, schema).withColumn("part", self._part(F.col("term")))
         # A common term's blocks are spread over several tasks; a block of a term is in one.

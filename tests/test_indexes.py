@@ -220,6 +220,26 @@ def test_recall_on_the_tables(spark):
     assert hits / (10 * len(asked)) >= 0.9
 
 
+def test_tokens_are_counted_in_portions():
+    """A batch of many documents comes back as several small ones, with the same counts."""
+    import pyarrow as pa
+
+    from feedloom.sources import term_index
+
+    n = 2 * term_index.COUNTED + 7
+    ids, ones = pa.array(range(n)), pa.array([1] * n)
+    lists = pa.array([["a", "b", "a", f"w{k % 3}"][: k % 5] for k in range(n)])
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(["g"] * n), ones, ones, ones, pa.array([k % 5 for k in range(n)]), lists], names=["id", "group", "at", "day", "shard", "dl", "t"])
+    out = list(term_index._counted("long")[0](iter([batch])))
+    assert max(len(set(b.column(0).to_pylist())) for b in out) <= term_index.COUNTED and len(out) == 3
+    got = {(r["id"], r["term"]): r["tf"] for b in out for r in b.to_pylist()}
+    want = {}
+    for k, words in enumerate(lists.to_pylist()):
+        for w in words:
+            want[k, w] = want.get((k, w), 0) + 1
+    assert got == want
+
+
 def test_batches_of_texts_are_bounded(spark):
     from feedloom.functions import chunks
     from feedloom.operators.decompose import decompose
