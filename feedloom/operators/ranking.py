@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import config
 from feedloom.functions.text import add, col, contains, half_up, hits, once, text_of
 from feedloom.operators.analytics import beside
+from feedloom.sources.places import written
 
 DAY = 86_400
 
@@ -225,7 +226,9 @@ def with_rank(rows: DataFrame, score: str = "final", group: Sequence[str] = ("ca
         order = Window.partitionBy(*group).orderBy(place.desc_nulls_last(), *ties)
         return rows.withColumn(out, F.row_number().over(order).cast("long"))
     marks = F.array(*[F.lit(k / spread) for k in range(1, spread)])
-    ends = rows.groupBy(*group).agg(F.percentile_approx(place, marks, F.lit(10_000)).alias("__ends"))
+    # Approximate ends depend on the order in which partial results arrive, and two
+    # parts of the plan read them: they are written once, so that both have the same.
+    ends = written(rows.groupBy(*group).agg(F.percentile_approx(place, marks, F.lit(10_000)).alias("__ends")), "ends")
     cut = beside(rows, ends, group)
     own = F.size(F.filter(F.coalesce("__ends", F.array().cast("array<double>")), lambda end: end > place))
     cut = cut.withColumn("__range", F.when(place.isNull(), spread).otherwise(own)).drop("__ends")

@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
 def new_place(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a place of its own and read again, so that all that reads it
+    has the same rows, also where making them anew could give others."""
+    path = new_place(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -91,6 +91,20 @@ def test_ranks_in_ranges_equal_ranks_at_once(spark):
     assert {r.id for r in ranking.with_rank(rows, most=3).collect()} == {i for i, k in plain.items() if k <= 3}
 
 
+def test_ranks_do_not_depend_on_how_often_ends_are_made(spark, monkeypatch):
+    """Approximate percentiles may come out another way each time that they are made."""
+    exact = F.percentile_approx
+    moved = F.udf(lambda ends: [e + random.uniform(-0.02, 0.02) for e in ends], "array<double>").asNondeterministic()
+    rows = spark.createDataFrame([(i, "ab"[i % 2], i % 997 / 997) for i in range(3000)], "id long, category string, final double").repartition(4)
+    plain = {r.id: r["rank"] for r in ranking.with_rank(rows, spread=1).collect()}
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: moved(exact(*a)))
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # plans with joins don't reuse them
+    try:
+        assert {r.id: r["rank"] for r in ranking.with_rank(rows, spread=8).collect()} == plain
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_null_scores_rank_last_for_every_spread(spark):
     rng = random.Random(7)
     made = [(i, rng.choice("ab"), rng.choice([None, float("nan"), 0.5, 1.5, rng.random()])) for i in range(200)]
