@@ -1,10 +1,12 @@
 """Edges: ties of rules, curves, and the pipeline on odd tables."""
+import random
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from feedloom.llm import quality, url_filter
+from feedloom.llm import quality, toxicity, url_filter
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
 LABELS = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())])
@@ -68,3 +70,30 @@ def test_curve_is_the_best_fit():
     h = 1e-5
     assert abs(loss(a + h, b) - loss(a - h, b)) / (2 * h) < 1e-3 and abs(loss(a, b + h) - loss(a, b - h)) / (2 * h) < 1e-3
     assert all(loss(a, b) < loss(a + x, b + y) for x, y in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)))
+
+
+def test_all_labelled_texts_are_learnt_from(spark):
+    """Toxic texts here are long ones, which a bounded sample once left out."""
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(words[(i * 7 + k) % 40] for k in range(18_000 if i % 10 == 0 else 30)) + (" zrgl zrgla" if i % 10 == 0 else ""), "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)], "doc_id long, toxic int")
+    asked = spark.createDataFrame([(1000, "w1 w2 zrgl w3 zrgla w4", "en"), (1001, "w1 w2 w3 w4", "en")], docs.schema)
+    one, none = (r.score for r in toxicity.with_scores(asked, toxicity.train(docs, labels), "score", "limit").orderBy("doc_id").collect())
+    assert len(rows[0][1]) > 60_000 and one > 0.5 > none
+
+
+def test_shards_of_labelled_texts(spark, monkeypatch):
+    """Several shards find the class, and give the same model however tables are split."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 40))) + (" zrgl" + rng.choice(["", "a", "ed"]) if i % 4 == 0 else ""), "en") for i in range(1200)]
+    docs = spark.createDataFrame(rows + rows[:3] + [(5, None, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_DOCS", 128)
+    a = toxicity.train(docs.repartition(1), labels)
+    monkeypatch.setattr(toxicity, "SLICE_IDS", 400)
+    b = toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(a.table, b.table) and np.array_equal(a.out, b.out) and a.thresholds == b.thresholds and "en" in a.thresholds
+    assert a.table.any() and not hasattr(a, "kept")
+    got = a.score(pa.array([t for _, t, _ in rows]))
+    assert np.mean([(s >= 0.5) == (i % 4 == 0) for i, s in enumerate(got)]) > 0.98
