@@ -270,7 +270,8 @@ def stream_paged_sync(spark, d):
     middle, goes on the next days, and in the end has what one run has."""
     folder, table, _ = _streamed(spark)
     n = F.floor(F.col("id").cast("long") / 25).cast("int")
-    _articles(spark, d).withColumn(ingest.PAGE, n).repartition(ingest.PAGE).write.partitionBy(ingest.PAGE).json(folder)
+    rows = _articles(spark, d).withColumn(ingest.PAGE, n).withColumn(ingest.PAGES, F.floor(n / ingest.PAGES_A_FOLDER).cast("int"))
+    rows.repartition(ingest.PAGES).write.partitionBy(ingest.PAGES).json(folder)
     pages, day, state = len(ingest.landed_pages(spark, folder)), 0, {"status": "paused"}
     while state["status"] == "paused":
         state = ingest.paged_sync(spark, folder, table, AS_OF + day * DAY, FOLDERS, most=2 + pages // 3, catch_up_days=20)

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.sources import items as feeds
@@ -92,14 +94,41 @@ def daily_sync(spark: SparkSession, landing: str, table: KeyedTable, checkpoint:
 
 
 PAGE = "page"
+#: Folders of many pages, so that files follow the bytes landed, not the pages: folder K has
+#: pages from K * PAGES_A_FOLDER on, and each of its articles has its page's number.
+PAGES = "pages"
+PAGES_A_FOLDER = 256
+_NUMBERED = T.StructType([*feeds.FEED_ARTICLE, T.StructField(PAGE, T.IntegerType())])
 
 
-def landed_pages(spark: SparkSession, landing: str) -> list[int]:
-    """Numbers of the pages that have landed, a folder each, in order."""
+def _folders(spark: SparkSession, landing: str) -> dict[str, list[int]]:
+    """Numbers of the folders that have landed, of one page each and of many."""
     path = spark._jvm.org.apache.hadoop.fs.Path(landing)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{PAGE}="))
+    return {kind: sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{kind}=")) for kind in (PAGE, PAGES)}
+
+
+def landed_pages(spark: SparkSession, landing: str, after: int = -1) -> list[int]:
+    """Numbers of the pages that have landed and come after `after`, in order."""
+    found = _folders(spark, landing)
+    out = {p for p in found[PAGE] if p > after}
+    many = [f"{landing}/{PAGES}={k}" for k in found[PAGES] if (k + 1) * PAGES_A_FOLDER > after + 1]
+    if many:
+        rows = spark.read.schema(T.StructType([_NUMBERED[PAGE]])).json(many).where(F.col(PAGE) > after)
+        out |= {r[0] for r in rows.distinct().collect()}  # a number a page
+    return sorted(out)
+
+
+def _read_pages(spark: SparkSession, landing: str, taken: list[int]) -> DataFrame:
+    """Articles of pages that follow each other in what has landed; other folders are not read."""
+    found, wanted = _folders(spark, landing), set(taken)
+    one = [f"{landing}/{PAGE}={p}" for p in found[PAGE] if p in wanted]
+    many = [f"{landing}/{PAGES}={k}" for k in found[PAGES] if k in {p // PAGES_A_FOLDER for p in wanted}]
+    parts = [spark.read.schema(feeds.FEED_ARTICLE).json(one)] if one else []
+    if many:
+        parts.append(spark.read.schema(_NUMBERED).json(many).where(F.col(PAGE).between(taken[0], taken[-1])).drop(PAGE))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def paged_sync(spark: SparkSession, landing: str, table: KeyedTable, as_of: int, folders: dict[str, str], name: str = "daily-sync", most: int = 95, mode: str = "merge", catch_up_days: int | None = None) -> dict:
@@ -110,7 +139,7 @@ def paged_sync(spark: SparkSession, landing: str, table: KeyedTable, as_of: int,
     the pages' rows, so a run that is lost has taken all of its pages or none.
 
     All pages of a run are one batch: which pages it may take follows from the state,
-    and only their folders are read.
+    and only folders that hold some of them are read.  Pages have a folder each, or share one.
     """
     day = time.strftime("%Y-%m-%d", time.gmtime(as_of))
     old = table.state().get(name)
@@ -118,7 +147,7 @@ def paged_sync(spark: SparkSession, landing: str, table: KeyedTable, as_of: int,
     used = old["calls"] if old is not None and old["day"] == day else 0
     mark = old["mark"] if going else high_water(table.read(), as_of, catch_up_days=catch_up_days)
     cursor = old["cursor"] if old is not None else -1
-    left = [p for p in landed_pages(spark, landing) if p > cursor]
+    left = landed_pages(spark, landing, cursor)
     can = max(0, most - used - 1)
     if not left or not can:
         state = {"cursor": cursor, "mark": mark, "calls": used, "day": day, "items": old["items"] if going else 0, "status": "paused" if left else "completed"}
@@ -126,7 +155,7 @@ def paged_sync(spark: SparkSession, landing: str, table: KeyedTable, as_of: int,
             table.upsert(spark.createDataFrame([], ITEM_SCHEMA), "__seq", mode, state={name: state})
         return state
     taken = left[:can]
-    pages = spark.read.schema(feeds.FEED_ARTICLE).option("basePath", landing).json([f"{landing}/{PAGE}={p}" for p in taken])
+    pages = _read_pages(spark, landing, taken)
     rows = newer(_prepared(folders, None)(pages), mark).withColumn("__seq", F.col("published_at")).persist()
     try:
         items = rows.count() + (old["items"] if going else 0)

@@ -116,3 +116,20 @@ def test_normalize(spark, tmp_path):
     got = {r.id: r for r in feeds.normalize(feeds.read_feed(spark, f"file://{tmp_path}"), ("agg.com",)).collect()}
     assert got["1"].url == "https://alt.dev" and got["1"].categories == ["Papers"] and got["2"].url == "https://good.dev"
     assert got["3"].title == "Untitled" and got["3"].url == "" and got["3"].categories == []
+
+
+def test_pages_that_share_a_folder_are_taken_page_by_page(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "PAGES_A_FOLDER", 4)
+    pages = {n: [article(10 * n + k, AS_OF - 10 * n - k) for k in range(5)] for n in range(12)}
+    for k in range(2):  # pages 8 to 11 have a folder each
+        (tmp_path / "landing" / f"pages={k}").mkdir(parents=True)
+        land(tmp_path / "landing" / f"pages={k}", "x.json", [{**a, "page": n} for n in range(4 * k, 4 * k + 4) for a in pages[n]])
+    for n in range(8, 12):
+        page(tmp_path / "landing", n, pages[n])
+    table, state = paged(spark, tmp_path, "parts", AS_OF, most=7)
+    assert state["cursor"] == 5 and state["items"] == 30 and state["calls"] == 7 and state["status"] == "paused"
+    _, state = paged(spark, tmp_path, "parts", AS_OF + 86_400, most=6)
+    assert state["cursor"] == 10 and state["items"] == 55
+    _, state = paged(spark, tmp_path, "parts", AS_OF + 2 * 86_400, most=6)
+    assert state["status"] == "completed" and state["items"] == 60
+    assert {r.id for r in table.read().collect()} == {str(10 * n + k) for n in pages for k in range(5)}
