@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import short_batches, shuffle_partitions, stored, unused
+from feedloom.llm.common import give_back, short_batches, shuffle_partitions, stored, unused
 from feedloom.llm.components import components
 from feedloom.llm.text import LOWER_BYTES
 
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     short_batches(docs.sparkSession)
 
     def run(batches):
+        give_back()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
             fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
@@ -80,6 +81,7 @@ def filed(nodes: DataFrame) -> DataFrame:
     """(key, fp) for every file that a fingerprint is in."""
 
     def run(batches):
+        give_back()
         parts = _bounds()
         for batch in batches:
             fp = np.asarray(batch.column(0)).view(np.uint64)
@@ -198,6 +200,7 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     rows = filed(nodes).repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches):
+        give_back()
         parts, held = [], 0  # whole files, then the last one so far
         for batch in batches:
             now = [np.asarray(batch.column(k)) for k in range(2)]
